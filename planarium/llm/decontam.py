@@ -54,7 +54,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A word is a run of ASCII letters, digits and bytes of other scripts,
     lower-cased.  With a digit it is a number; capitalised after a word that
-    ends without '.', '!', '?' or a line break, a name; in the list, a unit.
+    ends without '.', '!', '?' or a line break, and not followed by a second
+    capital, a name; in the list, a unit.
     """
     buf, offsets = utf8(column)
     starts, ends, first = words(buf, offsets, _SEPARATOR)
@@ -69,7 +70,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens = np.ones(len(starts), dtype=bool)
     opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
     opens[first[:-1][first[:-1] < first[1:]]] = True
-    name = _CASED[buf[starts]] & ~opens
+    shouted = _CASED[buf[np.minimum(starts + 1, len(buf) - 1)]] & (ends - starts > 1)
+    name = _CASED[buf[starts]] & ~shouted & ~opens
     at = np.searchsorted(_UNITS, plain)
     at[at == len(_UNITS)] = 0
     unit = _UNITS[at] == plain

@@ -17,6 +17,7 @@ automaton they lead back to the root.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -89,6 +90,17 @@ def _sum_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<i8") for x in own], "sum_n": int(n.sum()), "sum_v": int((n > 0).sum())})
 
 
+class Bigrams(NamedTuple):
+    """contexts: sorted hashes; sizes: bigrams of each; words, n: of each bigram, by context; bigram, leaves: of each token, the bigram it ends and the context it follows (-1: none)."""
+
+    contexts: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    n: np.ndarray
+    bigram: np.ndarray
+    leaves: np.ndarray
+
+
 class Block:
     """A block's tokens with the global counts of its words, and its bigrams by context."""
 
@@ -102,8 +114,8 @@ class Block:
         self.count = np.concatenate([np.frombuffer(x, "<i8") for x in answers["n"]])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def bigrams(self, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context hash, word hash and training count of each distinct bigram kept, sorted; the bigram of each token (-1: none), and whether its context may be a state."""
+    def bigrams(self, least_count: int) -> Bigrams:
+        """The bigrams of words that are not rare, and the contexts that may be states."""
         v = len(self.words)
         before = np.empty(len(self.tokens), dtype=np.int64)
         before[1:] = self.tokens[:-1]
@@ -111,34 +123,29 @@ class Block:
         common = np.append(self.count >= least_count, True)
         state = common[before]
         kept = state & common[self.tokens]
+        names = mix(np.append(self.words, START))
+        contexts = np.sort(names[np.unique(before[state])])
         u, inverse = np.unique(before[kept] * (v + 1) + self.tokens[kept], return_inverse=True)
         training = np.repeat(~self.held, self.lengths)[kept]
         n = np.bincount(inverse[training], minlength=len(u))
-        context = mix(np.append(self.words, START))[u // (v + 1)]
-        word = self.words[u % (v + 1)]
+        context, word = np.searchsorted(contexts, names[u // (v + 1)]), self.words[u % (v + 1)]
         order = np.lexsort((word, context))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         which = np.full(len(self.tokens), -1, dtype=np.int64)
         which[kept] = place[inverse]
-        return context[order], word[order], n[order], which, state
-
-
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        leaves = np.where(state, np.searchsorted(contexts, names)[before], -1)
+        return Bigrams(contexts, np.bincount(context, minlength=len(contexts)), word[order], n[order], which, leaves)
 
 
 def _bigram_parts(key: tuple, block: pd.DataFrame, answers: pd.DataFrame, ranges: int, least_count: int) -> pd.DataFrame:
-    context, word, n, _, _ = Block(block.iloc[0].to_dict(), answers).bigrams(least_count)
-    at = _cut(context, ranges)
+    b = Block(block.iloc[0].to_dict(), answers).bigrams(least_count)
+    at, ends = _cut(b.contexts, ranges), np.concatenate([[0], np.cumsum(b.sizes)])
     rows = []
-    for r in range(ranges):
-        a, b = at[r], at[r + 1]
-        if b > a:
-            runs = _runs(context[a:b])
-            # Within a context, 40 bits of a word's hash tell words apart.
-            rows.append((r, key[0], context[a:b][runs].tobytes(), _bytes(np.diff(np.append(runs, b - a)), "<u4"), np.ascontiguousarray(word[a:b]).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), _bytes(n[a:b], "<u4")))
+    for r in np.flatnonzero(np.diff(at)).tolist():
+        own, pairs = slice(at[r], at[r + 1]), slice(ends[at[r]], ends[at[r + 1]])
+        # Within a context, 40 bits of a word's hash tell words apart.
+        rows.append((r, key[0], b.contexts[own].tobytes(), _bytes(b.sizes[own], "<u4"), np.ascontiguousarray(b.words[pairs]).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), _bytes(b.n[pairs], "<u4")))
     return pd.DataFrame(rows, columns=["range", "block", "contexts", "sizes", "words", "n"])
 
 
@@ -146,36 +153,38 @@ def _sum_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each block: counts of its bigrams over all blocks, and of its contexts (tokens, distinct words)."""
     sizes = [np.frombuffer(x, "<u4") for x in rows["sizes"]]
     contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
-    context = np.concatenate([np.repeat(c, s) for c, s in zip(contexts, sizes)])
+    c = np.unique(np.concatenate(contexts))
+    places = [np.searchsorted(c, x) for x in contexts]
+    context = np.concatenate([np.repeat(x, s) for x, s in zip(places, sizes)])
     low = np.zeros((len(context), 8), np.uint8)
     low[:, 3:] = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows["words"]])
-    h = mix(context) ^ mix(low.reshape(-1).view("<u8"))
+    h = mix(c[context]) ^ mix(low.reshape(-1).view("<u8"))
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]))
-    c, own = np.unique(context[first], return_inverse=True)
-    total, kinds = np.bincount(own, weights=n), np.bincount(own, weights=n > 0)
-    at = [np.searchsorted(c, x) for x in contexts]
+    n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]), minlength=len(first))
+    total, kinds = np.bincount(context[first], weights=n, minlength=len(c)), np.bincount(context[first], weights=n > 0, minlength=len(c))
     split = np.split(n[inverse], np.cumsum([s.sum() for s in sizes])[:-1])
-    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<u4") for x in split], "total": [_bytes(total[x], "<i8") for x in at], "kinds": [_bytes(kinds[x], "<i8") for x in at]})
+    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<u4") for x in split], "total": [_bytes(total[x], "<i8") for x in places], "kinds": [_bytes(kinds[x], "<i8") for x in places]})
 
 
 class Automaton:
     """The part of the backoff automaton that a block's tokens can meet.
 
     root[w] is the weight of the root's arc for word w; arcs[j] that of bigram j
-    (nan: the state has no such arc); fail[j] that of the failure arc of the
-    state that bigram j leaves from.
+    (nan: its state has no such arc); fail[s] that of the failure arc of state s.
     """
 
     def __init__(self, root: np.ndarray, arcs: np.ndarray, fail: np.ndarray):
         self.root, self.arcs, self.fail = root, arcs, fail
 
-    def weights(self, tokens: np.ndarray, bigram: np.ndarray, away: np.ndarray) -> np.ndarray:
-        """Weight of each token on the path: its arc, or the failure arc and then the root's.
+    def weights(self, tokens: np.ndarray, bigram: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Weight of each token on the path: its state's arc, or the failure arc and then the root's.
 
-        away[i] is the failure weight of the state before token i, 0 at the root.
+        leaves[i] is the state before token i, -1 the root: it is known from the
+        token before alone, so all steps are taken at once.
         """
-        out = self.root[tokens] + away
+        out = self.root[tokens]
+        inner = leaves >= 0
+        out[inner] += self.fail[leaves[inner]]
         has = bigram >= 0
         arc = self.arcs[bigram[has]]
         out[has] = np.where(np.isnan(arc), out[has], arc)
@@ -184,32 +193,18 @@ class Automaton:
 
 def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, least_count: int) -> pd.DataFrame:
     b = Block(block.iloc[0].to_dict(), answers[answers["kind"] == 1])
-    context, _, _, which, state = b.bigrams(least_count)
-    two = answers[answers["kind"] == 2].sort_values("range")
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in two[name]] or [np.zeros(0, kind)])
-    n, runs = join("n", "<u4").astype(float), _runs(context)
-    size = np.diff(np.append(runs, len(context)))
-    total, kinds = join("total", "<i8").astype(float), join("kinds", "<i8").astype(float)
+    two = b.bigrams(least_count)
+    got = answers[answers["kind"] == 2].sort_values("range")
+    n, total, kinds = (np.concatenate([np.frombuffer(x, kind) for x in got[c]] or [np.zeros(0, kind)]).astype(float) for c, kind in (("n", "<u4"), ("total", "<i8"), ("kinds", "<i8")))
     base = np.log10((b.count + 0.5) / (n_all + 0.5 * (v_all + 1)))
-    p = 10.0**base
+    word = np.zeros(len(n))
+    kept = two.bigram >= 0
+    word[two.bigram[kept]] = 10.0 ** base[b.tokens[kept]]
+    t, k = np.repeat(total, two.sizes), np.repeat(kinds, two.sizes)
     with np.errstate(divide="ignore", invalid="ignore"):
         fail = np.where(total > 0, np.log10(kinds / (total + kinds)), 0.0)
-        word = np.zeros(len(context))
-        kept = which >= 0
-        word[which[kept]] = p[b.tokens[kept]]
-        t, k = np.repeat(total, size), np.repeat(kinds, size)
         arcs = np.where(n > 0, np.log10((n + k * word) / (t + k)), np.nan)
-    # A context's failure weight holds for its tokens without a bigram too.
-    v = len(b.words)
-    before = np.empty(len(b.tokens), dtype=np.int64)
-    before[1:] = b.tokens[:-1]
-    before[b.starts] = v
-    names = mix(np.append(b.words, START))
-    at = np.searchsorted(context[runs], names)
-    at[at == len(runs)] = 0
-    own = np.where(context[runs][at] == names, fail[at], 0.0) if len(runs) else np.zeros(v + 1)
-    away = np.where(state, own[before], 0.0)
-    weight = Automaton(base, arcs, np.repeat(fail, size)).weights(b.tokens, which, away)
+    weight = Automaton(base, arcs, fail).weights(b.tokens, two.bigram, two.leaves)
     add = lambda x: np.add.reduceat(x, b.starts)
     return pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((b.count[b.tokens] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base[b.tokens]), "score": add(weight)})
 

@@ -32,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Weight of a word in a target's name.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "pwd": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "access": 0.5, "key": 0.5, "signature": 0.5, "salt": 0.5}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example|password|secret|token|test|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|(?:\[secret\])+|\*+|\.+|none|null|true|false|todo|changeme|example|password|secret|token|test|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 
 _LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'"
 _PAIR = re.compile(
@@ -85,8 +85,10 @@ def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
             a, b = base + p.start(), base + p.end()
             if p["q"] is not None:
                 parts.append((p["q"][1:-1], a + 1, b - 1))
+            elif not p["bare"].strip("+"):  # the sign between two parts
+                continue
             elif p["bare"] in known:
-                parts += known[p["bare"]][:64]
+                parts += known[p["bare"]]
             else:
                 parts.append((p["bare"], a, b))
         known[m["name"]] = parts
