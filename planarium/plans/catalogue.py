@@ -1,4 +1,337 @@
-"""Registered queries over planar cells, with their SQL."""
+"""Registered queries over planar cells, with DuckDB SQL that computes the same another way.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Cells come from `part`, features from `embeddings`; every query reads its
+whole table.  Floats are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planarium.functions import geometry as g
+from planarium.functions import ramps
+from planarium.operators import calibrate, graph, metrics, pairs, raster, refine
+from planarium.sources import cells as source
+
+RADIUS, LOW, HIGH, LAMBDA = 6.0, 0.1, 0.4, 2.0
+BOX = (10.0, 90.0, 10.0, 90.0)
+GRID = 120
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_parts(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).select("cell_id", "label", (F.col("cell_id") % 3 == 0).alias("frozen"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage pairs, rounded as in SQL so that thresholds fall alike."""
+    return pairs.coverage_map(_cells(spark, sf_dir), RADIUS).select("i", "j", F.round("cf", 6).alias("cf"))
+
+
+def _unary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = lambda k: ((F.col("cell_id") * (k + 3)) % 17) / 4.0 + F.when(F.col("label") == k, 0.0).otherwise(1.5)
+    return _cells(spark, sf_dir).select("cell_id", F.array(*(cost(k) for k in range(5))).alias("costs"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("int").alias("y"))
+
+
+# SQL building blocks: cells, hexagon vertices, radius pairs, and overlap by
+# collecting inner vertices and edge crossings and sorting them by angle.
+CELLS = """
+cells AS (
+  SELECT p_partkey AS cell_id,
+         CAST(p_partkey*37 % 1009 AS DOUBLE)/10 + 110*(CAST(floor(p_partkey/2000.0) AS INT) % 4) AS cx,
+         CAST(p_partkey*91 % 997 AS DOUBLE)/10 + 110*CAST(floor(CAST(floor(p_partkey/2000.0) AS INT)/4.0) AS INT) AS cy,
+         CAST(2.0 AS DOUBLE) + CAST(p_size % 7 AS DOUBLE)/4 AS r,
+         CAST(p_partkey % 5 AS INT) AS label, p_partkey % 11 = 0 AS clipped, p_partkey % 3 = 0 AS frozen
+  FROM part)"""
+_V = """
+v AS (SELECT cell_id, k, cx+r*cos(k*pi()/3) x, cy+r*sin(k*pi()/3) y, cx+r*cos((k+1)*pi()/3) x2, cy+r*sin((k+1)*pi()/3) y2
+      FROM {cells}, range(0,6) t(k))"""
+_OVERLAP = (
+    _V
+    + """,
+p AS (SELECT a.cell_id i, b.cell_id j, 1.5*sqrt(3)*a.r*a.r aa, 1.5*sqrt(3)*b.r*b.r ab FROM {cells} a JOIN {cells} b ON a.cell_id<b.cell_id
+      AND (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)<={r2}),
+dirp AS (SELECT i,j,i s,j t FROM p UNION ALL SELECT i,j,j,i FROM p),
+ins AS (SELECT d.i,d.j,a.x,a.y FROM dirp d JOIN v a ON a.cell_id=d.s JOIN v e ON e.cell_id=d.t
+        GROUP BY d.i,d.j,d.s,a.k,a.x,a.y HAVING min((e.x2-e.x)*(a.y-e.y)-(e.y2-e.y)*(a.x-e.x))>=-1e-12),
+cr0 AS (SELECT p.i,p.j,a.x ax,a.y ay,a.x2-a.x ux,a.y2-a.y uy,b.x-a.x wx,b.y-a.y wy,b.x2-b.x vx,b.y2-b.y vy
+        FROM p JOIN v a ON a.cell_id=p.i JOIN v b ON b.cell_id=p.j),
+cr AS (SELECT i,j,ax+ux*(wx*vy-wy*vx)/(ux*vy-uy*vx) x, ay+uy*(wx*vy-wy*vx)/(ux*vy-uy*vx) y FROM cr0
+       WHERE abs(ux*vy-uy*vx)>1e-9 AND (wx*vy-wy*vx)/(ux*vy-uy*vx) BETWEEN 0 AND 1 AND (wx*uy-wy*ux)/(ux*vy-uy*vx) BETWEEN 0 AND 1),
+pts AS (SELECT * FROM ins UNION ALL SELECT * FROM cr),
+mid AS (SELECT *, avg(x) OVER w mx, avg(y) OVER w my FROM pts WINDOW w AS (PARTITION BY i,j)),
+ring AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(lead(y) OVER w, first_value(y) OVER w) ny
+         FROM mid WINDOW w AS (PARTITION BY i,j ORDER BY atan2(y-my,x-mx))),
+shared AS (SELECT i,j,0.5*abs(sum((x-mx)*(ny-my)-(nx-mx)*(y-my))) AS s FROM ring GROUP BY i,j)"""
+)
+OK = "ok AS (SELECT * FROM cells WHERE NOT clipped)"
+PAIRS = f"WITH {CELLS}, {OK}, {_OVERLAP.format(cells='ok', r2=RADIUS * RADIUS)},\ncf AS (SELECT p.i, p.j, round(s/least(aa,ab), 6) AS cf FROM p JOIN shared USING (i, j) WHERE s/least(aa,ab) > 1e-9),\nlab AS (SELECT i, j, cf, a.label li, b.label lj, a.frozen fi, b.frozen fj FROM cf JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j)"
+RAMP = f"least(1.0, greatest(0.0, (cf - {LOW}) / ({HIGH} - {LOW})))"
+NBRS = f",\nn0 AS (SELECT i, j, {RAMP} AS w FROM cf), nbrs AS (SELECT i, j, w FROM n0 WHERE w <> 0 UNION ALL SELECT j, i, w FROM n0 WHERE w <> 0)"
+UNARY = ",\nunary AS (SELECT cell_id, k, ((cell_id * (k + 3)) % 17) / 4.0 + CASE WHEN label = k THEN 0.0 ELSE 1.5 END AS c FROM cells, range(0, 5) t(k))"
+HEX = f"WITH {CELLS}, {_V.format(cells='cells')}"
+
+
+@query(f"{HEX} SELECT cell_id, round(0.5*abs(sum(x*y2-x2*y)), 6) AS area, round(sum(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))), 6) AS perimeter, round(4*pi()*0.5*abs(sum(x*y2-x2*y))/pow(sum(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y))), 2), 6) AS circularity FROM v GROUP BY cell_id")
+def hull_features(spark, sf_dir):
+    return _cells(spark, sf_dir).select("cell_id", g.hull_features(F.col("poly")).alias("h")).select("cell_id", *(F.round(f"h.{c}", 6).alias(c) for c in ("area", "perimeter", "circularity")))
+
+
+@query(f"WITH {CELLS} SELECT cell_id, round(cx, 6) + 0.0 AS x, round(cy, 6) + 0.0 AS y, round(cx, 6) + 0.0 AS mx, round(cy, 6) + 0.0 AS my, round(2*sqrt(1.5*sqrt(3)*r*r/pi()), 6) AS diameter FROM cells")
+def polygon_centers(spark, sf_dir):
+    c, m = g.centroid(F.col("poly")), g.vertex_mean(F.col("poly"))
+    return _cells(spark, sf_dir).select("cell_id", *((F.round(v, 6) + 0.0).alias(n) for n, v in (("x", c["x"]), ("y", c["y"]), ("mx", m["x"]), ("my", m["y"]))), F.round(g.equivalent_diameter(F.col("poly")), 6).alias("diameter"))
+
+
+@query(f"{HEX} SELECT cell_id, round(1.5*sqrt(3)*r*r*1.21, 6) AS grown, 19.634954 AS fitted, (SELECT round(0.5*abs(sum(a*d-c*b)), 5) FROM (SELECT least(greatest(x,{BOX[0]}),{BOX[1]}) a, least(greatest(y,{BOX[2]}),{BOX[3]}) b, least(greatest(x2,{BOX[0]}),{BOX[1]}) c, least(greatest(y2,{BOX[2]}),{BOX[3]}) d FROM v WHERE v.cell_id = cells.cell_id)) AS clamped FROM cells")
+def polygon_scaling(spark, sf_dir):
+    p, x, y = F.col("poly"), F.col("cx"), F.col("cy")
+    return _cells(spark, sf_dir).select("cell_id", F.round(g.area(g.scaled(p, x, y, F.lit(1.1))), 6).alias("grown"), F.round(g.area(g.scaled_to_diameter(p, x, y, F.lit(5.0))), 6).alias("fitted"), F.round(g.area(g.clamped(p, BOX)), 5).alias("clamped"))
+
+
+_BOXED = f"""WITH {CELLS}, {_V.format(cells='cells')},
+box AS (SELECT * FROM (VALUES ({BOX[0]},{BOX[2]},{BOX[1]},{BOX[2]}), ({BOX[1]},{BOX[2]},{BOX[1]},{BOX[3]}), ({BOX[1]},{BOX[3]},{BOX[0]},{BOX[3]}), ({BOX[0]},{BOX[3]},{BOX[0]},{BOX[2]})) t(x,y,x2,y2)),
+pts AS (
+  SELECT cell_id, x, y FROM v WHERE x BETWEEN {BOX[0]} AND {BOX[1]} AND y BETWEEN {BOX[2]} AND {BOX[3]}
+  UNION ALL SELECT v.cell_id, b.x, b.y FROM box b, v GROUP BY v.cell_id, b.x, b.y HAVING min((v.x2-v.x)*(b.y-v.y)-(v.y2-v.y)*(b.x-v.x)) >= 0
+  UNION ALL SELECT cell_id, ax+ux*t, ay+uy*t FROM (
+    SELECT cell_id, ax, ay, ux, uy, (wx*vy-wy*vx)/(ux*vy-uy*vx) t, (wx*uy-wy*ux)/(ux*vy-uy*vx) q FROM (
+      SELECT v.cell_id, v.x ax, v.y ay, v.x2-v.x ux, v.y2-v.y uy, b.x-v.x wx, b.y-v.y wy, b.x2-b.x vx, b.y2-b.y vy FROM v, box b) WHERE abs(ux*vy-uy*vx) > 1e-9) WHERE t BETWEEN 0 AND 1 AND q BETWEEN 0 AND 1),
+m AS (SELECT *, avg(x) OVER w mx, avg(y) OVER w my FROM pts WINDOW w AS (PARTITION BY cell_id)),
+o AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(lead(y) OVER w, first_value(y) OVER w) ny FROM m WINDOW w AS (PARTITION BY cell_id ORDER BY atan2(y-my,x-mx)))
+SELECT cell_id, round(0.5*abs(sum((x-mx)*(ny-my)-(nx-mx)*(y-my))), 4) + 0.0 AS area FROM o GROUP BY cell_id HAVING 0.5*abs(sum((x-mx)*(ny-my)-(nx-mx)*(y-my))) > 1e-6"""
+
+
+@query(_BOXED)
+def polygon_clip_box(spark, sf_dir):
+    a = g.area(g.clipped_to_box(F.col("poly"), BOX))
+    return _cells(spark, sf_dir).select("cell_id", a.alias("a")).where("a > 1e-6").select("cell_id", (F.round("a", 4) + 0.0).alias("area"))
+
+
+_D2 = "(a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)"
+
+
+@query(f"WITH {CELLS} SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt({_D2}), 6) AS d FROM cells a JOIN cells b ON a.cell_id < b.cell_id AND {_D2} <= {RADIUS * RADIUS}")
+def spatial_pairs(spark, sf_dir):
+    return pairs.spatial_pairs(_cells(spark, sf_dir), RADIUS).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH {CELLS}, {OK} SELECT a.cell_id AS i, b.cell_id AS j, round(1 - sqrt({_D2})/{RADIUS}, 6) AS score FROM ok a JOIN ok b ON a.cell_id < b.cell_id AND sqrt({_D2}) < {RADIUS}")
+def proximity_map(spark, sf_dir):
+    return pairs.proximity_map(_cells(spark, sf_dir), RADIUS).select("i", "j", F.round("score", 6).alias("score"))
+
+
+@query(f"{PAIRS} SELECT i, j, round(cf, 5) AS cf FROM cf")
+def coverage_fraction_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("i", "j", F.round("cf", 5).alias("cf"))
+
+
+@query(f"WITH {CELLS}, {_OVERLAP.format(cells='cells', r2=64.0)} SELECT p.i, p.j, round(s/(aa+ab-s), 5) AS iou FROM p JOIN shared USING (i, j) WHERE s/(aa+ab-s) > 1e-9")
+def iou_pairs(spark, sf_dir):
+    return pairs.iou_pairs(_cells(spark, sf_dir), 8.0).select("i", "j", F.round("iou", 5).alias("iou"))
+
+
+@query(f"""WITH {CELLS}, {_OVERLAP.format(cells='cells', r2=64.0)}, e AS (SELECT p.i, p.j, s/(aa+ab-s) iou FROM p JOIN shared USING (i, j) JOIN cells a ON a.cell_id = p.i JOIN cells b ON b.cell_id = p.j WHERE a.label = b.label AND s/(aa+ab-s) > 1e-9)
+SELECT i AS cell_id, round(max(iou), 5) AS max_iou, max(iou) > 0.05 AS violates FROM (SELECT i, iou FROM e UNION ALL SELECT j, iou FROM e) GROUP BY i""")
+def max_iou_in_group(spark, sf_dir):
+    """The largest overlap of each cell with one of its own label, and whether it exceeds 5 %."""
+    same = calibrate.labelled(pairs.iou_pairs(_cells(spark, sf_dir), 8.0), _labels(spark, sf_dir)).where("label_i = label_j").select("i", "j", "iou")
+    return graph.both_ways(same).groupBy(F.col("i").alias("cell_id")).agg(F.round(F.max("iou"), 5).alias("max_iou"), (F.max("iou") > 0.05).alias("violates"))
+
+
+@query(f"""{PAIRS}, s AS (SELECT i, j, cf, 0.1 AS lo FROM cf)
+SELECT i, j, round(least(1.0, greatest(0.0, (cf-lo)/0.3)), 6) AS plain, round(CASE WHEN cf < lo THEN (cf-lo)/lo ELSE least(1.0, greatest(0.0, (cf-lo)/0.3)) END, 6) AS signed,
+ round(CASE WHEN least(cf, 0.99) <= lo THEN 0.0 ELSE least(1.0, ln(1+10*(least(cf, 0.99)-lo))/ln(1+10*(1-lo))) END, 6) AS logarithmic,
+ round(CASE WHEN cf < lo THEN (cf-lo)/lo WHEN least(cf, 0.99) <= lo THEN 0.0 ELSE least(1.0, ln(1+10*(least(cf, 0.99)-lo))/ln(1+10*(1-lo))) END, 6) AS signed_log FROM s""")
+def ramp_family(spark, sf_dir):
+    cf = F.col("cf")
+    return _pairs(spark, sf_dir).select("i", "j", *(F.round(f(cf, LOW, HIGH), 6).alias(n) for n, f in (("plain", ramps.ramp), ("signed", ramps.signed_ramp), ("logarithmic", ramps.log_ramp), ("signed_log", ramps.signed_log_ramp))))
+
+
+@query(f"WITH {CELLS} SELECT a.cell_id, round(sqrt(min({_D2})), 6) AS nn_d FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND abs(a.cx-b.cx) < 60 AND abs(a.cy-b.cy) < 60 GROUP BY a.cell_id")
+def nn_distance(spark, sf_dir):
+    return pairs.nearest_distance(_cells(spark, sf_dir)).select("cell_id", F.round("nn_d", 6).alias("nn_d"))
+
+
+@query(f"WITH {CELLS}, n AS (SELECT a.cell_id, any_value(a.label) label, sqrt(min({_D2})) d FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND a.label = b.label AND abs(a.cx-b.cx) < 110 AND abs(a.cy-b.cy) < 110 GROUP BY a.cell_id) SELECT label, count(*) AS n, round(stddev_pop(d)/avg(d), 5) AS cv, round(3*quantile_cont(d, 0.5), 5) AS radius FROM n GROUP BY label")
+def nnd_regularity(spark, sf_dir):
+    c = _cells(spark, sf_dir)
+    near = pairs.nearest_distance(c, "label").join(c.select("cell_id", "label"), "cell_id").groupBy("label").agg(F.round(3 * F.percentile("nn_d", 0.5), 5).alias("radius"))
+    return calibrate.nnd_cv(c).join(near, "label").select("label", "n", F.round("cv", 5).alias("cv"), "radius")
+
+
+_KNN = "e AS (SELECT vec_id id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings), d AS (SELECT a.id src, b.id dst, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 9) d2 FROM e a JOIN e b ON a.id <> b.id), k AS (SELECT src, dst, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d QUALIFY rank <= 10)"
+_KW = f"{_KNN}, s AS (SELECT quantile_cont(sqrt(d2), 0.5) sg FROM k), w AS (SELECT src, dst, exp(-d2/(2*sg*sg)) w FROM k, s), gr AS (SELECT src, dst, max(w) w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY src, dst)"
+
+
+@query(f"WITH {_KNN} SELECT src, dst, round(d2, 5) AS d2, CAST(rank AS INT) AS rank FROM k")
+def knn_graph(spark, sf_dir):
+    return pairs.knn(_points(spark, sf_dir), 10).select("src", "dst", F.round("d2", 5).alias("d2"), "rank")
+
+
+@query(f"WITH {_KW} SELECT src, dst, round(w, 5) AS w FROM gr")
+def knn_rbf_graph(spark, sf_dir):
+    return graph.feature_graph(_points(spark, sf_dir), 10).select("src", "dst", F.round("w", 5).alias("w"))
+
+
+@query(f"WITH {_KW}, x AS (SELECT a.label a, b.label b, sum(w) w FROM gr JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst GROUP BY 1, 2), st AS (SELECT a, sum(w) s FROM x GROUP BY a) SELECT CAST(x.a AS INT) a, CAST(x.b AS INT) b, round(x.w/sqrt(p.s*q.s), 5) AS weight FROM x JOIN st p ON p.a = x.a JOIN st q ON q.a = x.b WHERE x.a < x.b")
+def paga_matrix(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return graph.paga(graph.feature_graph(p, 10), p.select("cell_id", F.col("y").alias("label"))).select("a", "b", F.round("weight", 5).alias("weight"))
+
+
+_GRAPH = f"{PAIRS}, q AS (SELECT li label, count(*) n, quantile_cont(cf, 0.75) t FROM lab WHERE li = lj GROUP BY li), tau AS (SELECT cell_id, coalesce(CASE WHEN n >= 5 THEN t END, 0.05) tau FROM cells LEFT JOIN q USING (label))"
+
+
+@query(f"{_GRAPH} SELECT cell_id, round(tau, 5) AS tau FROM tau")
+def tau_low_per_cluster(spark, sf_dir):
+    return calibrate.tau_low_per_cluster(_pairs(spark, sf_dir), _labels(spark, sf_dir)).select("cell_id", F.round("tau", 5).alias("tau"))
+
+
+@query(f"""{_GRAPH}, gr AS (SELECT a.cell_id src, b.cell_id dst, 1 - sqrt({_D2})/{RADIUS} w FROM ok a JOIN ok b ON a.cell_id < b.cell_id AND sqrt({_D2}) < {RADIUS}),
+x AS (SELECT src, dst, w, cf, (p.tau+q.tau)/2 t FROM gr JOIN tau p ON p.cell_id = src JOIN tau q ON q.cell_id = dst LEFT JOIN cf ON i = src AND j = dst),
+y AS (SELECT *, CASE WHEN cf IS NULL THEN 0.0 WHEN 0.7 - t <= 0 THEN CAST(cf > t AS INT) ELSE least(1.0, greatest(0.0, (cf-t)/(0.7-t))) END rp FROM x)
+SELECT src, dst, round(w*(1-rp), 5) AS scaled, round(greatest(0.0, w - 0.5*rp), 5) AS taken FROM y""")
+def repulsion_graph(spark, sf_dir):
+    """Proximity edges weakened by coverage, in both ways of weakening."""
+    c, cf = pairs.proximity_map(_cells(spark, sf_dir), RADIUS).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("w")), _pairs(spark, sf_dir).cache()
+    tau = calibrate.tau_low_per_cluster(cf, _labels(spark, sf_dir))
+    a, b = graph.repulsed(c, cf, tau, 0.7), graph.repulsed(c, cf, tau, 0.7, 0.5)
+    return a.select("src", "dst", F.round("w", 5).alias("scaled")).join(b.select("src", "dst", F.round("w", 5).alias("taken")), ["src", "dst"])
+
+
+@query(f"""{PAIRS}, s AS (SELECT count(*) FILTER (li=lj AND fi AND fj) a, count(*) FILTER (li=lj) b, count(*) FILTER (li<>lj AND fi AND fj) c, count(*) FILTER (li<>lj) d,
+ quantile_cont(cf, 0.75) FILTER (li=lj AND fi AND fj) qa, quantile_cont(cf, 0.75) FILTER (li=lj) qb, quantile_cont(cf, 0.5) FILTER (li<>lj AND fi AND fj) qc, quantile_cont(cf, 0.5) FILTER (li<>lj) qd FROM lab),
+t AS (SELECT CASE WHEN a >= 10 THEN qa WHEN b >= 10 THEN qb ELSE 0.1 END lo, CASE WHEN c >= 10 THEN qc WHEN d >= 10 THEN qd ELSE 0.4 END hi FROM s),
+u AS (SELECT CASE WHEN lo >= hi - 0.05 THEN 0.1 ELSE lo END lo, CASE WHEN lo >= hi - 0.05 THEN 0.4 ELSE hi END hi FROM t), z AS (SELECT least(greatest(lo, 0.01), 0.49) lo, hi FROM u)
+SELECT round(lo, 5) AS low, round(least(greatest(hi, lo + 0.05), 0.99), 5) AS high FROM z""")
+def tau_calibration(spark, sf_dir):
+    t = calibrate.calibrated(_pairs(spark, sf_dir), _labels(spark, sf_dir))
+    return spark.createDataFrame([(round(t.low, 5), round(t.high, 5))], "low double, high double")
+
+
+@query(f"{PAIRS}, b AS (SELECT i, j, cf, li, lj, fi, fj FROM lab UNION ALL SELECT j, i, cf, lj, li, fj, fi FROM lab) SELECT i AS cell_id, round(sum(least(1.0, (cf-{LOW})/{1 - LOW})), 5) AS push FROM b WHERE li = lj AND NOT fi AND fj AND cf > {LOW} GROUP BY i")
+def label_push(spark, sf_dir):
+    return calibrate.label_push(_pairs(spark, sf_dir), _labels(spark, sf_dir), LOW).select("cell_id", F.round("push", 5).alias("push"))
+
+
+@query(f"{PAIRS} SELECT li AS label, count(*) AS n_violations, round(sum({RAMP}), 4) AS penalty FROM lab WHERE li = lj AND {RAMP} > 0 GROUP BY li")
+def violation_count(spark, sf_dir):
+    """Flagship: overlapping neighbours of one label, per label."""
+    return refine.violations(_pairs(spark, sf_dir), _labels(spark, sf_dir), LOW, HIGH).select("label", "n_violations", F.round("penalty", 4).alias("penalty"))
+
+
+@query(f"{PAIRS}{NBRS} SELECT i AS cell_id, round(sum(w), 4) AS conflict FROM nbrs JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j WHERE a.label = b.label AND w > 0 GROUP BY i")
+def conflict_scores(spark, sf_dir):
+    return refine.conflict_scores(refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), _labels(spark, sf_dir)).select("cell_id", F.round("conflict", 4).alias("conflict"))
+
+
+@query(f"{PAIRS}{NBRS} SELECT i AS cell_id, label, round(sum(w), 4) AS score FROM nbrs JOIN cells ON cell_id = j WHERE w > 0 GROUP BY i, label")
+def label_scores(spark, sf_dir):
+    return refine.label_scores(refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), _labels(spark, sf_dir)).select("cell_id", "label", F.round("score", 4).alias("score"))
+
+
+@query(f"{PAIRS}{NBRS}{UNARY} SELECT round(u, 2) AS unary, round(p, 2) AS pairwise, round(u + p, 2) AS energy FROM (SELECT sum(c) u FROM unary JOIN cells USING (cell_id) WHERE k = label), (SELECT {LAMBDA}*sum(w) p FROM nbrs JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j WHERE i < j AND a.label = b.label)")
+def mrf_energy(spark, sf_dir):
+    e = refine.energy(_labels(spark, sf_dir), _unary(spark, sf_dir), refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), LAMBDA)
+    return e.select(*(F.round(c, 2).alias(c) for c in ("unary", "pairwise", "energy")))
+
+
+@query(f"{PAIRS}{NBRS}{UNARY}, s AS (SELECT i AS cell_id, label AS k, sum(w) w FROM nbrs JOIN cells ON cell_id = j GROUP BY 1, 2), e AS (SELECT u.cell_id, u.k, round(c + {LAMBDA}*coalesce(w, 0), 9) e FROM unary u LEFT JOIN s USING (cell_id, k)), best AS (SELECT cell_id, k FROM e QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY e, k) = 1) SELECT cell_id, CAST(CASE WHEN frozen THEN label ELSE k END AS INT) AS label FROM cells JOIN best USING (cell_id)")
+def icm_jacobi_sweep(spark, sf_dir):
+    return refine.jacobi_sweep(_labels(spark, sf_dir), _unary(spark, sf_dir), refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), LAMBDA).select("cell_id", "label")
+
+
+@query()
+def icm_sequential(spark, sf_dir):
+    """In-place sweeps to a fixpoint; the order of cells matters, so SQL can't express it."""
+    return refine.icm_sequential(_labels(spark, sf_dir), _unary(spark, sf_dir), refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), LAMBDA).select("cell_id", "label")
+
+
+@query(f"{PAIRS} SELECT least(li, lj) AS a, greatest(li, lj) AS b, count(*) AS n_pairs, count(*) FILTER (cf >= {HIGH}) AS n_high, count(*) FILTER (fi AND fj) AS frozen_pairs, count(*) FILTER (fi AND fj AND cf >= {HIGH}) AS frozen_high FROM lab WHERE li <> lj GROUP BY 1, 2")
+def merge_gates(spark, sf_dir):
+    return calibrate.merge_gates(_pairs(spark, sf_dir), _labels(spark, sf_dir), HIGH)
+
+
+_DENSE = f"WITH RECURSIVE {CELLS}, e AS (SELECT a.cell_id i, b.cell_id j FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND a.label = b.label AND {_D2} <= 9), reach AS (SELECT cell_id, cell_id AS c FROM cells UNION SELECT e.j, reach.c FROM reach JOIN e ON e.i = reach.cell_id) SELECT cell_id, min(c) AS component FROM reach GROUP BY cell_id"
+
+
+@query(_DENSE)
+def split_components(spark, sf_dir):
+    """Fragments of each label: cells of one label joined within three units."""
+    c = _cells(spark, sf_dir)
+    same = pairs.spatial_pairs(c, 3.0, keep=("label",)).where("label = label_j")
+    return graph.components(c.select("cell_id"), same)
+
+
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, l = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return d.join(l, "doc_id", "left").select((F.substring("source", 4, 9).cast("int") % 4).alias("y"), F.when(F.col("quality").isNull(), -1).otherwise(F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
+
+
+_AGREE = "WITH t AS (SELECT CAST(substring(source, 4, 9) AS INT) % 4 AS y, CAST(CASE WHEN quality IS NULL THEN -1 ELSE quality*2+toxic END AS INT) AS label FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(f"{_AGREE} SELECT y, label, count(*) AS n FROM t WHERE label >= 0 GROUP BY y, label")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(_agreement(spark, sf_dir))
+
+
+@query(f"{_AGREE}, c AS (SELECT y, label, count(*) n FROM t WHERE label >= 0 GROUP BY 1, 2), s AS (SELECT sum(n*(n-1)/2.0) s, sum(n) t FROM c), a AS (SELECT sum(n*(n-1)/2.0) a FROM (SELECT sum(n) n FROM c GROUP BY y)), b AS (SELECT sum(n*(n-1)/2.0) b FROM (SELECT sum(n) n FROM c GROUP BY label)) SELECT round((s - a*b/(t*(t-1)/2.0))/((a+b)/2 - a*b/(t*(t-1)/2.0)), 6) AS ari FROM s, a, b")
+def adjusted_rand_index(spark, sf_dir):
+    return metrics.adjusted_rand(_agreement(spark, sf_dir).where("label >= 0")).select(F.round("ari", 6).alias("ari"))
+
+
+@query(f"{_AGREE}, c AS (SELECT y, label, count(*) n FROM t WHERE label >= 0 GROUP BY 1, 2) SELECT label, arg_max(y, n*1000 - y) AS y, max(n) AS n, round(max(n)/sum(n), 6) AS share FROM c GROUP BY label")
+def majority_labels(spark, sf_dir):
+    return metrics.majority(_agreement(spark, sf_dir)).select("label", "y", "n", F.round("share", 6).alias("share"))
+
+
+_TILE = (0.0, 440.0, 0.0, 110.0)
+
+
+@query(f"{HEX}, px AS (SELECT rr AS row, cc AS col, (cc+0.5)*{_TILE[1] / GRID} x, (rr+0.5)*{_TILE[3] / GRID} y FROM range(0,{GRID}) a(rr), range(0,{GRID}) b(cc)), near AS (SELECT px.row, px.col, px.x, px.y, cell_id FROM px JOIN cells ON abs(cx-px.x) <= r AND abs(cy-px.y) <= r), hit AS (SELECT n.row, n.col, n.cell_id FROM near n JOIN v USING (cell_id) GROUP BY 1, 2, 3 HAVING min((v.x2-v.x)*(n.y-v.y)-(v.y2-v.y)*(n.x-v.x)) >= -1e-12) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, count(*) AS n FROM hit GROUP BY 1, 2")
+def coverage_raster(spark, sf_dir):
+    return raster.coverage_raster(_cells(spark, sf_dir), _TILE, GRID)
+
+
+@query(f"WITH rs AS ({ORACLE_SQL['coverage_raster']}) SELECT max(n) AS most, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS std, count(*) AS covered, round(count(*)/{GRID * GRID}.0, 6) AS share FROM rs")
+def coverage_stats(spark, sf_dir):
+    s = raster.coverage_stats(raster.coverage_raster(_cells(spark, sf_dir), _TILE, GRID), GRID)
+    return s.select("most", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "covered", F.round("share", 6).alias("share"))
+
+
+@query("WITH g AS (SELECT event_type, user_id, value FROM events WHERE event_type IS NOT NULL), s AS (SELECT avg(value) m, stddev_pop(value) d FROM g) SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS grp, count(*) AS n, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.95), 5) AS p95, round(avg((value - m)/d), 5) AS z FROM g, s GROUP BY event_type")
+def group_quantiles(spark, sf_dir):
+    """Groups encoded in sorted order, exact quantiles and standardised means."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
+    s = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d")).first()
+    from pyspark.sql import Window
+
+    rows = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 5).alias("median"), F.round(F.percentile("value", 0.95), 5).alias("p95"), F.round(F.avg((F.col("value") - s["m"]) / s["d"]), 5).alias("z"))
+    return rows.select((F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long").alias("grp"), "n", "median", "p95", "z")
