@@ -19,6 +19,15 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _at(c: str):
+    return lambda p: p[c]
+
+
 def following(poly: Column) -> Column:
     """The ring turned by one: the successor of each vertex."""
     return F.when(F.size(poly) > 0, F.concat(F.slice(poly, F.lit(2), F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))).otherwise(poly)
@@ -33,7 +42,7 @@ def _cross(a: Column, b: Column) -> Column:
 
 
 def signed_area(poly: Column) -> Column:
-    return _sum(F.zip_with(poly, following(poly), _cross)) / 2
+    return let(poly, lambda v: _sum(F.zip_with(v, following(v), _cross)) / 2)
 
 
 def area(poly: Column) -> Column:
@@ -42,7 +51,8 @@ def area(poly: Column) -> Column:
 
 
 def perimeter(poly: Column) -> Column:
-    return _sum(F.zip_with(poly, following(poly), lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))))
+    step = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+    return let(poly, lambda v: _sum(F.zip_with(v, following(v), step)))
 
 
 def hull_features(poly: Column) -> Column:
@@ -61,7 +71,7 @@ def centroid(poly: Column) -> Column:
 
 
 def vertex_mean(poly: Column) -> Column:
-    return point(*(_sum(F.transform(poly, lambda p, c=c: p[c])) / F.nullif(F.size(poly), F.lit(0)) for c in "xy"))
+    return point(*(_sum(F.transform(poly, _at(c))) / F.nullif(F.size(poly), F.lit(0)) for c in "xy"))
 
 
 def equivalent_diameter(poly: Column) -> Column:
@@ -107,10 +117,9 @@ def _half_plane(poly: Column, side) -> Column:
 def clipped_to_box(poly: Column, bounds: tuple[float, float, float, float]) -> Column:
     """Intersection with (x0, x1, y0, y1); null if fewer than three vertices remain."""
     x0, x1, y0, y1 = bounds
-    out = poly
-    for side in (lambda p: p["x"] - x0, lambda p: x1 - p["x"], lambda p: p["y"] - y0, lambda p: y1 - p["y"]):
-        out = _half_plane(out, side)
-    return F.when(F.size(out) >= 3, out)
+    sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((1.0, 0.0, -x0), (-1.0, 0.0, x1), (0.0, 1.0, -y0), (0.0, -1.0, y1))))
+    out = F.aggregate(sides, poly, lambda acc, s: _half_plane(acc, lambda p: s["a"] * p["x"] + s["b"] * p["y"] + s["c"]))
+    return let(out, lambda v: F.when(F.size(v) >= 3, v))
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -123,14 +132,16 @@ def intersection(a: Column, b: Column) -> Column:
 def with_corner(poly: Column, x: Column, y: Column, bounds: tuple[float, float, float, float], tolerance: float = 0.01) -> Column:
     """A ring that touches two adjacent sides of the box gets their corner; vertices are sorted by angle about (x, y)."""
     x0, x1, y0, y1 = bounds
-    touch = lambda c, v: F.exists(poly, lambda p: F.abs(p[c] - v) < tolerance)
-    out = poly
+    near = lambda c, v: lambda p: F.abs(p[c] - v) < tolerance
+    corners = []
     for cx in (x0, x1):
         for cy in (y0, y1):
-            corner = point(F.lit(cx), F.lit(cy))
-            out = F.when(touch("x", cx) & touch("y", cy) & ~F.exists(poly, lambda p, cx=cx, cy=cy: (F.abs(p["x"] - cx) < tolerance) & (F.abs(p["y"] - cy) < tolerance)), F.concat(out, F.array(corner))).otherwise(out)
-    turned = F.array_sort(F.transform(out, lambda p: F.struct(F.atan2(p["y"] - y, p["x"] - x).alias("angle"), p.alias("p"))))
-    return F.when(F.size(out) > F.size(poly), F.transform(turned, lambda s: s["p"])).otherwise(poly)
+            a, b = near("x", cx), near("y", cy)
+            missing = F.exists(poly, a) & F.exists(poly, b) & ~F.exists(poly, (lambda a, b: lambda p: a(p) & b(p))(a, b))
+            corners.append(F.when(missing, point(F.lit(cx), F.lit(cy))))
+    new = F.array_compact(F.array(*corners))
+    turned = lambda v: F.transform(F.array_sort(F.transform(v, lambda p: F.struct(F.atan2(p["y"] - y, p["x"] - x).alias("angle"), p.alias("p")))), lambda s: s["p"])
+    return let(new, lambda n: F.when(F.size(n) > 0, turned(F.concat(poly, n))).otherwise(poly))
 
 
 def dilated(poly: Column, fraction: float, segments: int = 16) -> Column:
