@@ -20,7 +20,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
 
 #: Bytes of text handled at once by one task (a longer text is handled alone).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32

@@ -4,8 +4,9 @@ A document's set is its distinct 5-word shingles.  All sets share one order of
 shingles, rare ones first, and a document is indexed under its l-prefix: the
 first n - ceil(t n) + l shingles.  Two sets of similarity t share at least
 min(l_x, l_y) shingles of their prefixes, so l may differ by document: where
-the estimated number of candidates is high, a longer prefix is indexed and as
-many more shared shingles are asked for before a pair is verified.
+the estimated number of candidates is high, a longer prefix is kept and as
+many more shared shingles are asked for before a pair is verified.  A pair is
+first met at a shingle after which both sets still have enough left.
 
 Copies of one set are one class.  Classes are first linked through the leading
 members of each posting list, which joins large groups of near copies in
@@ -152,8 +153,10 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
 
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     members = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    nodes = sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", "n", "need", "prefix")
-    postings = nodes.select(F.explode("prefix").alias("h"), F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), "need").alias("x"))
+    nodes = written(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), "need", "prefix").dropDuplicates(["doc_id"]), "nodes")
+    least = F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int")
+    postings = nodes.select("doc_id", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - least + 1)).alias("at", "h"))
+    postings = postings.select("h", F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("d"), "n", "at").alias("x"))
     listed = Window.partitionBy("h").orderBy("x")
     postings = (
         postings.withColumn("r", F.row_number().over(listed)).withColumn("follows", F.lead("x.d").over(listed)).where("r > 1 or follows is not null")
@@ -163,10 +166,24 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
     )
     # From row leaders + 2 on the frame has moved past the leaders; they come by a join on the few lists that are so long.
     postings = written(postings, "postings")
-    near = lambda a, b: (F.lit(100) * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.lit(threshold) * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & (F.col(f"{a}.d") != F.col(f"{b}.d"))
-    enough = lambda rows: (
-        rows.groupBy(F.col("y.d").alias("a"), F.col("x.d").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("x.need", "y.need")).alias("need")).where("k >= need").select("a", "b")
-    )
+
+    def near(a: str, b: str) -> F.Column:
+        """Could this be the first shared shingle of two similar sets? Enough must be left after it in both."""
+        shared = F.ceil(F.lit(threshold) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + threshold))
+        return (F.col(f"{a}.n") - F.col(f"{a}.at") >= shared) & (F.col(f"{b}.n") - F.col(f"{b}.at") >= shared) & (F.col(f"{a}.d") != F.col(f"{b}.d"))
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """Pairs that share as many prefix shingles as both prefixes ask for.
+
+        Shared shingles outside of both prefixes are at most the larger rest, so
+        the others must be found inside.
+        """
+        pairs = rows.select(F.col("y.d").alias("a"), F.col("x.d").alias("b")).distinct()
+        side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"need_{c}"), F.col("prefix").alias(f"p_{c}"))
+        rest = lambda c: F.ceil(F.col(f"n_{c}") * F.lit(threshold) / 100) - F.col(f"need_{c}")
+        asked = F.greatest(F.least("need_a", "need_b"), F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold)) - F.greatest(rest("a"), rest("b")))
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(F.size(F.array_intersect("p_a", "p_b")) >= asked).select("a", "b")
+
     short = postings.where(F.col("leads").isNotNull()).select("x", F.explode("leads").alias("y"))
     heads = postings.where(F.col("r") == leaders + 1).select("h", F.col("leads").alias("all"))
     long = postings.where(F.col("r") > leaders + 1).select("h", "x").join(heads, "h").select("x", F.explode("all").alias("y"))

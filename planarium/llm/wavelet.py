@@ -252,9 +252,9 @@ class WordEncoder:
             if len(self.keys) + len(new) > REMEMBERED and len(self.keys):
                 self.reset()
                 return self.encode(column)
-            keys, rows = np.concatenate([self.keys, u[new]]), np.concatenate([self.rows, np.arange(len(new)) + len(self.keys)])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.rows = keys[order], rows[order]
+            where = np.searchsorted(self.keys, u[new])
+            self.rows = np.insert(self.rows, where, np.arange(len(new)) + len(self.rows))
+            self.keys = np.insert(self.keys, where, u[new])
             self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
             self.counts = np.concatenate([self.counts, counts])
             at = np.searchsorted(self.keys, u)
@@ -308,7 +308,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
         docs, lengths, held, total, seq = [], [], [], 0, seq + 1
         return row
 
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=2 << 20):
         ids, counts = encoder.encode(batch.column("text"))
         ids = np.insert(ids, np.cumsum(counts), end)
         lengths += (counts + 1).tolist()
