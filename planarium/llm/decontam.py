@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.llm._store import small_batches
 from planarium.llm._text import LOWER, U64, prefix_hash, slices, span_hash, utf8, window_hashes, words
 
 WINDOW = 6
@@ -154,6 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     left out; rows that repeat an id are matched one by one; an empty table on
     either side gives no rows.  Only doc_id, item_id and text are read.
     """
+    small_batches(docs)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, share double"

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._store import written
+from planarium.llm._store import small_batches, written
 from planarium.llm._text import slices, utf8
 
 #: Hashed trigrams.
@@ -141,6 +141,7 @@ def train_hierarchy(labelled: DataFrame, sample: int = SAMPLE, languages: int =
     Each machine sees about `sample` documents of each language, chosen by a
     hash of doc_id; languages beyond the `languages` most frequent aren't learned.
     """
+    small_batches(labelled)
     labelled = labelled.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if len(counts) < 2:
@@ -186,5 +187,6 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     one language learned, that one is given.  doc_id may be null or repeat; no
     rows give no rows.  Columns other than doc_id and text are not read.
     """
+    small_batches(docs)
     model_ = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _label(it, model_.value), "doc_id long, lang_pred string, score double")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._store import written
+from planarium.llm._store import small_batches, written
 from planarium.llm._text import U64, mix, slices, word_hashes
 
 #: Tokens of a block (about; a longer document is a block by itself).
@@ -218,6 +218,7 @@ def score_texts(docs: DataFrame, held_out, least_count: int = 5, block_tokens: i
     rows give no rows.  Columns other than doc_id and text are read only by
     `held_out`.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     nothing = -(1 << 63)

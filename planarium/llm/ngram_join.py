@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planarium.llm._store import components, written
+from planarium.llm._store import components, small_batches, written
 from planarium.llm._text import U64, mix, shingle_sets, slices
 
 #: Shingles that may be ranked as frequent; the ranking only orders prefixes, so any bound gives the same links.
@@ -143,6 +143,7 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
     doc_id comes back with a null component.  No rows give no rows.  Columns
     other than doc_id and text are not read.
     """
+    small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = texts.mapInArrow(lambda it: _common(it, 3), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
     top = common.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.llm._store import small_batches
+
 #: Documents of a shard (about).
 SHARD_DOCS = 20_000
 
@@ -96,6 +98,7 @@ def best_fit(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_d
     rows give no rows.  Other columns are not read.  Bin numbers count from 0
     in each shard.
     """
+    small_batches(docs)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("\x00")).alias("source"), F.xxhash64("text").alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n"),

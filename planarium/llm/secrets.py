@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.llm._store import small_batches
 from planarium.llm._text import slices
 
 KINDS = ("assign", "access", "hex", "flow")
@@ -129,6 +130,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     no spans; doc_id may be null or repeat; a text of any length is read whole;
     no rows give no rows.  Columns other than doc_id and text are not read.
     """
+    small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(_scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -145,6 +147,7 @@ def masked(text: str, mask: str = "[secret]") -> str:
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with secrets masked in text and n_chars counted anew where it changed; other columns are kept as they are."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.llm._store import small_batches
 from planarium.llm._text import U64, shingle_sets, slices
 
 K = 128
@@ -82,6 +83,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     one shingle; equal texts have equal fingerprints; doc_id may be null or
     repeat; no rows give no rows.  Columns other than these two are not read.
     """
+    small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _fingerprints(it, k), "doc_id long, fingerprint string")
 
 
@@ -124,6 +126,7 @@ def compared(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame
     Ids are cut into ranges; a copy of the first row of each range goes to the
     range before it, so no row needs another task's rows.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))

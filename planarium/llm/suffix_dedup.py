@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._store import written
+from planarium.llm._store import small_batches, written
 from planarium.llm._text import U64, prefix_hash, slices, span_hash, utf8
 
 GRAM = 32
@@ -281,6 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, collection: int = COLLECT
     `length` lose nothing; no rows give no rows.  Columns other than doc_id and
     text are not read.
     """
+    small_batches(docs)
     nothing = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nothing)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planarium.llm._store import new_path, written
+from planarium.llm._store import new_path, small_batches, written
 from planarium.llm._text import prefix_hash, slices, span_hash, utf8
 
 MAGIC = b"PWM1"
@@ -330,6 +330,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end: int =
     repeat a doc_id are ordered by text; no rows give no files and an empty
     manifest.  Columns other than doc_id and text are not read.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
