@@ -40,8 +40,6 @@ COLLECTION = 20_000
 _NONE = np.iinfo(np.uint32).max
 #: A byte that UTF-8 never holds.
 PAD = b"\xff"
-#: Repeated anchors of one document.
-FOUND = np.dtype([("pos", "<i8"), ("h", "<i8")])
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -104,14 +102,9 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     same[1:-1] = h[1:] == h[:-1]
     keep = same[1:] | same[:-1]
     order, h = order[keep], h[keep]
-    turn = np.lexsort((th[order], doc[order]))
-    order, h = order[turn], h[turn]
-    doc, th = doc[order], th[order]
-    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])) if len(order) else np.zeros(0, np.int64)
-    found = np.zeros(len(order), dtype=FOUND)
-    found["pos"], found["h"] = pos[order], h
+    out = pd.DataFrame({"doc_id": doc[order], "th": th[order], "pos": pos[order].astype(np.int64), "h": h})
     release()
-    return pd.DataFrame({"doc_id": doc[edges], "th": th[edges], "found": [x.tobytes() for x in np.split(found, edges[1:])] if len(edges) else []})
+    return out
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +132,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             last = (doc, th)
             raw = text.encode()
             padded = PAD * left + raw + PAD * length
-            for a, h in dict.fromkeys(y for x in found for y in np.frombuffer(x, FOUND).tolist()):
+            for a, h in dict.fromkeys((x["pos"], x["h"]) for x in found):
                 s = h.to_bytes(8, "little", signed=True) + padded[a : a + left + length]
                 lo, hi = max(0, a - left), min(len(raw), a + length)
                 now = (doc, th, a, h, lo, hi)
@@ -295,8 +288,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, collection: int = COLLECT
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-int(total) // RANGE_BYTES))
     parts = rows.mapInArrow(lambda it: _anchor_parts(it, length, ranges), "range int, h binary, doc_id binary, th binary, pos binary")
-    again = parts.groupBy("range").applyInPandas(_repeated, "doc_id long, th long, found binary")
-    places = again.groupBy("doc_id", "th").agg(F.collect_list("found").alias("found"))
+    again = parts.groupBy("range").applyInPandas(_repeated, "doc_id long, th long, pos long, h long")
+    places = again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h")).alias("found"))
     cut = rows.join(places, ["doc_id", "th"]).mapInArrow(lambda it: _segments(it, length), "doc_id long, th long, lo long, hi long, h long, seg binary")
     cut = written(cut, "segments")
     together = cut.where("seg is not null").select("h", "doc_id", "th", "lo", "seg").repartition(F.col("h")).sortWithinPartitions("h")
