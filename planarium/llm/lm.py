@@ -22,21 +22,39 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planarium.llm._store import small_batches, written
-from planarium.llm._text import U64, mix, slices, word_hashes
+from planarium.llm._text import U64, mix, release, slices, word_hashes
 
 #: Tokens of a block (about; a longer document is a block by itself).
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 2_500_000
 END = U64(0xE4D0E4D0E4D0E4D0)
 START = U64(0x57A257A257A257A2)
 
 
-def _bytes(x: np.ndarray, kind) -> bytes:
-    return np.ascontiguousarray(x, dtype=kind).tobytes()
+def _bytes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as byte planes, compressed: most have few significant bytes."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _load(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
+
+
+def _ascending(x: np.ndarray) -> bytes:
+    """Sorted hashes by their differences."""
+    return _bytes(np.diff(x, prepend=U64(0)), "<u8")
+
+
+def _load_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_load(data, "<u8"), dtype=U64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -50,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         vocabulary, inverse = np.unique(tokens, return_inverse=True)
         training = np.repeat(~out, lengths)
         n = np.bincount(inverse[training], minlength=len(vocabulary))
-        row = {"block": [part << 32 | seq], "words": [_bytes(vocabulary, "<u8")], "n": [_bytes(n, "<u4")], "tokens": [_bytes(inverse, "<u4")], "docs": [_bytes(docs, "<i8")], "lengths": [_bytes(lengths, "<u4")], "held": [_bytes(out, "u1")]}
+        row = {"block": [part << 32 | seq], "words": [_ascending(vocabulary)], "n": [_bytes(n, "<u4")], "tokens": [_bytes(inverse, "<u4")], "docs": [_bytes(docs, "<i8")], "lengths": [_bytes(lengths, "<u4")], "held": [_bytes(out, "u1")]}
         held, size, seq = [], 0, seq + 1
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in list(row)[1:])]))
 
@@ -75,18 +93,19 @@ def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
 def _word_parts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "n"))):
-            words, n = np.frombuffer(words, "<u8"), np.frombuffer(n, "<u4")
+            words, n = _load_ascending(words), _load(n, "<u4")
             at = _cut(words, ranges)
-            rows = [(r, b, words[at[r] : at[r + 1]].tobytes(), n[at[r] : at[r + 1]].tobytes()) for r in range(ranges) if at[r + 1] > at[r]]
+            rows = [(r, b, _ascending(words[at[r] : at[r + 1]]), _bytes(n[at[r] : at[r + 1]], "<u4")) for r in range(ranges) if at[r + 1] > at[r]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
 
 
 def _sum_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Each block's words of a range with their counts over all blocks; the range's own sums beside them."""
-    words = [np.frombuffer(x, "<u8") for x in rows["words"]]
+    words = [_load_ascending(x) for x in rows["words"]]
     u, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
+    n = np.bincount(inverse, weights=np.concatenate([_load(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
     own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
+    release()
     return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<i8") for x in own], "sum_n": int(n.sum()), "sum_v": int((n > 0).sum())})
 
 
@@ -105,13 +124,13 @@ class Block:
     """A block's tokens with the global counts of its words, and its bigrams by context."""
 
     def __init__(self, row: dict, answers: pd.DataFrame):
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.docs = np.frombuffer(row["docs"], "<i8")
-        self.held = np.frombuffer(row["held"], "u1").astype(bool)
+        self.words = _load_ascending(row["words"])
+        self.tokens = _load(row["tokens"], "<u4").astype(np.int64)
+        self.lengths = _load(row["lengths"], "<u4").astype(np.int64)
+        self.docs = _load(row["docs"], "<i8")
+        self.held = _load(row["held"], "u1").astype(bool)
         answers = answers.sort_values("range")
-        self.count = np.concatenate([np.frombuffer(x, "<i8") for x in answers["n"]])
+        self.count = np.concatenate([_load(x, "<i8") for x in answers["n"]])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def bigrams(self, least_count: int) -> Bigrams:
@@ -141,18 +160,19 @@ class Block:
 def _bigram_parts(key: tuple, block: pd.DataFrame, answers: pd.DataFrame, ranges: int, least_count: int) -> pd.DataFrame:
     b = Block(block.iloc[0].to_dict(), answers).bigrams(least_count)
     at, ends = _cut(b.contexts, ranges), np.concatenate([[0], np.cumsum(b.sizes)])
+    release()
     rows = []
     for r in np.flatnonzero(np.diff(at)).tolist():
         own, pairs = slice(at[r], at[r + 1]), slice(ends[at[r]], ends[at[r + 1]])
         # Within a context, 40 bits of a word's hash tell words apart.
-        rows.append((r, key[0], b.contexts[own].tobytes(), _bytes(b.sizes[own], "<u4"), np.ascontiguousarray(b.words[pairs]).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), _bytes(b.n[pairs], "<u4")))
+        rows.append((r, key[0], _ascending(b.contexts[own]), _bytes(b.sizes[own], "<u4"), np.ascontiguousarray(b.words[pairs]).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), _bytes(b.n[pairs], "<u4")))
     return pd.DataFrame(rows, columns=["range", "block", "contexts", "sizes", "words", "n"])
 
 
 def _sum_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each block: counts of its bigrams over all blocks, and of its contexts (tokens, distinct words)."""
-    sizes = [np.frombuffer(x, "<u4") for x in rows["sizes"]]
-    contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
+    sizes = [_load(x, "<u4") for x in rows["sizes"]]
+    contexts = [_load_ascending(x) for x in rows["contexts"]]
     c = np.unique(np.concatenate(contexts))
     places = [np.searchsorted(c, x) for x in contexts]
     context = np.concatenate([np.repeat(x, s) for x, s in zip(places, sizes)])
@@ -160,7 +180,7 @@ def _sum_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     low[:, 3:] = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows["words"]])
     h = mix(c[context]) ^ mix(low.reshape(-1).view("<u8"))
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]), minlength=len(first))
+    n = np.bincount(inverse, weights=np.concatenate([_load(x, "<u4") for x in rows["n"]]), minlength=len(first))
     total, kinds = np.bincount(context[first], weights=n, minlength=len(c)), np.bincount(context[first], weights=n > 0, minlength=len(c))
     split = np.split(n[inverse], np.cumsum([s.sum() for s in sizes])[:-1])
     return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<u4") for x in split], "total": [_bytes(total[x], "<i8") for x in places], "kinds": [_bytes(kinds[x], "<i8") for x in places]})
@@ -195,7 +215,7 @@ def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, l
     b = Block(block.iloc[0].to_dict(), answers[answers["kind"] == 1])
     two = b.bigrams(least_count)
     got = answers[answers["kind"] == 2].sort_values("range")
-    n, total, kinds = (np.concatenate([np.frombuffer(x, kind) for x in got[c]] or [np.zeros(0, kind)]).astype(float) for c, kind in (("n", "<u4"), ("total", "<i8"), ("kinds", "<i8")))
+    n, total, kinds = (np.concatenate([_load(x, kind) for x in got[c]] or [np.zeros(0, kind)]).astype(float) for c, kind in (("n", "<u4"), ("total", "<i8"), ("kinds", "<i8")))
     base = np.log10((b.count + 0.5) / (n_all + 0.5 * (v_all + 1)))
     word = np.zeros(len(n))
     kept = two.bigram >= 0
@@ -206,10 +226,11 @@ def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, l
         arcs = np.where(n > 0, np.log10((n + k * word) / (t + k)), np.nan)
     weight = Automaton(base, arcs, fail).weights(b.tokens, two.bigram, two.leaves)
     add = lambda x: np.add.reduceat(x, b.starts)
+    release()
     return pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((b.count[b.tokens] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base[b.tokens]), "score": add(weight)})
 
 
-def score_texts(docs: DataFrame, held_out, least_count: int = 5, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, least_count: int = 10, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs(doc_id, text).
 
     Rows for which the Column `held_out` is true are scored but not learned
