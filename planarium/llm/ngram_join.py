@@ -8,9 +8,10 @@ the estimated number of candidates is high, a longer prefix is kept and as
 many more shared shingles are asked for before a pair is verified.  A pair is
 first met at a shingle after which both sets still have enough left.
 
-Copies of one set are one class.  Classes are first linked through the leading
-members of each posting list, which joins large groups of near copies in
-linear time; afterwards every candidate pair that still lies in two components
+Copies of one set are one class.  Classes are first linked through the first
+member of each posting list, then, in lists that still hold more than one
+component, through the leading ones; this joins large groups of near copies in
+linear time.  Afterwards every candidate pair that still lies in two components
 is verified, so that no link between components is lost.
 """
 
@@ -156,17 +157,13 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
     members = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     nodes = written(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), "need", "prefix").dropDuplicates(["doc_id"]), "nodes")
     least = F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int")
-    postings = nodes.select("doc_id", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - least + 1)).alias("at", "h"))
-    postings = postings.select("h", F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("d"), "n", "at").alias("x"))
+    postings = nodes.select("doc_id", "n", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - least + 1)).alias("at", "h"))
+    before = F.when(F.col("at") > 0, F.element_at("prefix", F.col("at")))
+    postings = postings.select("h", F.struct(F.hash("doc_id").alias("p"), F.col("doc_id").alias("d"), "n", "at", before.alias("before")).alias("x"))
     listed = Window.partitionBy("h").orderBy("x")
-    postings = (
-        postings.withColumn("r", F.row_number().over(listed)).withColumn("follows", F.lead("x.d").over(listed)).where("r > 1 or follows is not null")
-        .withColumn("lead", F.when(F.col("r") <= leaders, F.col("x")))
-        .withColumn("leads", F.collect_list("lead").over(listed.rowsBetween(-leaders, -1)))
-        .select("h", "r", "x", F.when(F.col("r") <= leaders + 1, F.col("leads")).alias("leads"))
-    )
-    # From row leaders + 2 on the frame has moved past the leaders; they come by a join on the few lists that are so long.
-    postings = written(postings, "postings")
+    # Lists of two or more members, each member but the first with the first one.
+    postings = postings.withColumn("y", F.lag("x").over(listed)).withColumn("follows", F.lead("x.d").over(listed)).where("y is not null or follows is not null")
+    postings = written(postings.withColumn("y", F.when(F.col("y").isNotNull(), F.first("x").over(listed))).select("h", "x", "y"), "postings")
 
     def near(a: str, b: str) -> F.Column:
         """Could this be the first shared shingle of two similar sets? Enough must be left after it in both."""
@@ -185,23 +182,42 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
         asked = F.greatest(F.least("need_a", "need_b"), F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold)) - F.greatest(rest("a"), rest("b")))
         return pairs.join(side("b"), "b").join(side("a"), "a").where(F.size(F.array_intersect("p_a", "p_b")) >= asked).select("a", "b")
 
-    short = postings.where(F.col("leads").isNotNull()).select("x", F.explode("leads").alias("y"))
-    heads = postings.where(F.col("r") == leaders + 1).select("h", F.col("leads").alias("all"))
-    long = postings.where(F.col("r") > leaders + 1).select("h", "x").join(heads, "h").select("x", F.explode("all").alias("y"))
-    first = written(enough(short.unionByName(long).where(near("x", "y"))), "pairs")
-    links = written(verified(first, texts, threshold, width), "links")
-
-    found = written(components(links), "roots")
-    placed = written(postings.select("h", "x").join(found.select(F.col("node").alias("d"), "root"), F.col("x.d") == F.col("d"), "left").select("h", "x", F.coalesce("root", "x.d").alias("c")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    open_ = placed.join(mixed, "h", "left_semi")
+    def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Members (h, x, c) of the lists that hold more than one component c."""
+        placed = written(rows.select("h", "x").join(found.select(F.col("node").alias("d"), "root"), F.col("x.d") == F.col("d"), "left").select("h", "x", F.coalesce("root", "x.d").alias("c")), "placed")
+        mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+        return placed.join(mixed, "h", "left_semi")
+
+    def untried(pairs: DataFrame, *done: DataFrame) -> DataFrame:
+        for d in done:
+            pairs = pairs.join(d.unionByName(d.select(F.col("a").alias("b"), F.col("b").alias("a"))), ["a", "b"], "left_anti")
+        return pairs
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        return written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+
+    # Each member with the first of its list: a group of near copies becomes one component by about a pair a member.
+    first = written(enough(postings.where(F.col("y").isNotNull() & near("x", "y")).select("x", "y")), "pairs")
+    found = written(components(written(verified(first, texts, threshold, width), "links")), "roots")
+
+    # In lists that are still mixed, each member with the leading ones of other components.
+    open_ = written(still_open(postings, found), "open").withColumn("r", F.row_number().over(listed))
+    member = F.struct("x", "c")
+    rows = open_.withColumn("leads", F.collect_list(F.when(F.col("r") <= leaders, member)).over(listed.rowsBetween(-leaders, -1)))
+    short = rows.where(F.col("r") <= leaders + 1).select("x", "c", F.explode("leads").alias("lead"))
+    heads = open_.where(F.col("r") <= leaders).groupBy("h").agg(F.collect_list(member).alias("leads"))
+    long = open_.where(F.col("r") > leaders + 1).select("h", "x", "c").join(heads, "h").select("x", "c", F.explode("leads").alias("lead"))
+    led = short.unionByName(long).where("c <> lead.c").select("x", F.col("lead.x").alias("y")).where(near("x", "y"))
+    second = written(untried(enough(led), first), "pairs")
+    found = joined(found, written(verified(second, texts, threshold, width), "links"))
+
+    # Then all that is left between two components.  Where two members have the same shingle before this one, they meet there already.
+    open_ = written(still_open(open_, found), "open")
     other = open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
-    rest = open_.join(other, "h").where((F.col("c") > F.col("cy")) & near("x", "y")).select("x", "y")
-    tried = first.select(F.col("a").alias("b"), F.col("b").alias("a")).unionByName(first.select("b", "a"))
-    second = written(enough(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, texts, threshold, width)
-
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    met = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    rest = open_.join(other, "h").where((F.col("c") > F.col("cy")) & ~met & near("x", "y")).select("x", "y")
+    third = written(untried(enough(rest), first, second), "pairs")
+    roots = joined(found, verified(third, texts, threshold, width))
     return (
         members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
