@@ -10,8 +10,9 @@ first met at a shingle after which both sets still have enough left.
 
 Copies of one set are one class.  Classes are first linked through the first
 member of each posting list, then, in lists that still hold more than one
-component, through the leading ones; this joins large groups of near copies in
-linear time.  Afterwards every candidate pair that still lies in two components
+component, through the leading ones, eight times as many in each round; this
+joins large groups of near copies with a few pairs a member.  The last round
+takes in whole lists: every candidate pair that still lies in two components
 is verified, so that no link between components is lost.
 """
 
@@ -170,55 +171,45 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
         shared = F.ceil(F.lit(threshold) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + threshold))
         return (F.col(f"{a}.n") - F.col(f"{a}.at") >= shared) & (F.col(f"{b}.n") - F.col(f"{b}.at") >= shared) & (F.col(f"{a}.d") != F.col(f"{b}.d"))
 
-    def enough(rows: DataFrame) -> DataFrame:
-        """Pairs that share as many prefix shingles as both prefixes ask for.
+    tried: list[DataFrame] = []
 
-        Shared shingles outside of both prefixes are at most the larger rest, so
+    def links(rows: DataFrame) -> DataFrame:
+        """Verified pairs among rows (x, y), each pair looked at once in all rounds.
+
+        A pair must share as many prefix shingles as both prefixes ask for:
+        shared shingles outside of both prefixes are at most the larger rest, so
         the others must be found inside.
         """
-        pairs = rows.select(F.col("y.d").alias("a"), F.col("x.d").alias("b")).distinct()
+        pairs = rows.select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
+        for done in tried:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        tried.append(pairs)
         side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"need_{c}"), F.col("prefix").alias(f"p_{c}"))
         rest = lambda c: F.ceil(F.col(f"n_{c}") * F.lit(threshold) / 100) - F.col(f"need_{c}")
         asked = F.greatest(F.least("need_a", "need_b"), F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold)) - F.greatest(rest("a"), rest("b")))
-        return pairs.join(side("b"), "b").join(side("a"), "a").where(F.size(F.array_intersect("p_a", "p_b")) >= asked).select("a", "b")
-
-    def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Members (h, x, c) of the lists that hold more than one component c."""
-        placed = written(rows.select("h", "x").join(found.select(F.col("node").alias("d"), "root"), F.col("x.d") == F.col("d"), "left").select("h", "x", F.coalesce("root", "x.d").alias("c")), "placed")
-        mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-        return placed.join(mixed, "h", "left_semi")
-
-    def untried(pairs: DataFrame, *done: DataFrame) -> DataFrame:
-        for d in done:
-            pairs = pairs.join(d.unionByName(d.select(F.col("a").alias("b"), F.col("b").alias("a"))), ["a", "b"], "left_anti")
-        return pairs
-
-    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
-        return written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+        enough = pairs.join(side("b"), "b").join(side("a"), "a").where(F.size(F.array_intersect("p_a", "p_b")) >= asked).select("a", "b")
+        return written(verified(written(enough, "enough"), texts, threshold, width), "links")
 
     # Each member with the first of its list: a group of near copies becomes one component by about a pair a member.
-    first = written(enough(postings.where(F.col("y").isNotNull() & near("x", "y")).select("x", "y")), "pairs")
-    found = written(components(written(verified(first, texts, threshold, width), "links")), "roots")
-
-    # In lists that are still mixed, each member with the leading ones of other components.
-    open_ = written(still_open(postings, found), "open").withColumn("r", F.row_number().over(listed))
-    member = F.struct("x", "c")
-    rows = open_.withColumn("leads", F.collect_list(F.when(F.col("r") <= leaders, member)).over(listed.rowsBetween(-leaders, -1)))
-    short = rows.where(F.col("r") <= leaders + 1).select("x", "c", F.explode("leads").alias("lead"))
-    heads = open_.where(F.col("r") <= leaders).groupBy("h").agg(F.collect_list(member).alias("leads"))
-    long = open_.where(F.col("r") > leaders + 1).select("h", "x", "c").join(heads, "h").select("x", "c", F.explode("leads").alias("lead"))
-    led = short.unionByName(long).where("c <> lead.c").select("x", F.col("lead.x").alias("y")).where(near("x", "y"))
-    second = written(untried(enough(led), first), "pairs")
-    found = joined(found, written(verified(second, texts, threshold, width), "links"))
-
-    # Then all that is left between two components.  Where two members have the same shingle before this one, they meet there already.
-    open_ = written(still_open(open_, found), "open")
-    other = open_.select("h", F.col("x").alias("y"), F.col("c").alias("cy"))
+    found = written(components(links(postings.where(F.col("y").isNotNull() & near("x", "y")).select("x", "y"))), "roots")
+
+    # Then each member with the leading ones of other components, more of them in each round, until a round takes in
+    # whole lists.  Where two members have the same shingle before this one, they meet there already.
+    whole = listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-    rest = open_.join(other, "h").where((F.col("c") > F.col("cy")) & ~met & near("x", "y")).select("x", "y")
-    third = written(untried(enough(rest), first, second), "pairs")
-    roots = joined(found, verified(third, texts, threshold, width))
+    listings, last = postings.select("h", "x"), False
+    while not last:
+        placed = listings.join(found.select(F.col("node").alias("d"), "root"), F.col("x.d") == F.col("d"), "left").select("h", "x", F.coalesce("root", "x.d").alias("c"))
+        placed = placed.withColumn("r", F.row_number().over(listed)).withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole))
+        open_ = written(placed.where("lo <> hi").select("h", "x", "c", "r"), "open")
+        last = (open_.agg(F.max("r")).first()[0] or 0) <= leaders
+        heads = open_.where(F.col("r") <= leaders).select("h", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("r").alias("r_y"))
+        other = open_.join(heads, "h").where((F.col("r") > F.col("r_y")) & (F.col("c") != F.col("c_y")) & ~met & near("x", "y"))
+        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links(other.select("x", "y")))
+        found = written(components(edges), "roots")
+        listings, leaders = open_.select("h", "x"), leaders * 8
     return (
-        members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
     )
