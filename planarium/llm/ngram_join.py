@@ -19,6 +19,7 @@ is verified, so that no link between components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +182,8 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
         the others must be found inside.
         """
         pairs = rows.select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
-        for done in tried:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried.append(pairs)
         side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"need_{c}"), F.col("prefix").alias(f"p_{c}"))
