@@ -10,8 +10,8 @@ Counting and scoring are spread over blocks of documents.  A block sends the
 words and bigrams it holds, with its training counts, to ranges of the hash
 space; a range sums what all blocks counted and answers each block for its own
 n-grams.  So a task holds the n-grams of one block or one range, never the
-model.  Words rarer than `least_count` in training have no bigrams: in the
-automaton they lead back to the root.
+model.  All bigrams seen in training count.  A caller may ask for a cutoff: words
+rarer than `least_count` in training then have no bigrams and lead back to the root.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ class Block:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def bigrams(self, least_count: int) -> Bigrams:
-        """The bigrams of words that are not rare, and the contexts that may be states."""
+        """The bigrams of words seen at least `least_count` times, and the contexts that may be states."""
         v = len(self.words)
         before = np.empty(len(self.tokens), dtype=np.int64)
         before[1:] = self.tokens[:-1]
@@ -230,7 +230,7 @@ def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, l
     return pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((b.count[b.tokens] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base[b.tokens]), "score": add(weight)})
 
 
-def score_texts(docs: DataFrame, held_out, least_count: int = 5, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, least_count: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs(doc_id, text).
 
     Rows for which the Column `held_out` is true are scored but not learned

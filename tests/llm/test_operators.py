@@ -245,6 +245,21 @@ def test_language_model(spark):
     assert lm.score_texts(table(spark, []), held).count() == 0
 
 
+def test_language_model_counts_rare_bigrams(spark):
+    texts = ["rare pair here", "common words and common words", "one more text", "rare pair again"]
+    train = [t.split() + [None] for t in texts[:3]]
+    c, two = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
+    n, v = sum(c.values()), len(c)
+    by = {r["doc_id"]: r["score"] for r in lm.score_texts(table(spark, list(enumerate(texts))), F.col("doc_id") == 3).collect()}
+    for d, t in enumerate(texts):
+        score = 0.0
+        for a, b in zip(["<s>", *t.split()], [*t.split(), None]):
+            p = (c[b] + 0.5) / (n + 0.5 * (v + 1))
+            follows = [k for (x, _), k in two.items() if x == a]
+            score += math.log10((two[a, b] + len(follows) * p) / (sum(follows) + len(follows)) if follows else p)
+        assert by[d] == pytest.approx(score, abs=1e-6)
+
+
 def test_fingerprints(spark):
     rows = corpus(8)
     got = {r["doc_id"]: r for r in sketch.compared(table(spark, rows), parts=5).collect()}
