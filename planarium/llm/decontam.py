@@ -81,50 +81,113 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, plain, first
 
 
+SEEN = 1 << 20
+
+
+class Table:
+    """Hashes of item windows of one width, sorted, with the item word that each starts at."""
+
+    def __init__(self, values: np.ndarray, width: int, starts: np.ndarray):
+        h = window_hashes(values, width)[starts]
+        order = np.argsort(h, kind="stable")
+        self.width, self.h, self.at = width, h[order], starts[order]
+        self.seen = np.zeros(SEEN, dtype=bool)
+        self.seen[(self.h & U64(SEEN - 1)).astype(np.int64)] = True
+
+    def maybe(self, values: np.ndarray) -> np.ndarray:
+        """Could the window at each place be one of the items'? (The last ones don't exist.)"""
+        return self.seen[(window_hashes(values, self.width) & U64(SEEN - 1)).astype(np.int64)]
+
+    def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of `values` and item words whose windows are equal."""
+        if len(values) < self.width:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe(values))
+        h = window_hashes(values, self.width)[at]
+        lo, n = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        n -= lo
+        return np.repeat(at, n), self.at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _runs(equal: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of at least `least` true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
+    keep = edge[1::2] - edge[::2] >= least
+    return edge[::2][keep], edge[1::2][keep]
+
+
 class Items:
-    """Template windows of a block of items, in order of their hashes."""
+    """Windows of a block of items.
+
+    A window is joined by its template, but one of a single kind of placeholder
+    is in any text and is joined by its plain words; so is an item of fewer than
+    six words (one window of its whole length) with fewer than three words that
+    are no placeholders.  Along a diagonal that was met once, all template words count.
+    """
 
     def __init__(self, ids: list[int], column: pa.Array):
         self.ids = ids
         self.template, self.plain, self.first = templates(column)
-        h = window_hashes(self.template, WINDOW)
-        keep = np.concatenate([np.arange(a, max(a, b - WINDOW + 1)) for a, b in zip(self.first[:-1], self.first[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
-        # A window of nothing but placeholders is in any text.
-        slots = np.convolve(self.template <= UNIT, np.ones(WINDOW, int), "valid") if len(self.template) >= WINDOW else np.zeros(0, int)
-        keep = keep[slots[keep] <= WINDOW // 2] if len(keep) else keep
-        h = h[keep] if len(keep) else np.zeros(0, U64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.at = h[order], keep[order]
-        self.item = np.searchsorted(self.first, self.at, side="right") - 1
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.h & U64((1 << 20) - 1)).astype(np.int64)] = True
+        sizes = np.diff(self.first)
+        slot = np.concatenate([[0], np.cumsum(self.template <= UNIT)])
+        change = np.concatenate([[0], np.cumsum(self.template[1:] != self.template[:-1])]) if len(self.template) else np.zeros(0, int)
+        self.tables: list[tuple[bool, Table]] = []
+        self.free = np.zeros(len(sizes), dtype=np.int64)
+        for w in range(1, WINDOW + 1):
+            own = np.flatnonzero(sizes >= w if w == WINDOW else sizes == w)
+            starts = np.concatenate([np.arange(self.first[k], self.first[k + 1] - w + 1) for k in own] or [np.zeros(0, np.int64)]).astype(np.int64)
+            slots = slot[starts + w] - slot[starts]
+            by_words = (slots == w) & (change[starts + w - 1] == change[starts]) if w == WINDOW else w - slots < WINDOW // 2
+            self.tables += [(plain, Table(self.plain if plain else self.template, w, starts[by_words == plain])) for plain in (False, True) if (by_words == plain).any()]
+            if w == WINDOW:  # Words of windows of one kind count wherever their diagonal is met.
+                any_of = np.unique((starts[by_words, None] + np.arange(w)).ravel())
+                self.free = np.bincount(np.searchsorted(self.first, any_of, side="right") - 1, minlength=len(sizes))
+
+    def maybe(self, template: np.ndarray, plain: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The texts with a window that may be an item's."""
+        found = np.zeros(len(first) - 1, dtype=bool)
+        for by_words, table in self.tables:
+            hit = table.maybe(plain if by_words else template)
+            hits = np.concatenate([[0], np.cumsum(hit)])
+            ends = np.minimum(np.maximum(first[1:] - table.width + 1, first[:-1]), len(hit))
+            found |= hits[ends] > hits[np.minimum(first[:-1], len(hit))]
+        return np.flatnonzero(found)
 
     def spans(self, template: np.ndarray, plain: np.ndarray, a: int, b: int, least: float) -> list[tuple[int, int, int, float]]:
         """Matches in one document's words a..b: (item, first word, words, share of the item)."""
-        if b - a < WINDOW:
-            return []
-        h = window_hashes(template[a:b], WINDOW)
-        at = np.flatnonzero(self.seen[(h & U64((1 << 20) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        n = hi - lo
-        if not n.sum():
+        template, plain = template[a:b], plain[a:b]
+        met = [(*table.hits(plain if by_words else template), table.width) for by_words, table in self.tables]
+        own, shift = np.concatenate([o for _, o, _ in met]), np.concatenate([d - o for d, o, _ in met])
+        if not len(own):
             return []
-        doc = np.repeat(at, n)
-        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, shift = self.item[row], doc - self.at[row]
-        order = np.lexsort((doc, shift, item))
-        item, shift, doc = item[order], shift[order], doc[order]
-        edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])]))
+        item = np.searchsorted(self.first, own, side="right") - 1
+        # Items that can't reach the share on all diagonals together go at once.
+        words = np.unique(np.concatenate([(np.unique(o)[:, None] + np.arange(w)).ravel() for _, o, w in met]))
+        most = np.bincount(np.searchsorted(self.first, words, side="right") - 1, minlength=len(self.free)) + self.free
+        near = (most >= least * np.diff(self.first))[item]
+        item, shift = item[near], shift[near]
+        order = np.lexsort((shift, item))
+        item, shift = item[order], shift[order]
+        new = np.ones(len(item), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
         out = []
-        for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(item)]):
-            k = int(item[s])
+        for k, s in zip(item[new].tolist(), shift[new].tolist()):
+            lo, hi = max(int(self.first[k]), -s), min(int(self.first[k + 1]), len(template) - s)
             size = int(self.first[k + 1] - self.first[k])
-            covered = np.unique((doc[s:e, None] + np.arange(WINDOW)).ravel())
+            starts, ends = _runs(self.template[lo:hi] == template[lo + s : hi + s], min(WINDOW, size))
+            covered = np.concatenate([np.arange(x, y) for x, y in zip(starts, ends)] or [np.zeros(0, np.int64)]) + lo
             share = len(covered) / size
-            if share >= least and self._consistent(template, plain, covered + a, covered - int(shift[s])):
-                out.append((k, int(covered[0]), int(covered[-1] - covered[0] + 1), share))
+            if len(covered) and share >= least and self._evident(plain, covered + s, covered, size) and self._consistent(template, plain, covered + s, covered):
+                out.append((k, int(covered[0]) + s, int(covered[-1] - covered[0] + 1), share))
         return out
 
+    def _evident(self, plain: np.ndarray, doc: np.ndarray, own: np.ndarray, size: int) -> bool:
+        """Do the covered words say more than their kinds? Placeholders alone count if the words behind them are the item's, or as the whole frame of the item."""
+        frame, same = self.template[own], int((self.plain[own] == plain[doc]).sum())
+        if (frame > UNIT).sum() >= WINDOW // 2 or same == len(own):
+            return True
+        return size >= WINDOW and (3 * same >= len(own) or (len(own) == size and len(np.unique(frame)) > 1))
+
     def _consistent(self, template: np.ndarray, plain: np.ndarray, doc: np.ndarray, own: np.ndarray) -> bool:
         """Do the values behind matching placeholders map one to one?"""
         slot = template[doc] <= UNIT
@@ -137,11 +200,7 @@ def _matches(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> I
     for batch in slices(batches):
         template, plain, first = templates(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
-        windows = window_hashes(template, WINDOW)
-        hit = items.seen[(windows & U64((1 << 20) - 1)).astype(np.int64)]
-        hits = np.concatenate([[0], np.cumsum(hit)])
-        ends = np.minimum(np.maximum(first[1:] - WINDOW + 1, first[:-1]), len(hit))
-        maybe = np.flatnonzero(hits[ends] > hits[np.minimum(first[:-1], len(hit))])
+        maybe = items.maybe(template, plain, first)
         rows = [(ids[i], items.ids[k], a, n, share) for i in maybe.tolist() for k, a, n, share in items.spans(template, plain, int(first[i]), int(first[i + 1]), least)]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "first_word", "n_words", "share"])
 
@@ -151,8 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
     A passage counts if its matching windows cover at least `least` of the
     item's words and its slots are consistent.  Null texts and ids on either
-    side match nothing; items of fewer than six words have no window and are
-    left out; rows that repeat an id are matched one by one; an empty table on
+    side match nothing; an item of fewer than six words is met as a whole; rows that repeat an id are matched one by one; an empty table on
     either side gives no rows.  Only doc_id, item_id and text are read.
     """
     small_batches(docs)

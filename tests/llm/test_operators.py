@@ -319,6 +319,16 @@ def test_decontamination(spark):
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0 and decontam.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_placeholders_and_short_items(spark):
+    items = [(1, "12 km 15 km 20 km"), (2, "3 14 15 92 65 35 89 79"), (3, "we met Anna Bob Carla Dave Erik Fred Gina"), (4, "capital of France"), (5, "what is 12 plus 7"), (6, "the 12 km")]
+    noise = prose(random.Random(3), 30)
+    docs = [(i, f"{noise} so {t} {noise}") for i, t in items]
+    docs += [(10, f"{noise} so what is 30 plus 4 {noise}"), (11, f"so 1 2 5 6 7 9 8 4 {noise} the 13 km"), (12, f"so Hans Ines Jan Karl Lea Max Nina {noise}"), (13, f"{noise} so 7 km 9 km 30 km"), (14, noise), (15, "of France")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, docs), bench).collect()}
+    assert got == {(i, i) for i, _ in items} | {(10, 5), (13, 1)}
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
