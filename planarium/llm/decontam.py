@@ -3,9 +3,10 @@
 Words of documents and items become templates: numbers, capitalised names and
 units of measure turn into typed placeholders.  Windows of template words are
 hash-joined; along each diagonal (the same shift between item and document)
-matching windows are stitched, and the words behind the placeholders are
-checked for consistency: one item value must stand for one document value and
-the other way round.  So a question asked again with other numbers and names
+matching windows are stitched, near diagonals are taken together, and the words
+behind the placeholders that differ are checked for consistency: one item value
+must stand for one document value and the other way round; of a passage that is
+mostly verbatim the longest consistent stretch counts.  So a question asked again with other numbers and names
 is found, while a document that only shares a frame is not.
 """
 
@@ -82,6 +83,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 SEEN = 1 << 20
+#: Words of an item in one run, as they are, that count whatever their share of it.
+LONG = 50
 
 
 class Table:
@@ -164,23 +167,119 @@ class Items:
         # Items that can't reach the share on all diagonals together go at once.
         words = np.unique(np.concatenate([(np.unique(o)[:, None] + np.arange(w)).ravel() for _, o, w in met]))
         most = np.bincount(np.searchsorted(self.first, words, side="right") - 1, minlength=len(self.free)) + self.free
-        near = (most >= least * np.diff(self.first))[item]
+        near = (most >= np.minimum(least * np.diff(self.first), LONG))[item]
         item, shift = item[near], shift[near]
         order = np.lexsort((shift, item))
         item, shift = item[order], shift[order]
         new = np.ones(len(item), dtype=bool)
         new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
-        out = []
-        for k, s in zip(item[new].tolist(), shift[new].tolist()):
+        item, shift = item[new], shift[new]
+        edge = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(1, int)
+        return [row for x, y in zip(edge[:-1], edge[1:]) for row in self._passages(template, plain, int(item[x]), shift[x:y].tolist(), least)]
+
+    def _passages(self, template: np.ndarray, plain: np.ndarray, k: int, shifts: list[int], least: float) -> list[tuple[int, int, int, float]]:
+        """Matches of one item: diagonals that suffice alone, then near ones taken together."""
+        size, out, rest = int(self.first[k + 1] - self.first[k]), [], []
+        for s in shifts:
             lo, hi = max(int(self.first[k]), -s), min(int(self.first[k + 1]), len(template) - s)
-            size = int(self.first[k + 1] - self.first[k])
             starts, ends = _runs(self.template[lo:hi] == template[lo + s : hi + s], min(WINDOW, size))
-            covered = np.concatenate([np.arange(x, y) for x, y in zip(starts, ends)] or [np.zeros(0, np.int64)]) + lo
-            share = len(covered) / size
-            if len(covered) and share >= least and self._evident(plain, covered + s, covered, size) and self._consistent(template, plain, covered + s, covered):
-                out.append((k, int(covered[0]) + s, int(covered[-1] - covered[0] + 1), share))
+            if not len(starts):
+                continue
+            own = np.concatenate([np.arange(x, y) for x, y in zip(starts, ends)]) + lo
+            row = self._accepted(plain, k, own + s, own, least)
+            if row:
+                out.append(row)
+            else:
+                rest += [(int(x) + lo + s, int(y) + lo + s, s) for x, y in zip(starts, ends)]
+        if len(rest) > 1:
+            rest = [r for r in sorted(rest) if not any(a <= r[0] and r[1] <= a + n for _, a, n, _ in out)]
+        while len(rest) > 1:
+            doc, own, used = self._chain(rest, size)
+            row = self._accepted(plain, k, doc, own, least) if len(doc) >= min(least * size, LONG) else None
+            if not row:
+                break
+            out.append(row)
+            rest = [r for r in rest if r not in used and not (row[1] <= r[0] and r[1] <= row[1] + row[2])]
         return out
 
+    def _chain(self, runs: list[tuple[int, int, int]], size: int) -> tuple[np.ndarray, np.ndarray, set]:
+        """The runs (start, end, shift) of one item that cover most of it in its order, each within an item's length of the one before; document and item words, overlaps once."""
+        start, end, shift = (np.array(x) for x in zip(*runs))
+        score, back = (end - start).astype(float), np.full(len(runs), -1)
+        for j in range(1, len(runs)):
+            # What j adds after i: its words behind the ends of i in the document and in the item.
+            cut = np.maximum(start[j], np.maximum(end[:j], end[:j] - shift[:j] + shift[j]))
+            gain = end[j] - cut
+            near = (gain > 0) & (start[j] - end[:j] <= size) & (np.abs(shift[j] - shift[:j]) <= size) & (start[j] - shift[j] >= start[:j] - shift[:j])
+            total = np.where(near, score[:j] + gain, -1.0)
+            i = int(np.argmax(total))
+            if total[i] > score[j]:
+                score[j], back[j] = total[i], i
+        j, path = int(np.argmax(score)), []
+        while j >= 0:
+            path.append(j)
+            j = int(back[j])
+        doc, own, at, item_at = [], [], -1, -1
+        for j in reversed(path):
+            a = max(int(start[j]), at, item_at + int(shift[j]))
+            doc.append(np.arange(a, end[j]))
+            own.append(np.arange(a, end[j]) - shift[j])
+            at, item_at = int(end[j]), int(end[j] - shift[j])
+        return np.concatenate(doc), np.concatenate(own), {runs[j] for j in path}
+
+    def _accepted(self, plain: np.ndarray, k: int, doc: np.ndarray, own: np.ndarray, least: float) -> tuple[int, int, int, float] | None:
+        """The match that words doc[i] ~ own[i] make, if they make one."""
+        size = int(self.first[k + 1] - self.first[k])
+        for keep in self._stretches(plain, doc, own, size):
+            d, o = doc[keep], own[keep]
+            if len(d) >= least * size and self._evident(plain, d, o, size):
+                return k, int(d[0]), int(d[-1] - d[0] + 1), len(d) / size
+        # A long run of the item's own words counts whatever its share.
+        same = self.plain[own] == plain[doc]
+        joins = np.concatenate([[True], (doc[1:] == doc[:-1] + 1) & (own[1:] == own[:-1] + 1)])
+        best = (0, 0)
+        for a, b in zip(*_runs(same, 1)):
+            cuts = [a, *(a + 1 + np.flatnonzero(~joins[a + 1 : b])).tolist(), b]
+            best = max([best, *((y - x, x) for x, y in zip(cuts, cuts[1:]))])
+        n, a = int(best[0]), int(best[1])
+        return (k, int(doc[a]), n, n / size) if n >= LONG else None
+
+    def _stretches(self, plain: np.ndarray, doc: np.ndarray, own: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Choices of words without conflict between slots: all; those of windows with few placeholders; the longest stretch that mostly has the item's own values."""
+        everything = np.arange(len(doc))
+        if self._consistent(plain, doc, own):
+            yield everything
+            return
+        if size >= WINDOW:
+            slots = np.convolve(self.template[own] <= UNIT, np.ones(WINDOW, int), "valid") if len(own) >= WINDOW else np.zeros(0, int)
+            whole = (doc[WINDOW - 1 :] - doc[: len(slots)] == WINDOW - 1) & (own[WINDOW - 1 :] - own[: len(slots)] == WINDOW - 1)
+            light = np.unique((np.flatnonzero((slots <= WINDOW // 2) & whole)[:, None] + np.arange(WINDOW)).ravel())
+            if len(light) and self._consistent(plain, doc[light], own[light]):
+                yield light
+        slot = self.template[own] <= UNIT
+        x, y = self.plain[own], plain[doc]
+        differ, best = slot & (x != y), (0, 0)
+        to: dict[int, tuple[int, int]] = {}
+        fro: dict[int, tuple[int, int]] = {}
+        a = 0
+        at = np.flatnonzero(differ).tolist()
+        balance, other = (np.concatenate([[0], np.cumsum(x)]) for x in (slot.astype(int) - 2 * differ, differ))
+        for i in [*at, len(doc)]:
+            # The stretch a..i is consistent; it counts from where most of its slots are the item's own.
+            if i - a > best[1] - best[0]:
+                fit = a + np.flatnonzero((balance[i] > balance[a:i]) | (other[i] == other[a:i]))
+                if len(fit) and i - fit[0] > best[1] - best[0]:
+                    best = (int(fit[0]), i)
+            if i == len(doc):
+                break
+            u, v = int(x[i]), int(y[i])
+            for seen, one, two in ((to, u, v), (fro, v, u)):
+                if one in seen and seen[one][1] != two:
+                    a = max(a, seen[one][0] + 1)
+            to[u], fro[v] = (i, v), (i, u)
+        if best[1] > best[0]:
+            yield everything[best[0] : best[1]]
+
     def _evident(self, plain: np.ndarray, doc: np.ndarray, own: np.ndarray, size: int) -> bool:
         """Do the covered words say more than their kinds? Placeholders alone count if the words behind them are the item's, or as the whole frame of the item."""
         frame, same = self.template[own], int((self.plain[own] == plain[doc]).sum())
@@ -188,10 +287,11 @@ class Items:
             return True
         return size >= WINDOW and (3 * same >= len(own) or (len(own) == size and len(np.unique(frame)) > 1))
 
-    def _consistent(self, template: np.ndarray, plain: np.ndarray, doc: np.ndarray, own: np.ndarray) -> bool:
-        """Do the values behind matching placeholders map one to one?"""
-        slot = template[doc] <= UNIT
-        x, y = self.plain[own[slot]], plain[doc[slot]]
+    def _consistent(self, plain: np.ndarray, doc: np.ndarray, own: np.ndarray) -> bool:
+        """Do the values behind matching placeholders that differ map one to one?"""
+        x, y = self.plain[own], plain[doc]
+        slot = (self.template[own] <= UNIT) & (x != y)
+        x, y = x[slot], y[slot]
         pairs = len(np.unique(np.stack([x, y], axis=1), axis=0)) if len(x) else 0
         return pairs == len(np.unique(x)) == len(np.unique(y))
 
@@ -209,7 +309,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     """Rows (doc_id, item_id, first_word, n_words, share): passages of docs that repeat an item.
 
     A passage counts if its matching windows cover at least `least` of the
-    item's words and its slots are consistent.  Null texts and ids on either
+    item's words and its slots are consistent, or if it has LONG words of the
+    item in one run.  Null texts and ids on either
     side match nothing; an item of fewer than six words is met as a whole; rows that repeat an id are matched one by one; an empty table on
     either side gives no rows.  Only doc_id, item_id and text are read.
     """

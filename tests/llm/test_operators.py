@@ -329,6 +329,22 @@ def test_decontamination_of_placeholders_and_short_items(spark):
     assert got == {(i, i) for i, _ in items} | {(10, 5), (13, 1)}
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    one, two = [word() for _ in range(30)], [word() for _ in range(500)]
+    three = "the farmer Anna sells milk to the old baker while Anna also buys fresh bread from him"
+    noise = prose(rng, 60)
+    docs = [
+        (1, " ".join([noise, *one[:10], "x1x", *one[10:20], "y", "z", *one[20:], noise])), (2, " ".join([noise, *one[:10], *one[11:20], *one[21:]])), (3, " ".join([noise, *two[100:300], noise])),
+        (4, f"{noise} {three.replace('while Anna', 'while Erik')} {noise}"), (5, " ".join([*one[:9], noise, noise])), (6, " ".join([noise, *two[:20]])), (7, " ".join([*one[20:], *noise.split()[:8], *one[:10], noise])),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, three)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontam.contaminated(table(spark, docs), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert got[1, 1] == 1.0 and got[2, 1] == pytest.approx(28 / 30) and got[3, 2] == pytest.approx(0.4)
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
