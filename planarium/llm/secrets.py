@@ -3,8 +3,9 @@
 Texts are read as source or configuration: a lexer finds name-literal pairs
 (quoted or bare, joined with + and by reference to earlier names), constants
 are propagated from the name they were first given to the names that use them,
-and a literal is reported when the names it flows into are sensitive and the
-literal looks like a credential.  Three fixed patterns are always reported.
+and a literal is reported when a name it flows into is fully sensitive and the
+literal is no placeholder, or when the name is weaker and the literal looks like
+a credential.  Three fixed patterns are always reported.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Weight of a word in a target's name.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "pwd": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "access": 0.5, "key": 0.5, "signature": 0.5, "salt": 0.5}
+#: Weight from which a name is fully sensitive, unless it ends in a word that tells about a secret's form or place.
+FULL = 0.9
+ABOUT = {"length", "len", "count", "size", "type", "limit", "name", "id", "url", "uri", "path", "file", "field", "ttl", "expires", "expiry", "policy", "index", "enabled", "required"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|(?:\[secret\])+|\*+|\.+|none|null|true|false|todo|changeme|example|password|secret|token|test|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 
 _LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'"
@@ -73,6 +77,12 @@ def literal_weight(value: str) -> float:
     return min(1.0, bits / 4.0) * min(1.0, 0.5 + 0.25 * (kinds - 1))
 
 
+def fully_sensitive(name: str) -> bool:
+    """Does the name alone say that its value is a secret?"""
+    found = _NAME_WORDS.findall(name)
+    return name_weight(name) >= FULL and found[-1].lower() not in ABOUT
+
+
 def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly, joined or through other names."""
     if ":" not in text and "=" not in text:
@@ -95,7 +105,10 @@ def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
         known[m["name"]] = parts
         weight = name_weight(m["name"])
         if weight:
-            score = weight * literal_weight("".join(v for v, _, _ in parts))
+            value = "".join(v for v, _, _ in parts)
+            call = text[m.end() : m.end() + 1] in tuple("([")  # no literal
+            named = fully_sensitive(m["name"]) and value.strip() and not call and not PLACEHOLDER.match(value.strip())
+            score = 1.0 if named else weight * literal_weight(value)
             if score >= least:
                 for _, a, b in parts:
                     found[a, b] = max(found.get((a, b), 0.0), score)

@@ -187,6 +187,15 @@ def test_secret_masking(spark):
     assert all(r["spans"] == "" or r["doc_id"] in (9, 12) for r in secrets.scan_secrets(secrets.mask_secrets(docs)).collect())
 
 
+def test_secret_scan_by_name_alone(spark):
+    rows = [(1, 'x = "hunterpassword"; password = x', "hunterpassword"), (2, 'pwd = "correcthorse"', "correcthorse"), (3, 'passphrase = "correct horse battery staple"', "correct horse battery staple"), (4, "credential = 8839201746", "8839201746"), (5, "DB_PWD: 'abc'", "abc")]
+    none = [(10, 'passphrase = ""'), (11, 'pwd = "<your pwd>"'), (12, "pwd_length = 12"), (13, "pwd = ask()"), (14, 'salt = "correcthorse"'), (15, "color = 8839201746")]
+    docs = table(spark, [r[:2] for r in rows] + none)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert got == {d: f"flow:{t.index(v)}:{t.index(v) + len(v)}" for d, t, v in rows} | {d: "" for d, _ in none}
+    assert not any(v in r["text"] for r in secrets.mask_secrets(docs).collect() for d, _, v in rows if d == r["doc_id"])
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 64, 100, 250]) + [f"u{i % 50}"]), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(300)] + [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (None, "x y", "en", "a", 0), (5, "again five", "en", "b", 0)]
