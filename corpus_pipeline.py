@@ -9,23 +9,39 @@ from planarium.llm import decontam, langid, ngram_join, packing, secrets
 from planarium.llm._store import written
 
 
+#: Rows are told apart by id and text: ids may be missing, and one id may have several texts.
+KEY = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with the key in place of the id."""
+    return keyed(docs).select(F.col(KEY).alias("doc_id"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the others (no text, no letter) go."""
     model = langid.train_hierarchy(docs)
-    told = langid.identify(docs, model).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi").select(docs.columns)
+    told = langid.identify(by_key(docs), model).where("lang_pred <> 'und'").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed(docs).join(told, KEY, "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id."""
-    kept = ngram_join.similar_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one of smallest doc_id (without one: if no other has one)."""
+    groups = ngram_join.similar_components(by_key(docs)).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    ids = keyed(docs).select(KEY, "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", KEY))
+    kept = groups.join(ids, KEY).groupBy("component_id").agg(best.alias("b")).select(F.col(f"b.{KEY}").alias(KEY))
+    return keyed(docs).join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(written(found, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    found = decontam.contaminated(by_key(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed(docs).join(written(found, "contaminated"), KEY, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,23 @@ def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, lea
     """
     small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashes = texts.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    if not hashes.where("lo <> hi").limit(1).count():
+        return _text_components(texts, threshold, width, leaders)
+    # Some doc_id has several texts: each (doc_id, text) is a node, then those of one doc_id are joined.
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    placed = written(_text_components(texts.select(key.alias("doc_id"), "text"), threshold, width, leaders).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("c")), "placed")
+    ids = texts.where("doc_id is not null").select("doc_id", key.alias("key")).distinct()
+    ids = written(ids.join(placed.where("key is not null").select("key", "c").distinct(), "key"), "ids")
+    low = ids.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("top")).where("b <> top")
+    roots = components(ids.join(low, "doc_id").select(F.col("c").alias("a"), "b"))
+    ids = ids.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "doc_id", F.coalesce("root", "c").alias("c"))
+    first = ids.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return placed.select("key", "n_shingles").join(ids.join(first, "c").select("key", "doc_id", "component_id"), "key", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _text_components(texts: DataFrame, threshold: int, width: int, leaders: int) -> DataFrame:
+    """similar_components of rows (doc_id, text) in which no doc_id has two texts."""
     common = texts.mapInArrow(lambda it: _common(it, 3), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
     top = common.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
     ranked = top["h"].to_numpy(dtype=np.int64).view(U64)

@@ -113,6 +113,28 @@ def test_ngram_join_edges(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+def test_ngram_join_of_several_texts_of_one_id(spark):
+    one, two, three = (prose(random.Random(i), 30, 1000) for i in range(3))
+    rows = [(5, one), (5, two), (3, one + " end"), (7, two + " end"), (8, three), (2, three), (None, one), (9, three.split()[0])]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(table(spark, rows)).collect()}
+    assert got == {(5, 26, 3), (3, 27, 3), (7, 27, 3), (8, 26, 2), (2, 26, 2), (None, 26, None), (9, 1, 9)}
+
+
+def test_pipeline_keeps_rows_by_text(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three, four = (prose(random.Random(i), 30, 1000) for i in range(4))
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(1, one), (1, two), (1, one), (None, three), (2, one + " end"), (None, two + " end"), (4, four), (4, f"{item}"), (None, item), (6, None), (None, "")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        if name == "language":
+            assert docs.count() == 9
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == sorted([(1, one), (1, two), (0, three), (4, four)])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3)]
