@@ -42,7 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """Connected components of undirected edges: rows (node, root), root the smallest node of the component.
 
     Alternates the large-star and small-star rewiring steps (Kiveris et al.,
-    2014) until no edge changes; each half round is one grouped minimum, so a
+    2014) until no edge changes (more than `most_rounds` rounds are an error); each half round is one grouped minimum, so a
     hub is pre-aggregated before it is shuffled.  Nodes without an edge are
     absent.  Null ends and self loops are ignored; no edges give no rows.
     """
@@ -59,4 +59,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -17,16 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from planarium.llm._store import small_batches, written
 from planarium.llm._text import slices, utf8
 
 #: Hashed trigrams.
 DIMENSIONS = 1 << 13
-#: Labelled documents of a language that its machines are trained on (about).
+#: Labelled documents of either side that a machine is trained on (about); a family's are shared among its languages.
 SAMPLE = 800
-#: Languages that may be learned; those with the most documents are taken.
-LANGUAGES = 100
 
 # Families of languages.
 FAMILY = {
@@ -135,34 +134,34 @@ class Hierarchy:
         return out.tolist(), score
 
 
-def train_hierarchy(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Hierarchy:
+def train_hierarchy(labelled: DataFrame, sample: int = SAMPLE) -> Hierarchy:
     """Learn from labelled(doc_id, text, lang); rows without text or lang teach nothing.
 
-    Each machine sees about `sample` documents of each language, chosen by a
-    hash of doc_id; languages beyond the `languages` most frequent aren't learned.
+    Every language is learned.  Each machine sees about `sample` documents of
+    either side, chosen by a hash of doc_id (of the text where that is null).
     """
     small_batches(labelled)
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Hierarchy(list(counts), {})
     spark = labelled.sparkSession
-    rates = F.broadcast(spark.createDataFrame([(k, family(k), min(1.0, sample / n)) for k, n in counts.items()], "lang string, family string, rate double"))
-    chosen = written(
-        labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).join(rates, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("lang", "family", "text", "h"),
-        "langid",
-    )
+    rates = F.broadcast(spark.createDataFrame([(k, family(k), min(1.0, sample / n)) for k, n in sorted(counts.items())], "lang string, family string, rate double"))
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text")))
+    part = F.pmod("h", F.lit(1_000_000)) / 1e6
+    chosen = written(labelled.select("lang", "text", h.alias("h")).join(rates, "lang").where(part < F.col("rate")), "langid")
     groups: dict[str, list[str]] = {}
     for x in sorted(counts):
         groups.setdefault(family(x), []).append(x)
     tasks = [("", a, b) for a, b in combinations(sorted(groups), 2)] + [(g, a, b) for g, names in groups.items() for a, b in combinations(names, 2)]
-    pairs = F.broadcast(spark.createDataFrame([(level, a, b, side) for level, a, b in tasks for side in (a, b)], "level string, a string, b string, side string"))
-    rows = chosen.join(pairs, ((F.col("level") == "") & (F.col("side") == F.col("family"))) | ((F.col("level") == F.col("family")) & (F.col("side") == F.col("lang"))))
+    pairs = F.broadcast(spark.createDataFrame([(level, a, b, side, 1.0 if level else 1.0 / len(groups[side])) for level, a, b in tasks for side in (a, b)], "level string, a string, b string, side string, share double"))
+    side = ((F.col("level") == "") & (F.col("side") == F.col("family"))) | ((F.col("level") == F.col("family")) & (F.col("side") == F.col("lang")))
+    rows = chosen.join(pairs, side & (part < F.col("rate") * F.col("share"))).select("level", "a", "b", "side", "text", "h")
     models = rows.groupBy("level", "a", "b").applyInPandas(_train_pair, "level string, a string, b string, w array<double>")
     return Hierarchy(list(counts), {(r["level"], r["a"], r["b"]): np.array(r["w"]) for r in models.collect()})
 
 
-def _label(batches: Iterator[pa.RecordBatch], model: Hierarchy) -> Iterator[pa.RecordBatch]:
+def _label(batches: Iterator[pa.RecordBatch], model: Hierarchy, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         column = batch.column("text")
         worded = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -176,7 +175,16 @@ def _label(batches: Iterator[pa.RecordBatch], model: Hierarchy) -> Iterator[pa.R
             langs += got
             scores.append(score)
         score = np.where(worded, np.concatenate(scores) if scores else 0.0, 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x if ok else "und" for x, ok in zip(langs, worded.tolist())], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x if ok else "und" for x, ok in zip(langs, worded.tolist())], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
+
+
+def with_language(docs: DataFrame, model: Hierarchy, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score beside all its columns; columns of these two names are replaced."""
+    small_batches(docs)
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(pred, score)
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(lambda it: _label(it, model_.value, [pred, score]), schema)
 
 
 def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
@@ -187,6 +195,4 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     one language learned, that one is given.  doc_id may be null or repeat; no
     rows give no rows.  Columns other than doc_id and text are not read.
     """
-    small_batches(docs)
-    model_ = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _label(it, model_.value), "doc_id long, lang_pred string, score double")
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "lang_pred", "score")

@@ -1,19 +1,27 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's set is its distinct 5-word shingles.  All sets share one order of
-shingles, rare ones first, and a document is indexed under its l-prefix: the
-first n - ceil(t n) + l shingles.  Two sets of similarity t share at least
-min(l_x, l_y) shingles of their prefixes, so l may differ by document: where
-the estimated number of candidates is high, a longer prefix is kept and as
-many more shared shingles are asked for before a pair is verified.  A pair is
-first met at a shingle after which both sets still have enough left.
-
-Copies of one set are one class.  Classes are first linked through the first
-member of each posting list, then, in lists that still hold more than one
-component, through the leading ones, eight times as many in each round; this
-joins large groups of near copies with a few pairs a member.  The last round
-takes in whole lists: every candidate pair that still lies in two components
-is verified, so that no link between components is lost.
+A document's set is its distinct 5-word shingles; equal sets are one class,
+and classes are joined.  All sets share one order of shingles, rare ones
+first.  A set of n shingles needs a partner with at least c = ceil(t n) of
+them, so two similar sets share l or more of their first n - c + l shingles,
+whatever l.  That is used three times:
+
+1. Screening.  Of each set, the first n - c + l shingles by hash are counted
+   over all documents, with l an eighth of c.  A set of which fewer than l were
+   met elsewhere is linked with nothing and needs no further work.
+2. The whole sets of what is left are counted again.  Shingles of one set alone
+   can't be shared; a set with fewer than c others is linked with nothing.
+3. Adaptive prefixes.  From the counts, the number of candidates that a set's
+   prefix will meet is known.  Where it is high, l is raised: the prefix is
+   longer, and a pair is verified only if it shares as many of its shingles as
+   the smaller l of both asks for.  The positions of a shared shingle bound
+   what can follow, so rows that can't be one of the first l matches are left
+   out of the count.
+
+Groups of near copies are joined first through leading members, so that they
+cost a few pairs a member; the multi-match join then meets only members of
+different components.  A shingle's list is never sorted or held as a whole:
+leaders are grouped minima, and long lists are joined in salted parts.
 """
 
 from __future__ import annotations
@@ -22,212 +30,234 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planarium.llm._pack import ascending, bounds, from_ascending, packed, unpacked
 from planarium.llm._store import components, small_batches, written
-from planarium.llm._text import U64, mix, shingle_sets, slices
+from planarium.llm._text import U64, mix, release, shingle_sets, slices
 
-#: Shingles that may be ranked as frequent; the ranking only orders prefixes, so any bound gives the same links.
-RANKED = 1 << 20
-#: Ids of documents to verify that may be broadcast; beyond it, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Shingles that one task packs into a block, and those that one range of the hash space sums (about).
+BLOCK, RANGE = 3_000_000, 1_000_000
+#: Ids of documents that may be broadcast to find their texts; beyond it, texts are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Candidates of a prefix beyond which l grows by one for each doubling, and the largest l.
+COST, MOST = 256, 4
+#: Pairs of one list that one key of the multi-match join compares.
+SALTED = 1_000_000
 
 
-def _common(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Shingles in at least `least` of a stretch's distinct sets, with that number."""
-    held: list[np.ndarray] = []
-    seen: set[bytes] = set()
-    size = 0
+def wanted(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Shingles that a partner must share at least."""
+    return -(-threshold * n // 100)
 
-    def counted():
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
-    for batch in slices(batches):
-        for s in shingle_sets(batch.column("text")):
-            key = s[:16].tobytes()
-            if len(s) and key not in seen:
-                seen.add(key)
-                held.append(s)
-                size += len(s)
-        if size > 6_000_000:
-            yield counted()
-            held, size = [], 0
-            seen.clear()
-    if held:
-        yield counted()
-
-
-def prefix_of(s: np.ndarray, ranked: np.ndarray, rank: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
-    """The indexed prefix of a sorted set and the number of its members that a partner must share."""
-    n = len(s)
-    order = np.zeros(n, dtype=np.int64)
-    if len(ranked):
-        at = np.searchsorted(ranked, s)
-        at[at == len(ranked)] = 0
-        hit = ranked[at] == s
-        order[hit] = rank[at[hit]]
-        s = s[np.argsort(order, kind="stable")]
-        order.sort()
-    least = -(-threshold * n // 100)
-    cost = int(order[: n - least + 1].sum())
-    need = int(min(max(least, 1), 2 + (1 + cost).bit_length() // 2, 12))
-    return s[: n - least + need], need
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], ranked: np.ndarray, rank: np.ndarray, threshold: int, width: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], threshold: int, width: int, eighths: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of sets: keys of the rows, sizes, signatures, and the first shingles of each set by hash."""
+    part, seq, size = TaskContext.get().partitionId(), 0, 0
+    held: list[tuple] = []
+
+    def close():
+        nonlocal held, seq, size
+        key, th, n, s1, s2, least, tokens = (np.concatenate([h[i] for h in held]) for i in range(7))
+        row = {"block": [part << 32 | seq], "key": [packed(key, "<i8")], "th": [packed(th, "<i8")], "n": [packed(n, "<u4")], "s1": [packed(s1, "<u8")], "s2": [packed(s2, "<u8")], "least": [packed(least, "<u4")], "tokens": [ascending(tokens)]}
+        held, seq, size = [], seq + 1, 0
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in list(row)[1:])]))
+
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text"), width)
-        empty = (np.zeros(0, U64), 0)
-        pre = [prefix_of(s, ranked, rank, threshold) if len(s) else empty for s in sets]
-        lengths = np.array([len(p) for p, _ in pre], dtype=np.int32)
-        flat = np.concatenate([p for p, _ in pre]) if pre else np.zeros(0, U64)
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        need = wanted(n, threshold)
+        least = -(-need * eighths // 8)
         with np.errstate(over="ignore"):
-            sig = [(int(s.sum(dtype=U64)), int(mix(s ^ U64(0x5DEECE66D)).sum(dtype=U64))) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").cast(pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array([x for x, _ in sig], dtype=U64).view(np.int64)),
-                pa.array(np.array([x for _, x in sig], dtype=U64).view(np.int64)),
-                pa.array([k for _, k in pre], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.view(np.int64))),
-            ],
-            names=["doc_id", "n", "s1", "s2", "need", "prefix"],
-        )
-
-
-def _verified(batches: Iterator[pa.RecordBatch], threshold: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose whole sets are similar enough."""
-    held: tuple = (None, None)
-    for big in batches:
-        for batch in slices(iter([big]), "text_b"):
-            a_ids = batch.column("a").to_pylist()
-            # Rows come by the first document, so its set is made once for a run of rows.
-            new = [i for i, x in enumerate(a_ids) if i == 0 or x != a_ids[i - 1]]
-            left = dict(zip([a_ids[i] for i in new], shingle_sets(batch.column("text_a").take(pa.array(new)), width))) if a_ids and not (len(new) == 1 and held[0] == a_ids[0]) else {held[0]: held[1]}
-            right = shingle_sets(batch.column("text_b"), width)
-            keep = []
-            for x, b in zip(a_ids, right):
-                a = left[x]
-                at = np.searchsorted(a, b)
-                at[at == len(a)] = 0
-                shared = int((a[at] == b).sum()) if len(a) else 0
-                keep.append(shared > 0 and 100 * shared >= threshold * (len(a) + len(b) - shared))
-            if a_ids:
-                held = (a_ids[-1], left[a_ids[-1]])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
-    """Links among candidate pairs (a, b), from the whole texts of the documents named."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    else:
-        wanted = texts.join(ids, "doc_id", "left_semi")
-    wanted = wanted.dropDuplicates(["doc_id"])
-    one = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    two = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(lambda it: _verified(it, threshold, width), "a long, b long")
-
-
-def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5, leaders: int = 12) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) for each row of docs(doc_id, text, ...).
+            s1, s2 = np.array([s.sum(dtype=U64) for s in sets], dtype=U64), np.array([mix(s ^ U64(0x5DEECE66D)).sum(dtype=U64) for s in sets], dtype=U64)
+        tokens = np.concatenate([s[:k] for s, k in zip(sets, (n - need + least).tolist())])
+        held.append((*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "th")), n, s1, s2, least, tokens))
+        size += len(tokens)
+        if size >= BLOCK:
+            yield close()
+    if held:
+        yield close()
 
-    component_id is the smallest doc_id that links reach.  A null or blank text
-    has an empty set and is linked with nothing; a text of fewer words than
-    `width` has its whole word sequence as only shingle.  Rows that repeat a
-    doc_id count as one node with the links of all of them; a row without
-    doc_id comes back with a null component.  No rows give no rows.  Columns
-    other than doc_id and text are not read.
-    """
-    small_batches(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = texts.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
-    if not hashes.where("lo <> hi").limit(1).count():
-        return _text_components(texts, threshold, width, leaders)
-    # Some doc_id has several texts: each (doc_id, text) is a node, then those of one doc_id are joined.
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    placed = written(_text_components(texts.select(key.alias("doc_id"), "text"), threshold, width, leaders).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("c")), "placed")
-    ids = texts.where("doc_id is not null").select("doc_id", key.alias("key")).distinct()
-    ids = written(ids.join(placed.where("key is not null").select("key", "c").distinct(), "key"), "ids")
-    low = ids.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("top")).where("b <> top")
-    roots = components(ids.join(low, "doc_id").select(F.col("c").alias("a"), "b"))
-    ids = ids.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "doc_id", F.coalesce("root", "c").alias("c"))
-    first = ids.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return placed.select("key", "n_shingles").join(ids.join(first, "c").select("key", "doc_id", "component_id"), "key", "left").select("doc_id", "n_shingles", "component_id")
-
-
-def _text_components(texts: DataFrame, threshold: int, width: int, leaders: int) -> DataFrame:
-    """similar_components of rows (doc_id, text) in which no doc_id has two texts."""
-    common = texts.mapInArrow(lambda it: _common(it, 3), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
-    top = common.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
-    ranked = top["h"].to_numpy(dtype=np.int64).view(U64)
-    order = np.argsort(ranked)
-    shared = texts.sparkSession.sparkContext.broadcast((ranked[order], top["n"].to_numpy(dtype=np.int64)[order]))
-    sets = written(texts.mapInArrow(lambda it: _indexed(it, *shared.value, threshold, width), "doc_id long, n long, s1 long, s2 long, need int, prefix array<long>"), "sets")
-
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    members = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    nodes = written(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), "need", "prefix").dropDuplicates(["doc_id"]), "nodes")
-    least = F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int")
-    postings = nodes.select("doc_id", "n", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - least + 1)).alias("at", "h"))
-    before = F.when(F.col("at") > 0, F.element_at("prefix", F.col("at")))
-    postings = postings.select("h", F.struct(F.hash("doc_id").alias("p"), F.col("doc_id").alias("d"), "n", "at", before.alias("before")).alias("x"))
-    listed = Window.partitionBy("h").orderBy("x")
-    # Lists of two or more members, each member but the first with the first one.
-    postings = postings.withColumn("y", F.lag("x").over(listed)).withColumn("follows", F.lead("x.d").over(listed)).where("y is not null or follows is not null")
-    postings = written(postings.withColumn("y", F.when(F.col("y").isNotNull(), F.first("x").over(listed))).select("h", "x", "y"), "postings")
-
-    def near(a: str, b: str) -> F.Column:
-        """Could this be the first shared shingle of two similar sets? Enough must be left after it in both."""
-        shared = F.ceil(F.lit(threshold) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + threshold))
-        return (F.col(f"{a}.n") - F.col(f"{a}.at") >= shared) & (F.col(f"{b}.n") - F.col(f"{b}.at") >= shared) & (F.col(f"{a}.d") != F.col(f"{b}.d"))
 
-    tried: list[DataFrame] = []
+def _vocabularies(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each block with the number of its sets that hold them, cut into ranges."""
+    for batch in batches:
+        for b, tokens in zip(batch.column("block").to_pylist(), batch.column("tokens").to_pylist()):
+            words, n = np.unique(from_ascending(tokens), return_counts=True)
+            at = bounds(words, ranges)
+            rows = [(r, b, ascending(words[at[r] : at[r + 1]]), packed(n[at[r] : at[r + 1]], "<u4")) for r in np.flatnonzero(np.diff(at)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
+    release()
+
+
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Answers of a range: the counts over all blocks of each block's own shingles."""
+    words = [from_ascending(x) for x in rows["words"]]
+    u, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
+    own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
+    release()
+    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own]})
+
+
+def _counted(block: pd.DataFrame, answers: pd.DataFrame, threshold: int, whole: bool) -> pd.DataFrame:
+    """Rows of a block with `open`: enough of the set's shingles are met elsewhere; with `whole`, those shingles and l."""
+    schema = ["key", "th", "n", "s1", "s2", "open"] if not whole else ["key", "n", "l", "kept"]
+    if not len(block):
+        return pd.DataFrame(columns=schema)
+    row = block.iloc[0]
+    key, th, n, least = (unpacked(row[c], k) for c, k in (("key", "<i8"), ("th", "<i8"), ("n", "<u4"), ("least", "<u4")))
+    n, least = n.astype(np.int64), least.astype(np.int64)
+    taken = n - wanted(n, threshold) + least
+    tokens, doc = from_ascending(row["tokens"]), np.repeat(np.arange(len(n)), taken)
+    _, inverse = np.unique(tokens, return_inverse=True)
+    df = np.concatenate([unpacked(x, "<i8") for x in answers.sort_values("range")["n"]] or [np.zeros(0, np.int64)])[inverse]
+    met = df > 1
+    open_ = (np.bincount(doc[met], minlength=len(n)) >= least) & (n > 0)
+    if not whole:
+        s1, s2 = (unpacked(row[c], "<u8").view(np.int64) for c in ("s1", "s2"))
+        return pd.DataFrame({"key": key, "th": th, "n": n, "s1": s1, "s2": s2, "open": open_})
+    met &= open_[doc]
+    tokens, df, doc = tokens[met], df[met], doc[met]
+    order = np.lexsort((tokens, df, doc))
+    tokens, df, doc = tokens[order], df[order], doc[order]
+    m = np.bincount(doc, minlength=len(n))
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(n - m, m)
+    first = at <= (n - wanted(n, threshold))[doc]
+    cost = np.bincount(doc[first], weights=df[first] - 1, minlength=len(n))
+    l = np.clip(1 + np.log2(1 + cost / COST).astype(np.int64), 1, np.minimum(MOST, np.maximum(wanted(n, threshold), 1)))
+    sets = np.split(tokens.view(np.int64), np.cumsum(m)[:-1])
+    release()
+    return pd.DataFrame({"key": key[open_], "n": n[open_], "l": l[open_], "kept": pd.Series([sets[i] for i in np.flatnonzero(open_)], dtype=object)})
+
+
+def _screened(texts: DataFrame, threshold: int, width: int, eighths: int) -> DataFrame:
+    """texts(key, th, text) after counting the first shingles of all sets over all rows."""
+    whole = eighths == 8
+    names = ("key", "th", "n", "s1", "s2", "least", "tokens")
+    blocks = written(texts.mapInArrow(lambda it: _blocks(it, threshold, width, eighths), "block long, " + ", ".join(f"{c} binary" for c in names)), "blocks")
+    size = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    # The first shingles by hash lie in the lower part of the hash space.
+    ranges = max(1, -(-int(size) // (6 * RANGE)) * (1 if whole else 3))
+    parts = blocks.select("block", "tokens").mapInArrow(lambda it: _vocabularies(it, ranges), "range int, block long, words binary, n binary")
+    answers = parts.groupBy("range").applyInPandas(_summed, "range int, block long, n binary")
+    schema = "key long, n long, l int, kept array<long>" if whole else "key long, th long, n long, s1 long, s2 long, open boolean"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _counted(a, b, threshold, whole), schema)
+
+
+def _placed(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of shingles whose sets are in several components, with the set's component c and the list's main one."""
+    rows = postings.join(found.select(F.col("node").alias("d"), "root"), "d", "left").select(*postings.columns, F.coalesce("root", "d").alias("c"))
+    sizes = rows.groupBy("h", "c").agg(F.count("*").alias("k"))
+    mains = sizes.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"), F.count("*").alias("parts"))
+    return written(rows.join(mains.where("parts > 1").drop("parts"), "h"), "placed")
 
-    def links(rows: DataFrame) -> DataFrame:
-        """Verified pairs among rows (x, y), each pair looked at once in all rounds.
 
-        A pair must share as many prefix shingles as both prefixes ask for:
-        shared shingles outside of both prefixes are at most the larger rest, so
-        the others must be found inside.
-        """
-        pairs = rows.select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b")).distinct()
+def _linked(nodes: DataFrame, threshold: int) -> DataFrame:
+    """Rows (node, root): components of the sets (d, n, l, kept)."""
+    t = F.lit(threshold)
+    up = lambda top, base: F.floor((top + base - 1) / base)
+    least = up(t * F.col("n"), F.lit(100))
+    rare = F.col("n") - F.size("kept")
+    taken = F.greatest(F.lit(0), (F.col("n") - least + F.col("l") - rare).cast("int"))
+    postings = nodes.select("d", "n", "l", rare.alias("u"), (F.col("n") - least).alias("last"), F.posexplode(F.slice("kept", F.lit(1), taken)).alias("pos", "h"))
+    postings = written(postings.select("h", "d", "n", "l", "pos", (F.col("pos") + F.col("u")).alias("at"), "last"), "postings")
+    firsts = postings.where(F.col("at") <= F.col("last")).select("h", "d", "n", "at")
+
+    def shared(a: Column, b: Column) -> Column:
+        """Shingles that sets of these sizes must share."""
+        return up(t * (a + b), F.lit(100 + threshold))
+
+    #: Could this be the first shared shingle of two similar sets? Enough must be left after it in both.
+    near = F.least(F.col("n") - F.col("at"), F.col("y.n") - F.col("y.at")) >= shared(F.col("n"), F.col("y.n"))
+    tried: list[DataFrame] = []
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Similar sets among pairs (a, b), each pair looked at once in all rounds."""
+        pairs = pairs.distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried.append(pairs)
-        side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"need_{c}"), F.col("prefix").alias(f"p_{c}"))
-        rest = lambda c: F.ceil(F.col(f"n_{c}") * F.lit(threshold) / 100) - F.col(f"need_{c}")
-        asked = F.greatest(F.least("need_a", "need_b"), F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold)) - F.greatest(rest("a"), rest("b")))
-        enough = pairs.join(side("b"), "b").join(side("a"), "a").where(F.size(F.array_intersect("p_a", "p_b")) >= asked).select("a", "b")
-        return written(verified(written(enough, "enough"), texts, threshold, width), "links")
-
-    # Each member with the first of its list: a group of near copies becomes one component by about a pair a member.
-    found = written(components(links(postings.where(F.col("y").isNotNull() & near("x", "y")).select("x", "y"))), "roots")
-
-    # Then each member with the leading ones of other components, more of them in each round, until a round takes in
-    # whole lists.  Where two members have the same shingle before this one, they meet there already.
-    whole = listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-    listings, last = postings.select("h", "x"), False
-    while not last:
-        placed = listings.join(found.select(F.col("node").alias("d"), "root"), F.col("x.d") == F.col("d"), "left").select("h", "x", F.coalesce("root", "x.d").alias("c"))
-        placed = placed.withColumn("r", F.row_number().over(listed)).withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole))
-        open_ = written(placed.where("lo <> hi").select("h", "x", "c", "r"), "open")
-        last = (open_.agg(F.max("r")).first()[0] or 0) <= leaders
-        heads = open_.where(F.col("r") <= leaders).select("h", F.col("x").alias("y"), F.col("c").alias("c_y"), F.col("r").alias("r_y"))
-        other = open_.join(heads, "h").where((F.col("r") > F.col("r_y")) & (F.col("c") != F.col("c_y")) & ~met & near("x", "y"))
-        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links(other.select("x", "y")))
-        found = written(components(edges), "roots")
-        listings, leaders = open_.select("h", "x"), leaders * 8
-    return (
-        members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
-    )
+        side = lambda c: nodes.select(F.col("d").alias(c), F.col("n").alias(f"n_{c}"), F.col("kept").alias(f"kept_{c}"))
+        common = F.size(F.array_intersect("kept_a", "kept_b"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(common >= shared(F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("d", "y.d").alias("a"), F.greatest("d", "y.d").alias("b"))
+
+    # Each set with one set of each list, another one in each list.
+    leaders = firsts.groupBy("h").agg(F.min_by(F.struct("d", "n", "at"), F.xxhash64("h", "d")).alias("y"), F.count("*").alias("k")).where("k > 1").drop("k")
+    found = written(components(links(met(firsts.join(leaders, "h").where((F.col("d") != F.col("y.d")) & near)))), "roots")
+
+    # In lists of several components, the other members with more and more members of the main one.
+    leading, longest = 8, 9
+    while leading < 16 * longest:
+        open_ = _placed(firsts, found)
+        longest = open_.agg(F.max("k_main")).first()[0]
+        if longest is None:
+            break
+        leaders = open_.where("c = main").groupBy("h", F.pmod(F.xxhash64("d", "h"), F.lit(leading)).alias("slot")).agg(F.min_by(F.struct("d", "n", "at"), "d").alias("y"))
+        rows = open_.where("c <> main").join(leaders, "h").where(near)
+        found = written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links(met(rows)))), "roots")
+        leading *= 16
+
+    # Multi-match join of all that is still in different components: pairs with l shared shingles among their prefixes.
+    open_ = _placed(postings, found)
+    parts = F.greatest(F.lit(1), F.ceil((F.col("k_all") - F.col("k_main")) * F.col("k_all") / SALTED)).cast("int")
+    one = open_.where("c <> main").withColumn("part", F.pmod(F.hash("d"), parts))
+    two = open_.select("h", F.struct("d", "n", "l", "pos", "at", "c", "main").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    l = F.least("l", "y.l")
+    early = F.least("pos", "y.pos", l - 1) + F.least(F.col("n") - F.col("at"), F.col("y.n") - F.col("y.at")) >= shared(F.col("n"), F.col("y.n"))
+    once = (F.col("y.c") == F.col("y.main")) | (F.col("d") < F.col("y.d"))
+    rows = one.join(two, ["h", "part"]).where((F.col("c") != F.col("y.c")) & once & early)
+    counted = rows.groupBy(F.least("d", "y.d").alias("a"), F.greatest("d", "y.d").alias("b")).agg(F.count("*").alias("k"), F.first(l).alias("l"), F.max(F.least(F.col("n") - F.col("at"), F.col("y.n") - F.col("y.at"))).alias("rest"), F.first(shared(F.col("n"), F.col("y.n"))).alias("asked"))
+    last = links(counted.where("k >= l and rest >= asked").select("a", "b"))
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last))
+
+
+def similar_groups(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
+    """Rows (doc_id, text_hash, n_shingles, group), one for each row of docs(doc_id, text, ...).
+
+    Rows whose sets are linked, directly or through others, have one group, a
+    number without meaning of its own; it is null for an empty set.  Rows are
+    told apart by doc_id and xxhash64 of the text only.
+    """
+    small_batches(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    no_id = F.lit(-(1 << 63))
+    rows = written(_screened(texts.select(F.coalesce("doc_id", no_id).alias("key"), "th", "text"), threshold, width, 1), "rows")
+    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.bool_or("open").alias("open"), F.min(F.struct("key", "th")).alias("rep"))
+    classes = written(classes.withColumn("d", F.monotonically_increasing_id()), "classes")  # written at once, so numbers stay
+    reps = written(classes.where("open").select("d", F.col("rep.key").alias("key"), F.col("rep.th").alias("th")), "candidates")
+    if reps.count() <= BROADCAST_IDS:
+        reps = F.broadcast(reps)
+    again = texts.withColumn("key", F.coalesce("doc_id", no_id)).join(reps, ["key", "th"]).select(F.col("d").alias("key"), "th", "text")
+    nodes = written(_screened(again, threshold, width, 8).dropDuplicates(["key"]).withColumnRenamed("key", "d"), "nodes")
+    roots = _linked(nodes, threshold)
+    placed = classes.join(roots.withColumnRenamed("node", "d"), "d", "left").select("s1", "s2", "n", F.coalesce("root", "d").alias("group"))
+    return rows.join(placed, ["s1", "s2", "n"], "left").select(F.when(F.col("key") != no_id, F.col("key")).alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "group")
+
+
+def similar_components(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) for each row of docs(doc_id, text, ...).
+
+    component_id is the smallest doc_id that links reach.  A null or blank text
+    has an empty set and is linked with nothing; a text of fewer words than
+    `width` has its whole word sequence as only shingle.  Several texts under
+    one doc_id are one document with the links of all of them; a row without
+    doc_id comes back with a null component and isn't anyone's component, but
+    its text links others.  No rows give no rows.  Columns other than doc_id and
+    text are not read.
+    """
+    rows = written(similar_groups(docs, threshold, width), "grouped")
+    several = rows.where("doc_id is not null and group is not null").groupBy("doc_id").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.collect_set("group").alias("all")).where("a <> b")
+    several = several.select("a", F.explode("all").alias("b")).where("a <> b")
+    roots = components(several).select(F.col("node").alias("group"), "root")
+    rows = rows.join(roots, "group", "left").withColumn("group", F.coalesce("root", "group"))
+    first = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "group", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))

@@ -93,14 +93,17 @@ def roots_of(ids, links):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("leaders", [1, 12])
-def test_ngram_join_components(spark, leaders):
+@pytest.mark.parametrize("cost,most,salted", [(256, 4, 1_000_000), (1, 3, 20), (1, 9, 1_000_000)])
+def test_ngram_join_components(spark, monkeypatch, cost, most, salted):
+    monkeypatch.setattr(ngram_join, "COST", cost)
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    monkeypatch.setattr(ngram_join, "SALTED", salted)
     rows = corpus(3)
     sets = {d: shingles(t) for d, t in rows}
     ids = [d for d, _ in rows]
     links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = roots_of(ids, links)
-    got = ngram_join.similar_components(table(spark, rows), leaders=leaders).collect()
+    got = ngram_join.similar_components(table(spark, rows)).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(d, len(sets[d]), want[d]) for d in ids}
     assert len(got) == len(rows)
 
