@@ -9,8 +9,8 @@ from planarium.llm import decontam, langid, ngram_join, packing, secrets
 from planarium.llm._store import written
 
 
-#: Rows are told apart by id and text: ids may be missing, and one id may have several texts.
-KEY = "row_key"
+#: Columns that a stage adds for itself; rows are told apart by id and text, as ids may be missing and one id may have several texts.
+KEY, PRED, SCORE = "__row_key", "__lang_pred", "__lang_score"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -23,19 +23,37 @@ def by_key(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (no text, no letter) go."""
+    """Documents whose language can be told, with the prediction where `lang` is null; the others (no text, no letter) go.
+
+    A null doc_id and repeated rows stay; without any labelled row nothing can be told, and all rows with a letter stay.
+    """
     model = langid.train_hierarchy(docs)
-    told = langid.identify(by_key(docs), model).where("lang_pred <> 'und'").select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed(docs).join(told, KEY, "left_semi").select(docs.columns)
+    told = langid.with_language(docs, model, PRED, SCORE)
+    if model.members:
+        told = told.where(F.col(PRED) != "und").withColumn("lang", F.coalesce("lang", PRED))
+    else:
+        told = told.where(F.col("text").rlike(r"\p{L}"))
+    return told.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id (without one: if no other has one)."""
-    groups = ngram_join.similar_components(by_key(docs)).select(F.col("doc_id").alias(KEY), "component_id").distinct()
-    ids = keyed(docs).select(KEY, "doc_id").distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", KEY))
-    kept = groups.join(ids, KEY).groupBy("component_id").agg(best.alias("b")).select(F.col(f"b.{KEY}").alias(KEY))
-    return keyed(docs).join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
+    """One document of each group of near copies: the one of smallest doc_id (without one: if no other has one).
+
+    A document without words is in no group and stays; of rows that agree in id and text, one stays.
+    """
+    groups = written(ngram_join.similar_groups(docs), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash"))
+    first = groups.where("group is not null").groupBy("group").agg(best.alias("b"), F.count("*").alias("n")).where("n > 1").select("group", "b")
+    same = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("text_hash") == F.col("b.text_hash"))
+    gone = groups.join(first, "group").where(~same).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = docs.withColumn("__hash_", F.xxhash64("text"))
+    kept = kept.join(gone, F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__hash") == F.col("__hash_")), "left_anti")
+    again = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    again = written(again, "repeated")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    on = F.col("__id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__hash") == F.col("__hash_"))
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "__hash_"])).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
