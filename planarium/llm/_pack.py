@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import zstandard
 
-from planarium.llm._text import U64
+from planarium.llm._text import U64, release
 
 
 def packed(x: np.ndarray, kind: str) -> bytes:
@@ -33,3 +34,13 @@ def bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Bounds of equal ranges of the hash space among sorted keys: range r has keys[out[r]:out[r + 1]]."""
     edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=U64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Answers of a range (range, block, words, n): the counts over all blocks of each block's own words."""
+    words = [from_ascending(x) for x in rows["words"]]
+    u, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
+    own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
+    release()
+    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own]})

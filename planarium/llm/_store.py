@@ -38,6 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """As written, in buckets by `key`, so that later joins and groups by it don't move these rows.
+
+    The catalogue's entry goes at once; the files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", new_path(spark, name)).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved while the entry exists
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges: rows (node, root), root the smallest node of the component.
 

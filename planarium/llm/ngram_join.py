@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._pack import ascending, bounds, from_ascending, packed, unpacked
+from planarium.llm._pack import ascending, bounds, from_ascending, packed, summed, unpacked
 from planarium.llm._store import components, small_batches, written
 from planarium.llm._text import U64, mix, release, shingle_sets, slices
 
@@ -94,16 +94,6 @@ def _vocabularies(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa
     release()
 
 
-def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Answers of a range: the counts over all blocks of each block's own shingles."""
-    words = [from_ascending(x) for x in rows["words"]]
-    u, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
-    own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
-    release()
-    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own]})
-
-
 def _counted(block: pd.DataFrame, answers: pd.DataFrame, threshold: int, whole: bool) -> pd.DataFrame:
     """Rows of a block with `open`: enough of the set's shingles are met elsewhere; with `whole`, those shingles and l."""
     schema = ["key", "th", "n", "s1", "s2", "open"] if not whole else ["key", "n", "l", "kept"]
@@ -144,7 +134,7 @@ def _screened(texts: DataFrame, threshold: int, width: int, eighths: int) -> Dat
     # The first shingles by hash lie in the lower part of the hash space.
     ranges = max(1, -(-int(size) // (6 * RANGE)) * (1 if whole else 3))
     parts = blocks.select("block", "tokens").mapInArrow(lambda it: _vocabularies(it, ranges), "range int, block long, words binary, n binary")
-    answers = parts.groupBy("range").applyInPandas(_summed, "range int, block long, n binary")
+    answers = parts.groupBy("range").applyInPandas(summed, "range int, block long, n binary")
     schema = "key long, n long, l int, kept array<long>" if whole else "key long, th long, n long, s1 long, s2 long, open boolean"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _counted(a, b, threshold, whole), schema)
 
