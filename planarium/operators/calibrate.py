@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planarium.operators.graph import both_ways
 from planarium.operators.pairs import nearest_distance
+from planarium.operators.quantiles import exact_quantiles
 
 
 def labelled(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -19,7 +20,7 @@ def labelled(pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 
 def tau_low_per_cluster(pairs: DataFrame, labels: DataFrame, least_pairs: int = 5, default: float = 0.05, q: float = 0.75) -> DataFrame:
     """Rows (cell_id, tau): a quantile of the coverage inside each cell's cluster, the default below `least_pairs` pairs."""
-    same = labelled(pairs, labels).where("label_i = label_j").groupBy(F.col("label_i").alias("label")).agg(F.count("*").alias("n"), F.percentile("cf", q).alias("t"))
+    same = exact_quantiles(labelled(pairs, labels).where("label_i = label_j").select(F.col("label_i").alias("label"), "cf"), "cf", [q], ["label"]).withColumnRenamed("q_0", "t")
     return labels.join(same.where(F.col("n") >= least_pairs), "label", "left").select("cell_id", F.coalesce("t", F.lit(default)).alias("tau"))
 
 
@@ -33,12 +34,15 @@ class Thresholds:
 def calibrated(pairs: DataFrame, labels: DataFrame, low_q: float = 0.75, high_q: float = 0.5, signed: bool = False, least_pairs: int = 10) -> Thresholds:
     """Thresholds from pairs of equal and of different labels; frozen pairs come first, then all, then the priors.
 
-    One conditional aggregate returns all counts and quantiles.
+    The four kinds of pairs are groups of one exact quantile job.
     """
     p = labelled(pairs, labels, "frozen")
     same, frozen = F.col("label_i") == F.col("label_j"), F.col("frozen_i") & F.col("frozen_j")
-    cases = {"sf": same & frozen, "s": same, "df": ~same & frozen, "d": ~same}
-    r = p.agg(*(F.count_if(c).alias(f"n_{k}") for k, c in cases.items()), *(F.percentile(F.when(c, F.col("cf")), low_q if k[0] == "s" else high_q).alias(f"q_{k}") for k, c in cases.items())).first()
+    kinds = F.array(F.when(same, "s").otherwise("d"), F.when(frozen, F.when(same, "sf").otherwise("df")))
+    kinds = p.select("cf", F.explode(F.array_compact(kinds)).alias("kind"))
+    r = {f"n_{k}": 0 for k in ("s", "sf", "d", "df")} | {f"q_{k}": None for k in ("s", "sf", "d", "df")}
+    for x in exact_quantiles(kinds, "cf", [low_q, high_q], ["kind"]).collect():
+        r |= {f"n_{x['kind']}": x["n"], f"q_{x['kind']}": x["q_0" if x["kind"][0] == "s" else "q_1"]}
     prior = (0.30 if signed else 0.10, 0.40)
     pick = lambda names, other: next(((r[f"q_{k}"], k) for k in names if r[f"n_{k}"] >= least_pairs), (other, "prior"))
     (low, a), (high, b) = pick(("sf", "s"), prior[0]), pick(("df", "d"), prior[1])

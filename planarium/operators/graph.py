@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from planarium.functions.ramps import ramp, rbf
 from planarium.operators.pairs import knn
+from planarium.operators.quantiles import exact_quantiles
+from planarium.sources.store import dropped, written
+
+
+#: Edges of a graph whose rounds run in one task.
+FEW_EDGES = 200_000
 
 
 def both_ways(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
-    """Each undirected edge in both directions."""
+    """Each undirected edge in both directions, from one pass over the edges."""
     rest = [c for c in edges.columns if c not in (a, b)]
-    return edges.select(a, b, *rest).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
+    ends = F.explode(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b"))))
+    return edges.select(ends.alias("ends"), *rest).select(F.col("ends.a").alias(a), F.col("ends.b").alias(b), *rest)
 
 
 def feature_graph(points: DataFrame, k: int, **kwargs) -> DataFrame:
@@ -20,8 +27,8 @@ def feature_graph(points: DataFrame, k: int, **kwargs) -> DataFrame:
 
     The width is the median of all neighbour distances, 1 if that is 0.
     """
-    near = knn(points, k, **kwargs).cache()
-    sigma = near.agg(F.percentile(F.sqrt("d2"), 0.5)).first()[0] or 1.0
+    near = written(knn(points, k, **kwargs), "near")
+    sigma = (exact_quantiles(near.select(F.sqrt("d2").alias("d")), "d", [0.5]).first() or [None, 1.0])["q_0"] or 1.0
     w = near.select("src", "dst", rbf(F.col("d2"), sigma).alias("w"))
     return both_ways(w, "src", "dst").groupBy("src", "dst").agg(F.max("w").alias("w"))
 
@@ -44,32 +51,46 @@ def repulsed(graph: DataFrame, pairs: DataFrame, tau: DataFrame, high: float, st
 def paga(graph: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (a, b, weight), a < b: edge weight between clusters over the root of both total strengths."""
     l = lambda c: labels.select(F.col("cell_id").alias(c), F.col("label").alias(f"l_{c}"))
-    sums = graph.join(l("src"), "src").join(l("dst"), "dst").groupBy(F.col("l_src").alias("a"), F.col("l_dst").alias("b")).agg(F.sum("w").alias("w")).cache()
+    sums = graph.join(l("src"), "src").join(l("dst"), "dst").groupBy(F.col("l_src").alias("a"), F.col("l_dst").alias("b")).agg(F.sum("w").alias("w"))
+    sums = written(sums, "sums")
     strength = sums.groupBy("a").agg(F.sum("w").alias("s"))
     s = lambda c: strength.select(F.col("a").alias(c), F.col("s").alias(f"s_{c}"))
     norm = F.sqrt(F.col("s_a") * F.col("s_b"))
-    return sums.where("a < b").join(F.broadcast(s("a")), "a").join(F.broadcast(s("b")), "b").select("a", "b", F.when(norm > 0, F.col("w") / F.nullif(norm, F.lit(0.0))).otherwise(0.0).alias("weight"))
+    return sums.where("a < b").join(s("a"), "a").join(s("b"), "b").select("a", "b", F.when(norm > 0, F.col("w") / F.nullif(norm, F.lit(0.0))).otherwise(0.0).alias("weight"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, folder: str | None = None, most_rounds: int = 100) -> DataFrame:
-    """Rows (cell_id, component): the smallest id that undirected edges (i, j) reach.
+def stars(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """Connected components of undirected edges: rows (node, root), root the smallest node of the component.
 
-    Labels are lowered along edges and then along the label's own label, so the
-    number of rounds grows with the logarithm of the longest path.
+    Alternates the large-star and small-star rewiring steps (Kiveris et al.,
+    2014) until no edge changes; more than `most_rounds` rounds are an error.
+    Each half round is one grouped minimum, so a hub is pre-aggregated before it
+    is shuffled, and each round is written, so plans don't grow.  Nodes without
+    an edge are absent.  Null ends and self loops are ignored; no edges give no
+    rows.
     """
-    spark = nodes.sparkSession
-    edges = both_ways(edges.select("i", "j")).distinct().cache()
-    now = nodes.select("cell_id", F.col("cell_id").alias("component"))
-    checkpoints = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    e, before = written(e, "edges"), None
     for _ in range(most_rounds):
-        c = now.select(F.col("cell_id").alias("j"), F.col("component").alias("c"))
-        low = edges.join(c, "j").groupBy(F.col("i").alias("cell_id")).agg(F.min("c").alias("low"))
-        hop = now.join(low, "cell_id", "left").select("cell_id", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        jump = hop.select(F.col("cell_id").alias("component"), F.col("component").alias("further"))
-        after = hop.join(jump, "component").select("cell_id", F.least("component", "further").alias("component"), "old")
-        after = after.checkpoint() if checkpoints else after.cache()
-        changed = after.where("component <> old").count()
-        now = after.select("cell_id", "component")
-        if not changed:
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if now == before:
             break
-    return now
+        before = now
+        # A round over few edges is one task without any shuffle.
+        both = both_ways(e.coalesce(1) if now["n"] <= FEW_EDGES else e, "u", "v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        after = written(small, "edges")
+        dropped(e)
+        e = after
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (cell_id, component): the smallest id that undirected edges (i, j) reach; a node without edges is its own."""
+    roots = stars(edges, "i", "j").withColumnRenamed("node", "cell_id")
+    return nodes.select("cell_id").join(roots, "cell_id", "left").select("cell_id", F.coalesce("root", "cell_id").alias("component"))

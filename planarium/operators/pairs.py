@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planarium.functions.geometry import area, intersection
+from planarium.sources.store import written
 
 
 def _buckets(cells: DataFrame, size: float, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -18,13 +21,22 @@ def _buckets(cells: DataFrame, size: float, keep: list[str]) -> tuple[DataFrame,
 
 
 def spatial_pairs(cells: DataFrame, radius: float, exclude_clipped: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (i, j, d) with i < j and distance d of at most `radius`; further columns come as c and c_j."""
+    """Rows (i, j, d) with i < j and distance d of at most `radius`; further columns come as c and c_j.
+
+    One side stands in its own bucket and in four of the eight around it, so a
+    pair of different buckets meets once.  Cells without coordinates have no pairs.
+    """
     if exclude_clipped:
         cells = cells.where(~F.col("clipped"))
-    left, right = _buckets(cells, radius, list(dict.fromkeys(["cell_id", "cx", "cy", *keep])))
-    d2 = (F.col("cx") - F.col("cx_j")) * (F.col("cx") - F.col("cx_j")) + (F.col("cy") - F.col("cy_j")) * (F.col("cy") - F.col("cy_j"))
-    pairs = left.join(right, ["bx", "by"]).where((F.col("cell_id") < F.col("cell_id_j")) & (d2 <= radius * radius))
-    return pairs.select(F.col("cell_id").alias("i"), F.col("cell_id_j").alias("j"), F.sqrt(d2).alias("d"), *(c for k in keep for c in (k, f"{k}_j")))
+    own = list(dict.fromkeys(["cell_id", "cx", "cy", *keep]))
+    at = cells.where("cx is not null and cy is not null").select(F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"), F.struct(*own).alias("a"))
+    ahead = F.array(*(F.struct((F.col("bx") + x).alias("bx"), (F.col("by") + y).alias("by"), F.lit(x == y == 0).alias("same")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
+    around = at.select(F.col("a").alias("b"), F.explode(ahead).alias("at")).select("b", "at.bx", "at.by", "at.same")
+    dx, dy = F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy")
+    first = F.col("a.cell_id") < F.col("b.cell_id")
+    pairs = at.join(around, ["bx", "by"]).where((first | ~F.col("same")) & (F.col("a.cell_id") != F.col("b.cell_id")) & (dx * dx + dy * dy <= radius * radius))
+    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.sqrt(dx * dx + dy * dy).alias("d"))
+    return pairs.select(F.col("a.cell_id").alias("i"), F.col("b.cell_id").alias("j"), "d", *(c for k in keep for c in (F.col(f"a.{k}").alias(k), F.col(f"b.{k}").alias(f"{k}_j"))))
 
 
 def proximity_map(cells: DataFrame, radius: float, exclude_clipped: bool = True) -> DataFrame:
@@ -32,64 +44,80 @@ def proximity_map(cells: DataFrame, radius: float, exclude_clipped: bool = True)
     return spatial_pairs(cells, radius, exclude_clipped).where(F.col("d") < radius).select("i", "j", (1 - F.col("d") / radius).alias("score"))
 
 
+def _once(value: Column) -> Column:
+    """The value as a generated column: a filter on it can't copy a costly expression below itself."""
+    return F.explode(F.array(value))
+
+
 def coverage_map(cells: DataFrame, radius: float, exclude_clipped: bool = True, least: float = 1e-9) -> DataFrame:
     """Rows (i, j, cf): shared area over the smaller area, for pairs that overlap."""
     cells = cells.withColumn("area", area(F.col("poly")))
     pairs = spatial_pairs(cells, radius, exclude_clipped, ("poly", "area"))
     small = F.least("area", "area_j")
     cf = F.when(small > 0, area(intersection(F.col("poly"), F.col("poly_j"))) / F.nullif(small, F.lit(0.0))).otherwise(0.0)
-    return pairs.select("i", "j", cf.alias("cf")).where(F.col("cf") > least)
+    return pairs.select("i", "j", _once(cf).alias("cf")).where(F.col("cf") > least)
 
 
 def iou_pairs(cells: DataFrame, radius: float, least: float = 1e-9) -> DataFrame:
     """Rows (i, j, iou) for overlapping pairs; pairs further apart than `radius` must not overlap."""
     cells = cells.withColumn("area", area(F.col("poly")))
     pairs = spatial_pairs(cells, radius, False, ("poly", "area"))
-    shared = pairs.select("i", "j", "area", "area_j", area(intersection(F.col("poly"), F.col("poly_j"))).alias("s"))
+    shared = pairs.select("i", "j", "area", "area_j", _once(area(intersection(F.col("poly"), F.col("poly_j")))).alias("s"))
     return shared.select("i", "j", (F.col("s") / F.nullif(F.col("area") + F.col("area_j") - F.col("s"), F.lit(0.0))).alias("iou")).where(F.col("iou") > least)
 
 
 def nearest_distance(cells: DataFrame, within: str | None = None, start: float = 4.0) -> DataFrame:
     """Rows (cell_id, nn_d): distance to the nearest other cell (of the same `within` value).
 
-    The search radius doubles until every cell that has a companion found one.
+    The search radius doubles for those cells that have found none yet, up to
+    the extent of all cells; each round is written.  Cells without coordinates,
+    and those without a companion, have no row.
     """
     keep = [within] if within else []
+    everyone = written(cells.where("cx is not null and cy is not null and not isnan(cx) and not isnan(cy)").select("cell_id", "cx", "cy", *keep), "cells")
+    left, radius, found = everyone, start, []
+    reach = everyone.agg((F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")) * 2).alias("r")).first()["r"]
     if within:
-        alone = cells.groupBy(within).count().where("count < 2").select(within)
-        todo = cells.join(alone, within, "left_anti")
-    else:
-        todo = cells
-    todo = todo.select("cell_id", "cx", "cy", *keep).cache()
-    out, radius, left, everyone = None, start, todo, todo
-    if todo.count() < 2:
-        return todo.limit(0).select("cell_id", F.lit(0.0).alias("nn_d"))
-    while True:
+        left = left.join(everyone.groupBy(within).count().where("count > 1").select(within), within, "left_semi")
+    while reach is not None:
         a, b = _buckets(left, radius, ["cell_id", "cx", "cy", *keep])[0], _buckets(everyone, radius, ["cell_id", "cx", "cy", *keep])[1]
         d2 = (F.col("cx") - F.col("cx_j")) * (F.col("cx") - F.col("cx_j")) + (F.col("cy") - F.col("cy_j")) * (F.col("cy") - F.col("cy_j"))
         same = F.col(within) == F.col(f"{within}_j") if within else F.lit(True)
         got = a.join(b, ["bx", "by"]).where((F.col("cell_id") != F.col("cell_id_j")) & (d2 <= radius * radius) & same).groupBy("cell_id").agg(F.sqrt(F.min(d2)).alias("nn_d"))
-        got = got.cache()
-        out = got if out is None else out.unionByName(got)
-        left = left.join(got, "cell_id", "left_anti").cache()
-        if left.isEmpty():
-            return out
+        found.append(written(got, "nearest"))
+        left = written(left.join(found[-1], "cell_id", "left_anti"), "left")
+        if radius > reach or left.isEmpty():
+            break
         radius *= 2
+    return reduce(DataFrame.unionByName, found) if found else everyone.select("cell_id", F.lit(0.0).alias("nn_d"))
 
 
 def knn(points: DataFrame, k: int, vector: str = "features", key: str = "cell_id", block_rows: int = 2048, digits: int = 9) -> DataFrame:
     """Rows (src, dst, d2, rank) of the k nearest other points; ties go to the smaller dst.
 
-    Exact: every block of points meets every other block in a task of its own,
-    which keeps the k best of each source; the blocks' bests are ranked at last.
+    Exact.  Points are dealt to the nearest of some pivots; a pivot's points are
+    a block with a centre and a radius.  A first join within the blocks bounds
+    the k-th distance of all points of a block, and a block meets another one
+    only if a point of that could be nearer than the bound.  The k best of each
+    meeting are ranked at last.
     """
-    blocks = max(1, -(-points.count() // block_rows))
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    n = rows.count()
+    many = max(1, -(-n // block_rows))
+    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()])
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def deal(batches):
+        for b in batches:
+            x, p = np.stack(b["v"].to_numpy()), shared.value
+            d = np.stack([((x - q) ** 2).sum(axis=1) for q in p], axis=1)
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "b": d.argmin(axis=1).astype(np.int32), "r": np.sqrt(d.min(axis=1))})
+
+    dealt = written(rows.mapInPandas(deal, "id long, v array<double>, b int, r double"), "dealt")
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"src": [], "dst": [], "d2": []}).astype({"src": "int64", "dst": "int64", "d2": "float64"})
+            return pd.DataFrame({"src": [], "dst": [], "d2": [], "b": []}).astype({"src": "int64", "dst": "int64", "d2": "float64", "b": "int32"})
         p = p.sort_values("id")
         y, ids, out = np.stack(p["v"].to_numpy()), p["id"].to_numpy(), []
         for a in range(0, len(q), 32):
@@ -97,11 +125,25 @@ def knn(points: DataFrame, k: int, vector: str = "features", key: str = "cell_id
             d = np.round(((x[:, None] - y[None]) ** 2).sum(axis=2), digits)
             d[own[:, None] == ids[None]] = np.inf
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"src": np.repeat(own, top.shape[1]), "dst": ids[top].ravel(), "d2": np.take_along_axis(d, top, 1).ravel()}))
+            out.append(pd.DataFrame({"src": np.repeat(own, top.shape[1]), "dst": ids[top].ravel(), "d2": np.take_along_axis(d, top, 1).ravel(), "b": np.int32(q["b"].iloc[0])}))
         got = pd.concat(out)
         return got[np.isfinite(got["d2"])]
 
-    left, right = rows.withColumn("o", numbers), rows.select("id", "v", F.col("b").alias("o"), numbers.alias("b"))
-    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(best, "src long, dst long, d2 double")
+    schema = "src long, dst long, d2 double, b int"
+    named = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  columns of their own for the other side
+    own = written(dealt.groupBy("b").cogroup(named(dealt).groupBy("b")).applyInPandas(best, schema), "own")
+    # The distance within which all k neighbours of all points of a block lie (unknown in a small block).
+    sizes = dealt.groupBy("b").agg(F.max("r").alias("r"), F.count("*").alias("n"))
+    kth = own.groupBy("b", "src").agg(F.max("d2").alias("d2")).groupBy("b").agg(F.sqrt(F.max("d2")).alias("kth"))
+    blocks = sizes.join(kth, "b", "left").select("b", "r", F.when(F.col("n") > k, F.col("kth")).otherwise(float("inf")).alias("kth"))
+    centre = rows.sparkSession.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pivots)], "b int, c array<double>")
+    blocks = written(blocks.join(centre, "b"), "blocks")
+    o = blocks.select(F.col("b").alias("o"), F.col("r").alias("r_o"), F.col("c").alias("c_o"))
+    apart = F.sqrt(F.aggregate(F.zip_with("c", "c_o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
+    # The table of blocks has a row for each `block_rows` points.
+    meet = written(blocks.join(o, F.col("b") != F.col("o")).where(apart - F.col("r") - F.col("r_o") <= F.col("kth") + 1e-6).select("b", "o"), "meet")
+    left = dealt.join(meet, "b").select("id", "v", "b", "o")
+    right = named(dealt.withColumnRenamed("b", "o").join(named(meet), "o").select("id", "v", "b", "o"))
+    found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(lambda q, p: best(q, p), schema).unionByName(own)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")))
-    return ranked.where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") <= k).select("src", "dst", "d2", "rank")

@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from planarium.functions.geometry import inside
 
 
-def coverage_raster(cells: DataFrame, bounds: tuple[float, float, float, float], resolution: int) -> DataFrame:
+def extent(cells: DataFrame):
+    """One row (x0, x1, y0, y1): bounds of all vertices; zeros without any."""
+    v = cells.select(F.explode("poly").alias("p"))
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return v.agg(z(F.min("p.x")).alias("x0"), z(F.max("p.x")).alias("x1"), z(F.min("p.y")).alias("y0"), z(F.max("p.y")).alias("y1")).first()
+
+
+def coverage_raster(cells: DataFrame, bounds: tuple[float, float, float, float], columns: int, rows: int | None = None) -> DataFrame:
     """Rows (row, col, n): polygons over each pixel's centre; pixels that none covers are absent."""
     x0, x1, y0, y1 = bounds
-    px, py = (x1 - x0) / resolution, (y1 - y0) / resolution
-    index = lambda c, low, size: F.greatest(F.lit(0), F.least(F.lit(resolution - 1), F.floor((c - low) / size).cast("int")))
+    rows = rows or columns
+    px, py = (x1 - x0) / columns, (y1 - y0) / rows
+    index = lambda c, low, size, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.floor((c - low) / size).cast("int")))
     reach = lambda c, f: f(F.transform("poly", lambda p: p[c]))
     boxes = cells.where(F.size("poly") >= 3).where((reach("x", F.array_max) >= x0) & (reach("x", F.array_min) <= x1) & (reach("y", F.array_max) >= y0) & (reach("y", F.array_min) <= y1))
-    rows = boxes.select("poly", index(reach("x", F.array_min), x0, px).alias("c0"), index(reach("x", F.array_max), x0, px).alias("c1"), F.explode(F.sequence(index(reach("y", F.array_min), y0, py), index(reach("y", F.array_max), y0, py))).alias("row"))
-    pixels = rows.select("poly", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    stripes = boxes.select("poly", index(reach("x", F.array_min), x0, px, columns).alias("c0"), index(reach("x", F.array_max), x0, px, columns).alias("c1"), F.explode(F.sequence(index(reach("y", F.array_min), y0, py, rows), index(reach("y", F.array_max), y0, py, rows))).alias("row"))
+    pixels = stripes.select("poly", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
     return pixels.where(inside(F.col("poly"), x0 + (F.col("col") + 0.5) * px, y0 + (F.col("row") + 0.5) * py)).groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
-def coverage_stats(raster: DataFrame, resolution: int) -> DataFrame:
+def coverage_stats(raster: DataFrame, columns: int, rows: int | None = None) -> DataFrame:
     """One row (most, mean, std, covered, share) over covered pixels; zeros where none is."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return raster.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), z(F.avg("n")).alias("mean"), z(F.stddev_pop("n")).alias("std"), F.count("*").alias("covered"), (F.count("*") / float(resolution * resolution)).alias("share"))
+    return raster.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), z(F.avg("n")).alias("mean"), z(F.stddev_pop("n")).alias("std"), F.count("*").alias("covered"), (F.count("*") / float(columns * (rows or columns))).alias("share"))

@@ -6,6 +6,8 @@ by label; labels (cell_id, label) uses -1 for cells without a label.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from planarium.functions.ramps import argmin, ramp
 from planarium.operators.calibrate import labelled
 from planarium.operators.graph import both_ways, components
+from planarium.sources.store import written
 
 
 def neighbours(pairs: DataFrame, low: float, high: float, kind=ramp) -> DataFrame:
@@ -56,31 +59,37 @@ def jacobi_sweep(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: floa
 
 
 def icm_jacobi(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, most: int = 20) -> DataFrame:
-    """Sweeps until no label changes or `most` are done."""
+    """Sweeps until no label changes or `most` are done; each sweep is written."""
     for _ in range(most):
-        after = jacobi_sweep(labels, unary, nbrs, lam).cache()
-        changed = after.join(labels.select("cell_id", F.col("label").alias("old")), "cell_id").where("label <> old").count()
+        after = written(jacobi_sweep(labels, unary, nbrs, lam), "sweep")
+        changed = after.join(labels.select("cell_id", F.col("label").alias("old")), "cell_id").where("label <> old").limit(1).count()
         labels = after
         if not changed:
             break
     return labels
 
 
-def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, most: int = 50) -> DataFrame:
+#: Cells of a connected group that one task sweeps; larger groups go by waves.
+GROUP_CELLS = 50_000
+
+
+def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, most: int = 50, group_cells: int = GROUP_CELLS) -> DataFrame:
     """Sweeps in cell order with labels changed in place, exact and in parallel.
 
     Frozen neighbours are constants, so their push is folded into the unary and
-    only connected groups of cells that aren't frozen depend on each other; each
-    group is swept by itself.
+    only connected groups of cells that aren't frozen depend on each other.  A
+    group of at most `group_cells` cells is swept by itself in a task; larger
+    ones go by waves: a cell moves once all its neighbours of smaller id have.
     """
     free = labels.where("not frozen").select("cell_id")
     fixed = labels.where("frozen and label >= 0").select(F.col("cell_id").alias("j"), F.col("label").alias("k"))
     push = nbrs.join(fixed, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
     base = free.join(unary, "cell_id").join(push, "cell_id", "left").join(labels.select("cell_id", "label"), "cell_id").select("cell_id", "label", F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0))).alias("costs"))
-    inner = nbrs.join(free.select(F.col("cell_id").alias("i")), "i", "left_semi").join(free.select(F.col("cell_id").alias("j")), "j", "left_semi").select("i", "j", "w")
+    inner = written(nbrs.join(free.select(F.col("cell_id").alias("i")), "i", "left_semi").join(free.select(F.col("cell_id").alias("j")), "j", "left_semi").select("i", "j", "w"), "inner")
     group = components(free, inner)
+    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
+    rows = written(base.join(group.join(sizes, "component"), "cell_id"), "free")
     edges = inner.groupBy(F.col("i").alias("cell_id")).agg(F.collect_list(F.struct("j", "w")).alias("near"))
-    rows = base.join(group, "cell_id").join(edges, "cell_id", "left")
 
     def sweep(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cell_id").reset_index(drop=True)
@@ -101,5 +110,34 @@ def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: fl
                 break
         return pd.DataFrame({"cell_id": g["cell_id"], "label": label.astype("int32"), "frozen": False})
 
-    done = rows.groupBy("component").applyInPandas(sweep, "cell_id long, label int, frozen boolean")
+    small = rows.where(F.col("n") <= group_cells).join(edges, "cell_id", "left")
+    done = small.groupBy("component").applyInPandas(sweep, "cell_id long, label int, frozen boolean")
+    large = rows.where(F.col("n") > group_cells)
+    if not large.isEmpty():
+        swept = _waves(large.select("cell_id", F.col("label").cast("int").alias("label"), "costs"), inner, lam, most)
+        done = done.unionByName(swept.select("cell_id", "label", F.lit(False).alias("frozen")))
     return done.unionByName(labels.where("frozen").select("cell_id", "label", "frozen"))
+
+
+def _waves(cells: DataFrame, inner: DataFrame, lam: float, most: int) -> DataFrame:
+    """The same sweeps of cells (cell_id, label, costs) as rounds of joins: a wave has the cells whose smaller neighbours are all in waves before."""
+    inner = written(inner.join(cells.select(F.col("cell_id").alias("i")), "i", "left_semi"), "edges")
+    left, waves = cells.select("cell_id"), []
+    while not left.isEmpty():
+        held = inner.where("j < i").join(left.select(F.col("cell_id").alias("j")), "j", "left_semi").select(F.col("i").alias("cell_id")).distinct()
+        waves.append(written(left.join(held, "cell_id", "left_anti"), "wave"))
+        left = written(left.join(waves[-1], "cell_id", "left_anti"), "left")
+    now = [written(cells.join(w, "cell_id", "left_semi"), "labels") for w in waves]
+    for _ in range(most):
+        changed = 0
+        for k, w in enumerate(waves):
+            near = inner.join(w.select(F.col("cell_id").alias("i")), "i", "left_semi")
+            known = reduce(DataFrame.unionByName, [x.select(F.col("cell_id").alias("j"), F.col("label").alias("k")) for x in now]).where("k >= 0")
+            push = near.join(known, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+            cost = F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)))
+            moved = written(now[k].join(push, "cell_id", "left").select("cell_id", argmin(cost).alias("label"), "costs", F.col("label").alias("old")), "labels")
+            changed += moved.where("label <> old").limit(1).count()
+            now[k] = moved.select("cell_id", "label", "costs")
+        if not changed:
+            break
+    return reduce(DataFrame.unionByName, now)

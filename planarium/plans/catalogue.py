@@ -6,19 +6,22 @@ whole table.  Floats are rounded on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planarium.functions import geometry as g
 from planarium.functions import ramps
 from planarium.operators import calibrate, graph, metrics, pairs, raster, refine
+from planarium.operators.quantiles import exact_quantiles
 from planarium.sources import cells as source
+from planarium.sources.store import written
 
-RADIUS, LOW, HIGH, LAMBDA = 6.0, 0.1, 0.4, 2.0
+#: Twice the largest circumradius is 7, so pairs within 8 hold all that overlap.
+RADIUS, LOW, HIGH, LAMBDA = 8.0, 0.1, 0.4, 2.0
 BOX = (10.0, 90.0, 10.0, 90.0)
-GRID = 120
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,8 +48,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage pairs, rounded as in SQL so that thresholds fall alike."""
-    return pairs.coverage_map(_cells(spark, sf_dir), RADIUS).select("i", "j", F.round("cf", 6).alias("cf"))
+    """Coverage pairs; sums of them are rounded, never the fractions themselves, so that no sum lies on a tie."""
+    return pairs.coverage_map(_cells(spark, sf_dir), RADIUS)
 
 
 def _unary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ ring AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) nx, coalesce(
 shared AS (SELECT i,j,0.5*abs(sum((x-mx)*(ny-my)-(nx-mx)*(y-my))) AS s FROM ring GROUP BY i,j)"""
 )
 OK = "ok AS (SELECT * FROM cells WHERE NOT clipped)"
-PAIRS = f"WITH {CELLS}, {OK}, {_OVERLAP.format(cells='ok', r2=RADIUS * RADIUS)},\ncf AS (SELECT p.i, p.j, round(s/least(aa,ab), 6) AS cf FROM p JOIN shared USING (i, j) WHERE s/least(aa,ab) > 1e-9),\nlab AS (SELECT i, j, cf, a.label li, b.label lj, a.frozen fi, b.frozen fj FROM cf JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j)"
+PAIRS = f"WITH {CELLS}, {OK}, {_OVERLAP.format(cells='ok', r2=RADIUS * RADIUS)},\ncf AS (SELECT p.i, p.j, s/least(aa,ab) AS cf FROM p JOIN shared USING (i, j) WHERE s/least(aa,ab) > 1e-9),\nlab AS (SELECT i, j, cf, a.label li, b.label lj, a.frozen fi, b.frozen fj FROM cf JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j)"
 RAMP = f"least(1.0, greatest(0.0, (cf - {LOW}) / ({HIGH} - {LOW})))"
 NBRS = f",\nn0 AS (SELECT i, j, {RAMP} AS w FROM cf), nbrs AS (SELECT i, j, w FROM n0 WHERE w <> 0 UNION ALL SELECT j, i, w FROM n0 WHERE w <> 0)"
 UNARY = ",\nunary AS (SELECT cell_id, k, ((cell_id * (k + 3)) % 17) / 4.0 + CASE WHEN label = k THEN 0.0 ELSE 1.5 END AS c FROM cells, range(0, 5) t(k))"
@@ -181,7 +184,7 @@ def nn_distance(spark, sf_dir):
 @query(f"WITH {CELLS}, n AS (SELECT a.cell_id, any_value(a.label) label, sqrt(min({_D2})) d FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND a.label = b.label AND abs(a.cx-b.cx) < 110 AND abs(a.cy-b.cy) < 110 GROUP BY a.cell_id) SELECT label, count(*) AS n, round(stddev_pop(d)/avg(d), 5) AS cv, round(3*quantile_cont(d, 0.5), 5) AS radius FROM n GROUP BY label")
 def nnd_regularity(spark, sf_dir):
     c = _cells(spark, sf_dir)
-    near = pairs.nearest_distance(c, "label").join(c.select("cell_id", "label"), "cell_id").groupBy("label").agg(F.round(3 * F.percentile("nn_d", 0.5), 5).alias("radius"))
+    near = exact_quantiles(pairs.nearest_distance(c, "label").join(c.select("cell_id", "label"), "cell_id"), "nn_d", [0.5], ["label"]).select("label", F.round(3 * F.col("q_0"), 5).alias("radius"))
     return calibrate.nnd_cv(c).join(near, "label").select("label", "n", F.round("cv", 5).alias("cv"), "radius")
 
 
@@ -219,7 +222,7 @@ y AS (SELECT *, CASE WHEN cf IS NULL THEN 0.0 WHEN 0.7 - t <= 0 THEN CAST(cf > t
 SELECT src, dst, round(w*(1-rp), 5) AS scaled, round(greatest(0.0, w - 0.5*rp), 5) AS taken FROM y""")
 def repulsion_graph(spark, sf_dir):
     """Proximity edges weakened by coverage, in both ways of weakening."""
-    c, cf = pairs.proximity_map(_cells(spark, sf_dir), RADIUS).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("w")), _pairs(spark, sf_dir).cache()
+    c, cf = pairs.proximity_map(_cells(spark, sf_dir), RADIUS).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("w")), written(_pairs(spark, sf_dir), "pairs")
     tau = calibrate.tau_low_per_cluster(cf, _labels(spark, sf_dir))
     a, b = graph.repulsed(c, cf, tau, 0.7), graph.repulsed(c, cf, tau, 0.7, 0.5)
     return a.select("src", "dst", F.round("w", 5).alias("scaled")).join(b.select("src", "dst", F.round("w", 5).alias("taken")), ["src", "dst"])
@@ -312,17 +315,33 @@ def majority_labels(spark, sf_dir):
     return metrics.majority(_agreement(spark, sf_dir)).select("label", "y", "n", F.round("share", 6).alias("share"))
 
 
-_TILE = (0.0, 440.0, 0.0, 110.0)
+#: Width of a pixel; the grid spans all vertices, its origin on a multiple of the width.
+PIXEL = 2.5
 
 
-@query(f"{HEX}, px AS (SELECT rr AS row, cc AS col, (cc+0.5)*{_TILE[1] / GRID} x, (rr+0.5)*{_TILE[3] / GRID} y FROM range(0,{GRID}) a(rr), range(0,{GRID}) b(cc)), near AS (SELECT px.row, px.col, px.x, px.y, cell_id FROM px JOIN cells ON abs(cx-px.x) <= r AND abs(cy-px.y) <= r), hit AS (SELECT n.row, n.col, n.cell_id FROM near n JOIN v USING (cell_id) GROUP BY 1, 2, 3 HAVING min((v.x2-v.x)*(n.y-v.y)-(v.y2-v.y)*(n.x-v.x)) >= -1e-12) SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, count(*) AS n FROM hit GROUP BY 1, 2")
+def _grid(cells: DataFrame) -> tuple[tuple[float, float, float, float], int, int]:
+    """Bounds of the raster over all cells, and its numbers of columns and rows."""
+    b = raster.extent(cells)
+    x0, y0 = math.floor(b["x0"] / PIXEL) * PIXEL, math.floor(b["y0"] / PIXEL) * PIXEL
+    columns, rows = max(1, math.ceil((b["x1"] - x0) / PIXEL)), max(1, math.ceil((b["y1"] - y0) / PIXEL))
+    return (x0, x0 + columns * PIXEL, y0, y0 + rows * PIXEL), columns, rows
+
+
+_GRID = f"{HEX}, b AS (SELECT floor(min(x)/{PIXEL})*{PIXEL} x0, floor(min(y)/{PIXEL})*{PIXEL} y0, max(x) x1, max(y) y1 FROM v), near AS (SELECT cell_id, CAST(rr AS INT) AS row, CAST(cc AS INT) AS col, x0+(cc+0.5)*{PIXEL} x, y0+(rr+0.5)*{PIXEL} y FROM cells, b, range(-2, 3) o(dx), range(-2, 3) q(dy), LATERAL (SELECT floor((cx-x0)/{PIXEL})+dx AS cc, floor((cy-y0)/{PIXEL})+dy AS rr) WHERE rr >= 0 AND cc >= 0), hit AS (SELECT n.row, n.col, n.cell_id FROM near n JOIN v USING (cell_id) GROUP BY 1, 2, 3 HAVING min((v.x2-v.x)*(n.y-v.y)-(v.y2-v.y)*(n.x-v.x)) >= -1e-12)"
+
+
+@query(f"{_GRID} SELECT row, col, count(*) AS n FROM hit GROUP BY 1, 2")
 def coverage_raster(spark, sf_dir):
-    return raster.coverage_raster(_cells(spark, sf_dir), _TILE, GRID)
+    cells = _cells(spark, sf_dir)
+    bounds, columns, rows = _grid(cells)
+    return raster.coverage_raster(cells, bounds, columns, rows)
 
 
-@query(f"WITH rs AS ({ORACLE_SQL['coverage_raster']}) SELECT max(n) AS most, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS std, count(*) AS covered, round(count(*)/{GRID * GRID}.0, 6) AS share FROM rs")
+@query(f"WITH rs AS ({ORACLE_SQL['coverage_raster']}), g AS (SELECT greatest(1, ceil((x1-x0)/{PIXEL})) * greatest(1, ceil((y1-y0)/{PIXEL})) AS pixels FROM ({_GRID} SELECT * FROM b)) SELECT max(n) AS most, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS std, count(*) AS covered, round(count(*)/any_value(pixels), 6) AS share FROM rs, g")
 def coverage_stats(spark, sf_dir):
-    s = raster.coverage_stats(raster.coverage_raster(_cells(spark, sf_dir), _TILE, GRID), GRID)
+    cells = _cells(spark, sf_dir)
+    bounds, columns, rows = _grid(cells)
+    s = raster.coverage_stats(raster.coverage_raster(cells, bounds, columns, rows), columns, rows)
     return s.select("most", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "covered", F.round("share", 6).alias("share"))
 
 
@@ -331,7 +350,7 @@ def group_quantiles(spark, sf_dir):
     """Groups encoded in sorted order, exact quantiles and standardised means."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type is not null")
     s = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d")).first()
-    from pyspark.sql import Window
-
-    rows = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 5).alias("median"), F.round(F.percentile("value", 0.95), 5).alias("p95"), F.round(F.avg((F.col("value") - s["m"]) / s["d"]), 5).alias("z"))
-    return rows.select((F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long").alias("grp"), "n", "median", "p95", "z")
+    names = e.select("event_type").distinct().select("event_type", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long").alias("grp"))  # of the few distinct names
+    means = e.groupBy("event_type").agg(F.round(F.avg((F.col("value") - s["m"]) / s["d"]), 5).alias("z"))
+    q = exact_quantiles(e, "value", [0.5, 0.95], ["event_type"]).select("event_type", "n", F.round("q_0", 5).alias("median"), F.round("q_1", 5).alias("p95"))
+    return q.join(means, "event_type").join(names, "event_type").select("grp", "n", "median", "p95", "z")
