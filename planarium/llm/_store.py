@@ -1,43 +1,30 @@
-"""Tables that several jobs share: written once to the cluster's shared folder and read back."""
+"""Tables that several jobs share, and settings that all corpus operators need."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from planarium.operators.graph import stars
+from planarium.sources.store import dropped, new_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="planarium-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["bucketed", "components", "dropped", "new_path", "small_batches", "written"]
+
+#: Rows (node, root) of undirected edges (a, b).
+components = stars
 
 
 def small_batches(df: DataFrame, rows: int = 500) -> None:
-    """Hand rows to Python in small Arrow batches: whole texts come with them, and executors hold several batches."""
+    """Hand rows to Python in small Arrow batches: whole texts come with them, and executors hold several batches.
+
+    Plans are lazy, so the setting must outlast the call; it stays in the session, and only lowers a larger one.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, str(rows))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """As written, in buckets by `key`, so that later joins and groups by it don't move these rows.
 
@@ -50,29 +37,3 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     out.schema  # resolved while the entry exists
     spark.sql(f"DROP TABLE {table}")
     return out
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges: rows (node, root), root the smallest node of the component.
-
-    Alternates the large-star and small-star rewiring steps (Kiveris et al.,
-    2014) until no edge changes (more than `most_rounds` rounds are an error); each half round is one grouped minimum, so a
-    hub is pre-aggregated before it is shuffled.  Nodes without an edge are
-    absent.  Null ends and self loops are ignored; no edges give no rows.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e, before = written(e, "edges"), None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = written(small, "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
