@@ -39,12 +39,16 @@ FULL = 0.9
 ABOUT = {"length", "len", "count", "size", "type", "limit", "name", "id", "url", "uri", "path", "file", "field", "ttl", "expires", "expiry", "policy", "index", "enabled", "required"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|(?:\[secret\])+|\*+|\.+|none|null|true|false|todo|changeme|example|password|secret|token|test|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 
-_LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'"
+# Literals: triple-quoted ones may span lines, others may hold escaped characters.
+_LITERAL = r"\"\"\".*?\"\"\"|\x27\x27\x27.*?\x27\x27\x27|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.\-])[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)[\"']?\x20*(?::=|=>|[:=])\x20*"
+    r"(?s)(?<![A-Za-z0-9_.\-])[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)[\"']?\x20*(?::=|=>|[:=])\x20*"
     rf"(?P<value>(?:{_LITERAL}|[A-Za-z0-9+/_.=\-]+)(?:\x20*\+\x20*(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*))*)"
 )
-_PART = re.compile(rf"(?P<q>{_LITERAL})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
+_PART = re.compile(rf"(?s)(?P<q>{_LITERAL})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
+#: An element of mark-up with its content, and a block that a configuration file indents below its key.
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)>(?P<value>[^<>\n]+)</(?P=name)>")
+_INDENTED = re.compile(r"(?m)^(?P<in>\x20*)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*):\x20*[|>][+-]?\n(?P<value>(?:(?P=in)\x20+\S[^\n]*(?:\n|\Z))+)")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -83,35 +87,83 @@ def fully_sensitive(name: str) -> bool:
     return name_weight(name) >= FULL and found[-1].lower() not in ABOUT
 
 
-def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, directly, joined or through other names."""
-    if ":" not in text and "=" not in text:
-        return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    found: dict[tuple[int, int], float] = {}
+class _Value:
+    """What a name was given: literals (value, start, end) and references to what other names were given."""
+
+    __slots__ = ("parts",)
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def literals(self) -> list[tuple[str, int, int]]:
+        """The distinct literals that flow in, each once, however often names repeat them."""
+        out: dict[tuple[int, int], str] = {}
+        seen, todo = {id(self)}, [iter(self.parts)]
+        while todo:
+            for x in todo[-1]:
+                if isinstance(x, _Value):
+                    if id(x) not in seen:
+                        seen.add(id(x))
+                        todo.append(iter(x.parts))
+                        break
+                else:
+                    out.setdefault((x[1], x[2]), x[0])
+            else:
+                todo.pop()
+        return [(v, a, b) for (a, b), v in out.items()]
+
+
+def _assignments(text: str) -> list[tuple[str, _Value, bool]]:
+    """Name-value pairs in order, and whether a call or index follows; a name used before its assignment means the first one after."""
+    known: dict[str, _Value] = {}
+    first: dict[str, _Value] = {}
+    open_: list[tuple[list, int, str]] = []
+    out: list[tuple[str, _Value, bool]] = []
     for m in _PAIR.finditer(text):
-        parts: list[tuple[str, int, int]] = []
+        parts: list = []
         base = m.start("value")
         for p in _PART.finditer(m["value"]):
             a, b = base + p.start(), base + p.end()
             if p["q"] is not None:
-                parts.append((p["q"][1:-1], a + 1, b - 1))
+                k = 3 if p["q"][:3] in ('"""', "\'\'\'") and len(p["q"]) >= 6 else 1
+                parts.append((p["q"][k:-k], a + k, b - k))
             elif not p["bare"].strip("+"):  # the sign between two parts
                 continue
             elif p["bare"] in known:
-                parts += known[p["bare"]]
+                parts.append(known[p["bare"]])
             else:
+                open_.append((parts, len(parts), p["bare"]))
                 parts.append((p["bare"], a, b))
-        known[m["name"]] = parts
-        weight = name_weight(m["name"])
-        if weight:
-            value = "".join(v for v, _, _ in parts)
-            call = text[m.end() : m.end() + 1] in tuple("([")  # no literal
-            named = fully_sensitive(m["name"]) and value.strip() and not call and not PLACEHOLDER.match(value.strip())
-            score = 1.0 if named else weight * literal_weight(value)
-            if score >= least:
-                for _, a, b in parts:
-                    found[a, b] = max(found.get((a, b), 0.0), score)
+        value = known[m["name"]] = _Value(parts)
+        first.setdefault(m["name"], value)
+        out.append((m["name"], value, text[m.end() : m.end() + 1] in ("(", "[")))
+    for parts, i, name in open_:
+        if name in first:
+            parts[i] = first[name]
+    if "</" in text:
+        out += [(m["name"], _Value([(m["value"], m.start("value"), m.end("value"))]), False) for m in _ELEMENT.finditer(text)]
+    if ":" in text and ("|" in text or ">" in text):
+        for m in _INDENTED.finditer(text):
+            a, b = m.start("value"), m.end("value")
+            v = text[a:b]
+            out.append((m["name"], _Value([(v.strip(), a + len(v) - len(v.lstrip()), b - len(v) + len(v.rstrip()))]), False))
+    return out
+
+
+def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
+    """Literals that reach a sensitive name, directly, joined or through other names, before or after their use."""
+    if ":" not in text and "=" not in text and "</" not in text:
+        return []
+    found: set[tuple[int, int]] = set()
+    for name, given, call in _assignments(text):
+        weight = name_weight(name)
+        if not weight:
+            continue
+        parts = given.literals()
+        value = "".join(v for v, _, _ in parts)
+        named = fully_sensitive(name) and value.strip() and not call and not PLACEHOLDER.match(value.strip())
+        if named or weight * literal_weight(value) >= least:
+            found.update((a, b) for _, a, b in parts)
     return [(a, b, "flow") for a, b in found if b > a]
 
 
