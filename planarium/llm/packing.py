@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
-Documents are dealt to shards by a salted hash, so neither a hot source nor a
-large group of copies meets in one task; each shard is packed on its own, the
+Documents are dealt to shards by a hash of the row and its input partition, so
+neither a hot source, nor a repeated or missing id, nor a large group of copies
+meets in one task; each shard is packed on its own, the
 longest pieces first.  Bins are kept in order of residual capacity and carry
 two bitmaps: the duplicate clusters they hold, of which each may occur once,
 and their sources, in planes that count up to the allowed number.  The search
@@ -66,7 +67,7 @@ class Bins:
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """Bins of one shard; rows (doc_id, source, cluster, n)."""
-    rows = rows.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+    rows = rows.sort_values(["n", "doc_id", "cluster", "source"], ascending=[False, True, True, True], kind="stable", na_position="last")
     sources = {s: i for i, s in enumerate(rows["source"].drop_duplicates())}
     counts = rows["cluster"].value_counts()
     clusters = {c: i for i, c in enumerate(counts[counts > 1].index)}
@@ -87,12 +88,13 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
     return got
 
 
-def best_fit(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_docs: int = SHARD_DOCS, cluster: str | None = None) -> DataFrame:
     """Rows (shard, bin, doc_id, piece, start, length, offset) for the pieces of docs(doc_id, text, source).
 
     Lengths are counted in words of the whole text.  A document of the bin's
     capacity or more is cut into whole bins and a rest.  A bin holds no two
-    documents of equal text and at most `per_source` pieces of one source.  A
+    documents of equal text (with `cluster`, a column of numbers: of one
+    non-null cluster) and at most `per_source` pieces of one source.  A
     null source is a source of its own; a null or blank text has length 0 and
     one row without a bin; rows that repeat a doc_id are packed one by one; no
     rows give no rows.  Other columns are not read.  Bin numbers count from 0
@@ -100,11 +102,11 @@ def best_fit(docs: DataFrame, capacity: int = 4096, per_source: int = 8, shard_d
     """
     small_batches(docs)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("\x00")).alias("source"), F.xxhash64("text").alias("cluster"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("\x00")).alias("source"), (F.col(cluster).cast("long") if cluster else F.xxhash64("text")).alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n"),
     )
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(shards)).cast("long"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source", F.spark_partition_id()), F.lit(shards)).cast("long"))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(group, capacity, per_source)
