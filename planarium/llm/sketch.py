@@ -45,6 +45,10 @@ def decode(text: str) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(U64)
 
 
+#: Bytes of text of one range of ids (about).
+PART_BYTES = 16 << 20
+
+
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """Sketch of the union of two sets from their sketches."""
     return np.union1d(a, b)[:k]
@@ -130,8 +134,8 @@ def compared(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.select(key.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    parts = parts or max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    cuts = sorted(set(rows.select(key.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     # One number a range: the part is the number of cuts at or below the id.
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key.cast("double"))) if cuts else F.lit(0)
     rows = rows.withColumn("part", part.cast("int")).withColumn("guard", F.lit(False))
@@ -140,5 +144,10 @@ def compared(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     to = spark.createDataFrame([(r["first"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], "first long, to int")
     guards = rows.join(F.broadcast(to), key == F.col("first")).groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", F.col("to").alias("part"), F.lit(True).alias("guard"))
-    dealt = rows.unionByName(guards).repartition(len(firsts), "part").sortWithinPartitions("part", "guard", "doc_id", "text")
+    # Each part goes to a partition of its own: its name there is a number that hashes to the partition.
+    n = len(firsts)
+    slots = spark.range(40 * n).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("slot")).agg(F.min("name").alias("name"))
+    names = {r["slot"]: r["name"] for r in slots.collect()}
+    order = spark.createDataFrame([(r["part"], names.get(i, i)) for i, r in enumerate(firsts)], "part int, name int")
+    dealt = rows.unionByName(guards).join(F.broadcast(order), "part").repartition(n, "name").sortWithinPartitions("part", "guard", "doc_id", "text")
     return dealt.mapInArrow(lambda it: _compare(it, k), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
