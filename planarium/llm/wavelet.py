@@ -1,21 +1,24 @@
 """Token ids as wavelet matrices: one compressed file per shard.
 
 A shard keeps the token ids of consecutive documents as the bit-planes of a
-wavelet matrix over the shard's own alphabet.  From the file alone, without
-decoding it whole, `WaveletMatrix` answers access(i), rank(token, i) and
-select(token, j); `decode` restores all ids plane by plane.
-
-File format (little-endian): the magic b"PWM1"; five unsigned 64-bit numbers
-(tokens n, alphabet size s, planes k, documents d, payload bytes); then a
-zstd-compressed payload: s uint32 alphabet values in ascending order, d int64
-document ids, d uint8 flags (1: the row has no id), d uint64 token counts,
-and k planes of ceil(n / 8) bytes, most significant plane first, bits in
-numpy's big order.  Ones counted before each block of 512 bits are rebuilt on
-opening.
+wavelet matrix over the shard's own alphabet.  Planes are compressed in blocks
+that can be read alone, beside a directory of the ones before each block.  So
+`WaveletFile` answers access(i), rank(token, i) and select(token, j) from the
+compressed file with one block a plane; `decode` restores all ids at once.
+
+File format (little-endian): the magic b"PWM2"; six unsigned 64-bit numbers
+(tokens n, alphabet size s, planes k, documents d, blocks of a plane m, bytes
+of the head); the head, zstd-compressed: s uint32 alphabet values in ascending
+order, d int64 document ids, d uint8 flags (1: the row has no id), d uint64
+token counts, k x (m + 1) uint32 ones before each block of a plane and in all,
+k x m + 1 uint64 offsets of blocks after the head; then the blocks, plane after
+plane, most significant first, each 8192 bytes or the rest of the plane, bits
+in numpy's big order, zstd-compressed on its own.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,69 +34,45 @@ from pyspark.sql import functions as F
 from planarium.llm._store import new_path, small_batches, written
 from planarium.llm._text import prefix_hash, slices, span_hash, utf8
 
-MAGIC = b"PWM1"
+MAGIC = b"PWM2"
 #: Token ids of one shard before it is closed (a longer document makes a longer shard).
 SHARD_TOKENS = 1_000_000
 #: Words whose ids one Python worker remembers.
 REMEMBERED = 2_000_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_BLOCK = 64
+#: Bytes of a plane between two counts in memory, and in one block of the file.
+_STEP, _BLOCK = 64, 8192
 
 
-class WaveletMatrix:
-    """Bit-planes with rank and select over a sequence of token ids."""
+def _before(plane: np.ndarray, step: int) -> np.ndarray:
+    """Ones before each `step` bytes of a plane, and in all."""
+    ones = np.zeros(-(-len(plane) // step) * step, dtype=np.uint8)
+    ones[: len(plane)] = _ONES[plane]
+    return np.concatenate([[0], np.cumsum(ones.reshape(-1, step).sum(axis=1, dtype=np.int64))])
 
-    def __init__(self, alphabet: np.ndarray, planes: list[np.ndarray], n: int):
-        self.alphabet, self.planes, self.n = alphabet, planes, n
-        self._zeros: list[int] = []
-        self._counts: list[np.ndarray] = []
-        for p in planes:
-            ones = np.zeros(-(-len(p) // _BLOCK) * _BLOCK, dtype=np.uint8)
-            ones[: len(p)] = _ONES[p]
-            counts = np.concatenate([[0], np.cumsum(ones.reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64))])
-            self._counts.append(counts)
-            self._zeros.append(n - int(counts[-1]))
 
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        seen = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=bool)
-        seen[ids] = True
-        alphabet = np.flatnonzero(seen).astype(np.uint32)
-        code = np.zeros(len(seen), dtype=np.uint32 if len(alphabet) > 65536 else np.uint16)
-        code[alphabet] = np.arange(len(alphabet))
-        x, planes = code[ids], []
-        for level in range(max(len(alphabet) - 1, 0).bit_length() - 1, -1, -1):
-            bit = (x & x.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(bit))
-            x = np.concatenate([x[~bit], x[bit]])
-        return cls(alphabet, planes, len(ids))
+class _Ranked:
+    """Access, rank and select by the ones before a position (`_ones`) and the bit there (`_bit`) of each plane."""
 
-    def decode(self) -> np.ndarray:
-        """All ids, in order."""
-        kind = np.uint32 if len(self.alphabet) > 65536 else np.uint16
-        x = np.zeros(self.n, dtype=kind)
-        for level, (p, zeros) in enumerate(zip(reversed(self.planes), reversed(self._zeros))):
-            bit = np.unpackbits(p, count=self.n).view(bool)
-            y = np.empty(self.n, dtype=kind)
-            y[~bit] = x[:zeros]
-            y[bit] = x[zeros:] | kind(1 << level)
-            x = y
-        return self.alphabet[x] if self.n else np.zeros(0, np.uint32)
+    alphabet: np.ndarray
+    n: int
+    levels: int
+    _zeros: list[int]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        byte, block = i >> 3, (i >> 3) // _BLOCK
-        p = self.planes[level]
-        n = int(self._counts[level][block]) + int(_ONES[p[block * _BLOCK : byte]].sum())
-        return n + (bin(int(p[byte]) >> (8 - (i & 7))).count("1") if i & 7 else 0)
+        raise NotImplementedError
+
+    def _bit(self, level: int, i: int) -> int:
+        raise NotImplementedError
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         code = 0
-        for level, p in enumerate(self.planes):
-            bit = int(p[i >> 3]) >> (7 - (i & 7)) & 1
+        for level in range(self.levels):
+            bit = self._bit(level, i)
             ones = self._ones(level, i)
             i = self._zeros[level] + ones if bit else i - ones
             code = code << 1 | bit
@@ -108,8 +87,8 @@ class WaveletMatrix:
         code, lo, hi = self._code(token), 0, self.n if i is None else min(i, self.n)
         if code is None:
             return 0
-        for level in range(len(self.planes)):
-            bit = code >> (len(self.planes) - 1 - level) & 1
+        for level in range(self.levels):
+            bit = code >> (self.levels - 1 - level) & 1
             a, b = self._ones(level, lo), self._ones(level, hi)
             lo, hi = (self._zeros[level] + a, self._zeros[level] + b) if bit else (lo - a, hi - b)
         return hi - lo
@@ -121,12 +100,12 @@ class WaveletMatrix:
         code = self._code(token)
         if code is None or not 0 <= j < self.rank(token):
             return -1
-        at, bits = 0, [code >> (len(self.planes) - 1 - k) & 1 for k in range(len(self.planes))]
+        at, bits = 0, [code >> (self.levels - 1 - k) & 1 for k in range(self.levels)]
         for level, bit in enumerate(bits):
             a = self._ones(level, at)
             at = self._zeros[level] + a if bit else at - a
         at += j
-        for level in range(len(self.planes) - 1, -1, -1):
+        for level in range(self.levels - 1, -1, -1):
             target = at - self._zeros[level] if bits[level] else at
             lo, hi = 0, self.n
             while lo < hi:  # the smallest prefix with more than `target` such bits
@@ -140,29 +119,118 @@ class WaveletMatrix:
         return at
 
 
+class WaveletMatrix(_Ranked):
+    """Bit-planes in memory."""
+
+    def __init__(self, alphabet: np.ndarray, planes: list[np.ndarray], n: int):
+        self.alphabet, self.planes, self.n, self.levels = alphabet, planes, n, len(planes)
+        self._counts = [_before(p, _STEP) for p in planes]
+        self._zeros = [n - int(c[-1]) for c in self._counts]
+
+    @classmethod
+    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        seen = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=bool)
+        seen[ids] = True
+        alphabet = np.flatnonzero(seen).astype(np.uint32)
+        code = np.zeros(len(seen), dtype=np.uint32 if len(alphabet) > 65536 else np.uint16)
+        code[alphabet] = np.arange(len(alphabet))
+        x, planes = code[ids], []
+        for level in range(max(len(alphabet) - 1, 0).bit_length() - 1, -1, -1):
+            bit = (x & x.dtype.type(1 << level)) != 0
+            planes.append(np.packbits(bit))
+            x = np.concatenate([x[~bit], x[bit]])
+        return cls(alphabet, planes, len(ids))
+
+    def decode(self) -> np.ndarray:
+        """All ids, in order."""
+        kind = np.uint32 if len(self.alphabet) > 65536 else np.uint16
+        x = np.zeros(self.n, dtype=kind)
+        for level, (p, zeros) in enumerate(zip(reversed(self.planes), reversed(self._zeros))):
+            bit = np.unpackbits(p, count=self.n).view(bool)
+            y = np.empty(self.n, dtype=kind)
+            y[~bit] = x[:zeros]
+            y[bit] = x[zeros:] | kind(1 << level)
+            x = y
+        return self.alphabet[x] if self.n else np.zeros(0, np.uint32)
+
+    def _ones(self, level: int, i: int) -> int:
+        """Ones among the first i bits of a plane."""
+        byte, step = i >> 3, (i >> 3) // _STEP
+        p = self.planes[level]
+        n = int(self._counts[level][step]) + int(_ONES[p[step * _STEP : byte]].sum())
+        return n + (bin(int(p[byte]) >> (8 - (i & 7))).count("1") if i & 7 else 0)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self.planes[level][i >> 3]) >> (7 - (i & 7)) & 1
+
+class WaveletFile(_Ranked):
+    """A shard's file, opened for random access; only the head and the blocks asked for are read and kept."""
+
+    def __init__(self, f):
+        self._f = f
+        f.seek(0)
+        if f.read(4) != MAGIC:
+            raise ValueError("not a wavelet matrix file")
+        self.n, s, self.levels, d, self._m, size = struct.unpack("<6Q", f.read(48))
+        head = zstandard.ZstdDecompressor().decompress(f.read(size))
+        self._base, at = 52 + size, 0
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(head, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.alphabet, docs, none, self.lengths = take("<u4", s), take("<i8", d), take(np.uint8, d), take("<u8", d)
+        self.docs = [None if x else y for x, y in zip(none.tolist(), docs.tolist())]
+        self._counts = take("<u4", self.levels * (self._m + 1)).reshape(self.levels, self._m + 1).astype(np.int64)
+        self._offsets = take("<u8", self.levels * self._m + 1)
+        self._zeros = [self.n - int(c[-1]) for c in self._counts]
+        self._read: dict[tuple[int, int], np.ndarray] = {}
+
+    def block(self, level: int, b: int) -> np.ndarray:
+        """The bytes of one block of a plane."""
+        if (level, b) not in self._read:
+            i = level * self._m + b
+            self._f.seek(self._base + int(self._offsets[i]))
+            raw = self._f.read(int(self._offsets[i + 1] - self._offsets[i]))
+            self._read[level, b] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+        return self._read[level, b]
+
+    def _ones(self, level: int, i: int) -> int:
+        byte, b = i >> 3, (i >> 3) // _BLOCK
+        if b == self._m:
+            return int(self._counts[level][b])
+        p = self.block(level, b)
+        n = int(self._counts[level][b]) + int(_ONES[p[: byte - b * _BLOCK]].sum(dtype=np.int64))
+        return n + (bin(int(p[byte - b * _BLOCK]) >> (8 - (i & 7))).count("1") if i & 7 else 0)
+
+    def _bit(self, level: int, i: int) -> int:
+        b = (i >> 3) // _BLOCK
+        return int(self.block(level, b)[(i >> 3) - b * _BLOCK]) >> (7 - (i & 7)) & 1
+
+    def matrix(self) -> WaveletMatrix:
+        """All planes, in memory."""
+        planes = [np.concatenate([self.block(k, b) for b in range(self._m)]) if self._m else np.zeros(0, np.uint8) for k in range(self.levels)]
+        return WaveletMatrix(self.alphabet, planes, self.n)
+
+
 def pack(ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> bytes:
     """A shard's file."""
     m = WaveletMatrix.build(ids)
-    payload = zstandard.ZstdCompressor(level=1).compress(
-        b"".join([m.alphabet.astype("<u4").tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes(), *(p.tobytes() for p in m.planes)])
-    )
-    return MAGIC + struct.pack("<5Q", m.n, len(m.alphabet), len(m.planes), len(docs), len(payload)) + payload
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    many = -(-(-(-m.n // 8)) // _BLOCK)
+    blocks = [zip_(p[b * _BLOCK : (b + 1) * _BLOCK].tobytes()) for p in m.planes for b in range(many)]
+    counts = np.array([_before(p, _BLOCK) for p in m.planes], dtype="<u4")
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype("<u8")
+    head = zip_(b"".join([m.alphabet.astype("<u4").tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes(), counts.tobytes(), offsets.tobytes()]))
+    return b"".join([MAGIC, struct.pack("<6Q", m.n, len(m.alphabet), len(m.planes), len(docs), many, len(head)), head, *blocks])
 
 
 def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix, document ids and token counts of a shard's file."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet matrix file")
-    n, s, k, d, size = struct.unpack_from("<5Q", data, 4)
-    raw = zstandard.ZstdDecompressor().decompress(data[44 : 44 + size])
-    at = 4 * s
-    alphabet = np.frombuffer(raw, "<u4", s)
-    docs = np.frombuffer(raw, "<i8", d, at)
-    none = np.frombuffer(raw, np.uint8, d, at + 8 * d)
-    lengths = np.frombuffer(raw, "<u8", d, at + 9 * d)
-    at, width = at + 17 * d, -(-n // 8)
-    planes = [np.frombuffer(raw, np.uint8, width, at + i * width) for i in range(k)]
-    return WaveletMatrix(alphabet, planes, n), [None if x else y for x, y in zip(none.tolist(), docs.tolist())], lengths
+    """The matrix, document ids and token counts of a shard's file, read whole."""
+    f = WaveletFile(io.BytesIO(data))
+    return f.matrix(), f.docs, f.lengths
 
 
 class WordEncoder:
@@ -275,7 +343,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def word_encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -291,7 +359,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
     A file appears under its name only when it is whole, and a task that runs again writes the same files.
     """
     fs, root = _open(folder)
-    encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+    encoder, part, seq = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
     docs: list[int | None] = []
     lengths: list[int] = []
     held: list[np.ndarray] = []
@@ -303,6 +371,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str
         temporary = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
         with fs.open_output_stream(temporary) as f:
             f.write(pack(np.concatenate(held), docs, lengths))
+        if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+            fs.delete_file(f"{root}/{name}")  # of an earlier attempt: not every store renames onto a name in use
         fs.move(temporary, f"{root}/{name}")
         row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_docs": [len(docs)], "n_tokens": [total]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
         docs, lengths, held, total, seq = [], [], [], 0, seq + 1
@@ -343,12 +413,14 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end: int =
     return written(files.withColumn("inner", inner).join(before, "part").select("part", "seq", "name", "n_docs", "n_tokens", (F.col("ahead") + F.col("inner")).alias("start")), "manifest")
 
 
-def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _read_shards(batches: Iterator[pa.RecordBatch], folder: str, end: int | None) -> Iterator[pa.RecordBatch]:
     fs, root = _open(folder)
     for batch in batches:
         for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):
             with fs.open_input_stream(f"{root}/{name}") as f:
                 m, docs, lengths = unpack(f.read())
+            if end is not None and m.count(end) < len(docs):
+                raise ValueError(f"{name} has fewer ends than documents")
             ids = m.decode().astype("<u4")
             ends = np.cumsum(lengths.astype(np.int64))
             raw = memoryview(ids).cast("B")
@@ -357,13 +429,38 @@ def _read_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([name] * len(docs), pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
 
-def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """Decode the files of a manifest: (doc_id, start, n_tokens, ids_crc32, file) for each document."""
-    tasks = manifest.select("name", "start").repartition(F.col("name"))
-    return tasks.mapInArrow(lambda it: _read_shards(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+def read_token_shards(manifest: DataFrame, folder: str, end: int | None = None) -> DataFrame:
+    """Decode the files of a manifest: (doc_id, start, n_tokens, ids_crc32, file) for each document.
+
+    With `end`, each file must hold that id as often as documents.
+    """
+    tasks = manifest.select("name", "start")
+    # A fixed number of tasks: the manifest is small, the files are not.
+    tasks = tasks.repartition(max(1, -(-tasks.count() // 4)), "name")
+    return tasks.mapInArrow(lambda it: _read_shards(it, folder, end), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_shards(docs: DataFrame, tokenizer: str, end: int = 0, shard_tokens: int = SHARD_TOKENS, folder: str | None = None) -> DataFrame:
     """Write the shards and describe each document from the files read back."""
     folder = folder or new_path(docs.sparkSession, "wavelet")
-    return read_token_shards(write_token_shards(docs, folder, tokenizer, end, shard_tokens), folder)
+    return read_token_shards(write_token_shards(docs, folder, tokenizer, end, shard_tokens), folder, end)
+
+
+def occurrences(manifest: DataFrame, folder: str, token: int, most: int = 100) -> DataFrame:
+    """Rows (file, n, positions): how often a token occurs in each file, and where first, from rank and select alone.
+
+    Positions count over all files and are limited to `most` a file; only the
+    blocks on the way are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(folder)
+        for batch in batches:
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    m = WaveletFile(f)
+                    n = m.count(token)
+                    at = [start + m.select(token, j) for j in range(min(n, most))]
+                yield pa.RecordBatch.from_pydict({"file": [name], "n": [n], "positions": [at]}, schema=pa.schema([("file", pa.string()), ("n", pa.int64()), ("positions", pa.list_(pa.int64()))]))
+
+    return manifest.select("name", "start").repartition(max(1, -(-manifest.count() // 4)), "name").mapInArrow(run, "file string, n long, positions array<long>")
