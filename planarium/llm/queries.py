@@ -54,12 +54,16 @@ def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in; those of one fold are counted anew by the second tokenizer version, those of another leave."""
+    """All documents come in; those of one fold are counted anew by a second tokenizer, those of another leave."""
+    import public_tokenizers
+
     docs = _documents(spark, sf_dir)
     ledger = rollup.TokenLedger(spark, new_path(spark, "rollup"))
-    ledger.commit(1, rollup.count_tokens(docs, "words-1").withColumn("op", F.lit("insert")))
-    ledger.commit(2, rollup.count_tokens(docs.where(F.col("doc_id") % 10 == 3), "pieces-2").withColumn("op", F.lit("revise")))
-    ledger.commit(3, rollup.count_tokens(docs.where(F.col("doc_id") % 10 == 7).withColumn("text", F.lit("")), "words-1").withColumn("op", F.lit("delete")))
+    bytes_, words = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    ledger.commit(1, rollup.count_tokens(docs, "byte_bpe_50k", bytes_).withColumn("op", F.lit("insert")))
+    ledger.commit(2, rollup.count_tokens(docs.where(F.col("doc_id") % 10 == 3), "word_bpe_49k", words).withColumn("op", F.lit("revise")))
+    gone = docs.where(F.col("doc_id") % 10 == 7).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.lit("byte_bpe_50k").alias("version"), F.lit(0).cast("long").alias("n_tokens"))
+    ledger.commit(3, gone.withColumn("op", F.lit("delete")))
     return ledger.totals()
 
 
@@ -77,14 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-ORACLE_SQL: dict[str, str] = {
-    "op8_token_rollup": r"""
-SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM (
-  SELECT source, lang, CASE WHEN doc_id % 10 = 3 THEN 'pieces-2' ELSE 'words-1' END AS version,
-         CASE WHEN doc_id % 10 = 3 THEN len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]+'))
-              ELSE len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) END AS n
-  FROM documents WHERE doc_id % 10 <> 7
-) GROUP BY source, lang, version
-""",
-}
+#: None of these can be put in SQL: they depend on tokenizers, trained models, whole-set joins or packing orders.
+ORACLE_SQL: dict[str, str] = {}

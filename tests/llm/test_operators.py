@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and edge cases."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planarium.llm import decontam, langid, lm, ngram_join, packing, rollup, secrets, sketch, suffix_dedup, wavelet
+from planarium.llm import decontam, langid, lm, ngram_join, packing, queries, rollup, secrets, sketch, suffix_dedup, wavelet
 from planarium.llm._store import components, new_path
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -74,6 +75,24 @@ def test_wavelet_access_rank_select():
     assert wavelet.unpack(wavelet.pack(np.zeros(0, np.uint32), [], []))[0].decode().tolist() == []
 
 
+def test_wavelet_file_answers_from_its_blocks():
+    ids = np.random.default_rng(2).integers(0, 300, 200_000).astype(np.uint32)
+    f = wavelet.WaveletFile(io.BytesIO(wavelet.pack(ids, [1], [200_000])))
+    assert [f.access(i) for i in (0, 65_535, 65_536, 199_999)] == ids[[0, 65_535, 65_536, 199_999]].tolist()
+    assert len(f._read) <= 4 * f.levels < f.levels * 9 or f._m < 9
+    at = np.flatnonzero(ids == 17)
+    assert f.count(17) == len(at) and f.rank(17, 70_000) == (at < 70_000).sum() and f.rank(17, 200_000) == len(at) and f.count(999) == 0
+    assert [f.select(17, j) for j in (0, 5, len(at) - 1)] == at[[0, 5, len(at) - 1]].tolist() and f.select(17, len(at)) == -1
+
+
+def test_wavelet_occurrences(spark, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    manifest = wavelet.write_token_shards(table(spark, corpus()), folder, BPE, shard_tokens=3000)
+    got = wavelet.occurrences(manifest, folder, 0).collect()
+    ends = sorted(r["start"] + r["n_tokens"] - 1 for r in wavelet.read_token_shards(manifest, folder).collect())
+    assert sorted(p for r in got for p in r["positions"]) == ends and sum(r["n"] for r in got) == len(ends)
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -221,6 +240,16 @@ def test_secret_scan_by_name_alone(spark):
     assert not any(v in r["text"] for r in secrets.mask_secrets(docs).collect() for d, _, v in rows if d == r["doc_id"])
 
 
+def test_secret_scan_follows_names_once():
+    t = 'a0 = "hunterpassword"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, 200)) + "password = a199"
+    assert secrets.scan(t)[1] == sorted({(6, 20, "flow")})
+    later = 'password = value\nvalue = "opensesame99"\n'
+    assert (later.index("opensesame99"), later.index("opensesame99") + 12, "flow") in secrets.scan(later)[1]
+    for text, value in [('secret_text = """one\ntwo three"""', "one\ntwo three"), (r'passphrase = "a\"b c d e"', r'a\"b c d e'), ("<password>horse-staple</password>", "horse-staple"), ("db:\n  passphrase: |\n    line one\n    line two\nname: x", "line one\n    line two")]:
+        a = text.index(value)
+        assert (a, a + len(value), "flow") in secrets.scan(text)[1], text
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 64, 100, 250]) + [f"u{i % 50}"]), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(300)] + [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (None, "x y", "en", "a", 0), (5, "again five", "en", "b", 0)]
@@ -246,6 +275,32 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins.place(3, 3, 5) == (1, 7)
 
 
+def test_bins_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(20):
+        bins, plain = packing.Bins(20, 2), []  # plain: [residual, clusters, sources]
+        for _ in range(120):
+            n, s, c = rng.randint(1, 19), rng.randint(0, 3), rng.choice([-1, -1, 0, 1])
+            fits = [(r, i) for i, (r, cl, so) in enumerate(plain) if r >= n and c not in cl and so.count(s) < 2]
+            b, offset = bins.place(n, s, c)
+            if fits:
+                assert plain[b][0] == min(fits)[0] and (plain[b][0], b) in fits
+            else:
+                assert b == len(plain)
+                plain.append([20, set(), []])
+            assert offset == 20 - plain[b][0]
+            plain[b][0] -= n
+            plain[b][1] |= {c} - {-1}
+            plain[b][2].append(s)
+
+
+def test_packing_by_cluster(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "s%d" % i, i // 4) for i in range(40)], "doc_id long, text string, source string, c int")
+    got = packing.best_fit(docs, capacity=40, cluster="c").toPandas()
+    assert len(got) == 40 and not got.assign(c=got["doc_id"] // 4).duplicated(["shard", "bin", "c"]).any()
+    assert packing.best_fit(docs.withColumn("doc_id", F.lit(None).cast("long")), shard_docs=4).count() == 40
+
+
 def test_language_model(spark):
     rows = corpus(6) + [(None, "w1 w2")]
     held = F.col("doc_id") % 5 == 1
@@ -339,6 +394,35 @@ def test_token_rollup(spark):
     assert totals() == {("a", "en", "v1", 1, 10), ("a", None, "v1", 1, 5), (None, "de", "v1", 1, 0)} and ledger.committed() == [1, 2, 3, 4]
 
 
+def test_token_rollup_order_and_compaction(spark):
+    ledger = rollup.TokenLedger(spark, new_path(spark, "t"))
+    change = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, n_tokens long")
+    ledger.commit(2, change([("insert", 1, "a", "en", "v", 10), ("insert", 2, "a", "en", "v", 3)]))
+    with pytest.raises(ValueError):
+        ledger.commit(1, change([("insert", 1, "a", "en", "v", 5)]))
+    ledger.compact()
+    assert not ledger.commit(2, change([("delete", 1, None, None, None, None)]))
+    ledger.commit(3, change([("delete", 1, None, None, None, None), ("revise", 2, "a", "en", "w", 4)]))
+    assert {tuple(r) for r in ledger.totals().collect()} == {("a", "en", "w", 1, 4)}
+
+
+def test_token_rollup_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = corpus(6)
+    table(spark, [(d, t, "en" if d % 2 else None, f"s{d % 3}", 0) for d, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op8_token_rollup(spark, str(tmp_path)).collect()}
+    one, two = (Tokenizer.from_file(public_tokenizers.path(f"{x}.json")) for x in ("byte_bpe_50k", "word_bpe_49k"))
+    want = Counter()
+    docs = Counter()
+    for d, t in rows:
+        if d % 10 != 7:
+            k = (f"s{d % 3}", "en" if d % 2 else None, "word_bpe_49k" if d % 10 == 3 else "byte_bpe_50k")
+            want[k] += len((two if d % 10 == 3 else one).encode(t or "", add_special_tokens=False).ids)
+            docs[k] += 1
+    assert got == {(*k, docs[k], want[k]) for k in docs}
+
+
 def test_decontamination(spark):
     items = [(1, "If Anna has 12 apples and gives 5 apples to Bob, how many apples does Anna keep in the 3 kg basket"), (2, "The quick brown fox jumps over the lazy dog near the river bank"), (3, "too short"), (4, None), (None, "The quick brown fox jumps over the lazy dog")]
     rng = random.Random(1)
