@@ -1,82 +1,67 @@
 """Language model scores by a weighted backoff automaton over words.
 
-The model interpolates bigrams with unigrams (Witten-Bell).  As an automaton:
-the root state has an arc for every word, weighted with its smoothed unigram
-log-probability; each context with bigrams is a state with an arc for every
-word seen after it and a failure arc to the root, weighted with the mass left
-over.  Scoring runs left to right once, from state to state, and adds weights.
-
-Counting and scoring are spread over blocks of documents.  A block sends the
-words and bigrams it holds, with its training counts, to ranges of the hash
-space; a range sums what all blocks counted and answers each block for its own
-n-grams.  So a task holds the n-grams of one block or one range, never the
-model.  All bigrams seen in training count.  A caller may ask for a cutoff: words
-rarer than `least_count` in training then have no bigrams and lead back to the root.
+The model has n-grams up to `order` words, smoothed by the next shorter ones:
+P(w | h) = (c(h w) + m P(w | h')) / (c(h) + m), with h' the context without its
+first word, and at the root the smoothed unigrams.  As an automaton, each
+context seen in training is a state.  It has an arc for every word seen after
+it, weighted with the smoothed log-probability, and a failure arc to the state
+of h', weighted with m / (c(h) + m).  One traversal from left to right carries
+the state: a word without an arc follows failure arcs until one is found, and
+leads to the state of the longest seen context that it ends.
+
+Counting and scoring are spread over blocks of documents, which are written
+once in a table bucketed by block.  A block sends the hashes of the n-grams it
+holds, each once, with its training counts, to ranges of the hash space; a
+range sums what all blocks counted and answers each block for its own n-grams.
+So a task holds the n-grams of one block or one range, never the model, a
+frequent word is one number a block, and the rows exchanged are never more
+than the n-grams.  A context's count is that of the n-gram it is, as every word
+but the last of a text is followed by another.  All n-grams of training count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._store import small_batches, written
+from planarium.llm._pack import ascending, bounds, from_ascending, packed, unpacked
+from planarium.llm._store import bucketed, small_batches, written
 from planarium.llm._text import U64, mix, release, slices, word_hashes
 
-#: Tokens of a block (about; a longer document is a block by itself).
-BLOCK_TOKENS = 2_500_000
+#: Tokens of a block (about; a longer document is a block by itself), and n-grams that one range sums (about).
+BLOCK_TOKENS, RANGE_NGRAMS = 2_000_000, 3_000_000
+#: Words of the longest n-gram, and the weight m of the shorter ones.
+ORDER, STRENGTH = 3, 2.0
 END = U64(0xE4D0E4D0E4D0E4D0)
 START = U64(0x57A257A257A257A2)
-
-
-def _bytes(x: np.ndarray, kind: str) -> bytes:
-    """Numbers as byte planes, compressed: most have few significant bytes."""
-    x = np.ascontiguousarray(x, dtype=kind)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def _load(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
-
-
-def _ascending(x: np.ndarray) -> bytes:
-    """Sorted hashes by their differences."""
-    return _bytes(np.diff(x, prepend=U64(0)), "<u8")
-
-
-def _load_ascending(data: bytes) -> np.ndarray:
-    return np.cumsum(_load(data, "<u8"), dtype=U64)
+_TURN = U64(0x9FB21C651E98DF25)
+#: The last bits of an n-gram's hash are its number of words.
+_TAG = U64(7)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Tokenised blocks: words of the block (sorted hashes), training counts, token numbers and documents."""
+    """Tokenised blocks: their distinct words, the texts as numbers of these, ids, lengths and folds of the documents."""
     part, seq, size = TaskContext.get().partitionId(), 0, 0
     held: list[tuple] = []
 
     def close():
         nonlocal held, size, seq
         tokens, lengths, docs, out = (np.concatenate([h[i] for h in held]) for i in range(4))
-        vocabulary, inverse = np.unique(tokens, return_inverse=True)
-        training = np.repeat(~out, lengths)
-        n = np.bincount(inverse[training], minlength=len(vocabulary))
-        row = {"block": [part << 32 | seq], "words": [_ascending(vocabulary)], "n": [_bytes(n, "<u4")], "tokens": [_bytes(inverse, "<u4")], "docs": [_bytes(docs, "<i8")], "lengths": [_bytes(lengths, "<u4")], "held": [_bytes(out, "u1")]}
+        words, inverse = np.unique(tokens, return_inverse=True)
+        row = {"block": [part << 32 | seq], "words": [ascending(words)], "tokens": [packed(inverse, "<u4")], "docs": [packed(docs, "<i8")], "lengths": [packed(lengths, "<u4")], "held": [packed(out, "u1")], "size": [len(tokens)], "train": [int(lengths[~out].sum())]}
         held, size, seq = [], 0, seq + 1
-        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in list(row)[1:])]))
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in list(row)[1:6]), ("size", pa.int64()), ("train", pa.int64())]))
 
     for batch in slices(batches):
         h, first = word_hashes(batch.column("text"))
         tokens = np.insert(h, first[1:], END)
-        lengths = np.diff(first) + 1
-        held.append((tokens, lengths, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
+        held.append((tokens, np.diff(first) + 1, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)))
         size += len(tokens)
         if size >= block_tokens:
             yield close()
@@ -84,153 +69,121 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         yield close()
 
 
-def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Bounds of the ranges among sorted keys: range r has the keys from r/ranges of the hash space on."""
-    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.float64).astype(U64) if ranges > 1 else np.zeros(0, U64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+class Block:
+    """A block's texts, each with a start mark before it, and the hashes of all its n-grams.
 
+    keys[o - 1][p] is the n-gram of o words that ends at place p; place[o - 1]
+    are the places where there is one.
+    """
 
-def _word_parts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    def __init__(self, row: dict, order: int):
+        words, lengths = from_ascending(row["words"]), unpacked(row["lengths"], "<u4").astype(np.int64)
+        self.docs, self.held, self.lengths = unpacked(row["docs"], "<i8"), unpacked(row["held"], "u1").astype(bool), lengths
+        self.first = np.cumsum(lengths + 1) - lengths - 1
+        at = np.ones(int((lengths + 1).sum()), dtype=bool)
+        at[self.first] = False
+        seq = np.full(len(at), START)
+        seq[at] = words[unpacked(row["tokens"], "<u4")]
+        self.word = at
+        within = np.arange(len(at)) - np.repeat(self.first, lengths + 1)
+        self.keys, self.place = [], []
+        key = seq
+        for o in range(1, order + 1):
+            if o > 1:
+                key = key.copy()
+                key[o - 1 :] += _TURN * seq[: len(seq) - o + 1]
+            key = mix(key)
+            self.keys.append((key & ~_TAG) | U64(o))
+            self.place.append(within >= o - 1)
+
+    def ngrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct n-grams in order, and at each place the number of that which ends there (-1: none)."""
+        flat = np.concatenate([k[p] for k, p in zip(self.keys, self.place)])
+        names, inverse = np.unique(flat, return_inverse=True)
+        out, a = [], 0
+        for p in self.place:
+            n = np.full(len(p), -1, dtype=np.int64)
+            z = a + int(p.sum())
+            n[p] = inverse[a:z]
+            out.append(n)
+            a = z
+        return names, out
+
+
+def _parts(batches: Iterator[pa.RecordBatch], ranges: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Each block's n-grams with their number in its training texts, cut into ranges."""
     for batch in batches:
-        for b, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "n"))):
-            words, n = _load_ascending(words), _load(n, "<u4")
-            at = _cut(words, ranges)
-            rows = [(r, b, _ascending(words[at[r] : at[r + 1]]), _bytes(n[at[r] : at[r + 1]], "<u4")) for r in range(ranges) if at[r + 1] > at[r]]
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            b = Block(row, order)
+            names, at = b.ngrams()
+            training = np.repeat(~b.held, b.lengths + 1)
+            n = np.bincount(np.concatenate([x[training & (x >= 0)] for x in at]), minlength=len(names))
+            cut = bounds(names, ranges)
+            rows = [(r, row["block"], ascending(names[cut[r] : cut[r + 1]]), packed(n[cut[r] : cut[r + 1]], "<u4")) for r in np.flatnonzero(np.diff(cut)).tolist()]
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
 
 
-def _sum_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Each block's words of a range with their counts over all blocks; the range's own sums beside them."""
-    words = [_load_ascending(x) for x in rows["words"]]
-    u, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([_load(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
-    own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
-    release()
-    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<i8") for x in own], "sum_n": int(n.sum()), "sum_v": int((n > 0).sum())})
-
-
-class Bigrams(NamedTuple):
-    """contexts: sorted hashes; sizes: bigrams of each; words, n: of each bigram, by context; bigram, leaves: of each token, the bigram it ends and the context it follows (-1: none)."""
-
-    contexts: np.ndarray
-    sizes: np.ndarray
-    words: np.ndarray
-    n: np.ndarray
-    bigram: np.ndarray
-    leaves: np.ndarray
-
-
-class Block:
-    """A block's tokens with the global counts of its words, and its bigrams by context."""
-
-    def __init__(self, row: dict, answers: pd.DataFrame):
-        self.words = _load_ascending(row["words"])
-        self.tokens = _load(row["tokens"], "<u4").astype(np.int64)
-        self.lengths = _load(row["lengths"], "<u4").astype(np.int64)
-        self.docs = _load(row["docs"], "<i8")
-        self.held = _load(row["held"], "u1").astype(bool)
-        answers = answers.sort_values("range")
-        self.count = np.concatenate([_load(x, "<i8") for x in answers["n"]])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    def bigrams(self, least_count: int) -> Bigrams:
-        """The bigrams of words seen at least `least_count` times, and the contexts that may be states."""
-        v = len(self.words)
-        before = np.empty(len(self.tokens), dtype=np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = v
-        common = np.append(self.count >= least_count, True)
-        state = common[before]
-        kept = state & common[self.tokens]
-        names = mix(np.append(self.words, START))
-        contexts = np.sort(names[np.unique(before[state])])
-        u, inverse = np.unique(before[kept] * (v + 1) + self.tokens[kept], return_inverse=True)
-        training = np.repeat(~self.held, self.lengths)[kept]
-        n = np.bincount(inverse[training], minlength=len(u))
-        context, word = np.searchsorted(contexts, names[u // (v + 1)]), self.words[u % (v + 1)]
-        order = np.lexsort((word, context))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        which = np.full(len(self.tokens), -1, dtype=np.int64)
-        which[kept] = place[inverse]
-        leaves = np.where(state, np.searchsorted(contexts, names)[before], -1)
-        return Bigrams(contexts, np.bincount(context, minlength=len(contexts)), word[order], n[order], which, leaves)
-
-
-def _bigram_parts(key: tuple, block: pd.DataFrame, answers: pd.DataFrame, ranges: int, least_count: int) -> pd.DataFrame:
-    b = Block(block.iloc[0].to_dict(), answers).bigrams(least_count)
-    at, ends = _cut(b.contexts, ranges), np.concatenate([[0], np.cumsum(b.sizes)])
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all blocks of each block's n-grams of a range; beside them the range's number of words seen in training."""
+    names = [from_ascending(x) for x in rows["words"]]
+    u, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
+    words = int(((n > 0) & ((u & _TAG) == U64(1))).sum())
+    own = np.split(n[inverse], np.cumsum([len(w) for w in names])[:-1])
     release()
-    rows = []
-    for r in np.flatnonzero(np.diff(at)).tolist():
-        own, pairs = slice(at[r], at[r + 1]), slice(ends[at[r]], ends[at[r + 1]])
-        # Within a context, 40 bits of a word's hash tell words apart.
-        rows.append((r, key[0], _ascending(b.contexts[own]), _bytes(b.sizes[own], "<u4"), np.ascontiguousarray(b.words[pairs]).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes(), _bytes(b.n[pairs], "<u4")))
-    return pd.DataFrame(rows, columns=["range", "block", "contexts", "sizes", "words", "n"])
-
-
-def _sum_bigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block: counts of its bigrams over all blocks, and of its contexts (tokens, distinct words)."""
-    sizes = [_load(x, "<u4") for x in rows["sizes"]]
-    contexts = [_load_ascending(x) for x in rows["contexts"]]
-    c = np.unique(np.concatenate(contexts))
-    places = [np.searchsorted(c, x) for x in contexts]
-    context = np.concatenate([np.repeat(x, s) for x, s in zip(places, sizes)])
-    low = np.zeros((len(context), 8), np.uint8)
-    low[:, 3:] = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in rows["words"]])
-    h = mix(c[context]) ^ mix(low.reshape(-1).view("<u8"))
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([_load(x, "<u4") for x in rows["n"]]), minlength=len(first))
-    total, kinds = np.bincount(context[first], weights=n, minlength=len(c)), np.bincount(context[first], weights=n > 0, minlength=len(c))
-    split = np.split(n[inverse], np.cumsum([s.sum() for s in sizes])[:-1])
-    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [_bytes(x, "<u4") for x in split], "total": [_bytes(total[x], "<i8") for x in places], "kinds": [_bytes(kinds[x], "<i8") for x in places]})
+    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own], "words": words})
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's tokens can meet.
+    """The part of the automaton that a block's texts meet, by places.
 
-    root[w] is the weight of the root's arc for word w; arcs[j] that of bigram j
-    (nan: its state has no such arc); fail[s] that of the failure arc of state s.
+    counts[o - 1]: of the n-gram of o words that ends at a place (-1: none);
+    contexts[o - 1]: of the state of o - 1 words before the place.
     """
 
-    def __init__(self, root: np.ndarray, arcs: np.ndarray, fail: np.ndarray):
-        self.root, self.arcs, self.fail = root, arcs, fail
-
-    def weights(self, tokens: np.ndarray, bigram: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-        """Weight of each token on the path: its state's arc, or the failure arc and then the root's.
-
-        leaves[i] is the state before token i, -1 the root: it is known from the
-        token before alone, so all steps are taken at once.
+    def __init__(self, counts: list[np.ndarray], n_all: int, v_all: int, strength: float):
+        self.counts, self.strength = counts, strength
+        self.contexts = [None, *(np.concatenate([[-1], c[:-1]]) for c in counts[:-1])]
+        self.arcs = [(np.maximum(counts[0], 0) + 0.5) / (n_all + 0.5 * (v_all + 1))]
+        for o in range(1, len(counts)):
+            state = (self.contexts[o] > 0) & (counts[o] >= 0)
+            p = (np.maximum(counts[o], 0) + strength * self.arcs[-1]) / (np.maximum(self.contexts[o], 0) + strength)
+            self.arcs.append(np.where(state, p, self.arcs[-1]))
+
+    def walk(self) -> np.ndarray:
+        """Log10 weight of each place's step from left to right.
+
+        The state before a place is the longest context seen in training, which
+        the counts of the n-grams that end at the place before tell: all texts
+        carry their states along at once.
         """
-        out = self.root[tokens]
-        inner = leaves >= 0
-        out[inner] += self.fail[leaves[inner]]
-        has = bigram >= 0
-        arc = self.arcs[bigram[has]]
-        out[has] = np.where(np.isnan(arc), out[has], arc)
+        out, walking = np.zeros(len(self.arcs[0])), np.ones(len(self.arcs[0]), dtype=bool)
+        for o in range(len(self.counts) - 1, 0, -1):
+            inside = walking & (self.contexts[o] > 0) & (self.counts[o] >= 0)
+            arc = inside & (self.counts[o] > 0)
+            out[arc] += np.log10(self.arcs[o][arc])
+            walking[arc] = False
+            lost = inside & ~arc  # the failure arc to the shorter context
+            out[lost] += np.log10(self.strength / (self.contexts[o][lost] + self.strength))
+        out[walking] += np.log10(self.arcs[0][walking])
         return out
 
 
-def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, least_count: int) -> pd.DataFrame:
-    b = Block(block.iloc[0].to_dict(), answers[answers["kind"] == 1])
-    two = b.bigrams(least_count)
-    got = answers[answers["kind"] == 2].sort_values("range")
-    n, total, kinds = (np.concatenate([_load(x, kind) for x in got[c]] or [np.zeros(0, kind)]).astype(float) for c, kind in (("n", "<u4"), ("total", "<i8"), ("kinds", "<i8")))
-    base = np.log10((b.count + 0.5) / (n_all + 0.5 * (v_all + 1)))
-    word = np.zeros(len(n))
-    kept = two.bigram >= 0
-    word[two.bigram[kept]] = 10.0 ** base[b.tokens[kept]]
-    t, k = np.repeat(total, two.sizes), np.repeat(kinds, two.sizes)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        fail = np.where(total > 0, np.log10(kinds / (total + kinds)), 0.0)
-        arcs = np.where(n > 0, np.log10((n + k * word) / (t + k)), np.nan)
-    weight = Automaton(base, arcs, fail).weights(b.tokens, two.bigram, two.leaves)
-    add = lambda x: np.add.reduceat(x, b.starts)
+def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, order: int, strength: float) -> pd.DataFrame:
+    b = Block(block.iloc[0].to_dict(), order)
+    _, at = b.ngrams()
+    n = np.concatenate([unpacked(x, "<i8") for x in answers.sort_values("range")["n"]])
+    counts = [np.where(x >= 0, n[x], -1) for x in at]
+    a = Automaton(counts, n_all, v_all, strength)
+    add = lambda x: np.add.reduceat(np.where(b.word, x, 0), b.first)
+    out = pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((counts[0] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(np.log10(a.arcs[0])), "score": add(a.walk())})
     release()
-    return pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((b.count[b.tokens] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(base[b.tokens]), "score": add(weight)})
+    return out
 
 
-def score_texts(docs: DataFrame, held_out, least_count: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, order: int = ORDER, strength: float = STRENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs(doc_id, text).
 
     Rows for which the Column `held_out` is true are scored but not learned
@@ -240,20 +193,17 @@ def score_texts(docs: DataFrame, held_out, least_count: int = 1, block_tokens: i
     `held_out`.
     """
     small_batches(docs)
-    spark = docs.sparkSession
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     nothing = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nothing)).alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    blocks = written(rows.mapInArrow(lambda it: _blocks(it, block_tokens), "block long, words binary, n binary, tokens binary, docs binary, lengths binary, held binary"), "blocks")
-    ranges = blocks.count()
-    if not ranges:
-        return spark.createDataFrame([], schema)
-    one = blocks.select("block", "words", "n").mapInArrow(lambda it: _word_parts(it, ranges), "range int, block long, words binary, n binary").groupBy("range").applyInPandas(_sum_words, "range int, block long, n binary, sum_n long, sum_v long")
-    one = written(one, "unigrams")
-    sums = one.groupBy("range").agg(F.first("sum_n").alias("n"), F.first("sum_v").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_all, v_all = int(sums["n"]), int(sums["v"])
-    parts = blocks.groupBy("block").cogroup(one.select("block", "range", "n").groupBy("block")).applyInPandas(lambda k, a, b: _bigram_parts(k, a, b, ranges, least_count), "range int, block long, contexts binary, sizes binary, words binary, n binary")
-    two = parts.groupBy("range").applyInPandas(_sum_bigrams, "range int, block long, n binary, total binary, kinds binary")
-    answers = one.select("block", "range", F.lit(1).alias("kind"), "n", F.lit(None).cast("binary").alias("total"), F.lit(None).cast("binary").alias("kinds")).unionByName(two.select("block", "range", F.lit(2).alias("kind"), "n", "total", "kinds"))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, n_all, v_all, least_count), schema)
+    many = max(1, int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (6 * block_tokens))
+    blocks = bucketed(rows.mapInArrow(lambda it: _blocks(it, block_tokens), "block long, words binary, tokens binary, docs binary, lengths binary, held binary, size long, train long"), "block", many, "blocks")
+    sizes = blocks.agg(F.sum("size").alias("all"), F.sum("train").alias("train")).first()
+    n_all, ranges = int(sizes["train"] or 0), max(1, -(-order * int(sizes["all"] or 0) // RANGE_NGRAMS))
+    # One block a batch: a block's n-grams fill a good part of a task's memory.
+    texts = blocks.select("block", "words", "tokens", "docs", "lengths", "held")
+    parts = texts.mapInArrow(lambda it: _parts((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges, order), "range int, block long, words binary, n binary")
+    answers = written(parts.groupBy("range").applyInPandas(_summed, "range int, block long, n binary, words long"), "answers")
+    seen = answers.groupBy("range").agg(F.first("words").alias("v")).agg(F.sum("v").alias("v")).first()["v"] or 0
+    v_all = max(0, int(seen) - 1)  # the start mark isn't a word
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, n_all, v_all, order, strength), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.when(F.col("doc_id") != nothing, F.col("doc_id")))

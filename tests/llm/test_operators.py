@@ -301,52 +301,53 @@ def test_packing_by_cluster(spark):
     assert packing.best_fit(docs.withColumn("doc_id", F.lit(None).cast("long")), shard_docs=4).count() == 40
 
 
-def test_language_model(spark):
-    rows = corpus(6) + [(None, "w1 w2")]
-    held = F.col("doc_id") % 5 == 1
-    got = lm.score_texts(table(spark, rows), held, least_count=2, block_tokens=300).collect()
-    assert len(got) == len(rows)
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
-    train = [words(t) for d, t in rows if d is None or d % 5 != 1]
-    c = Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    ok = lambda w: c[w] >= 2
-    two, states, kinds = Counter(), Counter(), Counter()
+def brute_language_model(rows, held, order, m=2.0):
+    """(n_tokens, n_known, train_tokens, base_score, score) of each row by plain counting and recursion."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or "")) + [None]
+    c = Counter()
+    train = [words(t) for d, t in rows if not held(d)]
     for t in train:
-        for a, b in zip(["<s>", *t], t):
-            if (a == "<s>" or ok(a)) and ok(b):
-                two[a, b] += 1
-    for (a, _), k in two.items():
-        states[a] += k
-        kinds[a] += 1
-    by = {r["doc_id"]: r for r in got}
+        for p in range(len(t)):
+            c.update(tuple(["<s>", *t][max(0, p + 2 - o) : p + 2]) for o in range(1, order + 1) if p + 2 - o >= 0)
+    c["<s>",] = len(train)
+    n, v = sum(map(len, train)), len({w for t in train for w in t})
+
+    def prob(h, w):
+        if not h:
+            return (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+        lower = prob(h[1:], w)
+        return (c[*h, w] + m * lower) / (c[h] + m) if c[h] else lower
+
+    out = []
     for d, t in rows:
-        p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-        base = score = 0.0
-        for a, b in zip(["<s>", *words(t)], words(t)):
-            base += math.log10(p(b))
-            k, s = kinds[a], states[a]
-            score += math.log10((two[a, b] + k * p(b)) / (s + k) if s else p(b))
+        t = words(t)
+        full = ["<s>", *t]
+        score = sum(math.log10(prob(tuple(full[max(0, p + 2 - order) : p + 1]), w)) for p, w in enumerate(t))
+        out.append((len(t), sum(c[w,] > 0 for w in t), n, sum(math.log10(prob((), w)) for w in t), score))
+    return out
+
+
+@pytest.mark.parametrize("order,block", [(3, 300), (2, 100_000), (1, 500)])
+def test_language_model(spark, order, block):
+    rows = corpus(6) + [(None, "w1 w2"), (901, "one two one two one"), (902, "one two one two one")]
+    got = lm.score_texts(table(spark, rows), F.col("doc_id") % 5 == 1, order=order, block_tokens=block).collect()
+    want = brute_language_model(rows, lambda d: d is not None and d % 5 == 1, order)
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    for (d, _), (tokens, known, n, base, score) in zip(rows, want):
         r = by[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words(t)), sum(c[w] > 0 for w in words(t)), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, d is not None and d % 5 == 1)
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] == pytest.approx(score, abs=1e-6)
-        assert r["held_out"] == (d is not None and d % 5 == 1)
-    assert lm.score_texts(table(spark, []), held).count() == 0
-
-
-def test_language_model_counts_rare_bigrams(spark):
-    texts = ["rare pair here", "common words and common words", "one more text", "rare pair again"]
-    train = [t.split() + [None] for t in texts[:3]]
-    c, two = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
-    n, v = sum(c.values()), len(c)
-    by = {r["doc_id"]: r["score"] for r in lm.score_texts(table(spark, list(enumerate(texts))), F.col("doc_id") == 3).collect()}
-    for d, t in enumerate(texts):
-        score = 0.0
-        for a, b in zip(["<s>", *t.split()], [*t.split(), None]):
-            p = (c[b] + 0.5) / (n + 0.5 * (v + 1))
-            follows = [k for (x, _), k in two.items() if x == a]
-            score += math.log10((two[a, b] + len(follows) * p) / (sum(follows) + len(follows)) if follows else p)
-        assert by[d] == pytest.approx(score, abs=1e-6)
+    assert lm.score_texts(table(spark, []), F.col("doc_id") % 5 == 1).count() == 0
+
+
+def test_language_model_of_short_texts(spark):
+    rows = [(0, "a b a c"), (5, "b a b"), (10, "c")]
+    ends = ["a", "b", "c", "zzz"]
+    texts = rows + [(11 + 5 * i, f"a b {w}") for i, w in enumerate(ends)] + [(101, "a b")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(table(spark, texts), F.col("doc_id") % 5 == 1).collect()}
+    full = brute_language_model(texts, lambda d: d % 5 == 1, 3)
+    assert [got[d] for d, _ in texts] == pytest.approx([x[-1] for x in full])
 
 
 def test_fingerprints(spark):
