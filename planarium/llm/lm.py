@@ -35,7 +35,7 @@ from planarium.llm._store import bucketed, small_batches, written
 from planarium.llm._text import U64, mix, release, slices, word_hashes
 
 #: Tokens of a block (about; a longer document is a block by itself), and n-grams that one range sums (about).
-BLOCK_TOKENS, RANGE_NGRAMS = 2_000_000, 3_000_000
+BLOCK_TOKENS, RANGE_NGRAMS = 800_000, 2_000_000
 #: Words of the longest n-gram, and the weight m of the shorter ones.
 ORDER, STRENGTH = 3, 2.0
 END = U64(0xE4D0E4D0E4D0E4D0)
