@@ -59,17 +59,19 @@ class TokenLedger:
         names = [f"base-{b:08d}" for b in base] + [f"batch-{b:08d}" for b in marked["batch"] if not base or b > base[0]]
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
 
-    def _write(self, name: str, batch: int, states: DataFrame, deltas: DataFrame) -> None:
-        """States first: without the mark beside the deltas neither is read."""
-        states.select("doc_id", *KEYS, "n_tokens", "live", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/states/{name}")
-        deltas.select(*KEYS, "n_docs", "n_tokens", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
+    def _write(self, name: str, batch: int, states: DataFrame, deltas) -> None:
+        """States first, and deltas(states as written), so that changes are computed once; without the mark beside the deltas neither is read."""
+        path = f"{self.path}/states/{name}"
+        states.select("doc_id", *KEYS, "n_tokens", "live", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(path)
+        found = deltas(self.spark.read.schema(_STATE).parquet(path))
+        found.select(*KEYS, "n_docs", "n_tokens", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         self._mark(name)
 
     def compact(self) -> None:
         """Fold all batches into a base, so that later commits and totals read that and what follows it."""
         batches = self.committed()
         if batches:
-            self._write(f"base-{batches[-1]:08d}", batches[-1], self.state().where("live"), self.totals())
+            self._write(f"base-{batches[-1]:08d}", batches[-1], self.state().where("live"), lambda _: self.totals())
 
     def state(self) -> DataFrame:
         """The last committed state of each document."""
@@ -99,10 +101,13 @@ class TokenLedger:
         new = changes.where("doc_id is not null and op in ('insert', 'revise', 'delete')").select("doc_id", F.struct(rank.alias("r"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang", "version").alias("c"))
         new = new.groupBy("doc_id").agg(F.max("c").alias("c")).select(F.col("doc_id").cast("long").alias("doc_id"), "c.source", "c.lang", "c.version", "c.n_tokens", (F.col("c.r") > 0).alias("live"))
         old = self.state().where("live")
-        touched = old.join(new.select("doc_id"), "doc_id", "left_semi")
-        minus = touched.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
-        plus = new.where("live").select(*KEYS, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
-        deltas = plus.unionByName(minus).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+
+        def deltas(new: DataFrame) -> DataFrame:
+            touched = old.join(new.select("doc_id"), "doc_id", "left_semi")
+            minus = touched.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
+            plus = new.where("live").select(*KEYS, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+            return plus.unionByName(minus).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+
         self._write(f"batch-{batch:08d}", batch, new, deltas)
         return True
 
