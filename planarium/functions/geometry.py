@@ -165,3 +165,34 @@ def dilated(poly: Column, fraction: float, segments: int = 16) -> Column:
 def inside(poly: Column, x: Column, y: Column) -> Column:
     """Is (x, y) in a convex counter-clockwise ring, its border included?"""
     return F.forall(F.zip_with(poly, following(poly), lambda p, q: (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])), lambda s: s >= -1e-12)
+
+
+def kept_in_box(poly: Column, x: Column, y: Column, bounds: tuple[float, float, float, float]) -> Column:
+    """Is the centre in the closed box, and something of the ring too?"""
+    x0, x1, y0, y1 = bounds
+    return x.between(x0, x1) & y.between(y0, y1) & clipped_to_box(poly, bounds).isNotNull()
+
+
+def crosses_box(poly: Column, bounds: tuple[float, float, float, float]) -> Column:
+    """Does a vertex lie outside of the box, so that clipping changes the ring?"""
+    x0, x1, y0, y1 = bounds
+    return F.exists(poly, lambda p: ~(p["x"].between(x0, x1) & p["y"].between(y0, y1)))
+
+
+def convex_hull(points: Column) -> Column:
+    """Counter-clockwise hull of an array of points, by the lower and the upper chain; null below three vertices."""
+    left = lambda a, b, p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+    def chain(sorted_: Column) -> Column:
+        """One side of the hull: each point drops those before it that don't turn left; `n` times at most, one a step."""
+
+        def add(acc: Column, p: Column) -> Column:
+            pop = lambda a, _: F.when((F.size(a) >= 2) & (left(F.element_at(a, -2), F.element_at(a, -1), p) <= 0), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+            return F.concat(F.aggregate(acc, acc, pop), F.array(p))
+
+        none = F.slice(sorted_, F.lit(1), F.lit(0))
+        return F.aggregate(sorted_, none, add)
+
+    part = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    ordered = F.array_sort(F.array_distinct(points))
+    return let(ordered, lambda v: let(F.concat(part(chain(v)), part(chain(F.reverse(v)))), lambda h: F.when(F.size(h) >= 3, h)))

@@ -36,7 +36,7 @@ def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str]
 
     wanted = []
     for i, q in enumerate(qs):
-        exact = F.lit(float(q)) * (F.col("n") - 1)
+        exact = F.round(F.lit(float(q)) * (F.col("n") - 1), 7)  # so that q = r / (n - 1) means rank r
         for side, rank in (("lo", F.floor(exact)), ("hi", F.ceil(exact))):
             wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("long").alias("rank"), (exact - F.floor(exact)).alias("share"), holder(rank).alias("h")))
     asked = stretches.select(*by, "n", F.explode(F.array(*wanted)).alias("w")).select(*by, "n", "w.i", "w.side", "w.rank", "w.share", F.col("w.h.part").alias("_part"), F.col("w.h.before").alias("before"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from planarium.functions import geometry as g
 from planarium.functions import ramps
-from planarium.operators import calibrate, graph, metrics, pairs, raster, refine
+from planarium.operators import calibrate, cleanup, estimators, graph, merging, metrics, mosaic, pairs, raster, refine
+from planarium.operators import diagnostics as diag
 from planarium.operators.quantiles import exact_quantiles
 from planarium.sources import cells as source
 from planarium.sources.store import written
@@ -354,3 +355,236 @@ def group_quantiles(spark, sf_dir):
     means = e.groupBy("event_type").agg(F.round(F.avg((F.col("value") - s["m"]) / s["d"]), 5).alias("z"))
     q = exact_quantiles(e, "value", [0.5, 0.95], ["event_type"]).select("event_type", "n", F.round("q_0", 5).alias("median"), F.round("q_1", 5).alias("p95"))
     return q.join(means, "event_type").join(names, "event_type").select("grp", "n", "median", "p95", "z")
+
+
+# --- calibration, diagnostics and merging over the same cells
+
+_BOTH = ", both_ AS (SELECT i, j, cf, li, lj, fi, fj FROM lab UNION ALL SELECT j, i, cf, lj, li, fj, fi FROM lab)"
+_ENERGY = f"{PAIRS}{NBRS}{UNARY}, s AS (SELECT i AS cell_id, label AS k, sum(w) w FROM nbrs JOIN cells ON cell_id = j GROUP BY 1, 2), en AS (SELECT u.cell_id, u.k, c + {LAMBDA}*coalesce(w, 0) AS e FROM unary u LEFT JOIN s USING (cell_id, k))"
+_POST = f"WITH {CELLS}{UNARY}, low AS (SELECT cell_id, min(c) m FROM unary GROUP BY cell_id), ex AS (SELECT u.cell_id, k, exp(m - c) x FROM unary u JOIN low USING (cell_id)), po AS (SELECT cell_id, k, x / sum(x) OVER (PARTITION BY cell_id) AS p FROM ex)"
+
+
+def _nbrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second labeling of the cells."""
+    return _cells(spark, sf_dir).select("cell_id", F.when(F.col("cell_id") % 7 == 0, (F.col("label") + 1) % 5).otherwise(F.col("label")).cast("int").alias("y"))
+
+
+_TRUTH = ", truth AS (SELECT cell_id, CASE WHEN cell_id % 7 = 0 THEN (label + 1) % 5 ELSE label END AS y FROM cells)"
+
+
+@query(f"{PAIRS}{_BOTH} SELECT i AS cell_id, arg_max(j, (round(cf, 9), -j)) AS neighbour, round(max(cf), 6) AS cf FROM both_ GROUP BY i")
+def top_neighbour(spark, sf_dir):
+    return diag.top_neighbour(_pairs(spark, sf_dir).withColumn("cf", F.round("cf", 9))).select("cell_id", "neighbour", F.round("cf", 6).alias("cf"))
+
+
+@query(f"{PAIRS}{_BOTH}, t AS (SELECT i, arg_max(li = lj, (cf, -j)) AS same, any_value(fi) AS f FROM both_ GROUP BY i) SELECT count(*) AS n, round(avg(CAST(same AS INT)), 6) AS consistency FROM t WHERE f")
+def quality_gate(spark, sf_dir):
+    return diag.quality(_pairs(spark, sf_dir), _labels(spark, sf_dir)).select("n", F.round("consistency", 6).alias("consistency"))
+
+
+@query(f"{PAIRS} SELECT li AS label, count(*) AS n, round(least(greatest(quantile_cont(cf, 0.75), 0.01), 0.49), 5) AS tau FROM lab WHERE li = lj GROUP BY li HAVING count(*) >= 2")
+def tau_of_frozen(spark, sf_dir):
+    return calibrate.tau_of_frozen(_pairs(spark, sf_dir), _labels(spark, sf_dir).withColumn("frozen", F.lit(True)), least_pairs=2).select("label", "n", F.round("tau", 5).alias("tau"))
+
+
+@query(f"""{PAIRS}{UNARY}{_BOTH}, r AS (SELECT cell_id, c, row_number() OVER (PARTITION BY cell_id ORDER BY c) rn FROM unary JOIN (SELECT cell_id FROM cells WHERE NOT frozen) USING (cell_id)),
+g AS (SELECT count(*) n_free, quantile_cont(d, 0.5) gap FROM (SELECT cell_id, max(c) FILTER (rn = 2) - max(c) FILTER (rn = 1) d FROM r GROUP BY cell_id)),
+pu AS (SELECT i, sum(least(1.0, (cf-{LOW})/{1 - LOW})) p FROM both_ WHERE li = lj AND NOT fi AND fj AND cf > {LOW} GROUP BY i), q AS (SELECT count(*) n_pushed, quantile_cont(p, 0.5) push FROM pu),
+an AS (SELECT count(*) n_anchors, coalesce(avg(CAST(cf > {LOW} AS INT)), 0.0) broken FROM lab WHERE li = lj AND fi AND fj)
+SELECT round(CASE WHEN n_free >= 10 AND n_anchors >= 10 AND broken <= 0.9 AND n_pushed >= 10 AND gap > 0 THEN gap/push END, 4) AS lam, round(gap, 6) AS gap, round(push, 5) AS push, n_free, n_pushed, n_anchors, round(broken, 6) AS broken FROM g, q, an""")
+def penalty_weight(spark, sf_dir):
+    p = calibrate.penalty_weight(_pairs(spark, sf_dir), _labels(spark, sf_dir), _unary(spark, sf_dir), LOW, most_broken=0.9)
+    return p.select(F.round("lam", 4).alias("lam"), F.round("gap", 6).alias("gap"), F.round("push", 5).alias("push"), "n_free", "n_pushed", "n_anchors", F.round("broken", 6).alias("broken"))
+
+
+@query()
+def mixture_threshold(spark, sf_dir):
+    """The lower of two components of the coverage fractions; fitted in rounds, so not in SQL."""
+    t = calibrate.mixture_threshold(_pairs(spark, sf_dir))
+    return spark.createDataFrame([(t,)], "tau double")
+
+
+@query(f"{_POST} SELECT cell_id, CAST(arg_max(k, (p, -k)) AS INT) AS label, round(max(p), 6) AS posterior, max(p) >= 0.5 AS frozen FROM po GROUP BY cell_id")
+def frozen_cells(spark, sf_dir):
+    return diag.frozen_by_posterior(_unary(spark, sf_dir), 0.5).select("cell_id", "label", F.round("posterior", 6).alias("posterior"), "frozen")
+
+
+@query(f"{_ENERGY}, r AS (SELECT cell_id, e, row_number() OVER (PARTITION BY cell_id ORDER BY e) rn FROM en) SELECT cell_id, round(max(e) FILTER (rn = 2) - max(e) FILTER (rn = 1), 5) + 0.0 AS gap FROM r GROUP BY cell_id")
+def energy_gaps(spark, sf_dir):
+    return diag.energy_gaps(_labels(spark, sf_dir), _unary(spark, sf_dir), _nbrs(spark, sf_dir), LAMBDA).select("cell_id", (F.round("gap", 5) + 0.0).alias("gap"))
+
+
+@query(f"{PAIRS}{NBRS}, c AS (SELECT i AS cell_id, label, count(*) n FROM nbrs JOIN cells ON cell_id = j GROUP BY 1, 2) SELECT cell_id, label, n, round(n / sum(n) OVER (PARTITION BY cell_id), 6) AS share FROM c")
+def neighbour_composition(spark, sf_dir):
+    return diag.neighbour_shares(_nbrs(spark, sf_dir), _labels(spark, sf_dir)).select("cell_id", "label", "n", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {CELLS}{_TRUTH} SELECT y, count(*) AS n, count(*) FILTER (label <> y) AS n_errors, round(count(*) FILTER (label <> y) / count(*), 6) AS share FROM cells JOIN truth USING (cell_id) GROUP BY y")
+def error_counts(spark, sf_dir):
+    return diag.error_counts(_labels(spark, sf_dir), _truth(spark, sf_dir)).select("y", "n", "n_errors", F.round("share", 6).alias("share"))
+
+
+@query(f"""{PAIRS}{NBRS}{_TRUTH}, near AS (SELECT i, label AS k, w FROM nbrs JOIN cells ON cell_id = j WHERE w > 0),
+z AS (SELECT c.cell_id, any_value(y) y, any_value(c.label) l, coalesce(sum(w) FILTER (k = c.label), 0.0) conflict, count(*) FILTER (k = c.label) n_same, count(*) FILTER (k = y) n_true, any_value(frozen) f FROM cells c JOIN truth USING (cell_id) LEFT JOIN near ON i = c.cell_id WHERE c.label <> y GROUP BY c.cell_id)
+SELECT cell_id, CAST(y AS INT) AS y, l AS label, 0.5 AS posterior, round(conflict, 5) AS conflict, n_same, n_true, f AS frozen, CASE WHEN conflict = 0 THEN 'B' WHEN f THEN 'A frozen' ELSE 'A unfixed' END AS diagnosis FROM z""")
+def error_summary(spark, sf_dir):
+    sure = _labels(spark, sf_dir).select("cell_id", F.lit(0.5).alias("posterior"), "frozen")
+    return diag.error_summary(_labels(spark, sf_dir), _truth(spark, sf_dir), _nbrs(spark, sf_dir), sure).withColumn("conflict", F.round("conflict", 5))
+
+
+@query(f"""{PAIRS}{NBRS}{_TRUTH}, z AS (SELECT c.cell_id, coalesce(sum(w) FILTER (b.label = c.label), 0.0) conflict FROM cells c JOIN truth USING (cell_id) LEFT JOIN nbrs n ON n.i = c.cell_id LEFT JOIN cells b ON b.cell_id = n.j WHERE c.label <> y GROUP BY c.cell_id) SELECT cell_id, round(conflict, 5) AS conflict FROM z ORDER BY conflict DESC, cell_id DESC LIMIT 8""")
+def worst_errors(spark, sf_dir):
+    """The eight wrong cells with the strongest conflict: the limit is the report's."""
+    sure = _labels(spark, sf_dir).select("cell_id", F.lit(0.5).alias("posterior"), "frozen")
+    e = diag.error_summary(_labels(spark, sf_dir), _truth(spark, sf_dir), _nbrs(spark, sf_dir), sure)
+    return diag.worst(e, F.col("conflict")).select("cell_id", F.round("conflict", 5).alias("conflict"))
+
+
+@query(f"{PAIRS}{_TRUTH} SELECT p.y = q.y AS same, count(*) AS n, round(CASE WHEN p.y = q.y THEN quantile_cont(cf, 0.99) ELSE quantile_cont(cf, 0.25) END, 5) AS tau FROM cf JOIN truth p ON p.cell_id = i JOIN truth q ON q.cell_id = j GROUP BY p.y = q.y")
+def empirical_thresholds(spark, sf_dir):
+    return diag.empirical_thresholds(_pairs(spark, sf_dir), _truth(spark, sf_dir)).select("same", "n", F.round("tau", 5).alias("tau"))
+
+
+@query(f"""{PAIRS}, o AS (SELECT i, j, cf, li = lj AS same, row_number() OVER (PARTITION BY li = lj ORDER BY cf, i, j) - 1 AS r, count(*) OVER (PARTITION BY li = lj) AS n FROM lab), w AS (SELECT * FROM (VALUES (true, 5.0), (true, 35.0), (true, 70.0), (true, 100.0), (false, 5.0), (false, 95.0)) t(same, pct))
+SELECT same, CAST(pct AS DOUBLE) AS pct, round(cf, 5) AS cf FROM o JOIN w USING (same) WHERE r = CAST(round_even(pct / 100 * (n - 1), 0) AS BIGINT)""")
+def pair_gallery(spark, sf_dir):
+    return diag.gallery(_pairs(spark, sf_dir), _labels(spark, sf_dir)).select("same", "pct", F.round("cf", 5).alias("cf"))
+
+
+@query(f"{PAIRS}, hard AS (SELECT i AS cell_id FROM lab WHERE li = lj AND cf > 0.85 UNION SELECT j FROM lab WHERE li = lj AND cf > 0.85) SELECT cell_id, label, frozen AND cell_id NOT IN (SELECT cell_id FROM hard) AS frozen FROM cells")
+def hard_pair_release(spark, sf_dir):
+    return diag.unfrozen_hard_pairs(_labels(spark, sf_dir), _pairs(spark, sf_dir), 0.85)
+
+
+@query(f"{PAIRS} SELECT i, j, round(cf, 5) AS cf FROM lab WHERE li <> lj AND li // 2 = lj // 2 AND cf >= {HIGH}")
+def merge_boundary(spark, sf_dir):
+    """Pairs that are of one label once labels 0 and 1, and 2 and 3, are merged."""
+    before = _labels(spark, sf_dir)
+    return diag.boundary_pairs(_pairs(spark, sf_dir), before, merging.renamed(before, {1: 0, 3: 2}), HIGH).select("i", "j", F.round("cf", 5).alias("cf"))
+
+
+@query(f"""{PAIRS}, tl AS (SELECT li AS label, least(greatest(quantile_cont(cf, 0.75), 0.01), 0.49) tau FROM lab WHERE li = lj GROUP BY li HAVING count(*) >= 2),
+pl AS (SELECT i, j, cf, CASE WHEN li = lj THEN coalesce(tau, {LOW}) ELSE {LOW} END AS lo FROM lab LEFT JOIN tl ON tl.label = li),
+wl AS (SELECT i, j, CASE WHEN cf < lo THEN (cf - lo)/lo WHEN {HIGH} - lo <= 0 THEN CAST(cf > lo AS INT) ELSE least(1.0, greatest(0.0, (cf - lo)/({HIGH} - lo))) END AS w FROM pl)
+SELECT i, j, round(w, 4) AS w FROM wl WHERE w <> 0 UNION ALL SELECT j, i, round(w, 4) FROM wl WHERE w <> 0""")
+def adjacency_per_cluster(spark, sf_dir):
+    pairs_, labels = _pairs(spark, sf_dir), _labels(spark, sf_dir).withColumn("frozen", F.lit(True))
+    return mosaic.adjacency(pairs_, labels, calibrate.tau_of_frozen(pairs_, labels, least_pairs=2), LOW, HIGH, ramps.choose(False, True)).select("i", "j", F.round("w", 4).alias("w"))
+
+
+@query(f"WITH {CELLS}, e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) m, count(*) n FROM e GROUP BY label, d) SELECT CAST(label AS INT) AS label, max(n) AS n, round(sum(m * d), 4) AS weighted, round(sqrt(sum(m*m)), 5) AS norm FROM m GROUP BY label")
+def cluster_means(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    m = estimators.cluster_means(p, p.select("cell_id", F.col("y").alias("label")))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return m.select("label", "n", F.round(total(F.transform("mean", lambda x, i: x * (i + 1))), 4).alias("weighted"), F.round(F.sqrt(total(F.transform("mean", lambda x: x * x))), 5).alias("norm"))
+
+
+@query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) m, count(*) n FROM e GROUP BY label, d) SELECT CAST(p.label AS INT) AS a, CAST(q.label AS INT) AS b, round(max(p.n)*max(q.n)/(max(p.n)+max(q.n))*sum((p.m-q.m)*(p.m-q.m)), 4) AS delta FROM m p JOIN m q ON p.d = q.d AND p.label < q.label GROUP BY p.label, q.label")
+def ward_deltas(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return estimators.ward_deltas(estimators.cluster_means(p, p.select("cell_id", F.col("y").alias("label")))).select("a", "b", F.round("delta", 4).alias("delta"))
+
+
+@query(f"{PAIRS}, z AS (SELECT label, count(*) n FROM cells GROUP BY label), vo AS (SELECT least(li, lj) a, greatest(li, lj) b, sum({RAMP}) s FROM lab WHERE li <> lj GROUP BY 1, 2) SELECT a, b, round(s/(p.n*q.n), 8) AS v FROM vo JOIN z p ON p.label = a JOIN z q ON q.label = b")
+def cross_overlap(spark, sf_dir):
+    return merging.cross_overlap(_pairs(spark, sf_dir), _labels(spark, sf_dir), LOW, HIGH).select("a", "b", F.round("v", 8).alias("v"))
+
+
+@query(f"WITH {CELLS}, z AS (SELECT label, count(*) n FROM cells GROUP BY label) SELECT k AS label, 0.01 * pow(coalesce(n, 0) - (SELECT count(*) FROM cells)/5.0, 2) AS cost FROM (SELECT CAST(range AS INT) AS k FROM range(0, 5)) LEFT JOIN z ON label = k")
+def count_costs(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(merging.count_costs(_labels(spark, sf_dir), 0.01, 5))), "label int, cost double")
+
+
+_CV = f"WITH {CELLS}, n AS (SELECT g, cell_id, min(d) d FROM (SELECT CASE WHEN a.label = b.label THEN a.label ELSE -1 END g, a.cell_id, sqrt({_D2}) d FROM cells a JOIN cells b ON a.cell_id <> b.cell_id AND (a.label = b.label OR (a.label < 2 AND b.label < 2)) AND abs(a.cx-b.cx) < 110 AND abs(a.cy-b.cy) < 110 WHERE a.label < 2) GROUP BY g, cell_id), u AS (SELECT cell_id, min(d) d FROM n GROUP BY cell_id), cv AS (SELECT g, stddev_pop(d)/avg(d) cv FROM n WHERE g >= 0 GROUP BY g)"
+
+
+@query(f"{_CV} SELECT 0 AS a, 1 AS b, round((SELECT sum(cv) FROM cv) - 2 * (SELECT stddev_pop(d)/avg(d) FROM u), 5) AS gain")
+def regularity_gain(spark, sf_dir):
+    got = merging.regularity_gains(_cells(spark, sf_dir), _labels(spark, sf_dir), [(0, 1)])
+    return spark.createDataFrame([(a, b, round(g, 5)) for (a, b), g in got.items()], "a int, b int, gain double")
+
+
+@query(f"WITH {CELLS}{UNARY} SELECT cell_id, round(-ln(sum(exp(-c)) FILTER (k IN (0, 3))), 6) + 0.0 AS first, round(-ln(sum(exp(-c)) FILTER (k IN (1, 2, 4))), 6) + 0.0 AS second FROM unary GROUP BY cell_id")
+def mixed_unary(spark, sf_dir):
+    u = merging.mixed_unary(_unary(spark, sf_dir), [[0, 3], [1, 2, 4]])
+    return u.select("cell_id", (F.round(F.get("costs", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("costs", F.lit(1)), 6) + 0.0).alias("second"))
+
+
+@query(f"{HEX} SELECT CAST(label AS INT) AS label, round(min(x), 6) + 0.0 AS x0, round(max(x), 6) + 0.0 AS x1, round(min(y), 6) + 0.0 AS y0, round(max(y), 6) + 0.0 AS y1 FROM v JOIN cells USING (cell_id) GROUP BY label")
+def extents(spark, sf_dir):
+    return diag.extents(_cells(spark, sf_dir), "label").select("label", *((F.round(c, 6) + 0.0).alias(c) for c in ("x0", "x1", "y0", "y1")))
+
+
+@query(f"WITH {CELLS}, {_V.format(cells='cells')} SELECT cell_id, count(*) FILTER (x < {BOX[0]} OR x > {BOX[1]} OR y < {BOX[2]} OR y > {BOX[3]}) > 0 AS crosses FROM v JOIN cells USING (cell_id) WHERE cx BETWEEN {BOX[0]} AND {BOX[1]} AND cy BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY cell_id")
+def kept_cells(spark, sf_dir):
+    """Cells whose centre lies in the box and of which something is left there, and whether the box cuts them."""
+    c = _cells(spark, sf_dir).where(g.kept_in_box(F.col("poly"), F.col("cx"), F.col("cy"), BOX))
+    return c.select("cell_id", g.crosses_box(F.col("poly"), BOX).alias("crosses"))
+
+
+@query("WITH p AS (SELECT CAST(p_partkey * 37 % 101 AS DOUBLE) x, CAST(p_partkey * 91 % 103 AS DOUBLE) y, CAST(p_size AS INT) g FROM part), f AS (SELECT p.*, count(*) OVER (PARTITION BY g) n FROM p) SELECT g, max(n) AS n, max(x) AS x1, min(x) AS x0 FROM f WHERE n >= 3 GROUP BY g")
+def point_hulls(spark, sf_dir):
+    """Convex hulls of groups of points; their extents are those of the points."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = part.select((F.col("p_partkey") * 37 % 101).cast("double").alias("x"), (F.col("p_partkey") * 91 % 103).cast("double").alias("y"), F.col("p_size").cast("int").alias("g"))
+    hulls = p.groupBy("g").agg(F.count("*").alias("n"), F.collect_set(g.point(F.col("x"), F.col("y"))).alias("ps")).where("n >= 3").select("g", "n", g.convex_hull(F.col("ps")).alias("h"))
+    return hulls.select("g", "n", F.array_max(F.transform("h", lambda p: p["x"])).alias("x1"), F.array_min(F.transform("h", lambda p: p["x"])).alias("x0"))
+
+
+@query(f"WITH {CELLS} SELECT CAST(label AS INT) AS y, CAST(4 - label AS INT) AS label, count(*) AS n FROM cells GROUP BY label")
+def relabelled(spark, sf_dir):
+    """Labels named for the best agreement with another labeling: here they are that labeling in reverse."""
+    rows = _cells(spark, sf_dir).select(F.col("label").alias("y"), (4 - F.col("label")).cast("int").alias("label"), (4 - F.col("label")).cast("int").alias("was"))
+    return metrics.relabelled(rows).where("label = y").groupBy("y", F.col("was").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query()
+def conflict_resolution(spark, sf_dir):
+    """Joint moves of overlapping pairs of one label, in rounds."""
+    return cleanup.resolve_conflicts(_labels(spark, sf_dir), _unary(spark, sf_dir), written(_nbrs(spark, sf_dir), "nbrs"), LAMBDA)[0].select("cell_id", "label")
+
+
+@query()
+def residual_violators(spark, sf_dir):
+    """Cells that still overlap fellows, moved or unlabelled, in rounds."""
+    return cleanup.clear_residuals(_labels(spark, sf_dir), _unary(spark, sf_dir), written(_nbrs(spark, sf_dir), "nbrs"))[0].select("cell_id", "label")
+
+
+@query()
+def merged_to_k(spark, sf_dir):
+    """Clusters of embeddings merged to four by gated linkage over the coverage of the cells of the same ids."""
+    p = _points(spark, sf_dir)
+    labels = p.select("cell_id", F.col("y").alias("label"), (F.col("cell_id") % 3 == 0).alias("frozen"))
+    return merging.merge_to_k(labels, p, _pairs(spark, sf_dir), HIGH, 4)[0].select("cell_id", "label")
+
+
+@query()
+def fragment_split(spark, sf_dir):
+    return merging.split_fragmented(_cells(spark, sf_dir), _labels(spark, sf_dir))[0].select("cell_id", "label")
+
+
+@query()
+def kmeans_labels(spark, sf_dir):
+    return estimators.kmeans(_points(spark, sf_dir), 10)
+
+
+@query()
+def mixture_labels(spark, sf_dir):
+    """Likeliest components of a mixture with diagonal covariances, started from k-means."""
+    p = written(_points(spark, sf_dir).select("cell_id", "features"), "points")
+    m = estimators.fit_mixture(p, estimators.initial_means(p, 10), "diag", rounds=10)
+    return diag.frozen_by_posterior(estimators.mixture_unary(p, m), 0.9).select("cell_id", "label", "frozen")
+
+
+@query()
+def mosaic_fit(spark, sf_dir):
+    """The whole strategy over the cells, with the embedding of each cell's label and a little of another as features."""
+    e = _points(spark, sf_dir).groupBy("y").agg(F.min_by("features", "cell_id").alias("f")).select("y", F.slice("f", 1, 4).alias("f"))
+    shift = F.array(*(((F.col("cell_id") * (k + 3)) % 11 - 5) / 25.0 for k in range(4)))
+    cells = _cells(spark, sf_dir).join(e, F.col("label") == F.col("y")).select("cell_id", "cx", "cy", "clipped", "poly", F.zip_with("f", shift, lambda a, b: a + b).alias("features"))
+    return mosaic.MosaicStrategy(5, radius=RADIUS, refits=0, cleanups=1).fit(written(cells, "cells")).labels.select("cell_id", "label")
