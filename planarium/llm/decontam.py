@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._store import small_batches
-from planarium.llm._text import LOWER, U64, prefix_hash, slices, span_hash, utf8, window_hashes, words
+from planarium.llm._store import small_batches, written
+from planarium.llm._text import LOWER, U64, mix, prefix_hash, slices, span_hash, utf8, window_hashes, words
 
 WINDOW = 6
-#: Item windows that are broadcast at once; a larger benchmark is joined in blocks of items.
-BLOCK_WINDOWS = 500_000
+#: Bytes of a benchmark that is broadcast whole; a larger one is joined by shuffle, behind a filter of fixed size.
+BROADCAST_BYTES, FILTER = 4 << 20, 1 << 22
 NUMBER, NAME, UNIT = U64(1), U64(2), U64(3)
 
 # Units of measure and currencies.
@@ -305,6 +305,71 @@ def _matches(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> I
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "first_word", "n_words", "share"])
 
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of each item's windows, with the kind of window: its width, and whether words or templates count."""
+    for batch in slices(batches, "item_text"):
+        rows = []
+        for key, text in zip(batch.column("item").to_pylist(), batch.column("item_text").to_pylist()):
+            for by_words, table in Items([0], pa.array([text], pa.string())).tables:
+                kind = 2 * table.width + by_words
+                rows += [(key, kind, h) for h in np.unique(mix(table.h ^ U64(kind))).view(np.int64).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["item", "kind", "h"])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of the windows' last bits, of fixed size."""
+    bits = np.zeros(FILTER, dtype=bool)
+    for batch in batches:
+        bits[batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64) & U64(FILTER - 1)] = True
+    yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("bits", pa.binary())]))
+
+
+def _doc_windows(batches: Iterator[pa.RecordBatch], kinds: list[int], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Names of the windows of each text that may be an item's."""
+    for batch in slices(batches):
+        template, plain, first = templates(batch.column("text"))
+        keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(keys)), np.diff(first))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for kind in kinds:
+            width = kind // 2
+            h = mix(window_hashes(plain if kind % 2 else template, width) ^ U64(kind))
+            at = np.arange(len(h))
+            ok = bits[h & U64(FILTER - 1)] & (doc[at] == doc[at + width - 1])
+            found.append((keys[doc[at[ok]]], h[ok]))
+        key, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        if len(key):
+            key, h = np.unique(np.stack([key, h.view(np.int64)], axis=1), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key)), pa.array(np.ascontiguousarray(h).view(np.int64))], names=["key", "h"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Passages of each text among its own candidate items."""
+    for batch in slices(batches):
+        template, plain, first = templates(batch.column("text"))
+        rows = []
+        for i, (doc, items) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("items").to_pylist())):
+            own = Items([x["item_id"] for x in items], pa.array([x["item_text"] for x in items], pa.string()))
+            rows += [(doc, own.ids[k], a, n, share) for k, a, n, share in own.spans(template, plain, int(first[i]), int(first[i + 1]), least)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "first_word", "n_words", "share"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, least: float, schema: str) -> DataFrame:
+    """The hash join of windows by shuffle, for benchmarks too large to broadcast; documents are scanned for windows once."""
+    items = items.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
+    windows = written(items.select("item", "item_text").mapInArrow(_item_windows, "item long, kind int, h long"), "windows")
+    kinds = sorted(r["kind"] for r in windows.select("kind").distinct().collect())  # twelve at most
+    bits = np.zeros(FILTER, dtype=bool)
+    for r in windows.select("h").coalesce(64).mapInArrow(_seen, "bits binary").toLocalIterator():
+        bits |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).view(bool)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    met = keyed.select("key", "text").mapInArrow(lambda it: _doc_windows(it, kinds, shared.value), "key long, h long").distinct()
+    pairs = met.join(windows.select("item", "h").distinct(), "h").select("key", "item").distinct()
+    lists = pairs.join(items.dropDuplicates(["item"]), "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "item_text"))).alias("items"))
+    return keyed.join(lists, "key").select("doc_id", "text", "items").mapInArrow(lambda it: _checked(it, least), schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows (doc_id, item_id, first_word, n_words, share): passages of docs that repeat an item.
 
@@ -318,13 +383,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, share double"
-    # A text has at most as many windows as bytes; blocks of items keep what is broadcast within the bound.
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // (2 * BLOCK_WINDOWS)))
-    out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string())))
-        found = docs.mapInArrow(lambda it, block=block: _matches(it, block.value, least), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    # A text has at most as many windows as bytes, so a benchmark within the bound can be broadcast.
+    if int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES:
+        return _joined(docs, items, least, schema)
+    rows = items.orderBy("item_id", "text").collect()
+    block = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string())))
+    return docs.mapInArrow(lambda it: _matches(it, block.value, least), schema)

@@ -424,7 +424,9 @@ def test_token_rollup_query(spark, tmp_path):
     assert got == {(*k, docs[k], want[k]) for k in docs}
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bound", [4 << 20, 0])
+def test_decontamination(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
     items = [(1, "If Anna has 12 apples and gives 5 apples to Bob, how many apples does Anna keep in the 3 kg basket"), (2, "The quick brown fox jumps over the lazy dog near the river bank"), (3, "too short"), (4, None), (None, "The quick brown fox jumps over the lazy dog")]
     rng = random.Random(1)
     noise = prose(rng, 50)
@@ -438,7 +440,9 @@ def test_decontamination(spark):
     assert decontam.contaminated(table(spark, docs), bench.limit(0)).count() == 0 and decontam.contaminated(table(spark, []), bench).count() == 0
 
 
-def test_decontamination_of_placeholders_and_short_items(spark):
+@pytest.mark.parametrize("bound", [4 << 20, 0])
+def test_decontamination_of_placeholders_and_short_items(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
     items = [(1, "12 km 15 km 20 km"), (2, "3 14 15 92 65 35 89 79"), (3, "we met Anna Bob Carla Dave Erik Fred Gina"), (4, "capital of France"), (5, "what is 12 plus 7"), (6, "the 12 km")]
     noise = prose(random.Random(3), 30)
     docs = [(i, f"{noise} so {t} {noise}") for i, t in items]
@@ -448,7 +452,9 @@ def test_decontamination_of_placeholders_and_short_items(spark):
     assert got == {(i, i) for i, _ in items} | {(10, 5), (13, 1)}
 
 
-def test_decontamination_of_edited_copies(spark):
+@pytest.mark.parametrize("bound", [4 << 20, 0])
+def test_decontamination_of_edited_copies(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     one, two = [word() for _ in range(30)], [word() for _ in range(500)]
@@ -464,6 +470,25 @@ def test_decontamination_of_edited_copies(spark):
     assert got[1, 1] == 1.0 and got[2, 1] == pytest.approx(28 / 30) and got[3, 2] == pytest.approx(0.4)
 
 
+@pytest.mark.parametrize("bound", [4 << 20, 0])
+def test_decontamination_recall_of_new_values(spark, monkeypatch, bound):
+    """Items with other numbers and names than the benchmark's are found, those with values swapped against the pattern aren't."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
+    rng = random.Random(21)
+    names, verbs = ["Anna", "Carla", "Dave", "Erik", "Gina", "Hugo", "Ines", "Karl"], ["buys", "paints", "carries", "counts", "plants", "repairs"]
+    make = lambda a, b, x, y, v, w: f"Every morning {a} {v} {x} boxes of {w} while the neighbour {b} takes {y} boxes, so how many boxes of {w} does {a} have in the end"
+    items, docs = [], []
+    for i in range(60):
+        v, w = rng.choice(verbs), "".join(rng.choice("bcdfghklmnpr") + rng.choice("aeiou") for _ in range(4))
+        one, two = rng.sample(names, 2), rng.sample(names, 2)
+        x, y = rng.sample(range(2, 900), 2), rng.sample(range(2, 900), 2)
+        items.append((i, make(*one, *x, v, w)))
+        docs.append((i, f"{prose(rng, 30)}. {make(*two, *y, v, w)}. {prose(rng, 20)}"))
+    noise = [(1000 + i, prose(rng, 120)) for i in range(20)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, docs + noise), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 57 and not any(d >= 1000 for d, _ in got)
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
