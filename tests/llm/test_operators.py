@@ -157,6 +157,52 @@ def test_pipeline_keeps_rows_by_text(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == sorted([(1, one), (1, two), (0, three), (4, four)])
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    base = [prose(rng, 40, 2000) for _ in range(12)]
+    item = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(i, t) for i, t in enumerate(base)] + [(20 + i, base[i] + " end") for i in range(4)] + [(30, base[5]), (31, base[5]), (31, base[5]), (None, base[6] + " x"), (None, prose(rng, 30, 2000))]
+    rows += [(40, f"{base[0][:60]} {item} {prose(rng, 12, 900)}"), (41, None), (42, ""), (43, "12 34 !"), (44, prose(rng, 25, 900) + ' password = "hunterhunter2"'), (45, prose(rng, 3000, 9000))]
+    full = [(d, t, None if d == 44 else "en" if k % 2 else "de", f"s{k % 3}", 0) for k, (d, t) in enumerate(rows)]
+    table(spark, full).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(d, t) for d, t in dict.fromkeys(rows) if t and re.search("[a-zA-Z]", t)]
+    sets = [shingles(t) for _, t in left]
+    links = [(a, b) for a in range(len(left)) for b in range(a + 1, len(left)) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots_of(range(len(left)), links)
+    best = {}
+    for k, (d, t) in enumerate(left):
+        key = (d is None, d or 0)
+        if root[k] not in best or key < best[root[k]][0]:
+            best[root[k]] = (key, d, t)
+    want = sorted((-1 if d is None else d, len(t.split())) for _, d, t in best.values() if item not in t)
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.schema.names == before.schema.names
+        if name == "language":
+            assert docs.where("lang is null").count() == 0
+    assert docs.where("text like '%hunterhunter2%'").count() == 0 and docs.where("text like '%[secret]%'").count() == 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    got = Counter()
+    for d, n in zip(packed["doc_id"], packed["length"]):
+        got[-1 if d != d or d is None else int(d)] += int(n)
+    # Masking leaves the number of words as it is here.
+    assert sorted(got.items()) == want
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 3)]
