@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._pack import ascending, bounds, from_ascending, packed, unpacked
-from planarium.llm._store import bucketed, small_batches, written
+from planarium.llm._pack import ascending, bounds, from_ascending, packed, summed, unpacked
+from planarium.llm._store import bucketed, small_batches
 from planarium.llm._text import U64, mix, release, slices, word_hashes
 
 #: Tokens of a block (about; a longer document is a block by itself), and n-grams that one range sums (about).
@@ -41,8 +41,8 @@ ORDER, STRENGTH = 3, 2.0
 END = U64(0xE4D0E4D0E4D0E4D0)
 START = U64(0x57A257A257A257A2)
 _TURN = U64(0x9FB21C651E98DF25)
-#: The last bits of an n-gram's hash are its number of words.
-_TAG = U64(7)
+#: Bits of a 64-bit hash that don't name an n-gram: 58 bits tell n-grams apart and travel in fewer bytes.
+_SPARE = U64(6)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ class Block:
                 key = key.copy()
                 key[o - 1 :] += _TURN * seq[: len(seq) - o + 1]
             key = mix(key)
-            self.keys.append((key & ~_TAG) | U64(o))
+            self.keys.append(key >> _SPARE)
             self.place.append(within >= o - 1)
 
     def ngrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -119,21 +119,25 @@ def _parts(batches: Iterator[pa.RecordBatch], ranges: int, order: int) -> Iterat
             names, at = b.ngrams()
             training = np.repeat(~b.held, b.lengths + 1)
             n = np.bincount(np.concatenate([x[training & (x >= 0)] for x in at]), minlength=len(names))
-            cut = bounds(names, ranges)
+            cut = bounds(names << _SPARE, ranges)
             rows = [(r, row["block"], ascending(names[cut[r] : cut[r + 1]]), packed(n[cut[r] : cut[r + 1]], "<u4")) for r in np.flatnonzero(np.diff(cut)).tolist()]
             release()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
 
 
-def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks of each block's n-grams of a range; beside them the range's number of words seen in training."""
-    names = [from_ascending(x) for x in rows["words"]]
-    u, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in rows["n"]]), minlength=len(u)).astype(np.int64)
-    words = int(((n > 0) & ((u & _TAG) == U64(1))).sum())
-    own = np.split(n[inverse], np.cumsum([len(w) for w in names])[:-1])
-    release()
-    return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own], "words": words})
+def _words(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Words that each block's training texts hold, cut into ranges."""
+    for batch in batches:
+        for words, tokens, lengths, held in zip(*(batch.column(c).to_pylist() for c in ("words", "tokens", "lengths", "held"))):
+            words, training = from_ascending(words), np.repeat(~unpacked(held, "u1").astype(bool), unpacked(lengths, "<u4"))
+            words = words[np.bincount(unpacked(tokens, "<u4")[training], minlength=len(words)) > 0]
+            cut = bounds(words, ranges)
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([ascending(words[cut[r] : cut[r + 1]]) for r in full], pa.binary())], names=["range", "words"])
+
+
+def _distinct(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"v": [len(np.unique(np.concatenate([from_ascending(x) for x in rows["words"]])))]})
 
 
 class Automaton:
@@ -202,8 +206,8 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER, strength: float =
     # One block a batch: a block's n-grams fill a good part of a task's memory.
     texts = blocks.select("block", "words", "tokens", "docs", "lengths", "held")
     parts = texts.mapInArrow(lambda it: _parts((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges, order), "range int, block long, words binary, n binary")
-    answers = written(parts.groupBy("range").applyInPandas(_summed, "range int, block long, n binary, words long"), "answers")
-    seen = answers.groupBy("range").agg(F.first("words").alias("v")).agg(F.sum("v").alias("v")).first()["v"] or 0
-    v_all = max(0, int(seen) - 1)  # the start mark isn't a word
+    answers = parts.groupBy("range").applyInPandas(summed, "range int, block long, n binary")
+    seen = texts.select("words", "tokens", "lengths", "held").mapInArrow(lambda it: _words((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges), "range int, words binary")
+    v_all = int(seen.groupBy("range").applyInPandas(_distinct, "v long").agg(F.sum("v")).first()[0] or 0)
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, n_all, v_all, order, strength), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.when(F.col("doc_id") != nothing, F.col("doc_id")))
