@@ -469,11 +469,11 @@ def merge_boundary(spark, sf_dir):
 
 @query(f"""{PAIRS}, tl AS (SELECT li AS label, least(greatest(quantile_cont(cf, 0.75), 0.01), 0.49) tau FROM lab WHERE li = lj GROUP BY li HAVING count(*) >= 2),
 pl AS (SELECT i, j, cf, CASE WHEN li = lj THEN coalesce(tau, {LOW}) ELSE {LOW} END AS lo FROM lab LEFT JOIN tl ON tl.label = li),
-wl AS (SELECT i, j, CASE WHEN cf < lo THEN (cf - lo)/lo WHEN {HIGH} - lo <= 0 THEN CAST(cf > lo AS INT) ELSE least(1.0, greatest(0.0, (cf - lo)/({HIGH} - lo))) END AS w FROM pl)
+wl AS (SELECT i, j, CASE WHEN cf < lo THEN (cf - lo)/lo WHEN 0.95 - lo <= 0 THEN CAST(cf > lo AS INT) ELSE least(1.0, greatest(0.0, (cf - lo)/(0.95 - lo))) END AS w FROM pl)
 SELECT i, j, round(w, 4) AS w FROM wl WHERE abs(w) > 1e-9 UNION ALL SELECT j, i, round(w, 4) FROM wl WHERE abs(w) > 1e-9""")
 def adjacency_per_cluster(spark, sf_dir):
     pairs_, labels = _pairs(spark, sf_dir), _labels(spark, sf_dir).withColumn("frozen", F.lit(True))
-    return mosaic.adjacency(pairs_, labels, calibrate.tau_of_frozen(pairs_, labels, least_pairs=2), LOW, HIGH, ramps.choose(False, True)).where("abs(w) > 1e-9").select("i", "j", F.round("w", 4).alias("w"))
+    return mosaic.adjacency(pairs_, labels, calibrate.tau_of_frozen(pairs_, labels, least_pairs=2), LOW, 0.95, ramps.choose(False, True)).where("abs(w) > 1e-9").select("i", "j", F.round("w", 4).alias("w"))
 
 
 @query(f"WITH {CELLS}, e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) m, count(*) n FROM e GROUP BY label, d) SELECT CAST(label AS INT) AS label, max(n) AS n, round(sum(m * d), 4) AS weighted, round(sqrt(sum(m*m)), 5) AS norm FROM m GROUP BY label")
