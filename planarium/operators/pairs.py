@@ -49,10 +49,16 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def _touching(cells: DataFrame, radius: float, exclude_clipped: bool) -> DataFrame:
+    """Radius pairs with their polygons and areas, without those whose outer circles about the centres don't meet."""
+    far = F.array_max(F.transform("poly", lambda p: (p["x"] - F.col("cx")) * (p["x"] - F.col("cx")) + (p["y"] - F.col("cy")) * (p["y"] - F.col("cy"))))
+    cells = cells.withColumn("area", area(F.col("poly"))).withColumn("reach", F.sqrt(far))
+    return spatial_pairs(cells, radius, exclude_clipped, ("poly", "area", "reach")).where(F.col("d") <= F.col("reach") + F.col("reach_j"))
+
+
 def coverage_map(cells: DataFrame, radius: float, exclude_clipped: bool = True, least: float = 1e-9) -> DataFrame:
     """Rows (i, j, cf): shared area over the smaller area, for pairs that overlap."""
-    cells = cells.withColumn("area", area(F.col("poly")))
-    pairs = spatial_pairs(cells, radius, exclude_clipped, ("poly", "area"))
+    pairs = _touching(cells, radius, exclude_clipped)
     small = F.least("area", "area_j")
     cf = F.when(small > 0, area(intersection(F.col("poly"), F.col("poly_j"))) / F.nullif(small, F.lit(0.0))).otherwise(0.0)
     return pairs.select("i", "j", _once(cf).alias("cf")).where(F.col("cf") > least)
@@ -60,8 +66,7 @@ def coverage_map(cells: DataFrame, radius: float, exclude_clipped: bool = True,
 
 def iou_pairs(cells: DataFrame, radius: float, least: float = 1e-9) -> DataFrame:
     """Rows (i, j, iou) for overlapping pairs; pairs further apart than `radius` must not overlap."""
-    cells = cells.withColumn("area", area(F.col("poly")))
-    pairs = spatial_pairs(cells, radius, False, ("poly", "area"))
+    pairs = _touching(cells, radius, False)
     shared = pairs.select("i", "j", "area", "area_j", _once(area(intersection(F.col("poly"), F.col("poly_j")))).alias("s"))
     return shared.select("i", "j", (F.col("s") / F.nullif(F.col("area") + F.col("area_j") - F.col("s"), F.lit(0.0))).alias("iou")).where(F.col("iou") > least)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.sources.store import written
+
 
 def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str] | None = None, parts: int = 256) -> DataFrame:
     """Rows (*by, n, q_0, q_1, ...): quantiles with linear interpolation; nulls are left out, a group of nulls has no row.
@@ -15,7 +17,8 @@ def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str]
     ordered.  A value may repeat as often as it likes.
     """
     by = by or []
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    # The values alone are written once: what makes them may be costly and is read three times here.
+    rows = written(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), "values")
     cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).alias("_cuts"))
     at = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]

@@ -274,7 +274,7 @@ def icm_jacobi_sweep(spark, sf_dir):
 @query()
 def icm_sequential(spark, sf_dir):
     """In-place sweeps to a fixpoint; the order of cells matters, so SQL can't express it."""
-    return refine.icm_sequential(_labels(spark, sf_dir), _unary(spark, sf_dir), refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), LAMBDA).select("cell_id", "label")
+    return refine.icm_sequential(_labels(spark, sf_dir), _unary(spark, sf_dir), _nbrs(spark, sf_dir), LAMBDA).select("cell_id", "label")
 
 
 @query(f"{PAIRS} SELECT least(li, lj) AS a, greatest(li, lj) AS b, count(*) AS n_pairs, count(*) FILTER (cf >= {HIGH}) AS n_high, count(*) FILTER (fi AND fj) AS frozen_pairs, count(*) FILTER (fi AND fj AND cf >= {HIGH}) AS frozen_high FROM lab WHERE li <> lj GROUP BY 1, 2")
@@ -365,7 +365,7 @@ _POST = f"WITH {CELLS}{UNARY}, low AS (SELECT cell_id, min(c) m FROM unary GROUP
 
 
 def _nbrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH)
+    return written(refine.neighbours(_pairs(spark, sf_dir), LOW, HIGH), "nbrs")
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,14 +397,14 @@ pu AS (SELECT i, sum(least(1.0, (cf-{LOW})/{1 - LOW})) p FROM both_ WHERE li = l
 an AS (SELECT count(*) n_anchors, coalesce(avg(CAST(cf > {LOW} AS INT)), 0.0) broken FROM lab WHERE li = lj AND fi AND fj)
 SELECT round(CASE WHEN n_free >= 10 AND n_anchors >= 10 AND broken <= 0.9 AND n_pushed >= 10 AND gap > 0 THEN gap/push END, 4) AS lam, round(gap, 6) AS gap, round(push, 5) AS push, n_free, n_pushed, n_anchors, round(broken, 6) AS broken FROM g, q, an""")
 def penalty_weight(spark, sf_dir):
-    p = calibrate.penalty_weight(_pairs(spark, sf_dir), _labels(spark, sf_dir), _unary(spark, sf_dir), LOW, most_broken=0.9)
+    p = calibrate.penalty_weight(written(_pairs(spark, sf_dir), "pairs"), _labels(spark, sf_dir), _unary(spark, sf_dir), LOW, most_broken=0.9)
     return p.select(F.round("lam", 4).alias("lam"), F.round("gap", 6).alias("gap"), F.round("push", 5).alias("push"), "n_free", "n_pushed", "n_anchors", F.round("broken", 6).alias("broken"))
 
 
 @query()
 def mixture_threshold(spark, sf_dir):
     """The lower of two components of the coverage fractions; fitted in rounds, so not in SQL."""
-    t = calibrate.mixture_threshold(_pairs(spark, sf_dir))
+    t = calibrate.mixture_threshold(written(_pairs(spark, sf_dir), "pairs"))
     return spark.createDataFrame([(t,)], "tau double")
 
 
@@ -452,7 +452,7 @@ def empirical_thresholds(spark, sf_dir):
 @query(f"""{PAIRS}, o AS (SELECT i, j, cf, li = lj AS same, row_number() OVER (PARTITION BY li = lj ORDER BY cf, i, j) - 1 AS r, count(*) OVER (PARTITION BY li = lj) AS n FROM lab), w AS (SELECT * FROM (VALUES (true, 5.0), (true, 35.0), (true, 70.0), (true, 100.0), (false, 5.0), (false, 95.0)) t(same, pct))
 SELECT same, CAST(pct AS DOUBLE) AS pct, round(cf, 5) AS cf FROM o JOIN w USING (same) WHERE r = CAST(round_even(pct / 100 * (n - 1), 0) AS BIGINT)""")
 def pair_gallery(spark, sf_dir):
-    return diag.gallery(_pairs(spark, sf_dir), _labels(spark, sf_dir)).select("same", "pct", F.round("cf", 5).alias("cf"))
+    return diag.gallery(written(_pairs(spark, sf_dir), "pairs"), _labels(spark, sf_dir)).select("same", "pct", F.round("cf", 5).alias("cf"))
 
 
 @query(f"{PAIRS}, hard AS (SELECT i AS cell_id FROM lab WHERE li = lj AND cf > 0.85 UNION SELECT j FROM lab WHERE li = lj AND cf > 0.85) SELECT cell_id, label, frozen AND cell_id NOT IN (SELECT cell_id FROM hard) AS frozen FROM cells")
@@ -472,7 +472,7 @@ pl AS (SELECT i, j, cf, CASE WHEN li = lj THEN coalesce(tau, {LOW}) ELSE {LOW} E
 wl AS (SELECT i, j, CASE WHEN cf < lo THEN (cf - lo)/lo WHEN 0.95 - lo <= 0 THEN CAST(cf > lo AS INT) ELSE least(1.0, greatest(0.0, (cf - lo)/(0.95 - lo))) END AS w FROM pl)
 SELECT i, j, round(w, 4) AS w FROM wl WHERE abs(w) > 1e-9 UNION ALL SELECT j, i, round(w, 4) FROM wl WHERE abs(w) > 1e-9""")
 def adjacency_per_cluster(spark, sf_dir):
-    pairs_, labels = _pairs(spark, sf_dir), _labels(spark, sf_dir).withColumn("frozen", F.lit(True))
+    pairs_, labels = written(_pairs(spark, sf_dir), "pairs"), _labels(spark, sf_dir).withColumn("frozen", F.lit(True))
     return mosaic.adjacency(pairs_, labels, calibrate.tau_of_frozen(pairs_, labels, least_pairs=2), LOW, 0.95, ramps.choose(False, True)).where("abs(w) > 1e-9").select("i", "j", F.round("w", 4).alias("w"))
 
 
@@ -546,13 +546,13 @@ def relabelled(spark, sf_dir):
 @query()
 def conflict_resolution(spark, sf_dir):
     """Joint moves of overlapping pairs of one label, in rounds."""
-    return cleanup.resolve_conflicts(_labels(spark, sf_dir), _unary(spark, sf_dir), written(_nbrs(spark, sf_dir), "nbrs"), LAMBDA)[0].select("cell_id", "label")
+    return cleanup.resolve_conflicts(_labels(spark, sf_dir), _unary(spark, sf_dir), _nbrs(spark, sf_dir), LAMBDA)[0].select("cell_id", "label")
 
 
 @query()
 def residual_violators(spark, sf_dir):
     """Cells that still overlap fellows, moved or unlabelled, in rounds."""
-    return cleanup.clear_residuals(_labels(spark, sf_dir), _unary(spark, sf_dir), written(_nbrs(spark, sf_dir), "nbrs"))[0].select("cell_id", "label")
+    return cleanup.clear_residuals(_labels(spark, sf_dir), _unary(spark, sf_dir), _nbrs(spark, sf_dir))[0].select("cell_id", "label")
 
 
 @query()
@@ -560,7 +560,7 @@ def merged_to_k(spark, sf_dir):
     """Clusters of embeddings merged to four by gated linkage over the coverage of the cells of the same ids."""
     p = _points(spark, sf_dir)
     labels = p.select("cell_id", F.col("y").alias("label"), (F.col("cell_id") % 3 == 0).alias("frozen"))
-    return merging.merge_to_k(labels, p, _pairs(spark, sf_dir), HIGH, 4)[0].select("cell_id", "label")
+    return merging.merge_to_k(labels, p, written(_pairs(spark, sf_dir), "pairs"), HIGH, 4)[0].select("cell_id", "label")
 
 
 @query()
