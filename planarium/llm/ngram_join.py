@@ -41,7 +41,7 @@ from planarium.llm._store import components, small_batches, written
 from planarium.llm._text import U64, mix, release, shingle_sets, slices
 
 #: Shingles that one task packs into a block, and those that one range of the hash space sums (about).
-BLOCK, RANGE = 3_000_000, 1_000_000
+BLOCK, RANGE = 1_500_000, 750_000
 #: Ids of documents that may be broadcast to find their texts; beyond it, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Candidates of a prefix beyond which l grows by one for each doubling, and the largest l.
