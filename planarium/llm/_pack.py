@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 
-from planarium.llm._text import U64, release
+from planarium.llm._text import U64, release, utf8
 
 
 def packed(x: np.ndarray, kind: str) -> bytes:
@@ -44,3 +45,17 @@ def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     own = np.split(n[inverse], np.cumsum([len(w) for w in words])[:-1])
     release()
     return pd.DataFrame({"range": key[0], "block": rows["block"], "n": [packed(x, "<i8") for x in own]})
+
+
+def pack_strings(words: pa.Array) -> bytes:
+    """Strings as their lengths and their bytes, both compressed."""
+    buf, offsets = utf8(words)
+    lengths, text = packed(np.diff(offsets), "<u4"), zstandard.ZstdCompressor(level=1).compress(buf.tobytes())
+    return len(lengths).to_bytes(8, "little") + lengths + text
+
+
+def unpack_strings(data: bytes) -> pa.Array:
+    at = 8 + int.from_bytes(data[:8], "little")
+    lengths = unpacked(data[8:at], "<u4").astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.ZstdDecompressor().decompress(data[at:]))])
