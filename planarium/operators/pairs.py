@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planarium.functions.geometry import area, intersection
+from planarium.functions.geometry import area
+from planarium.functions.rings import shaped, shared_areas
 from planarium.sources.store import written
 
 
@@ -29,7 +31,7 @@ def spatial_pairs(cells: DataFrame, radius: float, exclude_clipped: bool = False
     if exclude_clipped:
         cells = cells.where(~F.col("clipped"))
     own = list(dict.fromkeys(["cell_id", "cx", "cy", *keep]))
-    at = cells.where("cx is not null and cy is not null").select(F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"), F.struct(*own).alias("a"))
+    at = cells.where("cx is not null and cy is not null and not isnan(cx) and not isnan(cy)").select(F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"), F.struct(*own).alias("a"))
     ahead = F.array(*(F.struct((F.col("bx") + x).alias("bx"), (F.col("by") + y).alias("by"), F.lit(x == y == 0).alias("same")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
     around = at.select(F.col("a").alias("b"), F.explode(ahead).alias("at")).select("b", "at.bx", "at.by", "at.same")
     dx, dy = F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy")
@@ -44,31 +46,91 @@ def proximity_map(cells: DataFrame, radius: float, exclude_clipped: bool = True)
     return spatial_pairs(cells, radius, exclude_clipped).where(F.col("d") < radius).select("i", "j", (1 - F.col("d") / radius).alias("score"))
 
 
-def _once(value: Column) -> Column:
-    """The value as a generated column: a filter on it can't copy a costly expression below itself."""
-    return F.explode(F.array(value))
+def _shaped(cells: DataFrame) -> DataFrame:
+    """Cells (cell_id, cx, cy, clipped, ring, convex, area, reach, x0, x1, y0, y1) with a simple polygon, turned counter-clockwise.
 
+    Reach is the distance of the farthest vertex from the centre.  Cells whose
+    polygon has fewer than three vertices, coordinates that are null or NaN, no
+    area, or a ring that crosses or touches itself overlap with nothing.
+    """
+    clipped = F.coalesce("clipped", F.lit(False)) if "clipped" in cells.columns else F.lit(False)
+    real = lambda c: F.col(c).cast("double").alias(c)
+    rows = cells.select(F.col("cell_id").cast("long").alias("cell_id"), real("cx"), real("cy"), clipped.alias("clipped"), F.col("poly").cast(_RING).alias("poly"))
+
+    def shape(batches):
+        for b in batches:
+            ring, convex, good = shaped(b.column("poly"))
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cell_id", "cx", "cy", "clipped")), ring, pa.array(convex)], ["cell_id", "cx", "cy", "clipped", "ring", "convex"])
+            yield out.filter(pa.array(good))
+
+    rows = rows.mapInArrow(shape, f"cell_id long, cx double, cy double, clipped boolean, ring {_RING}, convex boolean")
+    end = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    far = F.array_max(F.transform("ring", lambda p: (p["x"] - F.col("cx")) * (p["x"] - F.col("cx")) + (p["y"] - F.col("cy")) * (p["y"] - F.col("cy"))))
+    return rows.select("*", area(F.col("ring")).alias("area"), F.sqrt(far).alias("reach"), end(F.array_min, "x").alias("x0"), end(F.array_max, "x").alias("x1"), end(F.array_min, "y").alias("y0"), end(F.array_max, "y").alias("y1"))
+
+
+_RING = "array<struct<x: double, y: double>>"
 
-def _touching(cells: DataFrame, radius: float, exclude_clipped: bool) -> DataFrame:
-    """Radius pairs with their polygons and areas, without those whose outer circles about the centres don't meet."""
-    far = F.array_max(F.transform("poly", lambda p: (p["x"] - F.col("cx")) * (p["x"] - F.col("cx")) + (p["y"] - F.col("cy")) * (p["y"] - F.col("cy"))))
-    cells = cells.withColumn("area", area(F.col("poly"))).withColumn("reach", F.sqrt(far))
-    return spatial_pairs(cells, radius, exclude_clipped, ("poly", "area", "reach")).where(F.col("d") <= F.col("reach") + F.col("reach_j"))
+
+def _shared(pairs: DataFrame) -> DataFrame:
+    """Rows (i, j, area, area_j, s) of pairs with both rings: s is their shared area."""
+
+    def clip(batches):
+        for b in batches:
+            both = [b.column(c).to_numpy(zero_copy_only=False) for c in ("convex", "convex_j")]
+            s = shared_areas(b.column("ring"), b.column("ring_j"), *both)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("i", "j", "area", "area_j")), pa.array(s)], ["i", "j", "area", "area_j", "s"])
+
+    return pairs.select("i", "j", "area", "area_j", "ring", "ring_j", "convex", "convex_j").mapInArrow(clip, "i long, j long, area double, area_j double, s double")
 
 
 def coverage_map(cells: DataFrame, radius: float, exclude_clipped: bool = True, least: float = 1e-9) -> DataFrame:
-    """Rows (i, j, cf): shared area over the smaller area, for pairs that overlap."""
-    pairs = _touching(cells, radius, exclude_clipped)
-    small = F.least("area", "area_j")
-    cf = F.when(small > 0, area(intersection(F.col("poly"), F.col("poly_j"))) / F.nullif(small, F.lit(0.0))).otherwise(0.0)
-    return pairs.select("i", "j", _once(cf).alias("cf")).where(F.col("cf") > least)
-
-
-def iou_pairs(cells: DataFrame, radius: float, least: float = 1e-9) -> DataFrame:
-    """Rows (i, j, iou) for overlapping pairs; pairs further apart than `radius` must not overlap."""
-    pairs = _touching(cells, radius, False)
-    shared = pairs.select("i", "j", "area", "area_j", _once(area(intersection(F.col("poly"), F.col("poly_j")))).alias("s"))
-    return shared.select("i", "j", (F.col("s") / F.nullif(F.col("area") + F.col("area_j") - F.col("s"), F.lit(0.0))).alias("iou")).where(F.col("iou") > least)
+    """Rows (i, j, cf): shared area over the smaller area, for pairs within `radius` that overlap.
+
+    Polygons may be convex or not and turn either way; see `_shaped` for those that count as none.
+    """
+    pairs = spatial_pairs(_shaped(cells), radius, exclude_clipped, ("ring", "convex", "area", "reach")).where(F.col("d") <= F.col("reach") + F.col("reach_j"))
+    return _shared(pairs).select("i", "j", (F.col("s") / F.least("area", "area_j")).alias("cf")).where(F.col("cf") > least)
+
+
+def box_pairs(boxes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (i, j), i < j, of boxes (cell_id, x0, x1, y0, y1) that meet, whatever their sizes; further columns come as c and c_j.
+
+    A box stands in the few squares of a grid whose step is the power of two
+    above its longer side, and looks into that grid and all coarser ones in
+    use, of which there are no more than a double has exponents.  A pair is
+    kept in the square with the lower corner of what both share.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    level = F.when(side > 0, F.ceil(F.log2(side))).otherwise(F.lit(-1000)).cast("int")
+    own = boxes.select(F.struct("cell_id", "x0", "x1", "y0", "y1", *keep).alias("a"), F.greatest(level, F.lit(-1000)).alias("level"))
+    levels = sorted(r["level"] for r in own.select("level").distinct().collect())  # at most 2 000
+
+    def squares(box: str, level: Column) -> Column:
+        at = lambda c: F.floor(F.col(f"{box}.{c}") / F.pow(F.lit(2.0), level)).cast("long")
+        return F.explode(F.flatten(F.transform(F.sequence(at("x0"), at("x1")), lambda x: F.transform(F.sequence(at("y0"), at("y1")), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+
+    here = own.select("a", "level", squares("a", F.col("level")).alias("at"))
+    above = F.filter(F.array(*(F.lit(x) for x in levels)), lambda x: x >= F.col("level"))
+    there = own.select(F.col("a").alias("b"), F.col("level").alias("level_b"), F.explode(above).alias("level")).select("b", "level_b", "level", squares("b", F.col("level")).alias("at"))
+    low = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    meet = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
+    first = F.col("a.cell_id") < F.col("b.cell_id")
+    once = (F.col("level_b") < F.col("level")) & (F.col("a.cell_id") != F.col("b.cell_id")) | first
+    rows = here.join(there, ["level", "at"]).where(meet & once & (F.col("at.x") == low("x0")) & (F.col("at.y") == low("y0")))
+    rows = rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return rows.select(F.col("a.cell_id").alias("i"), F.col("b.cell_id").alias("j"), *(c for k in keep for c in (F.col(f"a.{k}").alias(k), F.col(f"b.{k}").alias(f"{k}_j"))))
+
+
+def iou_pairs(cells: DataFrame, radius: float | None = None, least: float = 1e-9) -> DataFrame:
+    """Rows (i, j, iou) for all pairs of cells that overlap, clipped ones too; with a radius, of those whose centres lie within it.
+
+    Polygons are found by their boxes, so they may differ in size by any factor.
+    """
+    keep = ("ring", "convex", "area")
+    shapes = written(_shaped(cells), "shapes")
+    pairs = box_pairs(shapes, keep) if radius is None else spatial_pairs(shapes, radius, keep=keep)
+    return _shared(pairs).select("i", "j", (F.col("s") / (F.col("area") + F.col("area_j") - F.col("s"))).alias("iou")).where(F.col("iou") > least)
 
 
 def nearest_distance(cells: DataFrame, within: str | None = None, start: float = 4.0) -> DataFrame:

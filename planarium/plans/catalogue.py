@@ -157,14 +157,51 @@ def coverage_fraction_pairs(spark, sf_dir):
 
 @query(f"WITH {CELLS}, {_OVERLAP.format(cells='cells', r2=64.0)} SELECT p.i, p.j, round(s/(aa+ab-s), 5) AS iou FROM p JOIN shared USING (i, j) WHERE s/(aa+ab-s) > 1e-9")
 def iou_pairs(spark, sf_dir):
-    return pairs.iou_pairs(_cells(spark, sf_dir), 8.0).select("i", "j", F.round("iou", 5).alias("iou"))
+    return pairs.iou_pairs(_cells(spark, sf_dir)).select("i", "j", F.round("iou", 5).alias("iou"))
+
+
+@query(f"{PAIRS} SELECT i, j, round(cf, 5) AS cf FROM cf")
+def coverage_turned_rings(spark, sf_dir):
+    """Every other ring runs clockwise, and every third repeats its first vertex."""
+    p = F.when(F.col("cell_id") % 2 == 0, F.reverse("poly")).otherwise(F.col("poly"))
+    cells = _cells(spark, sf_dir).withColumn("poly", p).withColumn("poly", F.when(F.col("cell_id") % 3 == 0, F.concat("poly", F.slice("poly", 1, 1))).otherwise(F.col("poly")))
+    return pairs.coverage_map(cells, RADIUS).select("i", "j", F.round("cf", 5).alias("cf"))
+
+
+def _angles(spark, sf_dir):
+    """Cells shaped like an L, every other one clockwise."""
+    x, y, r = F.col("cx"), F.col("cy"), 2.0 + (F.col("cell_id") % 7).cast("double") / 4
+    ring = F.array(*(g.point(x + a * r, y + b * r) for a, b in ((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2))))
+    return _cells(spark, sf_dir).withColumn("poly", F.when(F.col("cell_id") % 2 == 0, F.reverse(ring)).otherwise(ring))
+
+
+_PART = "SELECT cell_id, cx AS x0, cy AS y0, cx + {0} * w AS x1, cy + w AS y1, w FROM l UNION ALL SELECT cell_id, cx, cy + w, cx + w, cy + 2 * w, w FROM l"
+
+
+@query(f"""WITH {CELLS}, l AS (SELECT cell_id, cx, cy, 2.0 + CAST(cell_id % 7 AS DOUBLE)/4 AS w FROM cells), q AS ({_PART.format(2)}),
+o AS (SELECT a.cell_id i, b.cell_id j, any_value(a.w) wa, any_value(b.w) wb, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS s
+  FROM q a JOIN q b ON a.cell_id < b.cell_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.cell_id, b.cell_id)
+SELECT i, j, round(s / (3*wa*wa + 3*wb*wb - s), 5) AS iou FROM o WHERE s / (3*wa*wa + 3*wb*wb - s) > 1e-6""")
+def iou_concave(spark, sf_dir):
+    return pairs.iou_pairs(_angles(spark, sf_dir), least=1e-6).select("i", "j", F.round("iou", 5).alias("iou"))
+
+
+@query(f"""WITH {CELLS}, q AS (SELECT cell_id, cx AS x, cy AS y, pow(2.0, cell_id % 8) / 8 + 0.01 AS s FROM cells),
+o AS (SELECT a.cell_id i, b.cell_id j, a.s sa, b.s sb, (least(a.x + a.s, b.x + b.s) - greatest(a.x, b.x)) * (least(a.y + a.s, b.y + b.s) - greatest(a.y, b.y)) AS s
+  FROM q a JOIN q b ON a.cell_id < b.cell_id AND a.x < b.x + b.s AND b.x < a.x + a.s AND a.y < b.y + b.s AND b.y < a.y + a.s)
+SELECT i, j, round(s / (sa*sa + sb*sb - s), 5) AS iou FROM o WHERE s / (sa*sa + sb*sb - s) > 1e-6""")
+def iou_mixed_sizes(spark, sf_dir):
+    """Squares whose sides differ by up to 128 times; no radius says how far to look."""
+    x, y, r = F.col("cx"), F.col("cy"), F.pow(F.lit(2.0), F.col("cell_id") % 8) / 8 + 0.01
+    cells = _cells(spark, sf_dir).withColumn("poly", F.array(*(g.point(x + a * r, y + b * r) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)))))
+    return pairs.iou_pairs(cells, least=1e-6).select("i", "j", F.round("iou", 5).alias("iou"))
 
 
 @query(f"""WITH {CELLS}, {_OVERLAP.format(cells='cells', r2=64.0)}, e AS (SELECT p.i, p.j, s/(aa+ab-s) iou FROM p JOIN shared USING (i, j) JOIN cells a ON a.cell_id = p.i JOIN cells b ON b.cell_id = p.j WHERE a.label = b.label AND s/(aa+ab-s) > 1e-9)
 SELECT i AS cell_id, round(max(iou), 5) AS max_iou, max(iou) > 0.05 AS violates FROM (SELECT i, iou FROM e UNION ALL SELECT j, iou FROM e) GROUP BY i""")
 def max_iou_in_group(spark, sf_dir):
     """The largest overlap of each cell with one of its own label, and whether it exceeds 5 %."""
-    same = calibrate.labelled(pairs.iou_pairs(_cells(spark, sf_dir), 8.0), _labels(spark, sf_dir)).where("label_i = label_j").select("i", "j", "iou")
+    same = calibrate.labelled(pairs.iou_pairs(_cells(spark, sf_dir)), _labels(spark, sf_dir)).where("label_i = label_j").select("i", "j", "iou")
     return graph.both_ways(same).groupBy(F.col("i").alias("cell_id")).agg(F.round(F.max("iou"), 5).alias("max_iou"), (F.max("iou") > 0.05).alias("violates"))
 
 
