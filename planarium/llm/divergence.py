@@ -19,8 +19,8 @@ from planarium.llm._store import small_batches, written
 from planarium.llm._text import LOWER, release, slices, utf8, words
 from planarium.llm.pieces import spans
 
-#: Entries that a task gathers before it hands them on, and entries of a block of terms.
-HELD, BLOCK_ENTRIES = 1_000_000, 1 << 20
+#: Entries that a task gathers before it hands them on, and entries of a block of terms (as many as it has accumulators, if those are more).
+HELD, BLOCK_ENTRIES = 1_000_000, 1 << 17
 #: Every term gets this many occurrences more; shares are counted in units of 1 / SCALE.
 SMOOTH, SCALE = 5, 1_000_000_000
 
@@ -143,7 +143,8 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, block_entries: i
     kept = written(kept_terms(docs, least_docs), "kept")
     of_lang = written(kept.groupBy("lang", "term").agg(F.sum("n").alias("n_lang")), "terms")
     langs = of_lang.groupBy("lang").agg(F.sum("n_lang").alias("lang_total"), F.count("*").alias("terms"))
-    blocks = kept.groupBy("lang").agg(F.ceil(F.count("*") / block_entries).cast("int").alias("blocks"))
+    wide = kept.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("s"))
+    blocks = wide.select("lang", F.ceil(F.col("n") / F.greatest(F.lit(block_entries), F.col("s") * F.col("s"))).cast("int").alias("blocks"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     sources = docs.select("lang", "source").distinct().join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_terms")), ["lang", "source"], "left")
     sources = sources.join(langs, "lang", "left").join(blocks, "lang", "left").select("lang", "source", zero("total"), zero("own_terms"), zero("lang_total"), zero("terms"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
