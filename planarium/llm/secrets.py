@@ -37,6 +37,8 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "
 #: Weight from which a name is fully sensitive, unless it ends in a word that tells about a secret's form or place.
 FULL = 0.9
 ABOUT = {"length", "len", "count", "size", "type", "limit", "name", "id", "url", "uri", "path", "file", "field", "ttl", "expires", "expiry", "policy", "index", "enabled", "required"}
+#: Literals that are joined to judge a name's value.
+MANY = 64
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|(?:\[secret\])+|\*+|\.+|none|null|true|false|todo|changeme|example|password|secret|token|test|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 
 # Literals: triple-quoted ones may span lines, others may hold escaped characters.
@@ -90,27 +92,47 @@ def fully_sensitive(name: str) -> bool:
 class _Value:
     """What a name was given: literals (value, start, end) and references to what other names were given."""
 
-    __slots__ = ("parts",)
+    __slots__ = ("head", "parts")
 
     def __init__(self, parts: list):
-        self.parts = parts
+        self.parts, self.head = parts, None
 
-    def literals(self) -> list[tuple[str, int, int]]:
-        """The distinct literals that flow in, each once, however often names repeat them."""
-        out: dict[tuple[int, int], str] = {}
-        seen, todo = {id(self)}, [iter(self.parts)]
+    def gather(self, out: dict[tuple[int, int], None], seen: set[int]) -> None:
+        """Add the places of all literals that flow in, without walking again what was `seen`."""
+        todo = [self]
         while todo:
-            for x in todo[-1]:
+            v = todo.pop()
+            if id(v) in seen:
+                continue
+            seen.add(id(v))
+            for x in v.parts:
                 if isinstance(x, _Value):
-                    if id(x) not in seen:
-                        seen.add(id(x))
-                        todo.append(iter(x.parts))
-                        break
+                    todo.append(x)
                 else:
-                    out.setdefault((x[1], x[2]), x[0])
-            else:
-                todo.pop()
-        return [(v, a, b) for (a, b), v in out.items()]
+                    out[x[1], x[2]] = None
+
+    def literals(self) -> list[tuple[str, int, int]]:
+        """The distinct literals that flow in, in order, however often names repeat them: all, or MANY of more.
+
+        Each value is worked out once, after those that it refers to.
+        """
+        todo = [self] if self.head is None else []
+        while todo:
+            v = todo[-1]
+            if v.head is None:
+                v.head = []  # a value that refers to itself adds nothing there
+                todo += [x for x in v.parts if isinstance(x, _Value) and x.head is None]
+                continue
+            todo.pop()
+            if v.head:
+                continue
+            out: dict[tuple[int, int], str] = {}
+            for x in v.parts:
+                for value, start, end in x.head if isinstance(x, _Value) else [x]:
+                    if len(out) < MANY:
+                        out.setdefault((start, end), value)
+            v.head = [(value, start, end) for (start, end), value in out.items()]
+        return self.head
 
 
 def _assignments(text: str) -> list[tuple[str, _Value, bool]]:
@@ -154,7 +176,9 @@ def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly, joined or through other names, before or after their use."""
     if ":" not in text and "=" not in text and "</" not in text:
         return []
-    found: set[tuple[int, int]] = set()
+    found: dict[tuple[int, int], None] = {}
+    reported: set[int] = set()  # values all of whose literals have been found
+    rest = []
     for name, given, call in _assignments(text):
         weight = name_weight(name)
         if not weight:
@@ -163,7 +187,9 @@ def flow_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str]]:
         value = "".join(v for v, _, _ in parts)
         named = fully_sensitive(name) and value.strip() and not call and not PLACEHOLDER.match(value.strip())
         if named or weight * literal_weight(value) >= least:
-            found.update((a, b) for _, a, b in parts)
+            rest.append(given)
+    for given in rest:  # each value is walked once, whatever names it reaches
+        given.gather(found, reported)
     return [(a, b, "flow") for a, b in found if b > a]
 
 
