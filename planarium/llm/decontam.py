@@ -51,18 +51,19 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template value and plain hash of each word, and the first word of each text.
+def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template value and plain hash of each token, the first token of each text, and the words of each token.
 
     A word is a run of ASCII letters, digits and bytes of other scripts,
     lower-cased.  With a digit it is a number; capitalised after a word that
     ends without '.', '!', '?' or a line break, and not followed by a second
-    capital, a name; in the list, a unit.
+    capital, a name; in the list, a unit.  A token is a word, or a run of names,
+    whose value is all of them: so a slot may change its number of words.
     """
     buf, offsets = utf8(column)
     starts, ends, first = words(buf, offsets, _SEPARATOR)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, U64), first
+        return np.zeros(0, U64), np.zeros(0, U64), first, np.zeros(0, np.int64)
     plain = span_hash(prefix_hash(LOWER[buf]), starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
     number = digits[ends] > digits[starts]
@@ -79,7 +80,13 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = _UNITS[at] == plain
     out = plain.copy()
     out[unit], out[name], out[number] = UNIT, NAME, NUMBER
-    return out, plain, first
+    goes_on = np.zeros(len(out), dtype=bool)
+    goes_on[1:] = (out[1:] == NAME) & (out[:-1] == NAME) & ~opens[1:]
+    token = np.flatnonzero(~goes_on)
+    weight = np.diff(np.append(token, len(out)))
+    place = np.arange(len(out)) - np.repeat(token, weight)
+    whole = np.where(weight > 1, mix(np.add.reduceat(mix(plain + place.astype(U64) * U64(0x9E3779B97F4A7C15)), token)), plain[token])
+    return out[token], whole, np.searchsorted(token, first), weight
 
 
 SEEN = 1 << 20
@@ -130,8 +137,9 @@ class Items:
 
     def __init__(self, ids: list[int], column: pa.Array):
         self.ids = ids
-        self.template, self.plain, self.first = templates(column)
+        self.template, self.plain, self.first, self.weight = templates(column)
         sizes = np.diff(self.first)
+        self.words = np.diff(np.concatenate([[0], np.cumsum(self.weight)])[self.first])
         slot = np.concatenate([[0], np.cumsum(self.template <= UNIT)])
         change = np.concatenate([[0], np.cumsum(self.template[1:] != self.template[:-1])]) if len(self.template) else np.zeros(0, int)
         self.tables: list[tuple[bool, Table]] = []
@@ -144,7 +152,7 @@ class Items:
             self.tables += [(plain, Table(self.plain if plain else self.template, w, starts[by_words == plain])) for plain in (False, True) if (by_words == plain).any()]
             if w == WINDOW:  # Words of windows of one kind count wherever their diagonal is met.
                 any_of = np.unique((starts[by_words, None] + np.arange(w)).ravel())
-                self.free = np.bincount(np.searchsorted(self.first, any_of, side="right") - 1, minlength=len(sizes))
+                self.free = np.bincount(np.searchsorted(self.first, any_of, side="right") - 1, self.weight[any_of], minlength=len(sizes))
 
     def maybe(self, template: np.ndarray, plain: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The texts with a window that may be an item's."""
@@ -156,8 +164,9 @@ class Items:
             found |= hits[ends] > hits[np.minimum(first[:-1], len(hit))]
         return np.flatnonzero(found)
 
-    def spans(self, template: np.ndarray, plain: np.ndarray, a: int, b: int, least: float) -> list[tuple[int, int, int, float]]:
-        """Matches in one document's words a..b: (item, first word, words, share of the item)."""
+    def spans(self, template: np.ndarray, plain: np.ndarray, weight: np.ndarray, a: int, b: int, least: float) -> list[tuple[int, int, int, float]]:
+        """Matches in one document's tokens a..b: (item, first word, words, share of the item)."""
+        upto = np.concatenate([[0], np.cumsum(weight[a:b])])
         template, plain = template[a:b], plain[a:b]
         met = [(*table.hits(plain if by_words else template), table.width) for by_words, table in self.tables]
         own, shift = np.concatenate([o for _, o, _ in met]), np.concatenate([d - o for d, o, _ in met])
@@ -166,8 +175,8 @@ class Items:
         item = np.searchsorted(self.first, own, side="right") - 1
         # Items that can't reach the share on all diagonals together go at once.
         words = np.unique(np.concatenate([(np.unique(o)[:, None] + np.arange(w)).ravel() for _, o, w in met]))
-        most = np.bincount(np.searchsorted(self.first, words, side="right") - 1, minlength=len(self.free)) + self.free
-        near = (most >= np.minimum(least * np.diff(self.first), LONG))[item]
+        most = np.bincount(np.searchsorted(self.first, words, side="right") - 1, self.weight[words], minlength=len(self.free)) + self.free
+        near = (most >= np.minimum(least * self.words, LONG))[item]
         item, shift = item[near], shift[near]
         order = np.lexsort((shift, item))
         item, shift = item[order], shift[order]
@@ -175,7 +184,8 @@ class Items:
         new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
         item, shift = item[new], shift[new]
         edge = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(1, int)
-        return [row for x, y in zip(edge[:-1], edge[1:]) for row in self._passages(template, plain, int(item[x]), shift[x:y].tolist(), least)]
+        rows = [row for x, y in zip(edge[:-1], edge[1:]) for row in self._passages(template, plain, int(item[x]), shift[x:y].tolist(), least)]
+        return [(k, int(upto[d]), int(upto[d + n] - upto[d]), share) for k, d, n, share in rows]
 
     def _passages(self, template: np.ndarray, plain: np.ndarray, k: int, shifts: list[int], least: float) -> list[tuple[int, int, int, float]]:
         """Matches of one item: diagonals that suffice alone, then near ones taken together."""
@@ -195,7 +205,7 @@ class Items:
             rest = [r for r in sorted(rest) if not any(a <= r[0] and r[1] <= a + n for _, a, n, _ in out)]
         while len(rest) > 1:
             doc, own, used = self._chain(rest, size)
-            row = self._accepted(plain, k, doc, own, least) if len(doc) >= min(least * size, LONG) else None
+            row = self._accepted(plain, k, doc, own, least) if self.weight[own].sum() >= min(least * self.words[k], LONG) else None
             if not row:
                 break
             out.append(row)
@@ -232,17 +242,18 @@ class Items:
         size = int(self.first[k + 1] - self.first[k])
         for keep in self._stretches(plain, doc, own, size):
             d, o = doc[keep], own[keep]
-            if len(d) >= least * size and self._evident(plain, d, o, size):
-                return k, int(d[0]), int(d[-1] - d[0] + 1), len(d) / size
+            covered = int(self.weight[o].sum())
+            if covered >= least * self.words[k] and self._evident(plain, d, o, size):
+                return k, int(d[0]), int(d[-1] - d[0] + 1), float(covered / self.words[k])
         # A long run of the item's own words counts whatever its share.
         same = self.plain[own] == plain[doc]
         joins = np.concatenate([[True], (doc[1:] == doc[:-1] + 1) & (own[1:] == own[:-1] + 1)])
-        best = (0, 0)
+        upto, best = np.concatenate([[0], np.cumsum(self.weight[own])]), (0, 0, 0)
         for a, b in zip(*_runs(same, 1)):
             cuts = [a, *(a + 1 + np.flatnonzero(~joins[a + 1 : b])).tolist(), b]
-            best = max([best, *((y - x, x) for x, y in zip(cuts, cuts[1:]))])
-        n, a = int(best[0]), int(best[1])
-        return (k, int(doc[a]), n, n / size) if n >= LONG else None
+            best = max([best, *((int(upto[y] - upto[x]), int(x), int(y)) for x, y in zip(cuts, cuts[1:]))])
+        n, a, b = best
+        return (k, int(doc[a]), b - a, float(n / self.words[k])) if n >= LONG else None
 
     def _stretches(self, plain: np.ndarray, doc: np.ndarray, own: np.ndarray, size: int) -> Iterator[np.ndarray]:
         """Choices of words without conflict between slots: all; those of windows with few placeholders; the longest stretch that mostly has the item's own values."""
@@ -298,10 +309,10 @@ class Items:
 
 def _matches(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        template, plain, first = templates(batch.column("text"))
+        template, plain, first, weight = templates(batch.column("text"))
         ids = batch.column("doc_id").to_pylist()
         maybe = items.maybe(template, plain, first)
-        rows = [(ids[i], items.ids[k], a, n, share) for i in maybe.tolist() for k, a, n, share in items.spans(template, plain, int(first[i]), int(first[i + 1]), least)]
+        rows = [(ids[i], items.ids[k], a, n, share) for i in maybe.tolist() for k, a, n, share in items.spans(template, plain, weight, int(first[i]), int(first[i + 1]), least)]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "first_word", "n_words", "share"])
 
 
@@ -327,7 +338,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _doc_windows(batches: Iterator[pa.RecordBatch], kinds: list[int], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Names of the windows of each text that may be an item's."""
     for batch in slices(batches):
-        template, plain, first = templates(batch.column("text"))
+        template, plain, first, weight = templates(batch.column("text"))
         keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(keys)), np.diff(first))
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -346,11 +357,11 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], kinds: list[int], bits: np.n
 def _checked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Passages of each text among its own candidate items."""
     for batch in slices(batches):
-        template, plain, first = templates(batch.column("text"))
+        template, plain, first, weight = templates(batch.column("text"))
         rows = []
         for i, (doc, items) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("items").to_pylist())):
             own = Items([x["item_id"] for x in items], pa.array([x["item_text"] for x in items], pa.string()))
-            rows += [(doc, own.ids[k], a, n, share) for k, a, n, share in own.spans(template, plain, int(first[i]), int(first[i + 1]), least)]
+            rows += [(doc, own.ids[k], a, n, share) for k, a, n, share in own.spans(template, plain, weight, int(first[i]), int(first[i + 1]), least)]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "first_word", "n_words", "share"])
 
 
@@ -376,11 +387,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     A passage counts if its matching windows cover at least `least` of the
     item's words and its slots are consistent, or if it has LONG words of the
     item in one run.  Null texts and ids on either
-    side match nothing; an item of fewer than six words is met as a whole; rows that repeat an id are matched one by one; an empty table on
+    side match nothing; an item of fewer than six words is met as a whole; texts that share an id are matched one by one, equal rows of the benchmark as one; an empty table on
     either side gives no rows.  Only doc_id, item_id and text are read.
     """
     small_batches(docs)
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_words long, share double"
     # A text has at most as many windows as bytes, so a benchmark within the bound can be broadcast.

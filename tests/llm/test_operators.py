@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -560,3 +561,51 @@ def test_repeated_bytes(spark, collection):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
     twice = suffix_dedup.remove_repeats(table(spark, [(1, "k" * 20 + long[:300])] * 2)).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
+
+
+def test_secret_scan_long_chains_of_names():
+    lines, prev = ['a0 = "x9Kd"'], "a0"
+    for i in range(20_000):
+        lines += [f'b_{i} = "k{i}"', f"password_{i} = {prev} + b_{i}"]
+        prev = f"password_{i}"
+    began = time.time()
+    spans = secrets.scan("\n".join(lines))[1]
+    assert sum(k == "flow" for _, _, k in spans) == 20_001 and time.time() - began < 5
+    assert secrets.scan("password = a\na = b + 'Zk81mQx2'\nb = a")[1] == [(22, 30, "flow")]
+
+
+def renamed_items(kind, n=60):
+    """Items and texts in which each name or number of an item is another one throughout."""
+    rng = random.Random(5)
+    letters = "bcdfghklmnprstvz"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(3))
+    items, texts = [], []
+    for i in range(n):
+        a, b = word().capitalize(), word().capitalize()
+        frame = [word() for _ in range(14)]
+        new = (f"{word().capitalize()} {word().capitalize()}", f"{word().capitalize()} {word().capitalize()}") if kind == "names" else (a, b)
+        number = ("seven", "ninety") if kind == "spelled" else (str(rng.randint(2, 9)), str(rng.randint(10, 99)))
+        say = lambda x, y, m: f"When {frame[0]} {x} {frame[1]} {frame[2]} with {y} and {frame[3]} {m[0]} {frame[4]} then {frame[5]} {x} {frame[6]} the {frame[7]} {m[1]} {frame[8]} of {y} {frame[9]} to {frame[10]} {frame[11]} {frame[12]} {frame[13]}"  # noqa: E731, B023
+        items.append((i, say(a, b, (str(i + 2), str(i + 3)))))
+        texts.append((1000 + i, f"Some words come first. {say(*new, number)} and others follow it here."))
+    return items, texts
+
+
+@pytest.mark.parametrize("kind", ["names", "numbers", "spelled"])
+@pytest.mark.parametrize("bound", [4 << 20, 0])
+def test_decontamination_recall_of_slots_of_other_length(spark, monkeypatch, kind, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
+    items, texts = renamed_items(kind)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"] - 1000, r["item_id"]) for r in decontam.contaminated(table(spark, texts), bench).collect()}
+    assert len({d for d, k in got if d == k}) >= 54 and all(d == k for d, k in got)
+
+
+def test_decontamination_repeated_benchmark_rows(spark, monkeypatch):
+    items, texts = renamed_items("names", 4)
+    bench = spark.createDataFrame([*items, items[1], (1, items[2][1]), (None, items[0][1])], "item_id long, text string")
+    found = []
+    for bound in (4 << 20, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
+        found.append(sorted(tuple(r) for r in decontam.contaminated(table(spark, texts), bench).collect()))
+    assert found[0] == found[1] and [r[:2] for r in found[0]] == [(1000, 0), (1001, 1), (1002, 1), (1002, 2), (1003, 3)]
