@@ -41,8 +41,6 @@ ORDER, STRENGTH = 3, 2.0
 END = U64(0xE4D0E4D0E4D0E4D0)
 START = U64(0x57A257A257A257A2)
 _TURN = U64(0x9FB21C651E98DF25)
-#: Bits of a 64-bit hash that don't name an n-gram: 58 bits tell n-grams apart and travel in fewer bytes.
-_SPARE = U64(6)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +91,7 @@ class Block:
                 key = key.copy()
                 key[o - 1 :] += _TURN * seq[: len(seq) - o + 1]
             key = mix(key)
-            self.keys.append(key >> _SPARE)
+            self.keys.append(key)
             self.place.append(within >= o - 1)
 
     def ngrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -119,7 +117,7 @@ def _parts(batches: Iterator[pa.RecordBatch], ranges: int, order: int) -> Iterat
             names, at = b.ngrams()
             training = np.repeat(~b.held, b.lengths + 1)
             n = np.bincount(np.concatenate([x[training & (x >= 0)] for x in at]), minlength=len(names))
-            cut = bounds(names << _SPARE, ranges)
+            cut = bounds(names, ranges)
             rows = [(r, row["block"], ascending(names[cut[r] : cut[r + 1]]), packed(n[cut[r] : cut[r + 1]], "<u4")) for r in np.flatnonzero(np.diff(cut)).tolist()]
             release()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
