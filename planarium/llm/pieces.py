@@ -174,14 +174,18 @@ def _assemble(layouts: pa.Table, answers: pa.Table) -> pa.Table:
     starts = np.cumsum(lengths) - lengths
     layout = layouts.column("layout")[0].as_py()
     at, per = unpacked(layout["at"], "<u4"), unpacked(layout["per"], "<i8")
-    long = lengths[at]
-    ends = np.concatenate([[0], np.cumsum(long)])[np.concatenate([[0], np.cumsum(per)])]
-    flat = ids[spans(starts[at], long)].astype(np.int32)
     doc = pa.array(unpacked(layout["doc"], "<i8"), mask=unpacked(layout["known"], "u1") == 0)
-    if len(flat) < 2**31:
-        rows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-        return pa.table({"doc_id": doc, "ids": rows})
-    raise ValueError("a text of more than 2^31 ids")
+    upto, flat, d = np.concatenate([[0], np.cumsum(per)]), [], 0
+    while d < len(per):  # texts of about a million chunks at once
+        to = max(d + 1, int(np.searchsorted(upto, upto[d] + 1_000_000, side="right")) - 1)
+        own = at[upto[d] : upto[to]]
+        long = lengths[own]
+        ends = np.concatenate([[0], np.cumsum(long)])[upto[d : to + 1] - upto[d]]
+        flat.append(pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids[spans(starts[own], long)].astype(np.int32))))
+        d = to
+    rows = pa.chunked_array(flat, pa.large_list(pa.int32())).cast(pa.list_(pa.int32()))
+    release()
+    return pa.table({"doc_id": doc, "ids": rows})
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
