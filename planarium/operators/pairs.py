@@ -15,28 +15,26 @@ from planarium.functions.rings import shaped, shared_areas
 from planarium.sources.store import written
 
 
-def _buckets(cells: DataFrame, size: float, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells by grid bucket, and again in all nine buckets around each: an equi-join meets all pairs within `size`."""
-    at = cells.select(*keep, F.floor(F.col("cx") / size).alias("bx"), F.floor(F.col("cy") / size).alias("by"))
-    around = at.select(*(F.col(c).alias(f"{c}_j") for c in keep), F.explode(F.array(*(F.struct((F.col("bx") + a).alias("bx"), (F.col("by") + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("b"))
-    return at, around.select("*", "b.bx", "b.by").drop("b")
+#: Cells whose centre is known.
+PLACED = "cx is not null and cy is not null and not isnan(cx) and not isnan(cy)"
 
 
-def spatial_pairs(cells: DataFrame, radius: float, exclude_clipped: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def spatial_pairs(cells: DataFrame, radius: float, exclude_clipped: bool = False, keep: tuple[str, ...] = (), within: str | None = None) -> DataFrame:
     """Rows (i, j, d) with i < j and distance d of at most `radius`; further columns come as c and c_j.
 
     One side stands in its own bucket and in four of the eight around it, so a
-    pair of different buckets meets once.  Cells without coordinates have no pairs.
+    pair of different buckets meets once.  Cells without coordinates have no pairs;
+    with `within`, only cells that agree in that column meet.
     """
     if exclude_clipped:
         cells = cells.where(~F.col("clipped"))
-    own = list(dict.fromkeys(["cell_id", "cx", "cy", *keep]))
-    at = cells.where("cx is not null and cy is not null and not isnan(cx) and not isnan(cy)").select(F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"), F.struct(*own).alias("a"))
+    own, same_in = list(dict.fromkeys(["cell_id", "cx", "cy", *keep])), [within] if within else []
+    at = cells.where(PLACED).select(*same_in, F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"), F.struct(*own).alias("a"))
     ahead = F.array(*(F.struct((F.col("bx") + x).alias("bx"), (F.col("by") + y).alias("by"), F.lit(x == y == 0).alias("same")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
-    around = at.select(F.col("a").alias("b"), F.explode(ahead).alias("at")).select("b", "at.bx", "at.by", "at.same")
+    around = at.select(*same_in, F.col("a").alias("b"), F.explode(ahead).alias("at")).select(*same_in, "b", "at.bx", "at.by", "at.same")
     dx, dy = F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy")
     first = F.col("a.cell_id") < F.col("b.cell_id")
-    pairs = at.join(around, ["bx", "by"]).where((first | ~F.col("same")) & (F.col("a.cell_id") != F.col("b.cell_id")) & (dx * dx + dy * dy <= radius * radius))
+    pairs = at.join(around, [*same_in, "bx", "by"]).where((first | ~F.col("same")) & (F.col("a.cell_id") != F.col("b.cell_id")) & (dx * dx + dy * dy <= radius * radius))
     pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.sqrt(dx * dx + dy * dy).alias("d"))
     return pairs.select(F.col("a.cell_id").alias("i"), F.col("b.cell_id").alias("j"), "d", *(c for k in keep for c in (F.col(f"a.{k}").alias(k), F.col(f"b.{k}").alias(f"{k}_j"))))
 
@@ -133,84 +131,251 @@ def iou_pairs(cells: DataFrame, radius: float | None = None, least: float = 1e-9
     return _shared(pairs).select("i", "j", (F.col("s") / (F.col("area") + F.col("area_j") - F.col("s"))).alias("iou")).where(F.col("iou") > least)
 
 
-def nearest_distance(cells: DataFrame, within: str | None = None, start: float = 4.0) -> DataFrame:
-    """Rows (cell_id, nn_d): distance to the nearest other cell (of the same `within` value).
+def nearest_fellows(cells: DataFrame, k: int = 1, within: str | None = None, start: float | None = None) -> DataFrame:
+    """Rows (cell_id, nn, d, rank): the k nearest other cells (of the same `within` value), all of them where there are fewer.
 
-    The search radius doubles for those cells that have found none yet, up to
-    the extent of all cells; each round is written.  Cells without coordinates,
-    and those without a companion, have no row.
+    Each round looks in the buckets around the cells that still miss some, and
+    a cell is done once its circle holds as many as it can get; the others look
+    twice as far in the next round, until the circle holds everything.  The
+    first radius follows the density of all but the outermost cells, so a few
+    outliers make no one else look far.  Ties go to the smaller cell_id.  Cells
+    without coordinates, and those without a companion, have no row.
     """
     keep = [within] if within else []
-    everyone = written(cells.where("cx is not null and cy is not null and not isnan(cx) and not isnan(cy)").select("cell_id", "cx", "cy", *keep), "cells")
-    left, radius, found = everyone, start, []
-    reach = everyone.agg((F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")) * 2).alias("r")).first()["r"]
+    everyone = written(cells.where(PLACED).select("cell_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), *keep), "cells")
+    ends = lambda c: F.percentile_approx(c, [0.02, 0.98], 1000)
+    box = everyone.agg(F.count("*").alias("n"), ends("cx").alias("x"), ends("cy").alias("y"), (F.max("cx") - F.min("cx") + F.max("cy") - F.min("cy")).alias("reach")).first()
+    schema = "cell_id long, nn long, d double, rank int"
+    if box["n"] < 2:
+        return cells.sparkSession.createDataFrame([], schema)
+    kinds = everyone.select(within).distinct().count() if within else 1
+    side, other = sorted((box["x"][1] - box["x"][0], box["y"][1] - box["y"][0]))
+    radius = start or max((max(side, other * kinds / box["n"]) * other * k * kinds / box["n"]) ** 0.5, box["reach"] * 1e-6, 1e-12)
+    # How many each cell can get.
     if within:
-        left = left.join(everyone.groupBy(within).count().where("count > 1").select(within), within, "left_semi")
-    while reach is not None:
-        a, b = _buckets(left, radius, ["cell_id", "cx", "cy", *keep])[0], _buckets(everyone, radius, ["cell_id", "cx", "cy", *keep])[1]
-        d2 = (F.col("cx") - F.col("cx_j")) * (F.col("cx") - F.col("cx_j")) + (F.col("cy") - F.col("cy_j")) * (F.col("cy") - F.col("cy_j"))
-        same = F.col(within) == F.col(f"{within}_j") if within else F.lit(True)
-        got = a.join(b, ["bx", "by"]).where((F.col("cell_id") != F.col("cell_id_j")) & (d2 <= radius * radius) & same).groupBy("cell_id").agg(F.sqrt(F.min(d2)).alias("nn_d"))
-        found.append(written(got, "nearest"))
-        left = written(left.join(found[-1], "cell_id", "left_anti"), "left")
-        if radius > reach or left.isEmpty():
-            break
+        left = everyone.join(everyone.groupBy(within).agg((F.count("*") - 1).alias("most")), within).where("most > 0")
+    else:
+        left = everyone.withColumn("most", F.lit(box["n"] - 1))
+    left, found = written(left.withColumn("most", F.least("most", F.lit(k))), "left"), []
+    while True:
+        bucket = lambda df: df.select("*", F.floor(F.col("cx") / radius).alias("bx"), F.floor(F.col("cy") / radius).alias("by"))  # noqa: E731, B023
+        ring = F.explode(F.array(*(F.struct((F.col("bx") + a).alias("bx"), (F.col("by") + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+        asks = bucket(left).select("cell_id", "cx", "cy", "most", *keep, ring.alias("at")).select("*", "at.bx", "at.by").drop("at")
+        near = bucket(everyone).select(F.col("cell_id").alias("nn"), F.col("cx").alias("px"), F.col("cy").alias("py"), *keep, "bx", "by")
+        d2 = (F.col("cx") - F.col("px")) * (F.col("cx") - F.col("px")) + (F.col("cy") - F.col("py")) * (F.col("cy") - F.col("py"))
+        met = asks.join(near, ["bx", "by", *keep]).where((F.col("cell_id") != F.col("nn")) & (d2 <= radius * radius)).select("cell_id", "most", "nn", F.sqrt(d2).alias("d"))
+        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("cell_id").orderBy("d", "nn"))).where(F.col("rank") <= k)
+        got = written(best.withColumn("has", F.max("rank").over(Window.partitionBy("cell_id"))).where("has >= most").select("cell_id", "nn", "d", "rank"), "nearest")
+        found.append(got)
+        left = written(left.join(got.select("cell_id").distinct(), "cell_id", "left_anti"), "left")
+        if radius > box["reach"] or left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
         radius *= 2
-    return reduce(DataFrame.unionByName, found) if found else everyone.select("cell_id", F.lit(0.0).alias("nn_d"))
 
 
-def knn(points: DataFrame, k: int, vector: str = "features", key: str = "cell_id", block_rows: int = 2048, digits: int = 9) -> DataFrame:
-    """Rows (src, dst, d2, rank) of the k nearest other points; ties go to the smaller dst.
+def nearest_distance(cells: DataFrame, within: str | None = None, start: float | None = None) -> DataFrame:
+    """Rows (cell_id, nn_d): distance to the nearest other cell (of the same `within` value)."""
+    return nearest_fellows(cells, 1, within, start).select("cell_id", F.col("d").alias("nn_d"))
+
+
+#: Points of a block, and of a group of blocks that one task deals out.
+BLOCK_ROWS, GROUP_ROWS = 2048, 1 << 16
+
+
+def dealt_blocks(points: DataFrame, vector: str = "features", key: str = "cell_id", weight: str | None = None, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Points in blocks of near ones: rows (id, v, w, b), written, and a row (b, g, c, r, n, w) for each block.
 
-    Exact.  Points are dealt to the nearest of some pivots; a pivot's points are
-    a block with a centre and a radius.  A first join within the blocks bounds
-    the k-th distance of all points of a block, and a block meets another one
-    only if a point of that could be nearer than the bound.  The k best of each
-    meeting are ranked at last.
+    Points go to the nearest of a few coarse pivots, whose number grows with the
+    root of theirs; what is near one pivot is cut in groups of bounded size, and
+    each group deals its points to pivots of its own.  A block has the pivot c
+    as centre, the distance r of its farthest point, and its least weight w.
     """
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), w.alias("w")).where("id is not null and v is not null")
+    rows = written(rows, "points")
     n = rows.count()
-    many = max(1, -(-n // block_rows))
-    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()])
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def deal(batches):
+    many = max(1, int((n / block_rows) ** 0.5))
+    coarse = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()])  # the root of the number of blocks
+    shared = rows.sparkSession.sparkContext.broadcast(coarse)
+
+    def near(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, d = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+        for a in range(0, len(x), 4096):
+            e = (x[a : a + 4096] ** 2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * x[a : a + 4096] @ p.T
+            at[a : a + 4096] = e.argmin(axis=1)
+        for a in range(0, len(x), 4096):
+            d[a : a + 4096] = np.sqrt(((x[a : a + 4096] - p[at[a : a + 4096]]) ** 2).sum(axis=1))
+        return at, d
+
+    def rough(batches):
         for b in batches:
-            x, p = np.stack(b["v"].to_numpy()), shared.value
-            d = np.stack([((x - q) ** 2).sum(axis=1) for q in p], axis=1)
-            yield pd.DataFrame({"id": b["id"], "v": b["v"], "b": d.argmin(axis=1).astype(np.int32), "r": np.sqrt(d.min(axis=1))})
+            if len(b):
+                yield b.assign(g=near(np.stack(b["v"].to_numpy()), shared.value)[0].astype(np.int32))
+
+    rough_rows = written(rows.mapInPandas(rough, "id long, v array<double>, w double, g int"), "rough")
+    cut = rough_rows.groupBy("g").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("cuts"))
+    rough_rows = rough_rows.join(cut, "g").withColumn("s", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+
+    def deal(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id")
+        x = np.stack(b["v"].to_numpy())
+        pivots = x[np.linspace(0, len(x) - 1, max(1, -(-len(x) // block_rows))).astype(int)]
+        at, d = near(x, pivots)
+        name = np.array([f"{key[0]}.{key[1]}.{i}" for i in range(len(pivots))], dtype=object)
+        return pd.DataFrame({"id": b["id"], "v": b["v"], "w": b["w"], "g": b["g"], "b": name[at], "r": d, "c": [pivots[i] for i in at]})
+
+    dealt = written(rough_rows.groupBy("g", "s").applyInPandas(deal, "id long, v array<double>, w double, g int, b string, r double, c array<double>"), "dealt")
+    blocks = dealt.groupBy("b").agg(F.first("g").alias("g"), F.first("c").alias("c"), F.max("r").alias("r"), F.count("*").alias("n"), F.min("w").alias("w"))
+    return dealt.select("id", "v", "w", "b"), written(blocks, "blocks")
+
+
+def _apart(c: str, o: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(c, o, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
 
-    dealt = written(rows.mapInPandas(deal, "id long, v array<double>, b int, r double"), "dealt")
+
+def _renamed(df: DataFrame) -> DataFrame:
+    """Columns of their own for the other side of a join with itself."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
+def knn(points: DataFrame, k: int, vector: str = "features", key: str = "cell_id", block_rows: int = BLOCK_ROWS, digits: int = 9, weight: str | None = None) -> DataFrame:
+    """Rows (src, dst, d2, rank) of the k nearest other points; ties go to the smaller dst.
+
+    Exact.  With weights, d2 is the squared distance times w v / (w + v).  A
+    first join within the blocks bounds the k-th d2 of all points of a block;
+    a block meets another one only if a point of that could be nearer.  Blocks
+    are compared within pairs of coarse groups that could be near enough.
+    """
+    dealt, blocks = dealt_blocks(points, vector, key, weight, block_rows)
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"src": [], "dst": [], "d2": [], "b": []}).astype({"src": "int64", "dst": "int64", "d2": "float64", "b": "int32"})
+            return pd.DataFrame({"src": [], "dst": [], "d2": [], "b": []}).astype({"src": "int64", "dst": "int64", "d2": "float64", "b": "object"})
         p = p.sort_values("id")
-        y, ids, out = np.stack(p["v"].to_numpy()), p["id"].to_numpy(), []
-        for a in range(0, len(q), 32):
-            x, own = np.stack(q["v"].to_numpy()[a : a + 32]), q["id"].to_numpy()[a : a + 32]
-            d = np.round(((x[:, None] - y[None]) ** 2).sum(axis=2), digits)
+        y, ids, v = np.stack(p["v"].to_numpy()), p["id"].to_numpy(), p["w"].to_numpy()
+        middle = y.mean(axis=0)
+        y, out = y - middle, []
+        size_y = (y**2).sum(axis=1)
+        for a in range(0, len(q), 256):
+            x, own, w = np.stack(q["v"].to_numpy()[a : a + 256]) - middle, q["id"].to_numpy()[a : a + 256], q["w"].to_numpy()[a : a + 256]
+            factor = w[:, None] * v / (w[:, None] + v) if weight else 1.0
+            size_x = (x**2).sum(axis=1)
+            d = (size_x[:, None] + size_y - 2 * x @ y.T) * factor
             d[own[:, None] == ids[None]] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"src": np.repeat(own, top.shape[1]), "dst": ids[top].ravel(), "d2": np.take_along_axis(d, top, 1).ravel(), "b": np.int32(q["b"].iloc[0])}))
-        got = pd.concat(out)
-        return got[np.isfinite(got["d2"])]
-
-    schema = "src long, dst long, d2 double, b int"
-    named = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  columns of their own for the other side
-    own = written(dealt.groupBy("b").cogroup(named(dealt).groupBy("b")).applyInPandas(best, schema), "own")
-    # The distance within which all k neighbours of all points of a block lie (unknown in a small block).
-    sizes = dealt.groupBy("b").agg(F.max("r").alias("r"), F.count("*").alias("n"))
-    kth = own.groupBy("b", "src").agg(F.max("d2").alias("d2")).groupBy("b").agg(F.sqrt(F.max("d2")).alias("kth"))
-    blocks = sizes.join(kth, "b", "left").select("b", "r", F.when(F.col("n") > k, F.col("kth")).otherwise(float("inf")).alias("kth"))
-    centre = rows.sparkSession.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pivots)], "b int, c array<double>")
-    blocks = written(blocks.join(centre, "b"), "blocks")
-    o = blocks.select(F.col("b").alias("o"), F.col("r").alias("r_o"), F.col("c").alias("c_o"))
-    apart = F.sqrt(F.aggregate(F.zip_with("c", "c_o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
-    # The table of blocks has a row for each `block_rows` points.
-    meet = written(blocks.join(o, F.col("b") != F.col("o")).where(apart - F.col("r") - F.col("r_o") <= F.col("kth") + 1e-6).select("b", "o"), "meet")
-    left = dealt.join(meet, "b").select("id", "v", "b", "o")
-    right = named(dealt.withColumnRenamed("b", "o").join(named(meet), "o").select("id", "v", "b", "o"))
+            # Products tell who may be among the k nearest; of those the distances are taken exactly.
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+            slack = 1e-12 * (size_x + size_y.max()) * np.max(factor) + 10.0**-digits
+            i, j = np.nonzero((d <= (kth + slack)[:, None]) & np.isfinite(d))
+            e = ((x[i] - y[j]) ** 2).sum(axis=1)
+            e = np.round(e * (w[i] * v[j] / (w[i] + v[j]) if weight else 1.0), digits)
+            order = np.lexsort((j, e, i))
+            i, j, e = i[order], j[order], e[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            top = rank < k
+            out.append(pd.DataFrame({"src": own[i[top]], "dst": ids[j[top]], "d2": e[top], "b": q["b"].iloc[0]}))
+        return pd.concat(out)
+
+    schema = "src long, dst long, d2 double, b string"
+    own = written(dealt.groupBy("b").cogroup(_renamed(dealt).groupBy("b")).applyInPandas(best, schema), "own")
+    # The d2 within which all k neighbours of all points of a block lie (unknown in a small block).
+    kth = own.groupBy("b", "src").agg(F.max("d2").alias("d2")).groupBy("b").agg(F.max("d2").alias("kth"))
+    blocks = blocks.join(kth, "b", "left").select("b", "g", "c", "r", "w", F.when(F.col("n") > k, F.col("kth")).otherwise(float("inf")).alias("kth"))
+    blocks = written(blocks, "bounds")
+    # A coarse group reaches as far as its blocks do from the first of them.
+    heart = blocks.groupBy("g").agg(F.min_by("c", "b").alias("h"))
+    groups = blocks.join(heart, "g").groupBy("g").agg(F.first("h").alias("h"), F.max(_apart("c", "h") + F.col("r")).alias("far"), F.max("kth").alias("kth"), F.min("w").alias("w"))
+    other = lambda df: df.select(*(F.col(c).alias(f"{c}_o") for c in df.columns))
+    gap = lambda d, r: F.greatest(d - F.col(r) - F.col(f"{r}_o"), F.lit(0.0))
+    near = lambda g: (F.col("w") * F.col("w_o") / (F.col("w") + F.col("w_o")) if weight else F.lit(1.0)) * g * g <= F.col("kth") + 1e-6
+    # Groups are as many as the root of the number of blocks.
+    groups = written(groups, "groups")
+    met = groups.join(other(groups), F.lit(True)).where(near(gap(_apart("h", "h_o"), "far"))).select("g", "g_o")
+    meet = blocks.join(met, "g").join(other(blocks), "g_o").where(F.col("b") != F.col("b_o")).where(near(gap(_apart("c", "c_o"), "r")))
+    meet = written(meet.select("b", F.col("b_o").alias("o")), "meet")
+    left = dealt.join(meet, "b").select("id", "v", "w", "b", "o")
+    right = _renamed(dealt.withColumnRenamed("b", "o").join(_renamed(meet), "o").select("id", "v", "w", "b", "o"))
     found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(lambda q, p: best(q, p), schema).unionByName(own)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")))
     return ranked.where(F.col("rank") <= k).select("src", "dst", "d2", "rank")
+
+
+def median_pair_cost(points: DataFrame, vector: str = "features", key: str = "cell_id", block_rows: int = BLOCK_ROWS, bins: int = 1024, few: int = 20_000) -> float | None:
+    """Exact median of half the squared distance over all pairs of points; None below two points.
+
+    Blocks bound the distances of their pairs: pairs of blocks that lie below
+    or above what is looked for, or within one of its bins, are counted whole;
+    only the others are opened, and give counts by bin.  The bin that holds the
+    middle ranks is cut again until it has few values; those are ordered.
+    """
+    dealt, blocks = dealt_blocks(points, vector, key, None, block_rows)
+    n = dealt.count()
+    total = n * (n - 1) // 2
+    if not total:
+        return None
+    low_rank, high_rank = (total - 1) // 2, total // 2
+    o = blocks.select(F.col("b").alias("o"), F.col("c").alias("c_o"), F.col("r").alias("r_o"), F.col("n").alias("n_o"))
+    d = _apart("c", "c_o")
+    same = F.col("b") == F.col("o")
+    pairs = blocks.join(o, F.col("b") <= F.col("o")).select(
+        "b", "o", F.when(same, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n_o")).cast("long").alias("pairs"),
+        # Half squared distances, with room for rounding.
+        F.when(same, 0.0).otherwise(F.pow(F.greatest(d - F.col("r") - F.col("r_o"), F.lit(0.0)), 2) / 2 * (1 - 1e-9)).alias("lo"), (F.pow(d + F.col("r") + F.col("r_o"), 2) / 2 * (1 + 1e-9) + 1e-300).alias("hi"),
+    ).where("pairs > 0")
+    pairs = written(pairs, "block_pairs")  # no row for a pair of points, but one for each pair of blocks
+    head = pairs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    a, b, below, inside = head["lo"], head["hi"], 0, total
+
+    def opened(kind: str, low: float, high: float, schema: str) -> DataFrame:
+        wide = pairs.where((F.col("hi") >= low) & (F.col("lo") < high))
+        edges = np.linspace(low, high, bins + 1)
+
+        def values(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            counts, found = np.zeros(bins, dtype=np.int64), []
+            if len(q) and len(p):
+                x, y, own, ids = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy()), q["id"].to_numpy(), p["id"].to_numpy()
+                one = q["b"].iloc[0] == q["o"].iloc[0]
+                for i in range(0, len(x), 64):
+                    e = ((x[i : i + 64, None] - y[None]) ** 2).sum(axis=2) / 2
+                    e = e[(own[i : i + 64, None] < ids[None])] if one else e.ravel()
+                    e = e[(e >= low) & (e < high)]
+                    if kind == "counts":
+                        counts += np.bincount(np.clip(np.searchsorted(edges, e, side="right") - 1, 0, bins - 1), minlength=bins)
+                    else:
+                        found.append(e)
+            if kind == "counts":
+                at = np.flatnonzero(counts)
+                return pd.DataFrame({"x": at.astype(float), "n": counts[at]})
+            u, m = np.unique(np.concatenate(found or [np.zeros(0)]), return_counts=True)
+            return pd.DataFrame({"x": u, "n": m.astype(np.int64)})
+
+        of = dealt.select("id", "v", "b")
+        left = of.join(wide.select("b", "o"), "b").select("id", "v", "b", "o")
+        right = _renamed(of.withColumnRenamed("b", "o").join(_renamed(wide.select("b", "o")), "o").select("id", "v", "b", "o"))
+        return left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(values, schema).groupBy("x").agg(F.sum("n").alias("n")).orderBy("x")
+
+    while inside > few and b > a:
+        counts = opened("counts", a, b, "x double, n long").collect()  # a row for each bin at most
+        at, lo, hi, edges = below, None, None, np.linspace(a, b, bins + 1)
+        for r in counts:
+            i = int(r["x"])
+            if lo is None and low_rank < at + r["n"]:
+                lo, start = i, at
+            if high_rank < at + r["n"]:
+                hi, end = i, at + r["n"]
+                break
+            at += r["n"]
+        new = (float(edges[lo]), float(edges[hi + 1]))
+        done = end - start == inside or new == (a, b)
+        a, b, below, inside = *new, start, end - start
+        if done:
+            break  # nothing to part: the values repeat
+    got, at = opened("values", a, b, "x double, n long"), below
+    values = {}
+    for r in got.toLocalIterator():
+        for rank in (low_rank, high_rank):
+            if at <= rank < at + r["n"]:
+                values[rank] = r["x"]
+        at += r["n"]
+        if len(values) == len({low_rank, high_rank}):
+            break
+    return (values[low_rank] + values[high_rank]) / 2
