@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from planarium.functions import geometry as g
 from planarium.functions import ramps
-from planarium.operators import calibrate, cleanup, estimators, graph, merging, metrics, mosaic, pairs, raster, refine
+from planarium.operators import calibrate, cleanup, communities, estimators, graph, merging, metrics, mosaic, pairs, raster, refine, ward
 from planarium.operators import diagnostics as diag
 from planarium.operators.quantiles import exact_quantiles
 from planarium.sources import cells as source
@@ -625,3 +625,66 @@ def mosaic_fit(spark, sf_dir):
     shift = F.array(*(((F.col("cell_id") * (k + 3)) % 11 - 5) / 25.0 for k in range(4)))
     cells = _cells(spark, sf_dir).join(e, F.col("label") == F.col("y")).select("cell_id", "cx", "cy", "clipped", "poly", F.zip_with("f", shift, lambda a, b: a + b).alias("features"))
     return mosaic.MosaicStrategy(5, radius=RADIUS, refits=0, cleanups=1).fit(written(cells, "cells")).labels.select("cell_id", "label")
+
+
+@query("SELECT count(*) AS cells, 0 AS disconnected, 0 AS improving FROM embeddings")
+def leiden_communities(spark, sf_dir):
+    """Communities of the graph of embeddings: none falls apart, and no single one would gain by a move."""
+    points = written(_points(spark, sf_dir).select("cell_id", "features"), "points")
+    near = written(graph.feature_graph(points, 15), "graph")
+    return communities.partition_faults(near, written(communities.leiden(near, points), "labels"))
+
+
+@query()
+def leiden_labels(spark, sf_dir):
+    near = written(graph.feature_graph(_points(spark, sf_dir), 15), "graph")
+    return communities.leiden(near, _points(spark, sf_dir))
+
+
+def _embedded(spark, sf_dir):
+    """A field of cells with the embeddings as features, as dense as that of the parts at every size."""
+    tile = F.floor(F.col("vec_id") / 2000.0).cast("int")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("vec_id") % 11 == 0).alias("clipped"),
+        ((F.col("vec_id") * 37 % 1009).cast("double") / 10 + 110 * (tile % 4)).alias("cx"), ((F.col("vec_id") * 91 % 997).cast("double") / 10 + 110 * F.floor(tile / 4.0).cast("int")).alias("cy"),
+    )
+    return written(e.withColumn("poly", source.hexagon(F.col("cx"), F.col("cy"), F.lit(3.5))), "cells")
+
+
+@query("SELECT count(*) AS cells, 0 AS unlabelled, 0 AS gaps FROM embeddings")
+def community_strategy(spark, sf_dir):
+    """The whole strategy at its defaults, to ten types: every cell has a label, and labels are consecutive."""
+    labels = communities.CommunityStrategy(10, radius=RADIUS).fit(_embedded(spark, sf_dir)).labels
+    return labels.agg(F.count("*").alias("cells"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("unlabelled"), (F.max("label") + 1 - F.count_distinct("label")).alias("gaps"))
+
+
+_LEAF = "SELECT median(c) AS m FROM (SELECT list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))) / 2 AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
+
+@query(f"SELECT count(*) AS cells, 10 AS clusters, round((SELECT m FROM ({_LEAF})), 6) AS median_leaf_cost FROM embeddings")
+def ward_strategy(spark, sf_dir):
+    """Ward clusters with the penalty of near cells, and the median cost of joining two cells, which is its unit."""
+    got = ward.WardStrategy(10, radius=RADIUS).fit(_embedded(spark, sf_dir))
+    return got.labels.agg(F.count("*").alias("cells"), F.count_distinct("label").alias("clusters"), F.lit(round(got.model["median_leaf_cost"], 6)).alias("median_leaf_cost"))
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT a.cell_id, b.cell_id AS nn, sqrt({_D2}) AS d FROM cells a JOIN cells b ON a.label = b.label AND a.cell_id <> b.cell_id
+    AND a.cx - b.cx BETWEEN -40 AND 40 AND a.cy - b.cy BETWEEN -40 AND 40),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, nn) AS k FROM d) SELECT cell_id, k::INT AS rank, round(d, 6) AS d FROM r WHERE k <= 3""")
+def nearest_fellows(spark, sf_dir):
+    """The three nearest cells of the same label."""
+    return pairs.nearest_fellows(_cells(spark, sf_dir), 3, "label").select("cell_id", "rank", F.round("d", 6).alias("d"))
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS p, dense_rank() OVER (ORDER BY label) - 1 AS leaf, count(*) OVER () AS k FROM embeddings GROUP BY label),
+f AS (SELECT * FROM c WHERE p = 0), a AS (SELECT c.*, abs(f.n - c.n) + 1.0 AS d, f.leaf AS f0 FROM c, f WHERE c.p BETWEEN 1 AND 4),
+t AS (SELECT max(d) * 1.5 AS far, count(*) AS m, any_value(k) AS k FROM a),
+z AS (SELECT c.leaf, row_number() OVER (ORDER BY c.leaf) AS i FROM c WHERE c.p > 4)
+SELECT (p - 1)::INT AS step, (CASE WHEN p = 1 THEN f0 ELSE k + p - 2 END)::INT AS "left", leaf::INT AS "right", d::DOUBLE AS distance, (p + 1)::INT AS size, FALSE AS padded FROM a
+UNION ALL SELECT (t.m + i - 2)::INT, (CASE WHEN i = 2 THEN (SELECT leaf FROM z WHERE i = 1) ELSE t.k + t.m + i - 3 END)::INT, z.leaf::INT, round(t.far * pow(1.01, i - 2), 9), i::INT, TRUE FROM z, t WHERE i > 1
+UNION ALL SELECT (t.k - 2)::INT, (2 * t.k - 3)::INT, (t.k + t.m - 1)::INT, round(t.far * pow(1.01, t.k - t.m - 2), 9), t.k::INT, TRUE FROM t""")
+def merge_dendrogram(spark, sf_dir):
+    """The linkage table of merging the four next largest classes of embeddings into the largest one."""
+    sizes = _points(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").collect()  # a row for each class
+    merges = [(sizes[0]["y"], r["y"], abs(sizes[0]["n"] - r["n"]) + 1.0) for r in sizes[1:5]]
+    return merging.dendrogram(spark, [r["y"] for r in sizes], merges).withColumn("distance", F.round("distance", 9))
