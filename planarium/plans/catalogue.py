@@ -170,7 +170,7 @@ def coverage_turned_rings(spark, sf_dir):
 
 def _angles(spark, sf_dir):
     """Cells shaped like an L, every other one clockwise."""
-    x, y, r = F.col("cx"), F.col("cy"), 2.0 + (F.col("cell_id") % 7).cast("double") / 4
+    x, y, r = F.col("cx"), F.col("cy"), 2.013 + (F.col("cell_id") % 7).cast("double") / 4
     ring = F.array(*(g.point(x + a * r, y + b * r) for a, b in ((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2))))
     return _cells(spark, sf_dir).withColumn("poly", F.when(F.col("cell_id") % 2 == 0, F.reverse(ring)).otherwise(ring))
 
@@ -178,7 +178,7 @@ def _angles(spark, sf_dir):
 _PART = "SELECT cell_id, cx AS x0, cy AS y0, cx + {0} * w AS x1, cy + w AS y1, w FROM l UNION ALL SELECT cell_id, cx, cy + w, cx + w, cy + 2 * w, w FROM l"
 
 
-@query(f"""WITH {CELLS}, l AS (SELECT cell_id, cx, cy, 2.0 + CAST(cell_id % 7 AS DOUBLE)/4 AS w FROM cells), q AS ({_PART.format(2)}),
+@query(f"""WITH {CELLS}, l AS (SELECT cell_id, cx, cy, 2.013 + CAST(cell_id % 7 AS DOUBLE)/4 AS w FROM cells), q AS ({_PART.format(2)}),
 o AS (SELECT a.cell_id i, b.cell_id j, any_value(a.w) wa, any_value(b.w) wb, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS s
   FROM q a JOIN q b ON a.cell_id < b.cell_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.cell_id, b.cell_id)
 SELECT i, j, round(s / (3*wa*wa + 3*wb*wb - s), 5) AS iou FROM o WHERE s / (3*wa*wa + 3*wb*wb - s) > 1e-6""")
@@ -375,6 +375,25 @@ def coverage_raster(spark, sf_dir):
     return raster.coverage_raster(cells, bounds, columns, rows)
 
 
+_ANGLE_GRID = f"""WITH {CELLS}, l AS (SELECT cell_id, cx, cy, 2.013 + CAST(cell_id % 7 AS DOUBLE)/4 AS w FROM cells), b AS (SELECT floor(min(cx)/{PIXEL})*{PIXEL} x0, floor(min(cy)/{PIXEL})*{PIXEL} y0 FROM l),
+near AS (SELECT l.*, CAST(floor((cx-x0)/{PIXEL})+dx AS INT) AS col, CAST(floor((cy-y0)/{PIXEL})+dy AS INT) AS row FROM l, b, range(-1, {math.ceil(7 / PIXEL) + 2}) o(dx), range(-1, {math.ceil(7 / PIXEL) + 2}) q(dy)),
+pix AS (SELECT near.*, x0+(col+0.5)*{PIXEL} - cx AS x, y0+(row+0.5)*{PIXEL} - cy AS y FROM near, b)"""
+
+
+@query(f"{_ANGLE_GRID} SELECT row, col, count(*) AS n FROM pix WHERE x BETWEEN 0 AND 2*w AND y BETWEEN 0 AND 2*w AND (x <= w OR y <= w) GROUP BY 1, 2")
+def coverage_raster_concave(spark, sf_dir):
+    cells = _angles(spark, sf_dir)
+    bounds, columns, rows = _grid(cells)
+    return raster.coverage_raster(cells, bounds, columns, rows)
+
+
+@query(f"{_ANGLE_GRID} SELECT row, col, count(*) AS n FROM pix WHERE x BETWEEN 0 AND 2*w AND y BETWEEN 0 AND 2*w AND x + y <= 3*w GROUP BY 1, 2")
+def hull_raster(spark, sf_dir):
+    cells = _angles(spark, sf_dir)
+    bounds, columns, rows = _grid(cells)
+    return raster.hull_raster(cells, bounds, columns, rows)
+
+
 @query(f"WITH rs AS ({ORACLE_SQL['coverage_raster']}), g AS (SELECT greatest(1, ceil((x1-x0)/{PIXEL})) * greatest(1, ceil((y1-y0)/{PIXEL})) AS pixels FROM ({_GRID} SELECT * FROM b)) SELECT max(n) AS most, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS std, count(*) AS covered, round(count(*)/any_value(pixels), 6) AS share FROM rs, g")
 def coverage_stats(spark, sf_dir):
     cells = _cells(spark, sf_dir)
