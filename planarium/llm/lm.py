@@ -26,16 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.llm._pack import ascending, bounds, from_ascending, packed, summed, unpacked
+from planarium.llm._pack import bounds, packed, unpacked
 from planarium.llm._store import bucketed, small_batches
 from planarium.llm._text import U64, mix, release, slices, word_hashes
 
 #: Tokens of a block (about; a longer document is a block by itself), and n-grams that one range sums (about).
-BLOCK_TOKENS, RANGE_NGRAMS = 800_000, 2_000_000
+BLOCK_TOKENS, RANGE_NGRAMS = 1_100_000, 2_000_000
 #: Words of the longest n-gram, and the weight m of the shorter ones.
 ORDER, STRENGTH = 3, 2.0
 END = U64(0xE4D0E4D0E4D0E4D0)
@@ -43,6 +44,23 @@ START = U64(0x57A257A257A257A2)
 _TURN = U64(0x9FB21C651E98DF25)
 
 
+def _runs(x: np.ndarray) -> bytes:
+    """Hashes by their differences, in byte planes compressed one by one: the low ones are random, the high ones nearly empty."""
+    d = np.diff(x, prepend=U64(0))
+    planes = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) if p.any() else b"" for p in np.ascontiguousarray(d.view(np.uint8).reshape(len(d), 8).T)]
+    return np.array([len(d), *map(len, planes)], dtype="<u4").tobytes() + b"".join(planes)
+
+
+def _from_runs(data: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(data[:36], dtype="<u4").tolist()
+    out, at = np.zeros((8, n), dtype=np.uint8), 36
+    for k, size in enumerate(sizes):
+        if size:
+            out[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), np.uint8)
+        at += size
+    return np.cumsum(np.ascontiguousarray(out.T).view("<u8").reshape(-1), dtype=U64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     """Tokenised blocks: their distinct words, the texts as numbers of these, ids, lengths and folds of the documents."""
     part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -51,8 +69,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
     def close():
         nonlocal held, size, seq
         tokens, lengths, docs, out = (np.concatenate([h[i] for h in held]) for i in range(4))
-        words, inverse = np.unique(tokens, return_inverse=True)
-        row = {"block": [part << 32 | seq], "words": [ascending(words)], "tokens": [packed(inverse, "<u4")], "docs": [packed(docs, "<i8")], "lengths": [packed(lengths, "<u4")], "held": [packed(out, "u1")], "size": [len(tokens)], "train": [int(lengths[~out].sum())]}
+        words, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        # Frequent words first, so that most numbers are small; by their hashes among those that are about as frequent.
+        order = np.argsort(-np.frexp(n)[1], kind="stable")
+        number = np.empty(len(words), dtype=np.int64)
+        number[order] = np.arange(len(words))
+        words, inverse = words[order], number[inverse]
+        row = {"block": [part << 32 | seq], "words": [_runs(words)], "tokens": [packed(inverse, "<u4")], "docs": [packed(docs, "<i8")], "lengths": [packed(lengths, "<u4")], "held": [packed(out, "u1")], "size": [len(tokens)], "train": [int(lengths[~out].sum())]}
         held, size, seq = [], 0, seq + 1
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in list(row)[1:6]), ("size", pa.int64()), ("train", pa.int64())]))
 
@@ -75,7 +98,7 @@ class Block:
     """
 
     def __init__(self, row: dict, order: int):
-        words, lengths = from_ascending(row["words"]), unpacked(row["lengths"], "<u4").astype(np.int64)
+        words, lengths = _from_runs(row["words"]), unpacked(row["lengths"], "<u4").astype(np.int64)
         self.docs, self.held, self.lengths = unpacked(row["docs"], "<i8"), unpacked(row["held"], "u1").astype(bool), lengths
         self.first = np.cumsum(lengths + 1) - lengths - 1
         at = np.ones(int((lengths + 1).sum()), dtype=bool)
@@ -94,12 +117,15 @@ class Block:
             self.keys.append(key)
             self.place.append(within >= o - 1)
 
-    def ngrams(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct n-grams in order, and at each place the number of that which ends there (-1: none)."""
-        flat = np.concatenate([k[p] for k, p in zip(self.keys, self.place)])
-        names, inverse = np.unique(flat, return_inverse=True)
+    def ngrams(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Distinct words, and distinct longer n-grams: for each their names in order, and by length, at each place, the number of that which ends there (-1: none)."""
+        return [self._numbered(self.keys[:1], self.place[:1]), self._numbered(self.keys[1:], self.place[1:])]
+
+    @staticmethod
+    def _numbered(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        names, inverse = np.unique(np.concatenate([np.zeros(0, U64), *(k[p] for k, p in zip(keys, place))]), return_inverse=True)
         out, a = [], 0
-        for p in self.place:
+        for p in place:
             n = np.full(len(p), -1, dtype=np.int64)
             z = a + int(p.sum())
             n[p] = inverse[a:z]
@@ -108,34 +134,40 @@ class Block:
         return names, out
 
 
+_PARTS = "range int, block long, words binary, word_n binary, ngrams binary, ngram_n binary"
+
+
 def _parts(batches: Iterator[pa.RecordBatch], ranges: int, order: int) -> Iterator[pa.RecordBatch]:
-    """Each block's n-grams with their number in its training texts, cut into ranges."""
+    """Each block's words and longer n-grams with their number in its training texts, cut into ranges; a row for every range."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
             b = Block(row, order)
-            names, at = b.ngrams()
             training = np.repeat(~b.held, b.lengths + 1)
-            n = np.bincount(np.concatenate([x[training & (x >= 0)] for x in at]), minlength=len(names))
-            cut = bounds(names, ranges)
-            rows = [(r, row["block"], ascending(names[cut[r] : cut[r + 1]]), packed(n[cut[r] : cut[r + 1]], "<u4")) for r in np.flatnonzero(np.diff(cut)).tolist()]
+            columns: list[list] = []
+            for names, at in b.ngrams():
+                n = np.bincount(np.concatenate([np.zeros(0, np.int64), *(x[training & (x >= 0)] for x in at)]), minlength=len(names))
+                cut = bounds(names, ranges)
+                columns += [[_runs(names[a:z]) for a, z in zip(cut[:-1], cut[1:])], [packed(n[a:z], "<u4") for a, z in zip(cut[:-1], cut[1:])]]
             release()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "block", "words", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([row["block"]] * ranges, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "block", "words", "word_n", "ngrams", "ngram_n"])
 
 
-def _words(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Words that each block's training texts hold, cut into ranges."""
-    for batch in batches:
-        for words, tokens, lengths, held in zip(*(batch.column(c).to_pylist() for c in ("words", "tokens", "lengths", "held"))):
-            words, training = from_ascending(words), np.repeat(~unpacked(held, "u1").astype(bool), unpacked(lengths, "<u4"))
-            words = words[np.bincount(unpacked(tokens, "<u4")[training], minlength=len(words)) > 0]
-            cut = bounds(words, ranges)
-            full = np.flatnonzero(np.diff(cut)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([ascending(words[cut[r] : cut[r + 1]]) for r in full], pa.binary())], names=["range", "words"])
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Answers of a range (block, word_n, ngram_n, v): the counts over all blocks of each block's own, and how many words training has here."""
 
+    def over_all(names: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        lists = [_from_runs(x) for x in names]
+        u, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([unpacked(x, "<u4") for x in counts]), minlength=len(u)).astype(np.int64)
+        own = np.split(n[inverse], np.cumsum([len(x) for x in lists])[:-1])
+        return u, n, [packed(x, "<i8") for x in own]
 
-def _distinct(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"v": [len(np.unique(np.concatenate([from_ascending(x) for x in rows["words"]])))]})
+    u, n, word_n = over_all(rows["words"], rows["word_n"])
+    v = int(((n > 0) & (u != mix(np.array([START]))[0])).sum())
+    ngram_n = over_all(rows["ngrams"], rows["ngram_n"])[2]
+    release()
+    return pd.DataFrame({"range": key[0], "block": rows["block"], "word_n": word_n, "ngram_n": ngram_n, "v": v})
 
 
 class Automaton:
@@ -173,11 +205,13 @@ class Automaton:
         return out
 
 
-def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, v_all: int, order: int, strength: float) -> pd.DataFrame:
+def _score(block: pd.DataFrame, answers: pd.DataFrame, n_all: int, order: int, strength: float) -> pd.DataFrame:
     b = Block(block.iloc[0].to_dict(), order)
-    _, at = b.ngrams()
-    n = np.concatenate([unpacked(x, "<i8") for x in answers.sort_values("range")["n"]])
-    counts = [np.where(x >= 0, n[x], -1) for x in at]
+    answers, counts = answers.sort_values("range"), []
+    for (_, at), column in zip(b.ngrams(), ("word_n", "ngram_n")):
+        n = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, "<i8") for x in answers[column])])
+        counts += [np.where(x >= 0, n[x], -1) if len(n) else x for x in at]
+    v_all = int(answers["v"].sum())  # every range answers every block
     a = Automaton(counts, n_all, v_all, strength)
     add = lambda x: np.add.reduceat(np.where(b.word, x, 0), b.first)
     out = pd.DataFrame({"doc_id": b.docs, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((counts[0] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": add(np.log10(a.arcs[0])), "score": add(a.walk())})
@@ -203,9 +237,7 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER, strength: float =
     n_all, ranges = int(sizes["train"] or 0), max(1, -(-order * int(sizes["all"] or 0) // RANGE_NGRAMS))
     # One block a batch: a block's n-grams fill a good part of a task's memory.
     texts = blocks.select("block", "words", "tokens", "docs", "lengths", "held")
-    parts = texts.mapInArrow(lambda it: _parts((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges, order), "range int, block long, words binary, n binary")
-    answers = parts.groupBy("range").applyInPandas(summed, "range int, block long, n binary")
-    seen = texts.select("words", "tokens", "lengths", "held").mapInArrow(lambda it: _words((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges), "range int, words binary")
-    v_all = int(seen.groupBy("range").applyInPandas(_distinct, "v long").agg(F.sum("v")).first()[0] or 0)
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, n_all, v_all, order, strength), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = texts.mapInArrow(lambda it: _parts((b.slice(i, 1) for b in it for i in range(b.num_rows)), ranges, order), _PARTS)
+    answers = parts.groupBy("range").applyInPandas(_summed, "range int, block long, word_n binary, ngram_n binary, v long")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _score(a, b, n_all, order, strength), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.when(F.col("doc_id") != nothing, F.col("doc_id")))
