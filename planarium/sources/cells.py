@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planarium.functions.geometry import hull_features, point, vertex_mean
+from planarium.functions.geometry import counter_clockwise, hull_features, point, vertex_mean
 
 SCHEMA = "cell_id long, `group` int, cx double, cy double, clipped boolean, poly array<struct<x:double,y:double>>, features array<double>, y int"
 
@@ -32,11 +32,13 @@ def from_parts(part: DataFrame) -> DataFrame:
     return cells.withColumn("poly", hexagon(F.col("cx"), F.col("cy"), F.col("r")))
 
 
-def ingest(rows: DataFrame, features: list[str], polygon: str = "hull_points", group: str = "celltype_final", center: bool = True, normalize: bool = False) -> DataFrame:
+def ingest(rows: DataFrame, features: list[str], polygon: str = "hull_points", group: str = "celltype_final", center: bool = True, normalize: bool = False, key: str | None = None) -> DataFrame:
     """Cells from a table of hulls: rows without a group go, groups become dense ids in sorted order, centres are vertex means.
 
     Features are centred and, with `normalize`, divided by their population
     standard deviation (0 counts as 1).  Fewer than two features are an error.
+    Rings come out counter-clockwise.  `key` names a column of unique ids; without
+    it cells are numbered as they are read, so write the result before using it twice.
     """
     if len(features) < 2:
         raise ValueError("at least two feature columns are needed")
@@ -48,7 +50,7 @@ def ingest(rows: DataFrame, features: list[str], polygon: str = "hull_points", g
     mean = vertex_mean(F.col(polygon))
     clipped = F.col("clipped") if "clipped" in rows.columns else F.lit(False)
     out = rows.join(F.broadcast(names), F.col(group) == F.col("_name"))
-    return out.select(F.monotonically_increasing_id().alias("cell_id"), F.col("_id").cast("int").alias("group"), mean["x"].alias("cx"), mean["y"].alias("cy"), clipped.alias("clipped"), F.col(polygon).alias("poly"), F.array(*map(value, features)).alias("features"), F.col("_id").cast("int").alias("y"), hull_features(F.col(polygon)).alias("hull"))
+    return out.select((F.col(key).cast("long") if key else F.monotonically_increasing_id()).alias("cell_id"), F.col("_id").cast("int").alias("group"), mean["x"].alias("cx"), mean["y"].alias("cy"), clipped.alias("clipped"), counter_clockwise(F.col(polygon)).alias("poly"), F.array(*map(value, features)).alias("features"), F.col("_id").cast("int").alias("y"), hull_features(F.col(polygon)).alias("hull"))
 
 
 def save(cells: DataFrame, path: str) -> None:

@@ -147,6 +147,8 @@ def test_sources(spark, tmp_path):
     assert sorted(got) == [0, 1] and got[1]["features"] == [-1.0, -1.0] and got[0]["cx"] == 1.5
     with pytest.raises(ValueError):
         source.ingest(rows, ["f"])
+    turned = source.ingest(rows.withColumn("hull_points", F.reverse("hull_points")).withColumn("id", F.col("f").cast("long")), ["f", "g"], key="id")
+    assert sorted(r["cell_id"] for r in turned.collect()) == [1, 3] and turned.select(g.signed_area(F.col("poly")).alias("a")).where("a <= 0").count() == 0
     source.save(cells.drop("hull"), f"file://{tmp_path}/cells")
     back = source.load(spark, f"file://{tmp_path}/cells")
     source.write_npz(back, str(tmp_path / "deep/cells.npz"))
