@@ -57,18 +57,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null texts and rows that only share an id with a contaminated one stay; repeated rows stay or go together; without documents
+    or without a benchmark nothing goes.
+    """
     found = decontam.contaminated(by_key(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(KEY)).distinct()
     return keyed(docs).join(written(found, "contaminated"), KEY, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts; null texts stay null, every row stays, repeated ones as often as they come."""
     return secrets.mask_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents' pieces."""
+    """Bins of the documents' pieces.
+
+    A null or blank text has one row without a bin, null or repeated ids are packed one by one, equal lengths go in the order of
+    doc_id, cluster and source; no documents give no bins.
+    """
     return packing.best_fit(docs)
 
 
@@ -76,7 +84,11 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again before the next."""
+    """All stages over documents; each is written and read again before the next.
+
+    Columns of documents keep their names and order up to the last stage; names that begin with `__` are the stages' own.  An empty
+    table gives no bins.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
