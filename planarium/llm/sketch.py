@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,11 @@ def decode(text: str) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(U64)
 
 
-#: Bytes of text of one range of ids (about).
+#: Bytes of text of one range of ids (about), and most ranges; beyond, ranges grow instead.
 PART_BYTES = 16 << 20
+MOST_PARTS = 1 << 16
+
+_COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, contained_next double"
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -93,7 +97,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Each document of a part beside its successor; a part is sorted and ends with the guard row that follows it."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained_next"]
     last: tuple | None = None  # (part, doc_id, text, sketch) waiting for its successor
 
     def result(rows):
@@ -103,6 +107,7 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             pa.array([r[1] for r, _ in rows], pa.int64()), pa.array([len(r[2]) for r, _ in rows], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()), pa.array([encode(r[3]) for r, _ in rows], pa.string()), pa.array([encode(s) for s in sketches], pa.string()),
             pa.array([resemblance(r[3], s, k) for (r, _), s in zip(rows, sketches)], pa.float64()), pa.array([resemblance(r[3], n[3], k) for r, n in rows], pa.float64()),
+            pa.array([distinct_count(r[3], k) for r, _ in rows], pa.float64()), pa.array([containment(r[3], n[3], k) for r, n in rows], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -118,36 +123,46 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield result(rows)
 
 
+def _range_of(cuts: np.ndarray):
+    """Number of the range of an id, and whether the id is the cut that opens it."""
+
+    @F.pandas_udf("part int, opens boolean")
+    def found(x: pd.Series) -> pd.DataFrame:
+        part = np.searchsorted(cuts, x.to_numpy(), side="right") - 1
+        return pd.DataFrame({"part": part.astype("int32"), "opens": cuts[part] == x.to_numpy()})
+
+    return found
+
+
 def compared(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
     """Fingerprint of each text, of its edited text, and their likeness, and that to the next document.
 
+    With them come the estimated number of distinct shingles and the estimated
+    share of them that the next document has too.
+
     The edited text has its last quarter of code points replaced by the first
     as many of the document that follows in ascending doc_id (after the last:
     the first).  A null text is empty; rows with equal doc_id follow each other
     by text, nulls come first; a table of one row follows itself; no rows give
     no rows.  Columns other than doc_id and text are not read.
 
-    Ids are cut into ranges; a copy of the first row of each range goes to the
-    range before it, so no row needs another task's rows.
+    Ids are cut into ranges at ids that occur, at most MOST_PARTS of them, so
+    the cuts are of bounded size; a copy of the first row of each range goes to
+    the range before it, so no row needs another task's rows.  A range streams
+    through its task in order.
     """
     small_batches(docs)
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    parts = parts or max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    cuts = sorted(set(rows.select(key.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    # One number a range: the part is the number of cuts at or below the id.
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key.cast("double"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int")).withColumn("guard", F.lit(False))
-    firsts = rows.groupBy("part").agg(F.min(key).alias("first")).orderBy("part").collect()
-    if not firsts:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    to = spark.createDataFrame([(r["first"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], "first long, to int")
-    guards = rows.join(F.broadcast(to), key == F.col("first")).groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", F.col("to").alias("part"), F.lit(True).alias("guard"))
-    # Each part goes to a partition of its own: its name there is a number that hashes to the partition.
-    n = len(firsts)
-    slots = spark.range(40 * n).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("slot")).agg(F.min("name").alias("name"))
-    names = {r["slot"]: r["name"] for r in slots.collect()}
-    order = spark.createDataFrame([(r["part"], names.get(i, i)) for i, r in enumerate(firsts)], "part int, name int")
-    dealt = rows.unionByName(guards).join(F.broadcast(order), "part").repartition(n, "name").sortWithinPartitions("part", "guard", "doc_id", "text")
-    return dealt.mapInArrow(lambda it: _compare(it, k), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")
+    whole = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min(key).alias("low")).first()
+    if whole["low"] is None:
+        return docs.sparkSession.createDataFrame([], _COMPARED)
+    parts = min(MOST_PARTS, parts or max(1, -(-int(whole["bytes"]) // PART_BYTES)))
+    inner = rows.select(key.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    cuts = np.unique([whole["low"], *inner])
+    n = len(cuts)
+    rows = rows.withColumn("r", _range_of(cuts)(key)).select("doc_id", "text", "r.part", "r.opens")
+    first = rows.where("opens").groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    guards = first.select("r.doc_id", "r.text", F.pmod(F.col("part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("guard"))
+    dealt = rows.select("doc_id", "text", "part", F.lit(False).alias("guard")).unionByName(guards)
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(lambda it: _compare(it, k), _COMPARED)

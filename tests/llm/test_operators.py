@@ -415,6 +415,24 @@ def test_fingerprints(spark):
     assert sketch.compared(table(spark, [(None, "x"), (1, "a"), (1, "b"), (1, "a")])).count() == 4
 
 
+def test_fingerprint_ranges(spark):
+    """Successors across ranges: hot, null, negative, neighbouring huge ids; many more ranges than ids; clashing columns."""
+    ids = [None] * 5 + [7] * 40 + [-3, -(1 << 63), 1 << 60, (1 << 60) + 1, (1 << 60) + 2, (1 << 63) - 1] + list(range(100, 130))
+    rows = [(d, f"text {i * 7 % 50} of {d} and some more words here") for i, d in enumerate(ids)] + [(7, None), (120, "")]
+    order = sorted(((d is not None, d or 0, t or "") for d, t in rows))
+    want = []
+    for i, (known, d, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][2]
+        q = len(t) // 4
+        want.append((d if known else None, hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
+    for parts in (1, 2, 9, 500):
+        df = table(spark, rows).withColumn("part", F.lit("x")).withColumn("opens", F.lit(1)).withColumn("guard", F.lit(None))
+        got = [(r["doc_id"], r["edited_sha256"]) for r in sketch.compared(df.repartition(3), parts=parts).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    r = sketch.compared(table(spark, [(1, "a b c d e f"), (2, "a b c d e f g h")])).orderBy("doc_id").collect()
+    assert [(x["n_shingles"], x["contained_next"]) for x in r] == [(2.0, 1.0), (4.0, 0.5)]
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(0)
     x, y = (np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2)) for _ in range(2))
