@@ -69,6 +69,49 @@ def icm_jacobi(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float,
     return labels
 
 
+def icm_settled(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, most: int = 50) -> DataFrame:
+    """Synchronous sweeps while each lowers the energy, then rounds of moves that can't harm each other; every round is written.
+
+    Neighbours that move at once may each count on the other staying, so plain
+    sweeps can swing between two labelings for ever.  A sweep that doesn't lower
+    the energy is taken back; from then on a cell moves only if no neighbour
+    that wants to move gains more (equal gains: the smaller id goes first), so
+    every round lowers the energy by the sum of its gains and the end is a
+    labeling that no single cell would leave.  Where plain sweeps come to rest
+    with falling energy, the result is theirs.  Frozen cells keep their labels,
+    cells of label -1 may take one, and no cells give no rows.
+    """
+    now, at_once = labels.select("cell_id", F.col("label").cast("int").alias("label"), "frozen"), True
+    reached = energy(now, unary, nbrs, lam).first()["energy"]
+    for _ in range(most):
+        wish = written(wishes(now, unary, nbrs, lam), "wishes")
+        if wish.where("wish <> label").isEmpty():
+            break
+        if at_once:
+            after = wish.select("cell_id", F.col("wish").alias("label"), "frozen")
+            got = energy(after, unary, nbrs, lam).first()["energy"]
+            if got < reached:
+                now, reached = after, got
+                continue
+            at_once = False
+        movers = wish.where("wish <> label").select("cell_id", "gain")
+        rivals = nbrs.where("w <> 0").select("i", "j").join(movers.select(F.col("cell_id").alias("j"), F.col("gain").alias("theirs")), "j").join(movers.select(F.col("cell_id").alias("i"), F.col("gain").alias("mine")), "i")
+        held = rivals.where("theirs > mine or (theirs = mine and j < i)").select(F.col("i").alias("cell_id")).distinct().withColumn("_held", F.lit(True))
+        now = written(wish.join(held, "cell_id", "left").select("cell_id", F.when(F.col("_held"), F.col("label")).otherwise(F.col("wish")).alias("label"), "frozen"), "labels")
+    return now
+
+
+def wishes(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, digits: int = 9) -> DataFrame:
+    """labels with each cell's label of least local energy (wish; the first on ties) and what taking it gains; without a gain the wish is the label."""
+    l = labels.select(F.col("cell_id").alias("j"), F.col("label").alias("k")).where("k >= 0")
+    push = nbrs.join(l, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+    cost = F.transform("costs", lambda c, k: F.round(c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)), digits))
+    rows = labels.join(unary, "cell_id").join(push, "cell_id", "left").select("cell_id", "label", "frozen", cost.alias("_cost"))
+    own = F.when(F.col("label") >= 0, F.get("_cost", F.col("label"))).otherwise(F.lit(float("inf")))
+    gain = F.when(F.col("frozen"), F.lit(0.0)).otherwise(own - F.array_min("_cost"))
+    return rows.select("cell_id", "label", "frozen", gain.alias("gain"), F.when(gain > 0, argmin(F.col("_cost"))).otherwise(F.col("label")).cast("int").alias("wish"))
+
+
 #: Cells of a connected group that one task sweeps; larger groups go by waves.
 GROUP_CELLS = 50_000
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from planarium.functions import geometry as g
 from planarium.functions import ramps
-from planarium.operators import calibrate, cleanup, communities, estimators, graph, merging, metrics, mosaic, pairs, raster, refine, ward
+from planarium.operators import calibrate, cleanup, communities, estimators, graph, merging, metrics, mosaic, pairs, raster, refine, reports, ward
 from planarium.operators import diagnostics as diag
 from planarium.operators.quantiles import exact_quantiles
 from planarium.sources import cells as source
@@ -599,6 +599,34 @@ def relabelled(spark, sf_dir):
     return metrics.relabelled(rows).where("label = y").groupBy("y", F.col("was").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {CELLS} SELECT count(*) AS cells, 0 AS improving, TRUE AS lower FROM cells")
+def settled_sweeps(spark, sf_dir):
+    """Synchronous sweeps brought to rest: no free cell would gain by another label, and the energy isn't above that of the start."""
+    labels, unary, nbrs = written(_labels(spark, sf_dir), "labels"), written(_unary(spark, sf_dir), "unary"), written(_nbrs(spark, sf_dir), "nbrs")
+    got = refine.icm_settled(labels, unary, nbrs, LAMBDA, 200)
+    value = lambda x, name: refine.energy(x, unary, nbrs, LAMBDA).select(F.col("energy").alias(name))
+    open_ = refine.wishes(got, unary, nbrs, LAMBDA).agg(F.count("*").alias("cells"), F.count_if("wish <> label").alias("improving"))
+    return open_.join(value(labels, "a"), F.lit(True)).join(value(got, "b"), F.lit(True)).select("cells", "improving", F.expr("b <= a").alias("lower"))  # one row each
+
+
+_STAGES = {"whole": "label", "a_third_off": "CASE WHEN cell_id % 3 = 0 THEN (label + 1) % 5 ELSE label END", "some_open": "CASE WHEN cell_id % 7 = 0 THEN -1 ELSE label END", "two_as_one": "CASE WHEN label = 3 THEN 2 ELSE label END"}
+
+
+@query(f"""WITH {CELLS}, s AS ({" UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS stage, cell_id, label AS y, CAST({x} AS INT) AS label FROM cells" for i, (n, x) in enumerate(_STAGES.items()))}),
+k AS (SELECT step, y, label, count(*) AS n FROM s WHERE label >= 0 GROUP BY ALL), two AS (SELECT step, sum(n * (n - 1) / 2.0) AS c, sum(n) * (sum(n) - 1) / 2.0 AS t FROM k GROUP BY step),
+a AS (SELECT step, sum(n * (n - 1) / 2.0) AS a FROM (SELECT step, y, sum(n) AS n FROM k GROUP BY ALL) GROUP BY step), b AS (SELECT step, sum(n * (n - 1) / 2.0) AS b FROM (SELECT step, label, sum(n) AS n FROM k GROUP BY ALL) GROUP BY step),
+r AS (SELECT step, (c - a * b / t) / ((a + b) / 2 - a * b / t) AS ari FROM two JOIN a USING (step) JOIN b USING (step)),
+two_one AS (SELECT CASE WHEN count(*) FILTER (label = 3) > count(*) FILTER (label = 2) THEN 3 ELSE 2 END AS kept FROM cells)
+SELECT step, stage, count(*) AS cells, count(DISTINCT label) FILTER (label >= 0) AS clusters, count(*) FILTER (label < 0) AS unlabelled,
+    count(*) FILTER (label >= 0 AND y <> CASE WHEN stage = 'two_as_one' AND label = 2 THEN (SELECT kept FROM two_one) ELSE label END) AS errors, round(any_value(ari), 6) AS ari
+FROM s JOIN r USING (step) GROUP BY step, stage""")
+def stage_trace(spark, sf_dir):
+    """Agreement and errors of four labelings of all cells with the cells' labels, as for the stages of a fit."""
+    cells = _cells(spark, sf_dir)
+    stages = [(n, cells.select("cell_id", F.expr(x).cast("int").alias("label"))) for n, x in _STAGES.items()]
+    return reports.stage_trace(stages, cells.select("cell_id", F.col("label").alias("y"))).withColumn("ari", F.round("ari", 6))
+
+
 @query()
 def conflict_resolution(spark, sf_dir):
     """Joint moves of overlapping pairs of one label, in rounds."""
