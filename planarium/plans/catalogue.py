@@ -605,7 +605,7 @@ def settled_sweeps(spark, sf_dir):
     labels, unary, nbrs = written(_labels(spark, sf_dir), "labels"), written(_unary(spark, sf_dir), "unary"), written(_nbrs(spark, sf_dir), "nbrs")
     got = refine.icm_settled(labels, unary, nbrs, LAMBDA, 200)
     value = lambda x, name: refine.energy(x, unary, nbrs, LAMBDA).select(F.col("energy").alias(name))
-    open_ = refine.wishes(got, unary, nbrs, LAMBDA).agg(F.count("*").alias("cells"), F.count_if("wish <> label").alias("improving"))
+    open_ = refine.wishes(got, unary, nbrs, LAMBDA).agg(F.count("*").alias("cells"), F.count_if(F.col("wish") != F.col("label")).alias("improving"))
     return open_.join(value(labels, "a"), F.lit(True)).join(value(got, "b"), F.lit(True)).select("cells", "improving", F.expr("b <= a").alias("lower"))  # one row each
 
 
