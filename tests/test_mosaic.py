@@ -176,3 +176,13 @@ def test_strategy(spark, field, options):
     assert labels.count() == field.count() and metrics.adjusted_rand(labels.where("label >= 0")).first()["ari"] >= plain - 0.03
     with pytest.raises(ValueError):
         mosaic.MosaicStrategy.from_config({"n_clusters": 3, "radios": 1})
+
+
+def test_synchronous_strategy_against_its_own_mixture(spark, field):
+    """Synchronous sweeps don't fall below the mixture that they start from, even where the gate's fixed thresholds pull types together."""
+    truth = field.select("cell_id", "y")
+    got = mosaic.MosaicStrategy(3, radius=20.0, sequential=False, covariance="diag", quality_gate=0.5, mixture=True, refits=0, cleanups=0).fit(field)
+    ari = lambda x: metrics.adjusted_rand(x.join(truth, "cell_id")).first()["ari"]
+    assert [n for n, _ in got.model["stages"]] == ["mixture", "refined"] and ari(got.labels) >= ari(got.model["first"]) - 0.01
+    value = lambda x: refine.energy(x, got.model["unary"], got.model["nbrs"], got.model["lam"]).first()["energy"]
+    assert value(got.labels) <= value(refine.icm_jacobi(got.model["first"], got.model["unary"], got.model["nbrs"], got.model["lam"], 10))
