@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from planarium.functions.ramps import posterior
 from planarium.operators.calibrate import labelled
 from planarium.operators.diagnostics import local_costs
-from planarium.sources.store import written
+from planarium.sources.store import shuffled, written
 
 
 def _worst_near(marks: DataFrame, nbrs: DataFrame) -> DataFrame:
     """Rows (cell_id, worst): the largest mark of a cell and its neighbours."""
     own = marks.select("cell_id", "m")
-    near = nbrs.select("i", "j").join(own.withColumnRenamed("cell_id", "j"), "j").select(F.col("i").alias("cell_id"), "m")
+    near = nbrs.select("i", "j").join(shuffled(own).withColumnRenamed("cell_id", "j"), "j").select(F.col("i").alias("cell_id"), "m")
     return own.unionByName(near).groupBy("cell_id").agg(F.max("m").alias("worst"))
 
 
@@ -57,7 +57,7 @@ def _joint_moves(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: floa
     pairs = labelled(nbrs.where((F.col("i") < F.col("j")) & (F.col("w") > weight)), labels).where("label_i = label_j and label_i >= 0").select("i", "j", "w", F.col("label_i").alias("k"))
     e = local_costs(labels, unary, nbrs, lam)
     side = lambda c: e.select(F.col("cell_id").alias(c), F.col("energies").alias(f"e_{c}"), F.col("costs").alias(f"u_{c}"), (F.col("frozen") if use_frozen else F.lit(False)).alias(f"f_{c}"))
-    rows = pairs.join(side("i"), "i").join(side("j"), "j")
+    rows = pairs.join(shuffled(side("i")), "i").join(shuffled(side("j")), "j")
     # What the partner puts on the current label is counted once, as the pair's own cost.
     alone = lambda c: F.transform(f"e_{c}", lambda x, k: F.when(k == F.col("k"), x - lam * F.col("w")).otherwise(x))
     rows = rows.withColumn("a", alone("i")).withColumn("b", alone("j"))
@@ -89,10 +89,10 @@ def clear_residuals(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, rounds
     near = nbrs.where("w > 0")
     for _ in range(rounds):
         l = labels.select(F.col("cell_id").alias("j"), F.col("label").alias("k"), F.col("frozen").alias("f")).where("k >= 0")
-        met = near.join(l, "j").join(labels.select(F.col("cell_id").alias("i"), F.col("label").alias("own"), F.col("frozen").alias("still")), "i").where("own >= 0")
+        met = near.join(shuffled(l), "j").join(shuffled(labels).select(F.col("cell_id").alias("i"), F.col("label").alias("own"), F.col("frozen").alias("still")), "i").where("own >= 0")
         by = met.groupBy("i").agg(F.sum(F.when(F.col("k") == F.col("own"), F.col("w")).otherwise(0.0)).alias("v"), F.collect_set("k").alias("taken"), F.bool_and(F.when(F.col("k") == F.col("own"), F.col("f"))).alias("all_frozen"), F.first("own").alias("own"), F.first("still").alias("still"))
         bad = by.where("v > 0 and not still").select(F.col("i").alias("cell_id"), "v", "taken", "all_frozen", "own")
-        rows = bad.join(unary, "cell_id").withColumn("m", F.struct("v", "cell_id"))
+        rows = bad.join(shuffled(unary), "cell_id").withColumn("m", F.struct("v", "cell_id"))
         options = F.transform(F.filter(F.sequence(F.lit(0), F.lit(top)), lambda k: ~F.array_contains("taken", k)), lambda k: F.struct(F.get("costs", k).alias("c"), k.cast("int").alias("k")))
         rows = rows.withColumn("best", F.explode(F.array(F.array_min(options))))
         ok = F.col("best").isNotNull() & (F.col("all_frozen") | _supported("costs", F.col("best.k"), least))

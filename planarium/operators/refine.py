@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from planarium.functions.ramps import argmin, ramp
 from planarium.operators.calibrate import labelled
 from planarium.operators.graph import both_ways, components
-from planarium.sources.store import written
+from planarium.sources.store import shuffled, written
 
 
 def neighbours(pairs: DataFrame, low: float, high: float, kind=ramp) -> DataFrame:
@@ -26,7 +26,7 @@ def neighbours(pairs: DataFrame, low: float, high: float, kind=ramp) -> DataFram
 
 def energy(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float) -> DataFrame:
     """One row (unary, pairwise, energy)."""
-    u = labels.where("label >= 0").join(unary, "cell_id").agg(F.coalesce(F.sum(F.get("costs", F.col("label"))), F.lit(0.0)).alias("unary"))
+    u = labels.where("label >= 0").join(shuffled(unary), "cell_id").agg(F.coalesce(F.sum(F.get("costs", F.col("label"))), F.lit(0.0)).alias("unary"))
     p = labelled(nbrs.where("i < j"), labels).where("label_i = label_j and label_i >= 0").agg((lam * F.coalesce(F.sum("w"), F.lit(0.0))).alias("pairwise"))
     return u.join(p, F.lit(True)).withColumn("energy", F.col("unary") + F.col("pairwise"))  # one row with one row
 
@@ -46,15 +46,15 @@ def conflict_scores(nbrs: DataFrame, labels: DataFrame) -> DataFrame:
 def label_scores(nbrs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (cell_id, label, score): summed positive weights by the neighbours' label."""
     l = labels.select(F.col("cell_id").alias("j"), "label")
-    return nbrs.where("w > 0").join(l, "j").where("label >= 0").groupBy(F.col("i").alias("cell_id"), "label").agg(F.sum("w").alias("score"))
+    return nbrs.where("w > 0").join(shuffled(l), "j").where("label >= 0").groupBy(F.col("i").alias("cell_id"), "label").agg(F.sum("w").alias("score"))
 
 
 def jacobi_sweep(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, digits: int = 9) -> DataFrame:
     """One synchronous sweep: every cell that isn't frozen takes the label of least local energy, the first on ties."""
     l = labels.select(F.col("cell_id").alias("j"), F.col("label").alias("k")).where("k >= 0")
-    push = nbrs.join(l, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+    push = nbrs.join(shuffled(l), "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
     cost = F.transform("costs", lambda c, k: F.round(c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)), digits))
-    rows = labels.join(unary, "cell_id").join(push, "cell_id", "left")
+    rows = labels.join(shuffled(unary), "cell_id").join(shuffled(push), "cell_id", "left")
     return rows.select("cell_id", F.when(F.col("frozen"), F.col("label")).otherwise(argmin(cost)).alias("label"), "frozen")
 
 
@@ -62,7 +62,7 @@ def icm_jacobi(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float,
     """Sweeps until no label changes or `most` are done; each sweep is written."""
     for _ in range(most):
         after = written(jacobi_sweep(labels, unary, nbrs, lam), "sweep")
-        changed = after.join(labels.select("cell_id", F.col("label").alias("old")), "cell_id").where("label <> old").limit(1).count()
+        changed = after.join(shuffled(labels).select("cell_id", F.col("label").alias("old")), "cell_id").where("label <> old").limit(1).count()
         labels = after
         if not changed:
             break
@@ -95,18 +95,18 @@ def icm_settled(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float
                 continue
             at_once = False
         movers = wish.where("wish <> label").select("cell_id", "gain")
-        rivals = nbrs.where("w <> 0").select("i", "j").join(movers.select(F.col("cell_id").alias("j"), F.col("gain").alias("theirs")), "j").join(movers.select(F.col("cell_id").alias("i"), F.col("gain").alias("mine")), "i")
+        rivals = nbrs.where("w <> 0").select("i", "j").join(shuffled(movers).select(F.col("cell_id").alias("j"), F.col("gain").alias("theirs")), "j").join(shuffled(movers).select(F.col("cell_id").alias("i"), F.col("gain").alias("mine")), "i")
         held = rivals.where("theirs > mine or (theirs = mine and j < i)").select(F.col("i").alias("cell_id")).distinct().withColumn("_held", F.lit(True))
-        now = written(wish.join(held, "cell_id", "left").select("cell_id", F.when(F.col("_held"), F.col("label")).otherwise(F.col("wish")).alias("label"), "frozen"), "labels")
+        now = written(wish.join(shuffled(held), "cell_id", "left").select("cell_id", F.when(F.col("_held"), F.col("label")).otherwise(F.col("wish")).alias("label"), "frozen"), "labels")
     return now
 
 
 def wishes(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: float, digits: int = 9) -> DataFrame:
     """labels with each cell's label of least local energy (wish; the first on ties) and what taking it gains; without a gain the wish is the label."""
     l = labels.select(F.col("cell_id").alias("j"), F.col("label").alias("k")).where("k >= 0")
-    push = nbrs.join(l, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+    push = nbrs.join(shuffled(l), "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
     cost = F.transform("costs", lambda c, k: F.round(c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)), digits))
-    rows = labels.join(unary, "cell_id").join(push, "cell_id", "left").select("cell_id", "label", "frozen", cost.alias("_cost"))
+    rows = labels.join(shuffled(unary), "cell_id").join(shuffled(push), "cell_id", "left").select("cell_id", "label", "frozen", cost.alias("_cost"))
     own = F.when(F.col("label") >= 0, F.get("_cost", F.col("label"))).otherwise(F.lit(float("inf")))
     gain = F.when(F.col("frozen"), F.lit(0.0)).otherwise(own - F.array_min("_cost"))
     return rows.select("cell_id", "label", "frozen", gain.alias("gain"), F.when(gain > 0, argmin(F.col("_cost"))).otherwise(F.col("label")).cast("int").alias("wish"))
@@ -126,12 +126,12 @@ def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: fl
     """
     free = labels.where("not frozen").select("cell_id")
     fixed = labels.where("frozen and label >= 0").select(F.col("cell_id").alias("j"), F.col("label").alias("k"))
-    push = nbrs.join(fixed, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
-    base = free.join(unary, "cell_id").join(push, "cell_id", "left").join(labels.select("cell_id", "label"), "cell_id").select("cell_id", "label", F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0))).alias("costs"))
-    inner = written(nbrs.join(free.select(F.col("cell_id").alias("i")), "i", "left_semi").join(free.select(F.col("cell_id").alias("j")), "j", "left_semi").select("i", "j", "w"), "inner")
+    push = nbrs.join(shuffled(fixed), "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+    base = free.join(shuffled(unary), "cell_id").join(shuffled(push), "cell_id", "left").join(shuffled(labels).select("cell_id", "label"), "cell_id").select("cell_id", "label", F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0))).alias("costs"))
+    inner = written(nbrs.join(shuffled(free).select(F.col("cell_id").alias("i")), "i", "left_semi").join(shuffled(free).select(F.col("cell_id").alias("j")), "j", "left_semi").select("i", "j", "w"), "inner")
     group = components(free, inner)
     sizes = group.groupBy("component").agg(F.count("*").alias("n"))
-    rows = written(base.join(group.join(sizes, "component"), "cell_id"), "free")
+    rows = written(base.join(shuffled(group.join(shuffled(sizes), "component")), "cell_id"), "free")
     edges = inner.groupBy(F.col("i").alias("cell_id")).agg(F.collect_list(F.struct("j", "w")).alias("near"))
 
     def sweep(g: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +153,7 @@ def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: fl
                 break
         return pd.DataFrame({"cell_id": g["cell_id"], "label": label.astype("int32"), "frozen": False})
 
-    small = rows.where(F.col("n") <= group_cells).join(edges, "cell_id", "left")
+    small = rows.where(F.col("n") <= group_cells).join(shuffled(edges), "cell_id", "left")
     done = small.groupBy("component").applyInPandas(sweep, "cell_id long, label int, frozen boolean")
     large = rows.where(F.col("n") > group_cells)
     if not large.isEmpty():
@@ -176,9 +176,9 @@ def _waves(cells: DataFrame, inner: DataFrame, lam: float, most: int) -> DataFra
         for k, w in enumerate(waves):
             near = inner.join(w.select(F.col("cell_id").alias("i")), "i", "left_semi")
             known = reduce(DataFrame.unionByName, [x.select(F.col("cell_id").alias("j"), F.col("label").alias("k")) for x in now]).where("k >= 0")
-            push = near.join(known, "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
+            push = near.join(shuffled(known), "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
             cost = F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)))
-            moved = written(now[k].join(push, "cell_id", "left").select("cell_id", argmin(cost).alias("label"), "costs", F.col("label").alias("old")), "labels")
+            moved = written(now[k].join(shuffled(push), "cell_id", "left").select("cell_id", argmin(cost).alias("label"), "costs", F.col("label").alias("old")), "labels")
             changed += moved.where("label <> old").limit(1).count()
             now[k] = moved.select("cell_id", "label", "costs")
         if not changed:
