@@ -121,26 +121,25 @@ def shared_areas(a: pa.Array, b: pa.Array, convex_a: np.ndarray, convex_b: np.nd
     return np.maximum(out, 0.0)
 
 
-def _crosses_itself(v: np.ndarray) -> bool:
-    """Do edges of a ring that aren't neighbours meet, or neighbours run back on each other?"""
-    n, w = len(v), np.roll(v, -1, axis=0)
+def _cross_themselves(v: np.ndarray) -> np.ndarray:
+    """For each of the rings (rows, vertices, 2): do edges that aren't neighbours meet, or neighbours run back on each other?"""
+    n, w = v.shape[1], np.roll(v, -1, axis=1)
     d = w - v
-    back = (cross(d, np.roll(d, -1, axis=0)) == 0) & ((d * np.roll(d, -1, axis=0)).sum(axis=1) < 0)
-    if back.any():
-        return True
+    e = np.roll(d, -1, axis=1)
+    bad = ((cross(d, e) == 0) & ((d * e).sum(axis=2) < 0)).any(axis=1)
     for i in range(n - 2):
-        j = np.arange(i + 2, n - (i == 0))
-        if not len(j):
+        j = slice(i + 2, n - (i == 0))
+        a, b, p, q, u, f = v[:, i, None], w[:, i, None], v[:, j], w[:, j], d[:, i, None], d[:, j]
+        if not p.shape[1]:
             continue
-        s1, s2 = np.sign(cross(d[i], v[j] - v[i])), np.sign(cross(d[i], w[j] - v[i]))
-        s3, s4 = np.sign(cross(d[j], v[i] - v[j])), np.sign(cross(d[j], w[i] - v[j]))
-        within = lambda p, a, b: ((p >= np.minimum(a, b)) & (p <= np.maximum(a, b))).all(axis=-1)
+        s1, s2 = np.sign(cross(u, p - a)), np.sign(cross(u, q - a))
+        s3, s4 = np.sign(cross(f, a - p)), np.sign(cross(f, b - p))
+        within = lambda x, y, z: ((x >= np.minimum(y, z)) & (x <= np.maximum(y, z))).all(axis=-1)
         meets = (s1 * s2 < 0) & (s3 * s4 < 0)
-        meets |= (s1 == 0) & within(v[j], v[i], w[i]) | (s2 == 0) & within(w[j], v[i], w[i])
-        meets |= (s3 == 0) & within(v[i], v[j], w[j]) | (s4 == 0) & within(w[i], v[j], w[j])
-        if meets.any():
-            return True
-    return False
+        meets |= (s1 == 0) & within(p, a, b) | (s2 == 0) & within(q, a, b)
+        meets |= (s3 == 0) & within(a, p, q) | (s4 == 0) & within(b, p, q)
+        bad |= meets.any(axis=1)
+    return bad
 
 
 def shaped(poly: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -176,8 +175,12 @@ def shaped(poly: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     bent = np.bincount(row, (turn < 0) | (turn == 0) & (along < 0), minlength=len(good)) > 0
     round_ = np.bincount(row, np.arctan2(turn, along), minlength=len(good))
     convex = good & ~bent & (np.abs(round_ - 2 * np.pi) < 1)
-    for i in np.flatnonzero(good & ~convex):
-        good[i] = not _crosses_itself(xy[first[i] : first[i] + size[i]])
+    # Rings of one size are tested together.
+    bent = np.flatnonzero(good & ~convex)
+    for n in np.unique(size[bent]).tolist():
+        same = bent[size[bent] == n]
+        for at in np.array_split(same, -(-len(same) * n // CHUNK)):
+            good[at] = ~_cross_themselves(xy[first[at][:, None] + np.arange(n)])
     xy = xy[good[row]]
     size = np.where(good, size, 0)
     v = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["x", "y"])

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from planarium.functions import rings
 from planarium.operators import pairs, raster
 
 SQUARE = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
@@ -90,3 +91,11 @@ def test_raster_edges(spark):
     assert {(r["row"], r["col"], r["n"]) for r in raster.coverage_raster(cells, box, 3).collect()} == {(0, 0, 1), (0, 1, 1), (0, 2, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (2, 2, 1)}
     assert raster.hull_raster(cells, box, 3).count() == 9 and raster.coverage_runs(cells, box, 3).count() == 5
     assert raster.coverage_raster(cells, (10.0, 12.0, 0.0, 1.0), 4).count() == 0
+
+
+def test_rings_of_one_size_are_tested_together():
+    ell = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]
+    bow = [(0, 0), (2, 2), (2, 0), (0, 2), (-1, 2), (-1, 0)]
+    touch = [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 2)]
+    back = [(0, 0), (3, 0), (1, 0), (1, 2), (0, 2), (0, 1)]
+    assert rings._cross_themselves(np.array([ell, bow, ell[::-1], touch, back], dtype=float)).tolist() == [False, True, False, True, True]
