@@ -21,7 +21,7 @@ def rings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All vertices (n, 2) and the number of them in each row; a null row or vertex has none."""
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     v = column.flatten()
-    xy = np.stack([pc.fill_null(v.field(c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in "xy"], axis=1) if len(v) else np.zeros((0, 2))
+    xy = np.stack([pc.fill_null(pc.struct_field(v, c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in "xy"], axis=1) if len(v) else np.zeros((0, 2))
     return xy, size
 
 
@@ -185,3 +185,43 @@ def shaped(poly: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     size = np.where(good, size, 0)
     v = pa.StructArray.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], ["x", "y"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), v), convex, good
+
+
+def _half_hulls(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower chains of the sorted points (rows, points, 2) and their lengths: each point drops those before it that don't turn left."""
+    chain, n = np.zeros_like(x), np.zeros(len(x), dtype=np.int64)
+    for k in range(x.shape[1]):
+        p, left = x[:, k], np.arange(len(x))
+        while len(left := left[n[left] >= 2]):
+            a, b = chain[left, n[left] - 2], chain[left, n[left] - 1]
+            left = left[cross(b - a, p[left] - a) <= 0]
+            n[left] -= 1
+        chain[np.arange(len(x)), n] = p
+        n += 1
+    return chain, n
+
+
+def hulls(poly: pa.Array) -> pa.Array:
+    """Counter-clockwise convex hull of the vertices of each row; null with fewer than three corners, or with a null or NaN vertex."""
+    xy, size = rings(poly)
+    first = np.cumsum(size) - size
+    known = size >= 3
+    np.logical_and.at(known, np.repeat(np.arange(len(size)), size), ~np.isnan(xy).any(axis=1))
+    parts, owner = [np.zeros((0, 2))], [np.zeros(0, np.int64)]
+    # Rows of one size are wrapped together.
+    for n in np.unique(size[known]).tolist():
+        same = np.flatnonzero(known & (size == n))
+        for at in np.array_split(same, -(-len(same) * n // CHUNK)):
+            x = xy[first[at][:, None] + np.arange(n)]
+            x = np.take_along_axis(x, np.lexsort((x[..., 1], x[..., 0]))[..., None], axis=1)
+            (low, a), (high, b) = _half_hulls(x), _half_hulls(x[:, ::-1])
+            # The last point of a chain is the first of the other one.
+            used = np.concatenate([np.arange(n) < (a - 1)[:, None], np.arange(n) < (b - 1)[:, None]], axis=1)
+            used &= (a + b - 2 >= 3)[:, None]
+            parts.append(np.concatenate([low, high], axis=1)[used])
+            owner.append(np.repeat(at, used.sum(axis=1)))
+    corners, row = np.concatenate(parts), np.concatenate(owner)
+    corners = corners[np.argsort(row, kind="stable")]
+    size = np.bincount(row, minlength=len(size))
+    v = pa.StructArray.from_arrays([pa.array(corners[:, 0].copy()), pa.array(corners[:, 1].copy())], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), v, mask=pa.array(size == 0))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planarium.functions.geometry import convex_hull, following
+from planarium.functions.geometry import following
+from planarium.functions.rings import hulls
 
 
 def extent(cells: DataFrame):
@@ -49,8 +51,17 @@ def coverage_raster(cells: DataFrame, bounds: tuple[float, float, float, float],
 
 
 def hull_raster(cells: DataFrame, bounds: tuple[float, float, float, float], columns: int, rows: int | None = None) -> DataFrame:
-    """As coverage_raster, of the convex hull of each cell's vertices; cells without a hull cover nothing."""
-    return coverage_raster(cells.withColumn("poly", convex_hull(F.col("poly"))), bounds, columns, rows)
+    """As coverage_raster, of the convex hull of each cell's vertices; cells without a hull cover nothing.
+
+    The hulls of an Arrow batch are wrapped at once, each of them once.
+    """
+
+    def wrap(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([hulls(b.column(0))], ["poly"])
+
+    ring = "array<struct<x: double, y: double>>"
+    return coverage_raster(cells.select(F.col("poly").cast(ring).alias("poly")).mapInArrow(wrap, f"poly {ring}"), bounds, columns, rows)
 
 
 def coverage_stats(raster: DataFrame, columns: int, rows: int | None = None) -> DataFrame:

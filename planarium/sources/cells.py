@@ -19,12 +19,18 @@ def hexagon(x: Column, y: Column, r: Column) -> Column:
     return F.array(*(point(x + r * math.cos(k * math.pi / 3), y + r * math.sin(k * math.pi / 3)) for k in range(6)))
 
 
+#: Parts of a task; their cells are a hundred times as much work as their few bytes tell.
+PARTS_A_TASK = 4096
+
+
 def from_parts(part: DataFrame) -> DataFrame:
     """A field of hexagonal cells derived from a parts table; its density is the same at every size.
 
-    Parts are dealt anew by key: a file of a few MB is one task's, but its cells are a hundred times as much work.
+    Parts are dealt anew by key, to a number of tasks that follows their count: a file of a few MB is one task's,
+    and without a number adaptive execution would join the small partitions to one again.
     """
-    part = part.repartition("p_partkey").select("p_partkey", "p_size")
+    tasks = max(1, -(-part.count() // PARTS_A_TASK))
+    part = part.repartition(tasks, "p_partkey").select("p_partkey", "p_size")
     tile = F.floor(F.col("p_partkey") / 2000.0).cast("int")
     cells = part.select(
         F.col("p_partkey").alias("cell_id"),

@@ -1,6 +1,7 @@
 """Overlap and rasters of polygons of any simple shape and direction."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from planarium.functions import rings
@@ -99,3 +100,31 @@ def test_rings_of_one_size_are_tested_together():
     touch = [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 2)]
     back = [(0, 0), (3, 0), (1, 0), (1, 2), (0, 2), (0, 1)]
     assert rings._cross_themselves(np.array([ell, bow, ell[::-1], touch, back], dtype=float)).tolist() == [False, True, False, True, True]
+
+
+def plain_hull(ring):
+    if ring is None or any(p is None or p[0] != p[0] or p[1] != p[1] for p in ring):
+        return None
+    turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    def chain(points):
+        out = []
+        for p in points:
+            while len(out) >= 2 and turn(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    v = sorted(set(ring))
+    h = chain(v) + chain(v[::-1])
+    return h if len(h) >= 3 else None
+
+
+def test_hulls_of_a_batch_are_those_of_its_rings():
+    """Copies, points on one line, nulls and NaN among them."""
+    rng = np.random.default_rng(4)
+    rows = [[tuple(map(float, p)) for p in np.round(rng.normal(size=(int(rng.integers(0, 12)), 2)), int(rng.integers(0, 3))) + 0.0] for _ in range(500)]
+    rows += [None, [(0.0, 0.0), None, (1.0, 1.0), (2.0, 0.0)], [(0.0, 0.0), (NAN, 1.0), (1.0, 1.0)], [(0.0, 0.0)] * 4, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], CUP, CUP[::-1]]
+    column = pa.array([r and [p and {"x": p[0], "y": p[1]} for p in r] for r in rows], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    got = [r and [(p["x"], p["y"]) for p in r] for r in rings.hulls(column).to_pylist()]
+    assert got == [plain_hull(r) for r in rows]

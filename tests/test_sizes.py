@@ -37,6 +37,12 @@ def test_cells_are_dealt_anew_by_key(spark, field):
     assert "hashpartitioning(p_partkey" in plan(source.from_parts(field.sparkSession.range(1, 9, 1, 1).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size"))))
 
 
+def test_adaptive_execution_leaves_the_deal_of_parts(spark):
+    """The parts of a task are bounded, though their bytes are too few to be worth a task by themselves."""
+    parts = spark.range(1, 3 * source.PARTS_A_TASK).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size"))
+    assert source.from_parts(parts).rdd.getNumPartitions() == 3
+
+
 def test_blocks_of_near_points_grow_with_the_table(spark, monkeypatch):
     """The number of blocks, and with it how often each point is exchanged, is bounded; neighbours stay exact, ties and copies too."""
     monkeypatch.setattr(pairs, "NEAR_BLOCKS", 3)
