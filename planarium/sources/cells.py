@@ -29,7 +29,7 @@ def from_parts(part: DataFrame) -> DataFrame:
     Parts are dealt anew by key, to a number of tasks that follows their count: a file of a few MB is one task's,
     and without a number adaptive execution would join the small partitions to one again.
     """
-    tasks = max(1, -(-part.count() // PARTS_A_TASK))
+    tasks = max(2, -(-part.count() // PARTS_A_TASK))
     part = part.repartition(tasks, "p_partkey").select("p_partkey", "p_size")
     tile = F.floor(F.col("p_partkey") / 2000.0).cast("int")
     cells = part.select(
