@@ -116,7 +116,7 @@ def gallery(pairs: DataFrame, labels: DataFrame, same: tuple[float, ...] = (5, 3
         own = rows.where(F.col("same") == kind)
         q = exact_quantiles(own, "cf", [r / max(n - 1, 1) for r in ranks])
         at = q.select(F.explode(F.array(*(F.struct(F.lit(float(p)).alias("pct"), F.col(f"q_{i}").alias("cf")) for i, p in enumerate(percents)))).alias("x")).select("x.pct", "x.cf")
-        got = at.join(own, "cf").groupBy("same", "pct").agg(F.min(F.struct("i", "j", "cf")).alias("x")).select("same", "pct", "x.i", "x.j", "x.cf")
+        got = F.broadcast(at).join(own, "cf").groupBy("same", "pct").agg(F.min(F.struct("i", "j", "cf")).alias("x")).select("same", "pct", "x.i", "x.j", "x.cf")
         out = got if out is None else out.unionByName(got)
     return out if out is not None else rows.limit(0).select("same", F.lit(0.0).alias("pct"), "i", "j", "cf")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarium.sources.store import written
+from planarium.sources.store import shuffled, written
+
+#: Groups whose cuts (2 kB each) and ranks every task may have.
+FEW_GROUPS = 2048
 
 
 def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str] | None = None, parts: int = 256) -> DataFrame:
@@ -20,13 +23,16 @@ def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str]
     # The values alone are written once: what makes them may be costly and is read three times here.
     rows = written(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), "values")
     cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).alias("_cuts"))
+    cuts = written(cuts, "cuts")
+    # Spark takes the array of cuts for larger than the file of values, and would send the values through the driver.
+    few = F.broadcast if not by or cuts.count() <= FEW_GROUPS else shuffled
     at = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     on = same[0] if by else F.lit(True)
     for c in same[1:]:
         on = on & c
     # One row of cuts for each group.
-    placed = rows.alias("a").join(cuts.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in by), "_v", at.alias("_part"))
+    placed = rows.alias("a").join(few(cuts).alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in by), "_v", at.alias("_part"))
     values = placed.groupBy(*by, "_part", "_v").agg(F.count("*").alias("_n"))
     counts = values.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
     stretches = counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_parts"))
@@ -46,7 +52,7 @@ def exact_quantiles(rows: DataFrame, value: str, qs: list[float], by: list[str]
     on = F.col("a._part") == F.col("b._part")
     for c in by:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = asked.alias("a").join(values.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in by), "n", "i", "side", "rank", "share", "before", F.struct("_v", "_n").alias("x"))
+    near = few(asked).alias("a").join(values.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in by), "n", "i", "side", "rank", "share", "before", F.struct("_v", "_n").alias("x"))
     lists = near.groupBy(*by, "n", "i", "side", "rank", "share", "before").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pick = F.aggregate("xs", F.struct(F.col("before").alias("seen"), F.lit(None).cast("double").alias("v")), lambda acc, x: F.struct((acc["seen"] + x["_n"]).alias("seen"), F.when(acc["v"].isNull() & (acc["seen"] + x["_n"] > F.col("rank")), x["_v"]).otherwise(acc["v"]).alias("v")))
     got = lists.select(*by, "n", "i", "side", "share", pick["v"].alias("v"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planarium.operators import calibrate, diagnostics, graph, pairs, refine
+from planarium.operators import calibrate, diagnostics, graph, pairs, quantiles, refine
 from planarium.sources import cells as source
 
 
@@ -57,3 +57,32 @@ def test_blocks_of_near_points_grow_with_the_table(spark, monkeypatch):
     got = {(r["src"], r["rank"]): (r["dst"], r["d2"]) for r in pairs.knn(points, 4, block_rows=8).collect()}
     want = {(i, k + 1): (int(j), d[i, j]) for i in range(150) for k, j in enumerate(np.lexsort((np.arange(150), d[i]))[:4])}
     assert got == want
+
+
+def rows_sent(spark, job):
+    """What a job gives, and the rows of the largest table that was sent through the driver meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got, most = job(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(before, runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics() if node.name() == "BroadcastExchange" else None
+            for m in (metrics.apply(i) for i in range(metrics.size() if metrics else 0)):
+                value = values.get(m.accumulatorId())
+                if m.name() == "number of output rows" and value.isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return got, most
+
+
+@pytest.mark.parametrize("few", [2048, 2])
+def test_quantiles_send_cuts_and_never_values(spark, monkeypatch, few):
+    """The array of cuts looks larger to Spark than the file of values, so it used to send the values."""
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", few, raising=False)
+    rows = spark.range(20_000).select((F.col("id") % 3).cast("int").alias("label"), (F.col("id") * 7919 % 20_011).cast("double").alias("v"))
+    got, most = rows_sent(spark, lambda: {r["label"]: (r["n"], r["q_0"], r["q_1"]) for r in quantiles.exact_quantiles(rows, "v", [0.25, 0.9], ["label"]).collect()})
+    v = np.arange(20_000) * 7919 % 20_011
+    assert got == {k: (len(v[k::3]), pytest.approx(np.quantile(v[k::3], 0.25)), pytest.approx(np.quantile(v[k::3], 0.9))) for k in range(3)}
+    assert most <= 12  # a row for each group and rank
