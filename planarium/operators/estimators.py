@@ -17,6 +17,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planarium.sources.store import shuffled
+
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
 
@@ -38,7 +40,7 @@ def gaussian_mixture(points: DataFrame, k: int, seed: int = 0, **options) -> Dat
 
 def cluster_means(points: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (label, n, mean): mean vector of each cluster; -1 has none."""
-    rows = points.join(labels.select("cell_id", "label").where("label >= 0"), "cell_id").select("label", F.posexplode("features").alias("d", "x"))
+    rows = points.join(shuffled(labels).select("cell_id", "label").where("label >= 0"), "cell_id").select("label", F.posexplode("features").alias("d", "x"))
     means = rows.groupBy("label", "d").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     return means.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
 
@@ -177,7 +179,7 @@ def density_unary(points: DataFrame, labels: DataFrame, mixture: Mixture) -> Dat
     members of a cluster meet the points in salted blocks.
     """
     block = 2_000
-    own = points.join(labels.select("cell_id", "label").where("label >= 0"), "cell_id")
+    own = points.join(shuffled(labels).select("cell_id", "label").where("label >= 0"), "cell_id")
     sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     d = mixture.means.shape[1]
     usable = {k: np.linalg.cholesky(np.linalg.inv(mixture.covariances[k] * n ** (-2 / (d + 4)))) for k, n in sizes.items() if n >= 2 and k < len(mixture.weights) and np.linalg.cond(mixture.covariances[k]) < 1e12}
@@ -207,4 +209,4 @@ def density_unary(points: DataFrame, labels: DataFrame, mixture: Mixture) -> Dat
         return mixture_unary(points, mixture)
     given = F.create_map(*(F.lit(x) for k, v in shift.items() for x in (int(k), v)))
     kernel = sums.select("cell_id", "label", (-(F.col("s") + given[F.col("label")])).alias("c")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("kernel"))
-    return mixture_unary(points, mixture).join(kernel, "cell_id", "left").select("cell_id", F.transform("costs", lambda c, k: F.coalesce(F.try_element_at("kernel", k), c)).alias("costs"))
+    return mixture_unary(points, mixture).join(shuffled(kernel), "cell_id", "left").select("cell_id", F.transform("costs", lambda c, k: F.coalesce(F.try_element_at("kernel", k), c)).alias("costs"))

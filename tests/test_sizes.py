@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planarium.operators import calibrate, diagnostics, graph, pairs, quantiles, refine
+from planarium.operators import calibrate, diagnostics, estimators, graph, pairs, quantiles, refine
 from planarium.sources import cells as source
 
 
@@ -86,3 +86,10 @@ def test_quantiles_send_cuts_and_never_values(spark, monkeypatch, few):
     v = np.arange(20_000) * 7919 % 20_011
     assert got == {k: (len(v[k::3]), pytest.approx(np.quantile(v[k::3], 0.25)), pytest.approx(np.quantile(v[k::3], 0.9))) for k in range(3)}
     assert most <= 12  # a row for each group and rank
+
+
+def test_cluster_means_send_no_labels(spark):
+    points = spark.range(4000).select(F.col("id").alias("cell_id"), F.array(F.col("id").cast("double")).alias("features"))
+    labels = spark.range(4000).select(F.col("id").alias("cell_id"), (F.col("id") % 2).cast("int").alias("label"))
+    got, most = rows_sent(spark, lambda: {r["label"]: r["mean"] for r in estimators.cluster_means(points, labels).collect()})
+    assert got == {0: [1999.0], 1: [2000.0]} and most == 0
