@@ -76,12 +76,13 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -
         if now == before:
             break
         before = now
-        # A round over few edges is one task without any shuffle.
-        both = both_ways(e.coalesce(1) if now["n"] <= FEW_EDGES else e, "u", "v")
+        # A round over few edges is one task without any shuffle; one over more never sends its nodes through the driver.
+        few = now["n"] <= FEW_EDGES
+        both, met = both_ways(e.coalesce(1) if few else e, "u", "v"), (lambda df: df) if few else shuffled
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(met(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        small = large.join(met(low), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         after = written(small, "edges")
         dropped(e)
         e = after

@@ -164,17 +164,17 @@ def icm_sequential(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: fl
 
 def _waves(cells: DataFrame, inner: DataFrame, lam: float, most: int) -> DataFrame:
     """The same sweeps of cells (cell_id, label, costs) as rounds of joins: a wave has the cells whose smaller neighbours are all in waves before."""
-    inner = written(inner.join(cells.select(F.col("cell_id").alias("i")), "i", "left_semi"), "edges")
+    inner = written(inner.join(shuffled(cells).select(F.col("cell_id").alias("i")), "i", "left_semi"), "edges")
     left, waves = cells.select("cell_id"), []
     while not left.isEmpty():
-        held = inner.where("j < i").join(left.select(F.col("cell_id").alias("j")), "j", "left_semi").select(F.col("i").alias("cell_id")).distinct()
-        waves.append(written(left.join(held, "cell_id", "left_anti"), "wave"))
-        left = written(left.join(waves[-1], "cell_id", "left_anti"), "left")
-    now = [written(cells.join(w, "cell_id", "left_semi"), "labels") for w in waves]
+        held = inner.where("j < i").join(shuffled(left).select(F.col("cell_id").alias("j")), "j", "left_semi").select(F.col("i").alias("cell_id")).distinct()
+        waves.append(written(left.join(shuffled(held), "cell_id", "left_anti"), "wave"))
+        left = written(left.join(shuffled(waves[-1]), "cell_id", "left_anti"), "left")
+    now = [written(cells.join(shuffled(w), "cell_id", "left_semi"), "labels") for w in waves]
     for _ in range(most):
         changed = 0
         for k, w in enumerate(waves):
-            near = inner.join(w.select(F.col("cell_id").alias("i")), "i", "left_semi")
+            near = inner.join(shuffled(w).select(F.col("cell_id").alias("i")), "i", "left_semi")
             known = reduce(DataFrame.unionByName, [x.select(F.col("cell_id").alias("j"), F.col("label").alias("k")) for x in now]).where("k >= 0")
             push = near.join(shuffled(known), "j").groupBy(F.col("i").alias("cell_id"), "k").agg(F.sum("w").alias("w")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("push"))
             cost = F.transform("costs", lambda c, k: c + lam * F.coalesce(F.try_element_at("push", k), F.lit(0.0)))

@@ -88,6 +88,13 @@ def test_quantiles_send_cuts_and_never_values(spark, monkeypatch, few):
     assert most <= 12  # a row for each group and rank
 
 
+def test_components_of_many_edges_send_nothing(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 100)
+    edges = spark.range(3000).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got, most = rows_sent(spark, lambda: {r["node"]: r["root"] for r in graph.stars(edges).collect()})
+    assert got == {i: i // 10 * 10 for i in range(3000)} and most <= 200  # of the last rounds, should they be small
+
+
 def test_cluster_means_send_no_labels(spark):
     points = spark.range(4000).select(F.col("id").alias("cell_id"), F.array(F.col("id").cast("double")).alias("features"))
     labels = spark.range(4000).select(F.col("id").alias("cell_id"), (F.col("id") % 2).cast("int").alias("label"))
