@@ -25,7 +25,7 @@ def _worst_near(marks: DataFrame, nbrs: DataFrame) -> DataFrame:
 
 
 def _apply(labels: DataFrame, moves: DataFrame) -> DataFrame:
-    return written(labels.join(moves.select("cell_id", F.col("label").alias("_new")), "cell_id", "left").withColumn("label", F.coalesce("_new", "label").cast("int")).drop("_new"), "labels")
+    return written(labels.join(shuffled(moves).select("cell_id", F.col("label").alias("_new")), "cell_id", "left").withColumn("label", F.coalesce("_new", "label").cast("int")).drop("_new"), "labels")
 
 
 def _supported(costs: str, k: Column, least: float) -> Column:
@@ -71,7 +71,7 @@ def _joint_moves(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, lam: floa
     rows = written(rows.select("i", "j", mark.alias("m"), F.col("best.x").alias("k_i"), F.col("best.y").alias("k_j")), "options")
     marks = rows.select(F.explode(F.array("i", "j")).alias("cell_id"), "m").groupBy("cell_id").agg(F.max("m").alias("m"))
     worst = _worst_near(marks, nbrs)
-    w = lambda c: worst.select(F.col("cell_id").alias(c), F.col("worst").alias(f"w_{c}"))
+    w = lambda c: shuffled(worst).select(F.col("cell_id").alias(c), F.col("worst").alias(f"w_{c}"))
     return rows.join(w("i"), "i").join(w("j"), "j").where((F.col("m") == F.col("w_i")) & (F.col("m") == F.col("w_j"))).select("i", "j", "k_i", "k_j")
 
 
@@ -97,7 +97,7 @@ def clear_residuals(labels: DataFrame, unary: DataFrame, nbrs: DataFrame, rounds
         rows = rows.withColumn("best", F.explode(F.array(F.array_min(options))))
         ok = F.col("best").isNotNull() & (F.col("all_frozen") | _supported("costs", F.col("best.k"), least))
         rows = written(rows.select("cell_id", "m", F.when(ok, F.col("best.k")).otherwise(-1).alias("label")), "options")
-        moves = written(rows.join(_worst_near(rows, near), "cell_id").where(F.col("m") == F.col("worst")).select("cell_id", "label"), "moves")
+        moves = written(rows.join(shuffled(_worst_near(rows, near)), "cell_id").where(F.col("m") == F.col("worst")).select("cell_id", "label"), "moves")
         n = moves.agg(F.count_if(F.col("label") >= 0).alias("a"), F.count_if(F.col("label") < 0).alias("b")).first()
         if not n["a"] + n["b"]:
             break
