@@ -5,9 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from planarium.operators import calibrate, diagnostics, estimators, graph, pairs, quantiles, refine
+from planarium.plans import catalogue
 from planarium.sources import cells as source
 
 
+QUERIES_OVER_PAIRS = ["label_push"]
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return source.from_parts(spark.range(1, 200).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")))
@@ -100,3 +104,11 @@ def test_cluster_means_send_no_labels(spark):
     labels = spark.range(4000).select(F.col("id").alias("cell_id"), (F.col("id") % 2).cast("int").alias("label"))
     got, most = rows_sent(spark, lambda: {r["label"]: r["mean"] for r in estimators.cluster_means(points, labels).collect()})
     assert got == {0: [1999.0], 1: [2000.0]} and most == 0
+
+
+@pytest.mark.parametrize("name", QUERIES_OVER_PAIRS)
+def test_queries_over_pairs_send_no_cells(spark, tmp_path, name):
+    """The whole query as registered: ranks and single rows may pass through the driver, a row for each cell or pair may not."""
+    spark.range(400).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    _, most = rows_sent(spark, lambda: catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+    assert most <= 12
