@@ -9,7 +9,7 @@ from planarium.plans import catalogue
 from planarium.sources import cells as source
 
 
-QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates"]
+QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates", "mrf_energy"]
 
 
 @pytest.fixture(scope="module")
