@@ -9,7 +9,7 @@ from planarium.plans import catalogue
 from planarium.sources import cells as source
 
 
-QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates", "mrf_energy", "neighbour_composition", "violation_count"]
+QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates", "mrf_energy", "neighbour_composition", "violation_count", "ramp_family"]
 
 
 @pytest.fixture(scope="module")
