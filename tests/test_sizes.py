@@ -9,7 +9,7 @@ from planarium.plans import catalogue
 from planarium.sources import cells as source
 
 
-QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates", "mrf_energy", "neighbour_composition", "violation_count", "ramp_family", "tau_low_per_cluster", "top_neighbour", "quality_gate", "icm_jacobi_sweep", "energy_gaps", "error_summary"]
+QUERIES_OVER_PAIRS = ["label_push", "label_scores", "merge_boundary", "merge_gates", "mrf_energy", "neighbour_composition", "violation_count", "ramp_family", "tau_low_per_cluster", "top_neighbour", "quality_gate", "icm_jacobi_sweep", "energy_gaps", "error_summary", "hard_pair_release"]
 
 
 @pytest.fixture(scope="module")
